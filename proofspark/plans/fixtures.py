@@ -1,0 +1,87 @@
+"""Views over the given tables in the shape the operators expect."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from proofspark.schemas import RULES
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use every core when a scan has fewer splits than the cluster has slots; a wide scan is left alone."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
+
+
+def pick(values: list[str], number: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+
+def documents(spark: SparkSession, sf_dir: str, newlines: str = "\n\n") -> DataFrame:
+    """Documents with full-width stops and blank lines between paragraphs."""
+    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return raw.select(
+        "doc_id", (F.col("doc_id") % 150).alias("user_id"),
+        F.concat_ws("_", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("original_name"),
+        pick(["txt", "docx", "pdf"], F.col("doc_id")).alias("document_format"),
+        pick(["general", "academic", "financial"], F.col("doc_id")).alias("analysis_profile"),
+        F.replace(F.translate("text", ".,", "。，"), F.lit("\n"), F.lit(newlines)).alias("text"),
+    )
+
+
+# --- fixed values: the rule table of the fixtures ---
+RULE_ROWS = [
+    (1, "the the", "grammar", "redundant_component", "the", 92),
+    (2, "the of", "grammar", "word_order", "of the", 85),
+    (3, "de la", "typo", None, "du", 95),
+    (4, "der die", "grammar", "collocation", "die", 78),
+    (5, "and the", "punctuation", None, "，the", 81),
+    (6, "in the", "grammar", "ambiguity", "in a", 97),
+    (7, "un la", "paragraph", None, "split", 70),
+]
+
+
+def rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        [(no, needle, cat, sub, needle, None, None, f"rule {no}", sug, conf, []) for no, needle, cat, sub, sug, conf in RULE_ROWS],
+        RULES,
+    )
+
+
+# --- fixed values: the citable reference works ---
+EVIDENCE_ROWS = [
+    ("gb-t-15834-2011", "标点符号用法", "GB/T 15834-2011",
+     "https://openstd.samr.gov.cn/bzgk/std/newGbInfo?hcno=22EA6D162E4110E752259661E1A0D0A8", True),
+    ("gb-t-15835-2011", "出版物上数字用法", "GB/T 15835-2011",
+     "https://std.samr.gov.cn/gb/search/gbDetailed?id=71F772D7DA87D3A7E05397BE0A0AB82A", True),
+    ("standard-chinese-characters-2013", "通用规范汉字表", "2013",
+     "https://www.moe.gov.cn/jyb_sjzl/ziliao/A19/201306/t20130601_186002.html", True),
+]
+
+
+def evidence(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(
+        EVIDENCE_ROWS, "id string, title string, revision string, source_url string, active boolean"
+    )
+
+
+def arithmetic_verdicts(resolved: DataFrame) -> DataFrame:
+    """Deterministic stand-in for the second model pass, as ``v_*`` columns on the resolved candidates."""
+    rule_no = F.regexp_extract("reason", r"\d+", 0).cast("int")
+    conf = (F.lit(40) + (F.col("doc_id") * 31 + F.col("char_start") * 17 + rule_no * 7) % 61).cast("int")
+    flips = (F.col("doc_id") + rule_no) % 11 == 0
+    return resolved.select(
+        "*",
+        F.when(flips, F.lit("typo")).otherwise(F.col("category")).alias("v_category"),
+        F.when(~flips, F.col("grammar_subtype")).alias("v_grammar_subtype"),
+        F.when(conf < 45, "rejected").when(conf < 80, "suspected").otherwise("confirmed").alias("v_verdict"),
+        conf.alias("v_confidence"), F.col("reason").alias("v_reason"), F.col("suggestion").alias("v_suggestion"),
+        F.array(F.lit("standard-chinese-characters-2013"), F.lit("gb-t-15834-2011"),
+                F.lit("standard-chinese-characters-2013")).alias("v_evidence_source_ids"),
+    )
