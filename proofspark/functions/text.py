@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,6 +15,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def explode_rows(df: DataFrame, array: Column, position: str, element: str, keep: list) -> DataFrame:
+    """One row per array element with its 0-based position.
+
+    An inner explode makes the optimizer add a not-empty filter that computes the array a second time; the outer form
+    with the empty rows dropped afterwards computes it once.
+    """
+    return df.select(*keep, F.posexplode_outer(array).alias(position, element)).where(F.col(position).isNotNull())
+
+
 def is_blank(text: Column) -> Column:
     """True when the text holds nothing but Unicode white space."""
     return ~F.regexp_like(text, F.lit(r"(?U)\S"))

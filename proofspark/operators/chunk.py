@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from proofspark import constants as K
-from proofspark.functions.text import is_blank, let, slice_text
+from proofspark.functions.text import explode_rows, is_blank, let, slice_text
 
 PARAGRAPH_SPLIT = r"(?<=\n\n)(?!\n)"
 RANGES = "array<struct<s:int,e:int,cs:int,ce:int,ink:boolean>>"
@@ -38,11 +38,9 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("spans"))
     spans = F.aggregate(sized, zero, add, lambda acc: acc["spans"])
     whole = F.array(F.struct(F.lit(0).alias("s"), F.length("text").alias("e")))
-    return (
-        docs.where(F.length("text") > 0)
-        .select("doc_id", let(spans, lambda found: F.when(F.size(found) == 0, whole).otherwise(found)).alias("spans"))
-        .select("doc_id", F.posexplode("spans").alias("paragraph_no", "span"))
-        .select("doc_id", "paragraph_no", F.col("span.s").alias("char_start"), F.col("span.e").alias("char_end"))
+    found = let(spans, lambda ranges: F.when(F.size(ranges) == 0, whole).otherwise(ranges))
+    return explode_rows(docs.where(F.length("text") > 0), found, "paragraph_no", "span", ["doc_id"]).select(
+        "doc_id", "paragraph_no", F.col("span.s").alias("char_start"), F.col("span.e").alias("char_end")
     )
 
 
@@ -147,13 +145,10 @@ def chunk(
 
     ranges = _pack(F.transform(_pieces(F.col("text")), sized), target, hard, overlap)
     kept = [c for c in docs.columns if c != "text"]
-    return (
-        docs.withColumn("ranges", F.filter(ranges, lambda c: c["ink"]))
-        .select(*kept, "text", F.posexplode("ranges").alias("chunk_index", "r"))
-        .select(
-            *kept, "chunk_index",
-            F.col("r.s").alias("source_start"), F.col("r.e").alias("source_end"),
-            F.col("r.cs").alias("core_start"), F.col("r.ce").alias("core_end"),
-            slice_text(F.col("text"), F.col("r.s"), F.col("r.e")).alias("text"),
-        )
+    rows = explode_rows(docs, F.filter(ranges, lambda c: c["ink"]), "chunk_index", "r", [*kept, "text"])
+    return rows.select(
+        *kept, "chunk_index",
+        F.col("r.s").alias("source_start"), F.col("r.e").alias("source_end"),
+        F.col("r.cs").alias("core_start"), F.col("r.ce").alias("core_end"),
+        slice_text(F.col("text"), F.col("r.s"), F.col("r.e")).alias("text"),
     )

@@ -50,8 +50,8 @@ def dedup_issues(issues: DataFrame, scope: list[str] | None = None) -> DataFrame
         .withColumn("island", F.sum("fresh").over(by_class.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy(*klass, "island")
         .agg(F.array_sort(F.collect_list(entry), _by_order).alias("rows"))
-        .select(F.explode(_survivors(F.col("rows"))).alias("x"))
-        .select("x.row.*")
+        .select("doc_id", F.explode(_survivors(F.col("rows"))).alias("x"))
+        .select(*["doc_id" if c == "doc_id" else f"x.row.{c}" for c in issues.columns])
     )
 
 

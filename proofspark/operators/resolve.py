@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark.functions.locate import locate_unique
 from proofspark.functions.spans import is_protected, protected_spans
+from proofspark.functions.text import explode_rows, let
 
 
 def flag_protected(quotes: DataFrame) -> DataFrame:
@@ -21,26 +22,34 @@ def resolve_candidates(chunks: DataFrame) -> DataFrame:
     Works on chunk rows carrying their ``candidates``; the protected spans are computed once per chunk and only the
     small span arrays, not the text, travel on. No shuffle.
     """
-    has_any = F.size("candidates") > 0
     kept = [c for c in chunks.columns if c not in ("text", "candidates", "source_start", "source_end", "core_start", "core_end")]
-    exploded = (
-        chunks.where(has_any)
-        .withColumn("spans", protected_spans(F.col("text"), F.col("analysis_profile")))
-        .select("*", F.posexplode("candidates").alias("candidate_index", "c"))
-        .withColumn("local", locate_unique(
-            F.col("text"), F.col("c.quote"), F.col("c.context_before"), F.col("c.context_after")))
-        .where(F.col("local").isNotNull())
-        .withColumn("size", F.length("c.quote"))
-        .withColumn("char_start", F.col("source_start") + F.col("local"))
-        .withColumn("middle", F.col("char_start") + F.floor(F.col("size") / 2).cast("int"))
-        .where((F.col("middle") >= F.col("core_start")) & (F.col("middle") < F.col("core_end")))
+
+    def pin(text: Column) -> Column:
+        return F.transform("candidates", lambda c, i: F.struct(
+            i.alias("candidate_index"), c.alias("c"),
+            locate_unique(text, c["quote"], c["context_before"], c["context_after"]).alias("local"),
+            F.length(c["quote"]).alias("size"),
+        ))
+
+    def owned(p: Column) -> Column:
+        middle = F.col("source_start") + p["local"] + F.floor(p["size"] / 2)
+        return (middle >= F.col("core_start")) & (middle < F.col("core_end"))
+
+    pinned = chunks.select(
+        *kept, "source_start",
+        F.when(F.size("candidates") > 0, F.filter(let(F.col("text"), pin), owned)).alias("places"),
+        F.when(F.size("candidates") > 0, protected_spans(F.col("text"), F.col("analysis_profile"))).alias("spans"),
     )
-    return exploded.select(
-        *kept, "candidate_index", "char_start", (F.col("char_start") + F.col("size")).alias("char_end"),
-        F.col("c.category").alias("category"), F.col("c.grammar_subtype").alias("grammar_subtype"),
-        F.col("c.quote").alias("quote"), F.col("c.reason").alias("reason"), F.col("c.suggestion").alias("suggestion"),
-        F.least(F.col("c.confidence"), F.lit(100)).alias("candidate_confidence"),
-        is_protected(F.col("spans"), F.col("local"), F.col("local") + F.col("size"), F.col("c.category")).alias("protected"),
+    rows = explode_rows(pinned, F.col("places"), "at", "p", [*kept, "source_start", "spans"])
+    start = F.col("source_start") + F.col("p.local")
+    return rows.select(
+        *kept, F.col("p.candidate_index").alias("candidate_index"),
+        start.alias("char_start"), (start + F.col("p.size")).alias("char_end"),
+        F.col("p.c.category").alias("category"), F.col("p.c.grammar_subtype").alias("grammar_subtype"),
+        F.col("p.c.quote").alias("quote"), F.col("p.c.reason").alias("reason"),
+        F.col("p.c.suggestion").alias("suggestion"),
+        F.least(F.col("p.c.confidence"), F.lit(100)).alias("candidate_confidence"),
+        is_protected(F.col("spans"), F.col("p.local"), F.col("p.local") + F.col("p.size"), F.col("p.c.category")).alias("protected"),
     )
 
 

@@ -2,45 +2,47 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
 
 from proofspark.functions.locate import occurrence_starts
-from proofspark.functions.text import slice_text
-from proofspark.schemas import CANDIDATE
+from proofspark.functions.text import let, slice_text
+from proofspark.schemas import CANDIDATE, RULES
 
 INLINE_RULES = 64
+_RULE_FIELDS = ",".join(part.strip().replace(" ", ":", 1) for part in RULES.split(","))
 FIELDS = [
     "category", "grammar_subtype", "quote", "context_before", "context_after", "reason", "suggestion",
     "confidence", "evidence_source_ids",
 ]
 
 
-def _template(rule: Row) -> Column:
-    values = {name: F.lit(rule[name]) for name in FIELDS if name != "evidence_source_ids"}
-    ids = F.array(*[F.lit(i) for i in rule["evidence_source_ids"] or []])
-    return F.struct(*[
-        (ids if name == "evidence_source_ids" else values[name]).alias(name) for name in FIELDS
-    ]).cast(CANDIDATE)
-
-
 def small_rule_table(rules: DataFrame) -> list[Row] | None:
     """The rules in order when there are at most INLINE_RULES of them."""
     rows = rules.orderBy("rule_no").limit(INLINE_RULES + 1).collect()
     return rows if len(rows) <= INLINE_RULES else None
 
 
+def _rule_array(rows: list[Row]) -> Column:
+    """The rule table as one constant array."""
+    return F.from_json(F.lit(json.dumps([row.asDict() for row in rows])), f"array<struct<{_RULE_FIELDS}>>")
+
+
 def scan_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``candidates``: the issue template of every rule whose needle occurs in the chunk, in rule order.
 
-    A small rule table becomes one generated-code ``contains`` per rule, without any shuffle. A larger one meets the
-    chunks on the first characters of its needles.
+    A small rule table becomes a constant array checked inside the chunk row, without any shuffle. A larger one meets
+    the chunks on the first characters of its needles.
     """
     rows = small_rule_table(rules)
-    if rows is not None:
-        hits = [F.when(F.contains("text", F.lit(r["needle"])), _template(r)) for r in rows]
-        found = F.array_compact(F.array(*hits)) if hits else F.array().cast(f"array<{CANDIDATE}>")
-        return chunks.withColumn("candidates", found)
-    return attach_candidates(chunks, _scan_by_anchor(chunks, rules))
+    if rows is None:
+        return attach_candidates(chunks, _scan_by_anchor(chunks, rules))
+    found = let(F.col("text"), lambda text: F.transform(
+        F.filter(_rule_array(rows), lambda r: F.contains(text, r["needle"])),
+        lambda r: F.struct(*[r[name].alias(name) for name in FIELDS]),
+    ))
+    return chunks.withColumn("candidates", found)
 
 
 def _scan_by_anchor(chunks: DataFrame, rules: DataFrame) -> DataFrame:
@@ -70,25 +72,21 @@ def scan_occurrences(chunks: DataFrame, rules: DataFrame, context: int = 12) ->
     rows = small_rule_table(rules)
     if rows is None:
         raise ValueError(f"at most {INLINE_RULES} rules can be written into the expression")
-    text = F.col("text")
-
-    def expand(rule: Row) -> Column:
-        needle = F.lit(rule["needle"])
-        size = len(rule["needle"])
-        template = _template(rule)
+    def expand(text: Column, rule: Column) -> Column:
+        size = F.length(rule["needle"])
 
         def at(start: Column) -> Column:
-            return F.struct(*[
-                {"context_before": slice_text(text, F.greatest(start - context, F.lit(0)), start),
-                 "context_after": slice_text(text, start + size, start + size + context)}
-                .get(name, template[name]).alias(name) for name in FIELDS
-            ]).cast(CANDIDATE)
+            sides = {
+                "context_before": slice_text(text, F.greatest(start - context, F.lit(0)), start),
+                "context_after": slice_text(text, start + size, start + size + context),
+            }
+            return F.struct(*[sides.get(name, rule[name]).alias(name) for name in FIELDS])
 
-        return F.when(F.contains(text, needle), F.transform(occurrence_starts(text, needle), at)).otherwise(
-            F.array().cast(f"array<{CANDIDATE}>")
-        )
+        return F.transform(occurrence_starts(text, rule["needle"]), at)
 
-    return chunks.withColumn("candidates", F.concat(*[expand(r) for r in rows]))
+    return chunks.withColumn("candidates", let(F.col("text"), lambda text: F.flatten(F.transform(
+        F.filter(_rule_array(rows), lambda r: F.contains(text, r["needle"])), lambda r: expand(text, r)
+    ))))
 
 
 def attach_candidates(chunks: DataFrame, candidates: DataFrame) -> DataFrame:

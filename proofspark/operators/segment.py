@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from proofspark.functions.text import is_blank, sentence_ends
+from proofspark.functions.text import explode_rows, is_blank, sentence_ends
 
 BUCKET_CHARS = 4_096
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """One row per line of a plain text, numbered from 1; such lines never carry a paragraph break."""
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "text")).select(
-        "doc_id", (F.col("at") + 1).alias("line_no"), "text",
+    return explode_rows(docs, F.split("text", "\n", -1), "at", "line_text", ["doc_id"]).select(
+        "doc_id", (F.col("at") + 1).alias("line_no"), F.col("line_text").alias("text"),
         F.lit(None).cast("int").alias("page"), F.lit(False).alias("paragraph_break_after"),
     )
 
