@@ -1,0 +1,153 @@
+"""Shared pieces of the comparison SQL."""
+
+from proofspark.plans.fixtures import RULE_ROWS
+
+DOCS = """
+docs AS (
+  SELECT doc_id, doc_id % 150 AS user_id, concat(source, '_', doc_id, '.txt') AS original_name,
+         ['txt','docx','pdf'][doc_id % 3 + 1] AS document_format,
+         ['general','academic','financial'][doc_id % 3 + 1] AS analysis_profile,
+         replace(translate(text, '.,', '。，'), chr(10), chr(10) || chr(10)) AS text
+  FROM documents)"""
+
+LONG_DOCS = DOCS.replace("chr(10) || chr(10)", "''")
+
+PARAS = """
+pieces AS (
+  SELECT doc_id, string_split_regex(text, '\\n\\n+') AS p, regexp_extract_all(text, '\\n\\n+') AS s FROM docs WHERE length(text) > 0),
+piece_rows AS (
+  SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(list_transform(p, lambda x: length(x))) AS n,
+         unnest(list_transform(range(1, len(p) + 1), lambda j: coalesce(length(s[j]), 0))) AS gap FROM pieces),
+placed AS (
+  SELECT doc_id, i, n, coalesce(sum(n + gap) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+  FROM piece_rows),
+paras AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pno, s, s + n AS e, n > 4000 AS long FROM placed WHERE n > 0)"""
+
+CHUNKS = PARAS + """,
+pack AS (
+  SELECT doc_id, pno, CASE WHEN NOT long THEN s END AS st, e AS en, s AS core, s AS ps, e AS pe,
+         NULL::BIGINT AS c_s, NULL::BIGINT AS c_e, NULL::BIGINT AS c_core FROM paras WHERE pno = 1
+  UNION ALL
+  SELECT p.doc_id, p.pno,
+         CASE WHEN p.long THEN NULL WHEN a.st IS NULL THEN p.s
+              WHEN p.e - a.st > 3000 THEN CASE WHEN a.pe - a.ps <= 500 AND p.e - a.ps <= 4000 THEN a.ps ELSE p.s END
+              ELSE a.st END,
+         p.e, CASE WHEN a.st IS NOT NULL AND NOT p.long AND p.e - a.st <= 3000 THEN a.core ELSE p.s END, p.s, p.e,
+         CASE WHEN p.long OR p.e - a.st > 3000 THEN a.st END,
+         CASE WHEN p.long OR p.e - a.st > 3000 THEN a.en END,
+         CASE WHEN p.long OR p.e - a.st > 3000 THEN a.core END
+  FROM pack a JOIN paras p ON p.doc_id = a.doc_id AND p.pno = a.pno + 1),
+cut_at AS (
+  SELECT p.doc_id, p.pno, p.e AS pe, p.s AS pos, p.s AS core,
+         CASE WHEN p.s + 4000 >= p.e THEN p.e ELSE p.s + coalesce(nullif(3500 + length(regexp_extract(substring(d.text, p.s + 3501, 500), '(?s)^.*[。！？!?；;]')), 3500), 4000) END AS en
+  FROM paras p JOIN docs d USING (doc_id) WHERE p.long
+  UNION ALL
+  SELECT c.doc_id, c.pno, c.pe, c.en - 500, c.en - 250,
+         CASE WHEN c.en - 500 + 4000 >= c.pe THEN c.pe ELSE c.en - 500 + coalesce(nullif(3500 + length(regexp_extract(substring(d.text, c.en - 500 + 3501, 500), '(?s)^.*[。！？!?；;]')), 3500), 4000) END
+  FROM cut_at c JOIN docs d USING (doc_id) WHERE c.en < c.pe),
+ranges AS (
+  SELECT doc_id, c_s AS s, c_e AS e, c_core AS cs, c_e AS ce FROM pack WHERE c_s IS NOT NULL
+  UNION ALL
+  SELECT doc_id, st, en, core, en FROM (SELECT *, max(pno) OVER (PARTITION BY doc_id) AS last FROM pack) WHERE pno = last AND st IS NOT NULL
+  UNION ALL
+  SELECT doc_id, pos, en, core, CASE WHEN en < pe THEN en - 250 ELSE en END FROM cut_at),
+chunks AS (
+  SELECT doc_id, analysis_profile, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::BIGINT AS chunk_index,
+         s::BIGINT AS source_start, e::BIGINT AS source_end, cs::BIGINT AS core_start, ce::BIGINT AS core_end, ctext AS text
+  FROM (SELECT r.*, d.analysis_profile, substring(d.text, r.s + 1, r.e - r.s) AS ctext FROM ranges r JOIN docs d USING (doc_id))
+  WHERE regexp_matches(ctext, '\\S'))"""
+
+
+def _text(v) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+RULES = "rules(rule_no, needle, category, subtype, suggestion, confidence) AS (VALUES " + ", ".join(
+    f"({no}, {_text(n)}, {_text(c)}, {_text(sub)}, {_text(sug)}, {conf})" for no, n, c, sub, sug, conf in RULE_ROWS) + ")"
+
+OCCURRENCES = """
+occ AS (
+  SELECT doc_id, chunk_index, rule_no, needle, text, instr(text, needle) AS pos FROM chunks, rules WHERE contains(text, needle)
+  UNION ALL
+  SELECT doc_id, chunk_index, rule_no, needle, text, pos + instr(substring(text, pos + 1), needle) FROM occ
+  WHERE contains(substring(text, pos + 1), needle)),
+framed AS (
+  SELECT doc_id, chunk_index, rule_no, needle, text, pos - 1 AS pos, substring(text, greatest(pos - 12, 1), pos - greatest(pos - 12, 1)) AS before,
+         substring(text, pos + length(needle), 12) AS after,
+         count(*) OVER (PARTITION BY doc_id, chunk_index, rule_no) AS n,
+         (row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY rule_no, pos) - 1)::BIGINT AS candidate_index FROM occ),
+rivals AS (
+  SELECT a.doc_id, a.chunk_index, a.candidate_index, count(*) AS fits
+  FROM framed a JOIN framed b ON a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND a.rule_no = b.rule_no
+   AND (a.pos = b.pos OR (ends_with(substring(b.text, 1, b.pos), a.before) AND starts_with(substring(b.text, b.pos + length(b.needle) + 1), a.after)))
+  GROUP BY ALL),
+resolved AS (
+  SELECT f.doc_id, c.analysis_profile, f.chunk_index, f.candidate_index, f.rule_no, f.needle AS quote, f.text, f.pos,
+         c.source_start + f.pos AS char_start, c.source_start + f.pos + length(f.needle) AS char_end
+  FROM framed f JOIN rivals r USING (doc_id, chunk_index, candidate_index) JOIN chunks c USING (doc_id, chunk_index)
+  WHERE (f.n = 1 OR r.fits = 1)
+    AND c.source_start + f.pos + length(f.needle) // 2 >= c.core_start AND c.source_start + f.pos + length(f.needle) // 2 < c.core_end)"""
+
+# The derived texts hold ASCII digits and spaces only, so RE2's classes agree with the Unicode-aware ones.
+_BASE = (r"(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[^\s<>\"''`，。！？；：、（）【】［］《》“”‘’]+|`[^`]+`"
+         r"|\\begin\{(?:equation|align\*?|math|displaymath)\}(?s:.)*?\\end\{(?:equation|align\*?|math|displaymath)\}"
+         r"|\\\((?s:.)*?\\\)|\\\[(?s:.)*?\\\]")
+_NUMS = r"\d{1,4}(?:[\t\x20]*[-–—,，、][\t\x20]*\d{1,4})*"
+_AY = r"[\p{Han}A-Za-z][\p{Han}A-Za-z\x20.·&、-]{0,60}[,，][\t\x20]*(?:19|20)\d{2}[a-z]?"
+_ACADEMIC = rf"(?i:10\.\d{{4,9}}/[-._;()/:A-Z0-9]+)|\[{_NUMS}\]|［{_NUMS}］|\({_AY}\)|（{_AY}）"
+_FINANCIAL = (r"(?i)[¥￥$€£][\t\x20]*\d+(?:[,，]\d{3})*(?:\.\d+)?|\d+(?:[,，]\d{3})*(?:\.\d+)?(?:%|％|‰|亿元|万元|人民币|美元|元|万|亿|股|人次)"
+              r"|\d{4}年(?:\d{1,2}月(?:\d{1,2}日)?)?|\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|\d{6}\.(?:sh|sz|bj)")
+
+
+def _spans(pattern: str, where: str) -> str:
+    return f"""
+  SELECT doc_id, chunk_index, pos + coalesce(gap, 0) AS s, pos + coalesce(gap, 0) + hit AS e FROM (
+    SELECT doc_id, chunk_index, gap, hit, coalesce(sum(gap + hit) OVER (PARTITION BY doc_id, chunk_index ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM (
+      SELECT doc_id, chunk_index, unnest(range(1, len(hits) + 1)) AS i, unnest(list_transform(hits, lambda h: length(h))) AS hit,
+             unnest(list_transform(gaps[1:len(hits)], lambda g: length(g))) AS gap FROM (
+        SELECT doc_id, chunk_index, regexp_extract_all(text, '{pattern}') AS hits, string_split_regex(text, '{pattern}') AS gaps FROM chunks WHERE {where})))"""
+
+
+SPANS = ("\nspans AS (" + _spans(_BASE, "true") + "\n  UNION ALL" + _spans(_ACADEMIC, "analysis_profile = 'academic'")
+         + "\n  UNION ALL" + _spans(_FINANCIAL, "analysis_profile = 'financial'") + ")")
+
+ISSUES = SPANS + """,
+flagged AS (
+  SELECT r.*, u.category, u.subtype, u.suggestion, u.confidence AS candidate_confidence, EXISTS (
+    SELECT 1 FROM spans s WHERE s.doc_id = r.doc_id AND s.chunk_index = r.chunk_index AND CASE WHEN u.category = 'grammar'
+      THEN s.s <= r.pos AND s.e >= r.pos + length(r.quote) ELSE s.s < r.pos + length(r.quote) AND s.e > r.pos END) AS protected,
+    40 + (r.doc_id * 31 + r.char_start * 17 + r.rule_no * 7) % 61 AS conf, (r.doc_id + r.rule_no) % 11 = 0 AS flips
+  FROM resolved r JOIN rules u USING (rule_no)),
+judged AS (
+  SELECT doc_id, chunk_index, candidate_index, char_start, char_end, quote, suggestion, conf AS confidence,
+         CASE WHEN flips THEN 'typo' ELSE category END AS new_category, CASE WHEN NOT flips THEN subtype END AS new_subtype,
+         CASE WHEN candidate_confidence >= 80 AND conf >= 80 AND NOT (flips AND category <> 'typo') AND NOT protected
+               AND category <> 'paragraph' AND coalesce(subtype, '') NOT IN ('ambiguity','illogical','word_misuse')
+              THEN 'confirmed' ELSE 'suspected' END AS level
+  FROM flagged WHERE conf >= 50),
+members AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, new_category, new_subtype, suggestion ORDER BY char_start, char_end, confidence DESC, chunk_index, candidate_index) AS i,
+         hash(doc_id, new_category, coalesce(new_subtype, ''), suggestion) AS k FROM judged),
+fold AS (
+  SELECT k, i, [{'s': char_start, 'e': char_end, 'c': confidence, 'ci': chunk_index, 'ki': candidate_index}] AS acc FROM members WHERE i = 1
+  UNION ALL
+  SELECT k, i, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(acc, x)
+                    WHEN x.c > acc[hit].c THEN list_concat(list_append(acc[1:hit - 1], x), acc[hit + 1:]) ELSE acc END
+  FROM (SELECT m.k, m.i, f.acc, {'s': m.char_start, 'e': m.char_end, 'c': m.confidence, 'ci': m.chunk_index, 'ki': m.candidate_index} AS x,
+               list_position(list_transform(f.acc, lambda a: a.s < m.char_end AND m.char_start < a.e), true) AS hit
+        FROM fold f JOIN members m ON m.k = f.k AND m.i = f.i + 1)),
+kept AS (
+  SELECT k, unnest(acc) AS x FROM (SELECT *, max(i) OVER (PARTITION BY k) AS last FROM fold) WHERE i = last),
+issues AS (
+  SELECT m.doc_id, m.chunk_index, m.candidate_index, m.new_category AS category, m.new_subtype AS grammar_subtype, m.level,
+         m.char_start, m.char_end, m.quote AS original_text, m.suggestion, m.confidence
+  FROM members m JOIN kept ON kept.k = m.k AND kept.x.ci = m.chunk_index AND kept.x.ki = m.candidate_index)"""
+
+
+def with_recursive(*parts: str, select: str) -> str:
+    return "WITH RECURSIVE " + ",".join(parts) + "\n" + select
+
+
+def with_plain(*parts: str, select: str) -> str:
+    return "WITH " + ",".join(parts) + "\n" + select

@@ -316,18 +316,25 @@ def progress_changes(events: DataFrame) -> DataFrame:
 def login_pressure(attempts: DataFrame, limit: int = 5, window_minutes: int = 15) -> DataFrame:
     """For every attempt the failures of the same user or address strictly within the window before it.
 
-    Failures per user, per address, and per both are counted by windows over event time and combined by inclusion and
-    exclusion, so a hot address costs a running count and not a self-join.
+    Failures per user, per address and per both are running counts, combined by inclusion and exclusion. Every row
+    also serves as history in the following time bucket, so a group spans two windows of time however hot its key is.
     """
     span = window_minutes * 60 * 1_000_000
-    rows = attempts.withColumn("user_key", F.lower("username")).withColumn("at", F.unix_micros("attempted_at"))
+    at = F.unix_micros("attempted_at")
+    rows = (
+        attempts.withColumn("user_key", F.lower("username")).withColumn("at", at)
+        .withColumn("own", F.floor(F.col("at") / span))
+        .select("*", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("bucket"))
+    )
     failed = F.when(F.col("success"), 0).otherwise(1)
 
     def recent(*keys: str) -> Column:
-        frame = W.partitionBy(*keys).orderBy("at").rangeBetween(-span + 1, -1)
+        frame = W.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(-span + 1, -1)
         return F.coalesce(F.sum(failed).over(frame), F.lit(0))
 
-    both = recent("user_key", "ip")
-    by_ip = F.when(F.col("ip").isNotNull(), recent("ip") - both).otherwise(0)
-    return rows.withColumn("failures", (recent("user_key") + by_ip).cast("bigint")).withColumn(
-        "blocked", F.col("failures") >= limit).drop("user_key", "at")
+    counted = rows.select(
+        "*", recent("user_key").alias("by_user"), recent("ip").alias("by_ip"), recent("user_key", "ip").alias("by_both"))
+    by_ip = F.when(F.col("ip").isNotNull(), F.col("by_ip") - F.col("by_both")).otherwise(0)
+    return counted.where("bucket = own").select(
+        *attempts.columns, (F.col("by_user") + by_ip).cast("bigint").alias("failures")
+    ).withColumn("blocked", F.col("failures") >= limit)
