@@ -1,5 +1,6 @@
 """Shared pieces of the comparison SQL."""
 
+from proofspark import constants as K
 from proofspark.plans.fixtures import RULE_ROWS
 
 DOCS = """
@@ -151,3 +152,51 @@ def with_recursive(*parts: str, select: str) -> str:
 
 def with_plain(*parts: str, select: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
+
+
+def _list(values) -> str:
+    return "[" + ",".join(f"'{v}'" for v in values) + "]"
+
+
+AS_OF = "TIMESTAMP '2001-08-02 00:00:00'"
+TERMINAL = "('completed','failed','cancelled','expired')"
+RUNNING = "('extracting','analyzing','verifying','merging','rendering')"
+
+LINE_ISSUES = f"""
+li AS (SELECT l_orderkey AS doc_id, l_linenumber::BIGINT AS n, min(l_partkey) AS pk, min(l_suppkey) AS sk, min(l_quantity)::BIGINT AS qty FROM lineitem GROUP BY ALL),
+iss AS (SELECT doc_id || '-' || n AS issue_id, doc_id, n, pk, sk, qty, doc_id % 150 AS user_id, {_list(K.CATEGORIES)}[pk % 4 + 1] AS category,
+  CASE WHEN pk % 4 = 2 THEN {_list(K.GRAMMAR_SUBTYPES)}[sk % 10 + 1] END AS grammar_subtype, CASE WHEN qty >= 25 THEN 'confirmed' ELSE 'suspected' END AS level,
+  (n * 37 + pk) % 500 AS char_start, (n * 37 + pk) % 500 + 1 + sk % 20 AS char_end, least(qty * 2, 100) AS confidence,
+  CASE WHEN (doc_id + n) % 2 = 0 THEN {_list(K.FEEDBACK_VERDICTS)}[pk % 3 + 1] END AS feedback FROM li)"""
+
+JOBS = f"""
+jobs0 AS (SELECT o_orderkey AS k, o_custkey, {_list(K.STATUSES)}[o_orderkey % 11 + 1] AS status, {AS_OF} - to_minutes(o_orderkey * 7 % 400) AS created_at FROM orders),
+jobs AS (SELECT k AS job_id, o_custkey % 150 AS user_id, k % 1000 AS document_id, {_list(K.PROFILES)}[k % 3 + 1] AS analysis_profile, status, status AS stage, k % 101 AS progress,
+  k % 9 AS completed_chunks, CASE WHEN status <> 'queued' THEN 'w' || (k % 10) END AS worker_id, CASE WHEN status <> 'queued' THEN {AS_OF} + to_minutes(k % 5 - 2) END AS lease_until,
+  created_at, CASE WHEN status <> 'queued' THEN created_at + to_minutes(5) END AS started_at, CASE WHEN status IN {TERMINAL} THEN created_at + to_minutes(k % 90 + 6) END AS completed_at,
+  created_at + to_minutes(120) AS timeout_at, CASE WHEN k % 13 = 0 THEN 'WORKER_LEASE_EXPIRED' END AS error_code, CASE WHEN status = 'completed' THEN k END AS report_id FROM jobs0)"""
+
+REPORTS = f"""
+reports AS (SELECT o_orderkey AS report_id, o_orderkey AS job_id, o_custkey % 150 AS user_id, o_orderdate AS created_at, o_orderdate + to_days(180) AS expires_at
+  FROM orders WHERE {_list(K.STATUSES)}[o_orderkey % 11 + 1] = 'completed')"""
+
+STORED = DOCS + f""",
+stored AS (SELECT doc_id, user_id, original_name, document_format, text, CASE WHEN doc_id % 4 <> 0 THEN 'f/' || doc_id END AS storage_path,
+  CASE WHEN doc_id % 6 <> 0 THEN {AS_OF} + to_hours(24 - doc_id % 72) END AS input_expires_at FROM docs)"""
+
+STORED_CHUNKS = """
+stored_chunks AS (SELECT o_orderkey AS job_id, c AS chunk_index, 'text ' || o_orderkey AS content, CASE WHEN o_orderkey % 3 <> 0 THEN '{}' END AS candidate_output,
+  CASE WHEN o_orderkey % 3 <> 0 THEN '[]' END AS verifier_output, CASE WHEN (o_orderkey + c) % 4 = 0 THEN 'completed' ELSE 'pending' END AS status FROM orders, range(0, 2) t(c))"""
+
+USAGE = """
+usage AS (SELECT l_orderkey AS job_id, CASE l_returnflag WHEN 'A' THEN 'candidate' WHEN 'N' THEN 'verification' ELSE 'repair' END AS pass,
+  ['openai_compatible','openai_responses','anthropic'][l_partkey % 3 + 1] AS provider_kind, 'm' || (l_suppkey % 4) AS model,
+  CASE WHEN l_linenumber % 5 <> 0 THEN (l_quantity * 10)::INT END AS prompt_tokens, CASE WHEN l_linenumber % 4 <> 0 THEN l_quantity::INT END AS completion_tokens,
+  floor(l_extendedprice)::BIGINT AS duration_ms, 1 + l_linenumber % 3 AS attempt, l_linestatus = 'F' AS success FROM lineitem)"""
+
+ATTEMPTS = """
+attempts AS (SELECT event_id AS attempt_id, 'User' || user_id AS username, (user_id % 40)::VARCHAR AS ip, event_type <> 'error' AS success, ts AS attempted_at FROM events)"""
+
+STATUS_EVENTS = """
+status_events AS (SELECT user_id AS job_id, ts, event_id, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'click' THEN 'analyzing' WHEN 'view' THEN 'verifying'
+  WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, event_id % 3 AS progress FROM events)"""

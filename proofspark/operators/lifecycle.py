@@ -100,20 +100,20 @@ def apply_cancels(jobs: DataFrame, requests: DataFrame, as_of: Column) -> tuple[
 
 
 def docs_with_active_jobs(docs: DataFrame, jobs: DataFrame) -> DataFrame:
-    busy = jobs.where(~F.col("status").isin(K.TERMINAL)).select(F.col("document_id").alias("doc_id"))
+    busy = jobs.where(~F.col("status").isin(K.TERMINAL)).select(F.col("document_id").alias("doc_id")).distinct()
     return docs.join(busy, "doc_id", "left_semi")
 
 
 def docs_with_live_reports(docs: DataFrame, jobs: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     live = reports.where(F.col("expires_at") > as_of).join(jobs.select("job_id", "document_id"), "job_id")
-    return docs.join(live.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
+    return docs.join(live.select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
 
 def releasable_sources(docs: DataFrame, jobs: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     """Documents whose text nobody needs: no active job, no failed job that may be retried, no unexpired report."""
     idle = docs.join(docs_with_active_jobs(docs.select("doc_id"), jobs), "doc_id", "left_anti")
     retryable = docs.where(F.col("storage_path").isNotNull() & (F.col("input_expires_at") > as_of)).select("doc_id").join(
-        jobs.where("status = 'failed'").select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi")
+        jobs.where("status = 'failed'").select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     live = docs_with_live_reports(docs.select("doc_id"), jobs, reports, as_of)
     return idle.join(retryable, "doc_id", "left_anti").join(live, "doc_id", "left_anti")
 
@@ -149,7 +149,7 @@ def expire_reports(
     touched = after.where("gone")
     jobs_after = after.select(*jobs.columns)
     free = releasable_sources(docs, jobs_after, kept, as_of).select("doc_id").join(
-        touched.select(F.col("document_id").alias("doc_id")), "doc_id", "left_semi").withColumn("free", F.lit(True))
+        touched.select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("free", F.lit(True))
     docs_after = docs.join(free, "doc_id", "left").select(*[
         F.when(F.col("free").isNull(), F.col("text")).alias(c) if c == "text" else c for c in docs.columns])
     return kept, jobs_after, docs_after, purge_chunks(chunks, touched.where("status = 'expired'"))
@@ -196,7 +196,7 @@ def eligible_submissions(reqs: DataFrame, docs: DataFrame, jobs: DataFrame, prof
     shared = profiles.where("enabled").select("model_profile_id", "owner_id")
     return (
         reqs.join(usable, ["document_id", "user_id"], "left_semi")
-        .join(jobs.select("document_id"), "document_id", "left_anti")
+        .join(jobs.select("document_id").distinct(), "document_id", "left_anti")
         .join(shared, "model_profile_id").where(F.col("owner_id").isNull() | (F.col("owner_id") == F.col("user_id")))
         .drop("owner_id")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from proofspark import constants as K
 from proofspark.functions import labels as L
 from proofspark.functions.text import trim_unicode
+from proofspark.operators.ranking import newest_first
 from proofspark.operators.summary import COUNTERS, counters
 
 
@@ -93,10 +94,15 @@ def history(jobs: DataFrame, docs: DataFrame) -> DataFrame:
         F.col("doc_id").alias("document_id"), "user_id", "original_name", "document_format"), ["document_id", "user_id"])
 
 
-def numbered_pages(df: DataFrame, size: int, keys: list[str], order: list[Column]) -> DataFrame:
-    """Give every row of every key its page number and the key's total; feeds paging of all users at once."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("page_no", F.floor((rank - 1) / size).cast("int") + 1)
+def history_pages(jobs: DataFrame, size: int = 20) -> DataFrame:
+    """Every user's jobs with the page they appear on, newest first."""
+    ranked = newest_first(jobs, ["user_id"])
+    return ranked.withColumn("page_no", F.floor((F.col("rank") - 1) / size).cast("int") + 1).drop("rank")
+
+
+def latest_per_user(df: DataFrame, n: int = 200, key: str = "job_id") -> DataFrame:
+    """Every user's newest rows."""
+    return newest_first(df, ["user_id"], key).where(F.col("rank") <= n).drop("rank")
 
 
 def history_page(df: DataFrame, page: int = 1, size: int = 20) -> tuple[DataFrame, int, int]:
@@ -126,6 +132,12 @@ def issue_page(issues: DataFrame, page: int = 1, size: int = 50) -> DataFrame:
     return issues.orderBy("char_start", "char_end", "issue_id").offset((page - 1) * size).limit(size)
 
 
+def issue_pages(issues: DataFrame, key: str = "doc_id", size: int = 50) -> DataFrame:
+    """Every report's issues with the page they appear on."""
+    rank = F.row_number().over(_report_order(key))
+    return issues.withColumn("page_no", F.floor((rank - 1) / size).cast("int") + 1)
+
+
 def _report_order(key: str) -> W:
     return W.partitionBy(key).orderBy("char_start", "char_end", "issue_id")
 

@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from proofspark.constants import CATEGORIES, FEEDBACK_VERDICTS, GRAMMAR_SUBTYPES, PROFILES, STATUSES, TERMINAL
 from proofspark.schemas import RULES
 
 
@@ -85,3 +86,105 @@ def arithmetic_verdicts(resolved: DataFrame) -> DataFrame:
         F.array(F.lit("standard-chinese-characters-2013"), F.lit("gb-t-15834-2011"),
                 F.lit("standard-chinese-characters-2013")).alias("v_evidence_source_ids"),
     )
+
+
+AS_OF_TEXT = "2001-08-02 00:00:00"
+
+
+def as_of() -> Column:
+    return F.lit(AS_OF_TEXT).cast("timestamp")
+
+
+def line_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One issue per order and line number, with classes and spans by arithmetic."""
+    li = table(spark, sf_dir, "lineitem").groupBy(
+        F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n")
+    ).agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("int").alias("qty"))
+    start = ((F.col("n") * 37 + F.col("pk")) % 500).cast("int")
+    return li.select(
+        F.concat_ws("-", "doc_id", "n").alias("issue_id"), "doc_id", "n", "pk", "sk", "qty",
+        (F.col("doc_id") % 150).alias("user_id"), pick(CATEGORIES, F.col("pk")).alias("category"),
+        F.when(F.col("pk") % 4 == 2, pick(GRAMMAR_SUBTYPES, F.col("sk"))).alias("grammar_subtype"),
+        F.when(F.col("qty") >= 25, "confirmed").otherwise("suspected").alias("level"),
+        start.alias("char_start"), (start + 1 + F.col("sk") % 20).cast("int").alias("char_end"),
+        F.least(F.col("qty") * 2, F.lit(100)).alias("confidence"),
+        F.when((F.col("doc_id") + F.col("n")) % 2 == 0, pick(FEEDBACK_VERDICTS, F.col("pk"))).alias("feedback"),
+    )
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    created = as_of() - F.make_dt_interval(mins=(k * 7 % 400).cast("int"))
+    ended = pick(STATUSES, k).isin(TERMINAL)
+    started = pick(STATUSES, k) != "queued"
+    return o.select(
+        k.alias("job_id"), (F.col("o_custkey") % 150).alias("user_id"), (k % 1000).alias("document_id"),
+        pick(PROFILES, k).alias("analysis_profile"), pick(STATUSES, k).alias("status"), pick(STATUSES, k).alias("stage"),
+        (k % 101).cast("int").alias("progress"), (k % 9).cast("int").alias("completed_chunks"),
+        F.when(started, F.concat(F.lit("w"), (k % 10).cast("string"))).alias("worker_id"),
+        F.when(started, as_of() + F.make_dt_interval(mins=(k % 5 - 2).cast("int"))).alias("lease_until"),
+        created.alias("created_at"), F.when(started, created + F.expr("INTERVAL 5 MINUTES")).alias("started_at"),
+        F.when(ended, created + F.make_dt_interval(mins=(k % 90 + 6).cast("int"))).alias("completed_at"),
+        (created + F.expr("INTERVAL 120 MINUTES")).alias("timeout_at"),
+        F.when(k % 13 == 0, "WORKER_LEASE_EXPIRED").alias("error_code"),
+        F.when(pick(STATUSES, k) == "completed", k).alias("report_id"),
+    )
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    made = F.col("o_orderdate").cast("timestamp")
+    return o.where(pick(STATUSES, F.col("o_orderkey")) == "completed").select(
+        F.col("o_orderkey").alias("report_id"), F.col("o_orderkey").alias("job_id"), (F.col("o_custkey") % 150).alias("user_id"),
+        made.alias("created_at"), (made + F.expr("INTERVAL 180 DAYS")).alias("expires_at"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return documents(spark, sf_dir).select(
+        "doc_id", "user_id", "original_name", "document_format", "text",
+        F.when(d % 4 != 0, F.concat(F.lit("f/"), d.cast("string"))).alias("storage_path"),
+        F.when(d % 6 != 0, as_of() + F.make_dt_interval(hours=(24 - d % 72).cast("int"))).alias("input_expires_at"))
+
+
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored chunks per job."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index")).select(
+        k.alias("job_id"), "chunk_index", F.concat(F.lit("text "), k.cast("string")).alias("content"),
+        F.when(k % 3 != 0, F.lit("{}")).alias("candidate_output"), F.when(k % 3 != 0, F.lit("[]")).alias("verifier_output"),
+        F.when((k + F.col("chunk_index")) % 4 == 0, "completed").otherwise("pending").alias("status"))
+
+
+def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    n = F.col("l_linenumber")
+    return li.select(
+        F.col("l_orderkey").alias("job_id"),
+        F.when(F.col("l_returnflag") == "A", "candidate").when(F.col("l_returnflag") == "N", "verification").otherwise("repair").alias("pass"),
+        pick(["openai_compatible", "openai_responses", "anthropic"], F.col("l_partkey")).alias("provider_kind"),
+        F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string")).alias("model"),
+        F.when(n % 5 != 0, (F.col("l_quantity") * 10).cast("int")).alias("prompt_tokens"),
+        F.when(n % 4 != 0, F.col("l_quantity").cast("int")).alias("completion_tokens"),
+        F.floor("l_extendedprice").cast("bigint").alias("duration_ms"), (1 + n % 3).cast("int").alias("attempt"),
+        (F.col("l_linestatus") == "F").alias("success"))
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("attempt_id"), F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("username"),
+        (F.col("user_id") % 40).cast("string").alias("ip"), (F.col("event_type") != "error").alias("success"),
+        F.col("ts").cast("timestamp").alias("attempted_at"))
+
+
+def status_events(events: DataFrame) -> DataFrame:
+    """Status events in the shape of the job monitor, from batch or streaming event rows."""
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "signup", "queued").when(kind == "click", "analyzing").when(kind == "view", "verifying")
+        .when(kind == "purchase", "completed").otherwise("failed"))
+    return events.select(
+        F.col("user_id").alias("job_id"), "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id",
+        status.alias("status"), status.alias("stage"), (F.col("event_id") % 3).cast("int").alias("progress"),
+        F.lit(0).alias("completed_chunks"), F.concat(F.lit("w"), (F.col("event_id") % 10).cast("string")).alias("worker_id"))
