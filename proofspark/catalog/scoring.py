@@ -10,6 +10,7 @@ from proofspark.catalog.text import issues_of, longs
 from proofspark.operators import evaluate as E
 from proofspark.operators.summary import summarize
 from proofspark.plans import fixtures as X
+from proofspark.session import written
 
 Q, O = {}, {}
 
@@ -96,7 +97,7 @@ def contested_evaluation(spark, d):
 @registered
 def issue_evaluation(spark, d):
     """The collection's issues against labels shifted by a few characters, some of them missing."""
-    issues = issues_of(spark, d)
+    issues = written(issues_of(spark, d), "issues")
     k = F.col("doc_id") + F.col("char_start")
     pred = issues.select("doc_id", F.col("issue_id").alias("pred_id"), "category", "grammar_subtype", "level", "char_start", "char_end")
     gold = issues.where(k % 4 != 0).select(

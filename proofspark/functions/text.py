@@ -30,7 +30,8 @@ def is_blank(text: Column) -> Column:
 
 
 def trim_unicode(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    # the look-behind starts the trailing match at the head of a run only, which keeps long runs linear
+    return F.regexp_replace(text, r"(?U)\A\s++|(?<!\s)\s++\z", "")
 
 
 def normalize_suggestion(text: Column) -> Column:

@@ -18,7 +18,11 @@ def text_lines(docs: DataFrame) -> DataFrame:
 
 
 def build_segments(lines: DataFrame) -> DataFrame:
-    """Code-point range, page, line and paragraph of every non-empty line."""
+    """Code-point range, page, line and paragraph of every non-empty line.
+
+    A ``line`` column overrides the line number; formats without lines leave it NULL.
+    """
+    shown = "line" if "line" in lines.columns else "line_no"
     earlier = W.partitionBy("doc_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1)
     gap = F.when(F.col("paragraph_break_after"), 1).otherwise(0)
     start = F.coalesce(F.sum(F.length("text") + 1 + gap).over(earlier), F.lit(0)).cast("int")
@@ -29,7 +33,7 @@ def build_segments(lines: DataFrame) -> DataFrame:
         .where(F.length("text") > 0)
         .select(
             "doc_id", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "page",
-            F.col("line_no").alias("line"), "paragraph_index", F.col("text").alias("line_text"),
+            F.col(shown).alias("line"), "paragraph_index", F.col("text").alias("line_text"),
         )
     )
 

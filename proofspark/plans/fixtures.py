@@ -26,7 +26,11 @@ def pick(values: list[str], number: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, newlines: str = "\n\n") -> DataFrame:
     """Documents with full-width stops and blank lines between paragraphs."""
-    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    return shaped(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id"), newlines)
+
+
+def shaped(raw: DataFrame, newlines: str = "\n\n") -> DataFrame:
+    """The same over (doc_id, source, text) rows of any origin."""
     return raw.select(
         "doc_id", (F.col("doc_id") % 150).alias("user_id"),
         F.concat_ws("_", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("original_name"),
