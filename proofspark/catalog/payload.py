@@ -80,9 +80,9 @@ bad AS (SELECT doc_id, doc_id % 19 = 0 OR doc_id % 13 = 0 OR bool_or(category =
 
 @registered
 def candidate_payloads(spark, d):
-    good, rejects = P.validate_candidates(P.parse_candidates(_candidate_payloads(spark, d)))
-    return longs(good.select("doc_id", F.size("issues").alias("issues"), F.lit("").alias("error_code")).unionByName(
-        rejects.select("doc_id", F.lit(None).cast("int").alias("issues"), "error_code")))
+    out = P.check_candidates(P.parse_candidates(_candidate_payloads(spark, d)))
+    return longs(out.select("doc_id", F.when(F.col("error_code").isNull(), F.size("issues")).alias("issues"),
+                            F.coalesce("error_code", F.lit("")).alias("error_code")))
 
 
 O["candidate_payloads"] = S.with_plain(S.LINE_ISSUES, _PAYLOAD, select="""
@@ -114,9 +114,9 @@ def verdict_payloads(spark, d):
     numbered = F.transform("x", lambda e, at: e["v"].withField("candidate_index", F.when(k % 13 == 0, 0).otherwise(at)))
     rows = docs.select("doc_id", F.lit(0).alias("chunk_index"), (F.size("x") + F.when(k % 11 == 0, 1).otherwise(0)).alias("candidate_count"),
                        F.to_json(F.struct(numbered.alias("verdicts"))).alias("content"))
-    good, rejects = P.validate_verdicts(P.parse_verdicts(rows))
-    return longs(good.select("doc_id", F.size("verdicts").alias("verdicts"), F.lit("").alias("error_code")).unionByName(
-        rejects.select("doc_id", F.lit(None).cast("int").alias("verdicts"), "error_code")))
+    out = P.check_verdicts(P.parse_verdicts(rows))
+    return longs(out.select("doc_id", F.when(F.col("error_code").isNull(), F.size("verdicts")).alias("verdicts"),
+                            F.coalesce("error_code", F.lit("")).alias("error_code")))
 
 
 O["verdict_payloads"] = S.with_plain(S.LINE_ISSUES, """

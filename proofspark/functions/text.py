@@ -24,6 +24,16 @@ def explode_rows(df: DataFrame, array: Column, position: str, element: str, keep
     return df.select(*keep, F.posexplode_outer(array).alias(position, element)).where(F.col(position).isNotNull())
 
 
+def once(df: DataFrame, keep: list, **columns: Column) -> DataFrame:
+    """``keep`` plus computed columns that later filters read instead of computing them again.
+
+    Filters on a computed column are pushed below it and repeat its expression; a one-row explode stops that.
+    """
+    made = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*keep, F.explode_outer(F.array(made)).alias("_made")).select(
+        *keep, *[F.col(f"_made.{name}").alias(name) for name in columns])
+
+
 def is_blank(text: Column) -> Column:
     """True when the text holds nothing but Unicode white space."""
     return ~F.regexp_like(text, F.lit(r"(?U)\S"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -24,94 +23,133 @@ def _with_views(df: DataFrame, level: Column | None) -> DataFrame:
         "sub", F.when(F.col("view") == "grammar_any", F.lit("")).otherwise(F.coalesce("grammar_subtype", F.lit(""))))
 
 
-def match_edges(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """Pairs that may match: same class, overlapping by at least half of either length.
+KLASS = ["doc_id", "view", "category", "sub"]
 
-    ``pred`` has (doc_id, pred_id, category, grammar_subtype, level, char_start, char_end), ``gold`` the same with
-    gold_id and no level. Spans that no chain of overlaps connects get different islands, so a pair is only sought
-    inside an island instead of across the whole document.
-    """
-    span = ["doc_id", "view", "category", "sub", "char_start", "char_end"]
-    both = _with_views(pred, F.col("level")).select(*span, F.col("pred_id").alias("id"), F.lit(True).alias("predicted")).unionByName(
-        _with_views(gold, None).select(*span, F.col("gold_id").alias("id"), F.lit(False).alias("predicted")))
-    klass = ["doc_id", "view", "category", "sub"]
-    order = W.partitionBy(*klass).orderBy("char_start", "char_end", "predicted", "id")
+
+def _sides(pred: DataFrame, gold: DataFrame, pred_extra: list, gold_extra: list) -> DataFrame:
+    span = [*KLASS, "char_start", "char_end"]
+    return _with_views(pred, F.col("level")).select(*span, F.lit(True).alias("predicted"), *pred_extra).unionByName(
+        _with_views(gold, None).select(*span, F.lit(False).alias("predicted"), *gold_extra))
+
+
+def _with_islands(spans: DataFrame) -> DataFrame:
+    """Spans that no chain of overlaps connects get different islands within their class."""
+    order = W.partitionBy(*KLASS).orderBy("char_start", "char_end")
     reach = F.max("char_end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    placed = both.withColumn(
+    return spans.withColumn(
         "fresh", F.when(F.coalesce(F.col("char_start") < reach, F.lit(False)), 0).otherwise(1)
-    ).withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    side = [*klass, "island"]
-    left = placed.where("predicted").select(
-        *side, F.col("id").alias("pred_id"), F.col("char_start").alias("ps"), F.col("char_end").alias("pe"))
-    right = placed.where("not predicted").select(
-        *side, F.col("id").alias("gold_id"), F.col("char_start").alias("gs"), F.col("char_end").alias("ge"))
+    ).withColumn("island", F.sum("fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("fresh")
+
+
+def _edges(placed: DataFrame, extra: list[str]) -> DataFrame:
+    side = [*KLASS, "island"]
+
+    def half(predicted: bool, mark: str) -> DataFrame:
+        rows = placed.where(F.col("predicted") == predicted)
+        return rows.select(*side, F.col("char_start").alias(f"{mark}s"), F.col("char_end").alias(f"{mark}e"),
+                           *[F.col(c).alias(f"{mark}_{c}") for c in extra])
+
     overlap = F.least("pe", "ge") - F.greatest("ps", "gs")
-    return left.join(right, side).withColumn("overlap", overlap).where(
+    return half(True, "p").join(half(False, "g"), side).withColumn("overlap", overlap).where(
         (F.col("overlap") > 0) & (F.col("overlap") * 2 >= F.col("pe") - F.col("ps"))
-        & (F.col("overlap") * 2 >= F.col("ge") - F.col("gs"))
-    ).select(*side, "pred_id", "gold_id", "overlap")
-
-
-def largest_matching(edges: list[tuple]) -> int:
-    """Size of a maximum one-to-one matching, by alternating breadth-first searches."""
-    neighbours: dict = {}
-    for p, g in edges:
-        neighbours.setdefault(p, []).append(g)
-    owner: dict = {}
-    partner: dict = {}
-    size = 0
-    for root in neighbours:
+        & (F.col("overlap") * 2 >= F.col("ge") - F.col("gs")))
+
+
+def match_edges(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """Pairs that may match: same class, overlapping by at least half of either length.
+
+    ``pred`` has (doc_id, pred_id, category, grammar_subtype, level, char_start, char_end), ``gold`` the same with
+    gold_id and no level. A pair is only sought inside an island, not across the whole document.
+    """
+    both = _sides(pred, gold, [F.col("pred_id").alias("id")], [F.col("gold_id").alias("id")])
+    return _edges(_with_islands(both), ["id"]).select(
+        *KLASS, "island", F.col("p_id").alias("pred_id"), F.col("g_id").alias("gold_id"), "overlap")
+
+
+def span_edges(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """The same pairs between distinct spans, with the number of predictions and labels on each (p_n, g_n).
+
+    Equal spans are interchangeable, so copies are counted before anything is paired.
+    """
+    spans = _sides(pred, gold, [], []).groupBy(*KLASS, "char_start", "char_end", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return _edges(_with_islands(spans), ["n"])
+
+
+def largest_matching(edges: np.ndarray) -> int:
+    """Size of a maximum one-to-one matching over rows (ps, pe, gs, ge, p_n, g_n).
+
+    Every span may serve as often as it occurs. Units are moved along shortest alternating paths until none is left.
+    """
+    supply, demand = {}, {}
+    flow: dict = {}
+    forward: dict = {}
+    for ps, pe, gs, ge, pn, gn in edges.tolist():
+        p, g = (ps, pe), (gs, ge)
+        supply[p], demand[g] = pn, gn
+        forward.setdefault(p, []).append(g)
+    used: dict = {g: {} for g in demand}
+    total = 0
+    while True:
         came: dict = {}
-        frontier, free = [root], None
-        while frontier and free is None:
+        frontier = [p for p in forward if supply[p] > 0]
+        seen = set(frontier)
+        goal = None
+        while frontier and goal is None:
             following = []
             for p in frontier:
-                for g in neighbours[p]:
+                for g in forward[p]:
                     if g in came:
                         continue
                     came[g] = p
-                    if g not in owner:
-                        free = g
+                    if demand[g] > 0:
+                        goal = g
                         break
-                    following.append(owner[g])
-                if free is not None:
+                    for other, units in used[g].items():
+                        if units > 0 and other not in seen:
+                            seen.add(other)
+                            flow[other] = g
+                            following.append(other)
+                if goal is not None:
                     break
             frontier = following
-        while free is not None:
-            p = came[free]
-            free_before = partner.get(p)
-            owner[free], partner[p] = p, free
-            free = free_before
-        size = len(owner)
-    return size
-
-
-MATCHED = "doc_id string, view string, category string, sub string, matched bigint"
+        if goal is None:
+            return total
+        path, g = [], goal
+        while True:
+            p = came[g]
+            path.append((p, g))
+            if supply[p] > 0 and (p not in flow or flow[p] is None):
+                break
+            g = flow[p]
+            path.append((p, g))
+        units = min(supply[path[-1][0]], demand[goal], *[used[g][p] for p, g in path[1::2]] or [supply[path[-1][0]]])
+        for i, (p, g) in enumerate(path):
+            used[g][p] = used[g].get(p, 0) + (units if i % 2 == 0 else -units)
+        supply[path[-1][0]] -= units
+        demand[goal] -= units
+        total += units
+        flow.clear()
+
+
+def _matching_size(edges: Column) -> Column:
+    def solve(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda flat: None if flat is None else largest_matching(np.asarray(flat, dtype=np.int64).reshape(-1, 6)))
+
+    return F.pandas_udf(solve, "bigint", F.PandasUDFType.SCALAR)(edges)
 
 
 def match_counts(edges: DataFrame) -> DataFrame:
-    """Maximum matching size per (doc_id, view, category, sub).
+    """Maximum matching size per class, from span edges.
 
-    Pairs that compete with no other pair are counted directly; only contested islands go through Python.
+    An island with one pair is plain arithmetic; only islands whose spans compete go through Python, many per batch.
     """
-    island = ["doc_id", "view", "category", "sub", "island"]
-    degrees = edges.withColumn(
-        "rivals", F.count(F.lit(1)).over(W.partitionBy(*island, "pred_id"))
-        + F.count(F.lit(1)).over(W.partitionBy(*island, "gold_id")) - 2
-    ).withColumn("contest", F.max("rivals").over(W.partitionBy(*island)))
-    klass = ["doc_id", "view", "category", "sub"]
-    plain = degrees.where("contest = 0").groupBy(*klass).agg(F.count(F.lit(1)).alias("matched"))
-
-    def solve(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        size = largest_matching(list(zip(rows["pred_id"], rows["gold_id"])))
-        return pd.DataFrame([[*key[:4], size]], columns=[*klass, "matched"])
-
-    kind = edges.schema["doc_id"].dataType.simpleString()
-    contested = (
-        degrees.where("contest > 0").select(*island, "pred_id", "gold_id").groupBy(*island)
-        .applyInPandas(solve, MATCHED.replace("doc_id string", f"doc_id {kind}"))
-    )
-    return plain.unionByName(contested).groupBy(*klass).agg(F.sum("matched").alias("matched"))
+    flat = F.flatten(F.collect_list(F.array(*[F.col(c).cast("bigint") for c in ("ps", "pe", "gs", "ge", "p_n", "g_n")])))
+    islands = edges.groupBy(*KLASS, "island").agg(
+        F.count(F.lit(1)).alias("pairs"), F.min(F.least("p_n", "g_n")).alias("lone"), flat.alias("flat"))
+    solved = islands.select(
+        *KLASS, "pairs", "lone", _matching_size(F.when(F.col("pairs") > 1, F.col("flat"))).alias("contested"))
+    return solved.groupBy(*KLASS).agg(
+        F.sum(F.when(F.col("pairs") == 1, F.col("lone")).otherwise(F.col("contested"))).alias("matched"))
 
 
 def _slices() -> list[tuple]:
@@ -161,7 +199,7 @@ def class_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
     klass = ["doc_id", "view", "category", "sub"]
     p = _with_views(pred, F.col("level")).groupBy(*klass).agg(F.count(F.lit(1)).alias("predicted"))
     g = _with_views(gold, None).groupBy(*klass).agg(F.count(F.lit(1)).alias("labelled"))
-    m = match_counts(match_edges(pred, gold))
+    m = match_counts(span_edges(pred, gold))
     zero = F.lit(0).cast("bigint")
     parts = [
         p.select(*klass, "predicted", zero.alias("labelled"), zero.alias("matched")),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from proofspark import constants as K
-from proofspark.functions.text import explode_rows, is_blank, let, trim_unicode
+from proofspark.functions.text import explode_rows, is_blank, let, once, trim_unicode
 from proofspark.schemas import CANDIDATE, VERDICT
 
 BAD = "MODEL_OUTPUT_INVALID"
@@ -133,7 +133,7 @@ def normalize_responses(df: DataFrame, protocol_col: str = "protocol", body_col:
         .when(kind == "anthropic", _anthropic(v))
     )
     kept = [c for c in df.columns if c != body_col]
-    opened = df.withColumn("_v", F.try_parse_json(body_col)).select(*kept, out.alias("_o"))
+    opened = once(once(df, [*kept, body_col], _v=F.try_parse_json(body_col)), kept, _o=out)
     good = ~is_blank(F.coalesce("_o.content", F.lit("")))
     return opened.select(
         *kept, F.when(good, F.col("_o.content")).alias("content"),
@@ -173,25 +173,27 @@ VERDICT_TYPE = _members(
 )
 
 
-def _parse(df: DataFrame, member: str, struct: str, object_type: str, element_ok) -> DataFrame:
+def _parse(df: DataFrame, member: str, struct: str, object_type: str, element_ok, fill) -> DataFrame:
     kept = [c for c in df.columns if c != "content"]
-    opened = df.withColumn("_j", payload_json(F.col("content"))).withColumn("_v", F.try_parse_json("_j"))
+    bare = once(df, kept, _j=payload_json(F.col("content")))
     items = F.try_variant_get("_v", f"$.{member}", "array<variant>")
-    parsed = F.from_json("_j", f"struct<{member}:array<{struct}>>", {"mode": "PERMISSIVE"})[member]
-    typed = F.forall(items, lambda i: F.regexp_like(F.schema_of_variant(i), F.lit(object_type)))
-    only_member = F.regexp_like(F.schema_of_variant("_v"), F.lit(rf"\AOBJECT<{member}: ARRAY<"))
-    single = F.size(F.json_object_keys("_j")) == 1
-    shaped = F.coalesce(only_member & single & typed & F.forall(parsed, element_ok), F.lit(False))
-    return opened.select(
-        *kept, F.when(shaped, parsed).alias(member),
-        F.when(~shaped, F.lit(BAD)).alias("error_code"),
-    )
+    only = F.regexp_like(F.schema_of_variant("_v"), F.lit(rf"\AOBJECT<{member}: ARRAY<")) & (F.size(F.json_object_keys("_j")) == 1)
+    opened = once(
+        bare.withColumn("_v", F.try_parse_json("_j")), kept,
+        _x=F.from_json("_j", f"struct<{member}:array<{struct}>>", {"mode": "PERMISSIVE"})[member],
+        _typed=only & F.forall(items, lambda i: F.regexp_like(F.schema_of_variant(i), F.lit(object_type))))
+    shaped = F.coalesce(F.col("_typed") & F.forall("_x", element_ok), F.lit(False))
+    return once(opened, kept, **{member: F.when(shaped, F.transform("_x", fill)), "error_code": F.when(~shaped, F.lit(BAD))})
 
 
 def _ids_present(x: Column) -> Column:
     return F.coalesce(F.forall(x["evidence_source_ids"], lambda i: i.isNotNull()), F.lit(True))
 
 
+def _with_ids(x: Column) -> Column:
+    return x.withField("evidence_source_ids", F.coalesce(x["evidence_source_ids"], F.array().cast("array<string>")))
+
+
 def parse_candidates(df: DataFrame) -> DataFrame:
     """``issues`` (array of candidates) from ``content``, or error_code; unknown members are refused."""
     def ok(c: Column) -> Column:
@@ -200,9 +202,7 @@ def parse_candidates(df: DataFrame) -> DataFrame:
             & c["confidence"].between(0, 255) & _ids_present(c)
         )
 
-    out = _parse(df, "issues", CANDIDATE, CANDIDATE_TYPE, ok)
-    return out.withColumn("issues", F.transform("issues", lambda c: c.withField(
-        "evidence_source_ids", F.coalesce(c["evidence_source_ids"], F.array().cast("array<string>")))))
+    return _parse(df, "issues", CANDIDATE, CANDIDATE_TYPE, ok, _with_ids)
 
 
 def parse_verdicts(df: DataFrame) -> DataFrame:
@@ -214,10 +214,11 @@ def parse_verdicts(df: DataFrame) -> DataFrame:
             & v["verdict"].isin(K.VERDICTS) & v["confidence"].between(0, 255) & (v["candidate_index"] >= 0) & _ids_present(v)
         )
 
-    out = _parse(df, "verdicts", VERDICT, VERDICT_TYPE, ok)
-    return out.withColumn("verdicts", F.transform("verdicts", lambda v: v.withField(
-        "evidence_source_ids", F.coalesce(v["evidence_source_ids"], F.array().cast("array<string>")))
-        .withField("reason", F.coalesce(v["reason"], F.lit(""))).withField("suggestion", F.coalesce(v["suggestion"], F.lit("")))))
+    def fill(v: Column) -> Column:
+        return _with_ids(v).withField("reason", F.coalesce(v["reason"], F.lit(""))).withField(
+            "suggestion", F.coalesce(v["suggestion"], F.lit("")))
+
+    return _parse(df, "verdicts", VERDICT, VERDICT_TYPE, ok, fill)
 
 
 def _ids_ok(ids: Column) -> Column:
@@ -259,20 +260,33 @@ def verdicts_valid(verdicts: Column, candidate_count: Column) -> Column:
     )
 
 
-def split_valid(df: DataFrame, valid: Column, stage: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, rejects); rejects keep an earlier error_code."""
-    checked = df.withColumn("error_code", F.coalesce("error_code", F.when(~F.coalesce(valid, F.lit(False)), F.lit(BAD))))
+def _checked(df: DataFrame, valid: Column) -> DataFrame:
+    kept = [c for c in df.columns if c != "error_code"]
+    return once(df, kept, error_code=F.coalesce("error_code", F.when(~F.coalesce(valid, F.lit(False)), F.lit(BAD))))
+
+
+def check_candidates(df: DataFrame) -> DataFrame:
+    """The parsed responses with error_code set where a field limit is broken."""
+    return _checked(df, candidates_valid(F.col("issues")))
+
+
+def check_verdicts(df: DataFrame) -> DataFrame:
+    """Expects ``candidate_count``, the number of candidates sent."""
+    return _checked(df, verdicts_valid(F.col("verdicts"), F.col("candidate_count")))
+
+
+def _split(checked: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
     bad = checked.where(F.col("error_code").isNotNull()).select(F.lit(stage).alias("stage"), "doc_id", "chunk_index", "error_code")
     return checked.where(F.col("error_code").isNull()).drop("error_code"), bad
 
 
 def validate_candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return split_valid(df, candidates_valid(F.col("issues")), "candidates")
+    """(good responses, rejects); store the checked responses first when both sides are used."""
+    return _split(check_candidates(df), "candidates")
 
 
 def validate_verdicts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Expects ``candidate_count``, the number of candidates sent."""
-    return split_valid(df, verdicts_valid(F.col("verdicts"), F.col("candidate_count")), "verdicts")
+    return _split(check_verdicts(df), "verdicts")
 
 
 def flatten_payload(df: DataFrame, array: str) -> DataFrame:

@@ -64,15 +64,17 @@ def scan_files(spark: SparkSession, path: str, media_types: DataFrame | None = N
     return judged.where(F.col("error_code").isNull()).drop("error_code", "media_type"), rejects
 
 
-@F.pandas_udf("string")
-def _decode_gb18030(content: pd.Series) -> pd.Series:
+def _decode_gb18030(content: Column) -> Column:
     def one(value):
         try:
             return None if value is None else bytes(value).decode("gb18030")
         except UnicodeDecodeError:
             return None
 
-    return content.map(one)
+    def decode(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return F.pandas_udf(decode, "string", F.PandasUDFType.SCALAR)(content)
 
 
 def clean_lines(text: Column) -> Column:
