@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -66,38 +68,42 @@ def match_edges(pred: DataFrame, gold: DataFrame) -> DataFrame:
         *KLASS, "island", F.col("p_id").alias("pred_id"), F.col("g_id").alias("gold_id"), "overlap")
 
 
-def span_edges(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """The same pairs between distinct spans, with the number of predictions and labels on each (p_n, g_n).
-
-    Equal spans are interchangeable, so copies are counted before anything is paired.
-    """
-    spans = _sides(pred, gold, [], []).groupBy(*KLASS, "char_start", "char_end", "predicted").agg(F.count(F.lit(1)).alias("n"))
-    return _edges(_with_islands(spans), ["n"])
-
-
-def largest_matching(edges: np.ndarray) -> int:
-    """Size of a maximum one-to-one matching over rows (ps, pe, gs, ge, p_n, g_n).
-
-    Every span may serve as often as it occurs. Units are moved along shortest alternating paths until none is left.
+def _pairable(spans: np.ndarray) -> tuple[dict, dict, dict]:
+    """(neighbours of each predicted span, supply, demand) from rows (start, end, predicted, n)."""
+    supply = {(s, e): n for s, e, predicted, n in spans.tolist() if predicted}
+    demand = {(s, e): n for s, e, predicted, n in spans.tolist() if not predicted}
+    golds = sorted(demand)
+    starts = [g[0] for g in golds]
+    longest = max(g[1] - g[0] for g in golds)
+    near: dict = {}
+    for ps, pe in supply:
+        hits = []
+        for gs, ge in golds[bisect_right(starts, ps - longest):bisect_left(starts, pe)]:
+            overlap = min(pe, ge) - max(ps, gs)
+            if overlap > 0 and overlap * 2 >= pe - ps and overlap * 2 >= ge - gs:
+                hits.append((gs, ge))
+        if hits:
+            near[(ps, pe)] = hits
+    return near, supply, demand
+
+
+def largest_matching(spans: np.ndarray) -> int:
+    """Size of a maximum one-to-one matching among rows (start, end, predicted, n).
+
+    Equal spans are interchangeable and serve as often as they occur. Units move along shortest alternating paths
+    until no path is left.
     """
-    supply, demand = {}, {}
-    flow: dict = {}
-    forward: dict = {}
-    for ps, pe, gs, ge, pn, gn in edges.tolist():
-        p, g = (ps, pe), (gs, ge)
-        supply[p], demand[g] = pn, gn
-        forward.setdefault(p, []).append(g)
+    near, supply, demand = _pairable(spans)
     used: dict = {g: {} for g in demand}
     total = 0
     while True:
-        came: dict = {}
-        frontier = [p for p in forward if supply[p] > 0]
-        seen = set(frontier)
-        goal = None
+        came, back = {}, {}
+        frontier = [p for p in near if supply[p] > 0]
+        seen, goal = set(frontier), None
         while frontier and goal is None:
             following = []
             for p in frontier:
-                for g in forward[p]:
+                for g in near[p]:
                     if g in came:
                         continue
                     came[g] = p
@@ -107,49 +113,66 @@ def largest_matching(edges: np.ndarray) -> int:
                     for other, units in used[g].items():
                         if units > 0 and other not in seen:
                             seen.add(other)
-                            flow[other] = g
+                            back[other] = g
                             following.append(other)
                 if goal is not None:
                     break
             frontier = following
         if goal is None:
             return total
-        path, g = [], goal
-        while True:
+        forward, given_up = [], []
+        p, g = came[goal], goal
+        forward.append((p, g))
+        while p in back:
+            g = back[p]
+            given_up.append((p, g))
             p = came[g]
-            path.append((p, g))
-            if supply[p] > 0 and (p not in flow or flow[p] is None):
-                break
-            g = flow[p]
-            path.append((p, g))
-        units = min(supply[path[-1][0]], demand[goal], *[used[g][p] for p, g in path[1::2]] or [supply[path[-1][0]]])
-        for i, (p, g) in enumerate(path):
-            used[g][p] = used[g].get(p, 0) + (units if i % 2 == 0 else -units)
-        supply[path[-1][0]] -= units
+            forward.append((p, g))
+        units = min([supply[p], demand[goal], *[used[g][q] for q, g in given_up]])
+        for q, g in forward:
+            used[g][q] = used[g].get(q, 0) + units
+        for q, g in given_up:
+            used[g][q] -= units
+        supply[p] -= units
         demand[goal] -= units
         total += units
-        flow.clear()
 
 
-def _matching_size(edges: Column) -> Column:
+def _matching_size(spans: Column) -> Column:
     def solve(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda flat: None if flat is None else largest_matching(np.asarray(flat, dtype=np.int64).reshape(-1, 6)))
+        return batch.map(lambda flat: None if flat is None else largest_matching(np.asarray(flat, dtype=np.int64).reshape(-1, 4)))
 
-    return F.pandas_udf(solve, "bigint", F.PandasUDFType.SCALAR)(edges)
+    return F.pandas_udf(solve, "bigint", F.PandasUDFType.SCALAR)(spans)
 
 
-def match_counts(edges: DataFrame) -> DataFrame:
-    """Maximum matching size per class, from span edges.
+def class_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
+    """predicted, labelled and matched per (doc_id, view, category, sub).
 
-    An island with one pair is plain arithmetic; only islands whose spans compete go through Python, many per batch.
+    Copies of a span are counted before anything is grouped, and an island brings its spans together, never the pairs
+    between them. One prediction against one label is plain arithmetic; only islands whose spans compete go through
+    Python, many per batch.
     """
-    flat = F.flatten(F.collect_list(F.array(*[F.col(c).cast("bigint") for c in ("ps", "pe", "gs", "ge", "p_n", "g_n")])))
-    islands = edges.groupBy(*KLASS, "island").agg(
-        F.count(F.lit(1)).alias("pairs"), F.min(F.least("p_n", "g_n")).alias("lone"), flat.alias("flat"))
+    spans = _sides(pred, gold, [], []).groupBy(*KLASS, "char_start", "char_end", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+    def side(predicted: bool, column: str) -> Column:
+        return F.when(F.col("predicted") == predicted, F.col(column))
+
+    islands = _with_islands(spans).groupBy(*KLASS, "island").agg(
+        F.count(side(True, "n")).alias("preds"), F.count(side(False, "n")).alias("golds"),
+        F.coalesce(F.sum(side(True, "n")), F.lit(0)).alias("predicted"), F.coalesce(F.sum(side(False, "n")), F.lit(0)).alias("labelled"),
+        F.max(side(True, "char_start")).alias("ps"), F.max(side(True, "char_end")).alias("pe"),
+        F.max(side(False, "char_start")).alias("gs"), F.max(side(False, "char_end")).alias("ge"),
+        F.flatten(F.collect_list(F.array(*[F.col(c).cast("bigint") for c in ("char_start", "char_end", "predicted", "n")]))).alias("flat"))
+    overlap = F.least("pe", "ge") - F.greatest("ps", "gs")
+    fits = (overlap > 0) & (overlap * 2 >= F.col("pe") - F.col("ps")) & (overlap * 2 >= F.col("ge") - F.col("gs"))
+    duel = (F.col("preds") == 1) & (F.col("golds") == 1)
     solved = islands.select(
-        *KLASS, "pairs", "lone", _matching_size(F.when(F.col("pairs") > 1, F.col("flat"))).alias("contested"))
+        *KLASS, "predicted", "labelled",
+        F.when(duel, F.when(fits, F.least("predicted", "labelled")).otherwise(F.lit(0))).alias("plain"),
+        _matching_size(F.when(~duel & (F.col("preds") > 0) & (F.col("golds") > 0), F.col("flat"))).alias("contested"))
     return solved.groupBy(*KLASS).agg(
-        F.sum(F.when(F.col("pairs") == 1, F.col("lone")).otherwise(F.col("contested"))).alias("matched"))
+        F.sum("predicted").alias("predicted"), F.sum("labelled").alias("labelled"),
+        F.sum(F.coalesce("plain", "contested", F.lit(0))).alias("matched"))
 
 
 def _slices() -> list[tuple]:
@@ -194,22 +217,6 @@ def with_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def class_counts(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """predicted, labelled and matched per (doc_id, view, category, sub)."""
-    klass = ["doc_id", "view", "category", "sub"]
-    p = _with_views(pred, F.col("level")).groupBy(*klass).agg(F.count(F.lit(1)).alias("predicted"))
-    g = _with_views(gold, None).groupBy(*klass).agg(F.count(F.lit(1)).alias("labelled"))
-    m = match_counts(span_edges(pred, gold))
-    zero = F.lit(0).cast("bigint")
-    parts = [
-        p.select(*klass, "predicted", zero.alias("labelled"), zero.alias("matched")),
-        g.select(*klass, zero.alias("predicted"), "labelled", zero.alias("matched")),
-        m.select(*klass, zero.alias("predicted"), zero.alias("labelled"), "matched"),
-    ]
-    merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return merged.groupBy(*klass).agg(*[F.sum(c).alias(c) for c in ("predicted", "labelled", "matched")])
-
-
 def slice_counts(classes: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """true/false positives and false negatives per slice (and ``extra`` keys) from class counts."""
     extra = extra or []
