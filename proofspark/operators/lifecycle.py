@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark import constants as K
 
-NONE = F.lit(None)
-
-
 def minutes(n: int) -> Column:
     return F.expr(f"INTERVAL {int(n)} MINUTES")
 
@@ -38,30 +35,34 @@ def remaining_seconds(timeout_at: Column, as_of: Column) -> Column:
 def expire_queued(jobs: DataFrame, as_of: Column) -> DataFrame:
     """A queued job past its deadline fails."""
     return _when((F.col("status") == "queued") & (F.col("timeout_at") <= as_of), {
-        "status": F.lit("failed"), "stage": F.lit("failed"), "completed_at": as_of, "worker_id": NONE,
-        "lease_until": NONE, "error_code": F.lit("JOB_TIMEOUT")}, jobs)
+        "status": F.lit("failed"), "stage": F.lit("failed"), "completed_at": as_of, "worker_id": F.lit(None),
+        "lease_until": F.lit(None), "error_code": F.lit("JOB_TIMEOUT")}, jobs)
 
 
 def recover_leases(jobs: DataFrame, as_of: Column) -> DataFrame:
     """A lost lease re-queues the job while its deadline is ahead; past the deadline it fails."""
     requeued = _when(
         F.col("status").isin(K.RUNNING) & (F.col("lease_until") < as_of) & (F.col("timeout_at") > as_of),
-        {"status": F.lit("queued"), "stage": F.lit("queued"), "worker_id": NONE, "lease_until": NONE,
+        {"status": F.lit("queued"), "stage": F.lit("queued"), "worker_id": F.lit(None), "lease_until": F.lit(None),
          "error_code": F.lit("WORKER_LEASE_EXPIRED")}, jobs)
     return _when(F.col("status").isin("queued", *K.RUNNING) & (F.col("timeout_at") <= as_of), {
-        "status": F.lit("failed"), "stage": F.lit("failed"), "lease_until": NONE, "completed_at": as_of,
+        "status": F.lit("failed"), "stage": F.lit("failed"), "lease_until": F.lit(None), "completed_at": as_of,
         "error_code": F.lit("JOB_TIMEOUT")}, requeued)
 
 
-CANCELLED = {"status": F.lit("cancelled"), "stage": F.lit("cancelled"), "lease_until": NONE, "error_code": F.lit("JOB_CANCELLED")}
 CHUNK_PAYLOAD = ["content", "candidate_output", "verifier_output"]
 
 
+def _cancelled(as_of: Column) -> dict[str, Column]:
+    return {"status": F.lit("cancelled"), "stage": F.lit("cancelled"), "lease_until": F.lit(None),
+            "completed_at": as_of, "error_code": F.lit("JOB_CANCELLED")}
+
+
 def purge_chunks(chunks: DataFrame, job_ids: DataFrame) -> DataFrame:
     """Null the text and outputs of the chunks of the given jobs."""
     marked = chunks.join(job_ids.select("job_id", F.lit(True).alias("purge")).distinct(), "job_id", "left")
     return marked.select(*[
-        F.when(F.col("purge"), NONE).otherwise(F.col(c)).cast(chunks.schema[c].dataType).alias(c) if c in CHUNK_PAYLOAD else c
+        F.when(F.col("purge"), F.lit(None)).otherwise(F.col(c)).cast(chunks.schema[c].dataType).alias(c) if c in CHUNK_PAYLOAD else c
         for c in chunks.columns])
 
 
@@ -79,7 +80,7 @@ def finalize_cancelled(jobs: DataFrame, docs: DataFrame, chunks: DataFrame, as_o
     """A requested cancellation without a live lease becomes final; its text and chunk outputs go."""
     due = (F.col("status") == "cancel_requested") & (F.col("lease_until").isNull() | (F.col("lease_until") < as_of))
     doc_ids = jobs.where(due).select(F.col("document_id").alias("doc_id"))
-    after = _when(due, {**CANCELLED, "completed_at": as_of}, jobs)
+    after = _when(due, _cancelled(as_of), jobs)
     return after, purge_sources(docs, doc_ids, as_of), purge_chunks(chunks, after.where("status = 'cancelled'"))
 
 
@@ -93,7 +94,7 @@ def apply_cancels(jobs: DataFrame, requests: DataFrame, as_of: Column) -> tuple[
                              .otherwise("conflict").alias("outcome"))
     marked = jobs.join(asked.withColumn("asked", F.lit(True)), ["job_id", "user_id"], "left")
     wanted = F.coalesce("asked", F.lit(False))
-    finals = _when(wanted & (F.col("status") == "queued"), {**CANCELLED, "completed_at": as_of}, marked)
+    finals = _when(wanted & (F.col("status") == "queued"), _cancelled(as_of), marked)
     after = _when(wanted & F.col("status").isin(K.RUNNING), {
         "status": F.lit("cancel_requested"), "stage": F.lit("cancel_requested")}, finals)
     return after.select(*jobs.columns), outcomes
@@ -127,8 +128,8 @@ def expire_inputs(
     live = docs_with_live_reports(docs.select("doc_id"), jobs, reports, as_of).withColumn("live", F.lit(True))
     marked = docs.join(due.select("doc_id", F.lit(True).alias("due")), "doc_id", "left").join(live, "doc_id", "left")
     is_due = F.coalesce("due", F.lit(False))
-    text = F.when(is_due & F.col("live").isNull(), NONE).otherwise(F.col("text")).cast("string")
-    expiry = F.when(is_due & F.col("storage_path").isNull(), NONE).otherwise(F.col("input_expires_at"))
+    text = F.when(is_due & F.col("live").isNull(), F.lit(None)).otherwise(F.col("text")).cast("string")
+    expiry = F.when(is_due & F.col("storage_path").isNull(), F.lit(None)).otherwise(F.col("input_expires_at"))
     after = marked.select(*[
         text.alias(c) if c == "text" else expiry.cast(docs.schema[c].dataType).alias(c) if c == "input_expires_at" else c
         for c in docs.columns])
@@ -145,7 +146,7 @@ def expire_reports(
     kept = reports.where(~F.coalesce(F.col("expires_at") < as_of, F.lit(False)))
     marked = jobs.join(expired, "job_id", "left")
     after = _when(F.col("gone") & (F.col("status") == "completed"), {
-        "status": F.lit("expired"), "stage": F.lit("expired"), "report_id": NONE}, marked)
+        "status": F.lit("expired"), "stage": F.lit("expired"), "report_id": F.lit(None)}, marked)
     touched = after.where("gone")
     jobs_after = after.select(*jobs.columns)
     free = releasable_sources(docs, jobs_after, kept, as_of).select("doc_id").join(
@@ -176,7 +177,7 @@ def apply_completion(
     done = F.col("new_report").isNotNull()
     after = _when(done, {
         "status": F.lit("completed"), "stage": F.lit("completed"), "progress": F.lit(100), "report_id": F.col("new_report"),
-        "completed_at": as_of, "lease_until": NONE, "error_code": NONE}, marked)
+        "completed_at": as_of, "lease_until": F.lit(None), "error_code": F.lit(None)}, marked)
     doc_ids = after.where(done).select(F.col("document_id").alias("doc_id"), F.lit(True).alias("hit")).distinct()
     expiry = F.when(F.col("hit"), F.when(F.col("storage_path").isNotNull(), as_of)).otherwise(F.col("input_expires_at"))
     docs_after = docs.join(doc_ids, "doc_id", "left").select(*[
@@ -209,8 +210,8 @@ def retry_jobs(jobs: DataFrame, docs: DataFrame, as_of: Column, timeout_minutes:
     failed = jobs.where("status = 'failed'").join(alive, "document_id", "left_semi").select(*jobs.columns)
     return _when(F.lit(True), {
         "status": F.lit("queued"), "stage": F.lit("queued"), "progress": F.lit(0), "completed_chunks": F.lit(0),
-        "error_code": NONE, "worker_id": NONE, "lease_until": NONE, "timeout_at": as_of + minutes(timeout_minutes),
-        "completed_at": NONE}, failed)
+        "error_code": F.lit(None), "worker_id": F.lit(None), "lease_until": F.lit(None), "timeout_at": as_of + minutes(timeout_minutes),
+        "completed_at": F.lit(None)}, failed)
 
 
 def next_eligible(jobs: DataFrame, as_of: Column, k: int = 1) -> DataFrame:
