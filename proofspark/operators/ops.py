@@ -97,8 +97,9 @@ def ops_alerts(
 
 def feedback_stats(issues: DataFrame, feedback: DataFrame) -> DataFrame:
     """Verdict counts per category; no source text leaves."""
-    return issues.select("issue_id", "category").join(feedback.select("issue_id", "verdict"), "issue_id").groupBy(
-        "category").pivot("verdict", K.FEEDBACK_VERDICTS).count().na.fill(0)
+    per_issue = feedback.groupBy("issue_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    return issues.select("issue_id", "category").join(per_issue, "issue_id").groupBy("category").pivot(
+        "verdict", K.FEEDBACK_VERDICTS).agg(F.sum("n")).na.fill(0)
 
 
 def reference_version(evidence: DataFrame) -> DataFrame:

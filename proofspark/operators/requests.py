@@ -83,24 +83,19 @@ def resolve_config(jobs: DataFrame, profiles: DataFrame, prompts: DataFrame) ->
 
     Guidance is appended once: a snapshot that names a guidance version is kept as it is.
     """
-    active = prompts.where("active").select(
-        F.lit(1).alias("one"), *[F.col(c).alias(f"a_{c}") for c in
-                                 ("version", "candidate_template", "verifier_template", "confirmed_threshold", "suspected_threshold")]
-    )
-    pinned = prompts.select(
-        F.col("prompt_id").alias("prompt_version_id"),
-        *[F.col(c).alias(f"p_{c}") for c in
-          ("version", "candidate_template", "verifier_template", "confirmed_threshold", "suspected_threshold")],
-    )
-    joined = (
-        jobs.withColumn("one", F.lit(1)).join(profiles, "model_profile_id", "left")
-        .join(pinned, "prompt_version_id", "left").join(active, "one", "left")
-    )
+    fields = ("version", "candidate_template", "verifier_template", "confirmed_threshold", "suspected_threshold")
+    # one prompt is active at a time, so the default travels as constants instead of a join on a constant key
+    found = prompts.where("active").select(*fields).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError("CONFIGURATION_INVALID: more than one active prompt")
+    default = found[0].asDict() if found else dict.fromkeys(fields)
+    pinned = prompts.select(F.col("prompt_id").alias("prompt_version_id"), *[F.col(c).alias(f"p_{c}") for c in fields])
+    joined = jobs.join(profiles, "model_profile_id", "left").join(pinned, "prompt_version_id", "left")
 
     def base(name: str, column: str) -> Column:
         return F.coalesce(
             F.col(f"snapshot.{name}"),
-            F.when(F.col("prompt_version_id").isNotNull(), F.col(f"p_{column}")).otherwise(F.col(f"a_{column}")))
+            F.when(F.col("prompt_version_id").isNotNull(), F.col(f"p_{column}")).otherwise(F.lit(default[column])))
 
     frozen = F.coalesce(F.length("snapshot.guidance_version"), F.lit(0)) > 0
     profile = F.coalesce("snapshot.analysis_profile", "analysis_profile")

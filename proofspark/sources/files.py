@@ -120,31 +120,39 @@ def docx_paragraphs(content: bytes) -> list[str]:
     if len(body) > MAX_BODY:
         raise ValueError("body too large")
     found: list[str] = []
-    state: dict = {"paragraph": None, "text": False, "deleted": 0}
+    state: dict = {"paragraph": None, "text": False, "deleted": 0, "opened": None}
     marks = {"tab": "\t", "br": "\n"}
 
     def start(name, _):
         tag = name.removeprefix("w:")
+        state["opened"] = name
         if tag == "del":
             state["deleted"] += 1
         elif tag == "p":
-            state["paragraph"] = []
+            state["outer"], state["paragraph"] = state["paragraph"], []
         elif tag == "t":
             state["text"] = True
-        elif tag in marks and state["paragraph"] is not None and not state["deleted"]:
-            state["paragraph"].append(marks[tag])
 
     def end(name):
         tag = name.removeprefix("w:")
+        # of empty-element tags (<x/>) only tabs and breaks count; a paragraph written that way does not exist
+        here = parser.CurrentByteIndex
+        bare = state["opened"] == name and body[here - 2:here] == b"/>"
+        state["opened"] = None
         if tag == "del":
             state["deleted"] = max(state["deleted"] - 1, 0)
         elif tag == "t":
             state["text"] = False
+        elif tag in marks and bare and state["paragraph"] is not None and not state["deleted"]:
+            state["paragraph"].append(marks[tag])
+        elif tag == "p" and bare:
+            state["paragraph"] = state["outer"]
         elif tag == "p" and state["paragraph"] is not None:
             found.append("".join(state["paragraph"]))
             state["paragraph"] = None
 
     def data(value):
+        state["opened"] = None
         if state["paragraph"] is not None and state["text"] and not state["deleted"]:
             state["paragraph"].append(value)
 

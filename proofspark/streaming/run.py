@@ -70,9 +70,8 @@ def stream_submissions(requests: DataFrame, root: str, horizon_hours: int = 24)
         # one row per distinct request keeps a hammered key from travelling as raw rows
         distinct = batch.groupBy(*keys, *asked).agg(F.min(F.struct("ts", "request_id")).alias("f"))
         winners = distinct.groupBy(*keys).agg(F.min(F.struct("f.ts", "f.request_id", *asked)).alias("w")).select(*keys, "w")
-        since = batch.agg(F.min("ts").alias("since"), F.lit(1).alias("one"))
-        known = _stored_before(batch.sparkSession, accepted_path, schema, batch_id).withColumn("one", F.lit(1)).join(
-            since, "one").where(F.col("ts") >= F.col("since") - F.expr(f"INTERVAL {int(horizon_hours)} HOURS")).select(
+        since = batch.agg(F.min("ts") - F.expr(f"INTERVAL {int(horizon_hours)} HOURS")).first()[0]
+        known = _stored_before(batch.sparkSession, accepted_path, schema, batch_id).where(F.col("ts") >= F.lit(since)).select(
             *keys, first.alias("old"))
         settled = winners.join(known, keys, "left").withColumn("owner", F.coalesce("old", "w"))
         fresh = settled.where(F.col("old").isNull()).select(*keys, *[F.col(f"w.{c}").alias(c) for c in [*asked, "ts", "request_id"]])
