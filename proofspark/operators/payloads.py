@@ -275,18 +275,18 @@ def check_verdicts(df: DataFrame) -> DataFrame:
     return _checked(df, verdicts_valid(F.col("verdicts"), F.col("candidate_count")))
 
 
-def _split(checked: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
+def split_checked(checked: DataFrame, stage: str) -> tuple[DataFrame, DataFrame]:
     bad = checked.where(F.col("error_code").isNotNull()).select(F.lit(stage).alias("stage"), "doc_id", "chunk_index", "error_code")
     return checked.where(F.col("error_code").isNull()).drop("error_code"), bad
 
 
 def validate_candidates(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good responses, rejects); store the checked responses first when both sides are used."""
-    return _split(check_candidates(df), "candidates")
+    return split_checked(check_candidates(df), "candidates")
 
 
 def validate_verdicts(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return _split(check_verdicts(df), "verdicts")
+    return split_checked(check_verdicts(df), "verdicts")
 
 
 def flatten_payload(df: DataFrame, array: str) -> DataFrame:

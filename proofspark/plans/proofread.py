@@ -1,16 +1,21 @@
-"""From documents to folded issues and report summaries."""
+"""From documents to folded issues, by rules or by stored model responses."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from proofspark import constants as K
+from proofspark.operators import payloads as P
 from proofspark.operators.chunk import chunk
 from proofspark.operators.dedup import fold_issues
 from proofspark.operators.finalize import finalize
-from proofspark.operators.resolve import resolve_candidates
+from proofspark.operators.resolve import fail_documents, pair_verdicts, remap_verdicts, resolve_candidates
 from proofspark.operators.rules import scan_occurrences, scan_rules
+from proofspark.operators.segment import locate
+from proofspark.session import written
+from proofspark.sources.text import gate_chunkless
 
 
 def proofread(
@@ -24,3 +29,51 @@ def proofread(
     chunks = chunk(docs)
     scanned = scan_occurrences(chunks, rules) if every_occurrence else scan_rules(chunks, rules)
     return fold_issues(finalize(verify(resolve_candidates(scanned)), evidence))
+
+
+def _reject(rows: DataFrame, stage: str, code: str) -> DataFrame:
+    return rows.select(F.lit(stage).alias("stage"), "doc_id", "chunk_index", F.lit(code).alias("error_code"))
+
+
+def proofread_responses(
+    docs: DataFrame, segments: DataFrame, candidate_responses: DataFrame, verdict_responses: DataFrame, evidence: DataFrame,
+    confirmed_threshold: int = K.CONFIRMED_THRESHOLD, suspected_threshold: int = K.SUSPECTED_THRESHOLD,
+) -> tuple[DataFrame, DataFrame]:
+    """(located and folded issues, rejects) from stored responses of both passes.
+
+    Responses have doc_id, chunk_index, content, as normalize_responses gives them, with its error_code. A bad or
+    missing response, an unknown verdict index or an issue without a place fails the document as a whole. Tables that
+    several steps read are stored once in the shared scratch folder.
+    """
+    keys = ["doc_id", "chunk_index"]
+    chunks = written(chunk(docs), "chunks")
+    asked = chunks.select(*keys)
+    first = _checked(P.check_candidates(P.parse_candidates(candidate_responses.drop("error_code"))), candidate_responses)
+    first = written(first, "candidates")
+    good, bad_first = P.split_checked(first, "candidates")
+    silent = _reject(asked.join(first.select(*keys), keys, "left_anti"), "candidates", "PROVIDER_UNAVAILABLE")
+    resolved = written(resolve_candidates(chunks.join(good.select(*keys, F.col("issues").alias("candidates")), keys)), "resolved")
+    counts = resolved.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("candidate_count"))
+    second = verdict_responses.join(counts, keys)
+    second = _checked(P.check_verdicts(P.parse_verdicts(second.drop("error_code"))), verdict_responses)
+    second = written(second, "verdicts")
+    good_second, bad_second = P.split_checked(second, "verdicts")
+    unanswered = _reject(counts.join(second.select(*keys), keys, "left_anti"), "verdicts", "PROVIDER_UNAVAILABLE")
+    verdicts, lost = remap_verdicts(P.flatten_payload(good_second.select(*keys, "verdicts"), "verdicts"), resolved)
+    found = finalize(pair_verdicts(resolved, verdicts), evidence, confirmed_threshold, suspected_threshold)
+    located = written(locate(found, segments), "located")
+    homeless = _reject(located.where("not located"), "locate", "MODEL_OUTPUT_INVALID")
+    empty = gate_chunkless(docs, chunks).select("stage", "doc_id", F.lit(None).cast("int").alias("chunk_index"), "error_code")
+    rejects = written(
+        bad_first.unionByName(silent).unionByName(bad_second).unionByName(unanswered).unionByName(lost).unionByName(homeless)
+        .unionByName(empty).distinct(), "rejects")
+    return fail_documents(fold_issues(located.where("located")), rejects), rejects
+
+
+def _checked(parsed: DataFrame, responses: DataFrame) -> DataFrame:
+    """Keep the error an envelope already had."""
+    if "error_code" not in responses.columns:
+        return parsed
+    earlier = responses.select("doc_id", "chunk_index", F.col("error_code").alias("earlier"))
+    return parsed.join(earlier, ["doc_id", "chunk_index"], "left").withColumn(
+        "error_code", F.coalesce("earlier", "error_code")).drop("earlier")
