@@ -96,7 +96,7 @@ SELECT c.job_id, chunk_index, CASE WHEN g.job_id IS NULL THEN content END AS con
 
 def _cancel_requests(spark, d):
     k = F.col("job_id")
-    return X.jobs(spark, d).where(k % 2 == 0).select(k, F.when(k % 14 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"))
+    return X.jobs(spark, d).select(k, F.when(k % 14 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"))
 
 
 @registered
@@ -106,7 +106,7 @@ def cancel_outcomes(spark, d):
 
 O["cancel_outcomes"] = S.with_plain(S.JOBS, select=f"""
 SELECT job_id, CASE WHEN job_id % 14 = 0 THEN -1 ELSE user_id END AS user_id, CASE WHEN job_id % 14 = 0 THEN 'not_found' WHEN status IN ('queued','cancelled') THEN 'finalized'
- WHEN status = 'cancel_requested' OR status IN {S.RUNNING} THEN 'requested' ELSE 'conflict' END AS outcome FROM jobs WHERE job_id % 2 = 0""")
+ WHEN status = 'cancel_requested' OR status IN {S.RUNNING} THEN 'requested' ELSE 'conflict' END AS outcome FROM jobs""")
 
 
 @registered
@@ -115,7 +115,7 @@ def cancelled_jobs(spark, d):
 
 
 O["cancelled_jobs"] = S.with_plain(S.JOBS, f"""
-x AS (SELECT *, job_id % 2 = 0 AND job_id % 14 <> 0 AND status = 'queued' AS q, job_id % 2 = 0 AND job_id % 14 <> 0 AND status IN {S.RUNNING} AS r FROM jobs),
+x AS (SELECT *, job_id % 14 <> 0 AND status = 'queued' AS q, job_id % 14 <> 0 AND status IN {S.RUNNING} AS r FROM jobs),
 y AS (SELECT job_id, CASE WHEN q THEN 'cancelled' WHEN r THEN 'cancel_requested' ELSE status END AS status, CASE WHEN q THEN 'cancelled' WHEN r THEN 'cancel_requested' ELSE stage END AS stage, worker_id,
   CASE WHEN NOT q THEN lease_until END AS lease_until, CASE WHEN q THEN {_T} ELSE completed_at END AS completed_at, CASE WHEN q THEN 'JOB_CANCELLED' ELSE error_code END AS error_code FROM x)""",
     select=_state_sql("y"))
@@ -239,7 +239,7 @@ SELECT doc_id, NOT (doc_id IN (SELECT document_id FROM touched) AND doc_id NOT I
 
 def _finished(spark, d):
     k = F.col("job_id")
-    return X.jobs(spark, d).where(k % 3 == 0).select(
+    return X.jobs(spark, d).select(
         k, F.when(k % 15 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("user_id"),
         F.when(k % 21 == 0, "thief").otherwise(F.col("worker_id")).alias("worker_id"), (k + 1_000_000).alias("report_id"))
 
@@ -254,7 +254,7 @@ def completed_jobs(spark, d):
 
 
 _DONE = """
-fin AS (SELECT *, job_id % 3 = 0 AND job_id % 15 <> 0 AND job_id % 21 <> 0 AND worker_id IS NOT NULL AND status IN ('analyzing','verifying','merging','rendering') AS done FROM jobs)"""
+fin AS (SELECT *, job_id % 15 <> 0 AND job_id % 21 <> 0 AND worker_id IS NOT NULL AND status IN ('analyzing','verifying','merging','rendering') AS done FROM jobs)"""
 O["completed_jobs"] = S.with_plain(S.JOBS, _DONE, select="""
 SELECT job_id, CASE WHEN done THEN 'completed' ELSE status END AS status, CASE WHEN done THEN 100 ELSE progress END AS progress, CASE WHEN done THEN job_id + 1000000 ELSE report_id END AS report_id,
  epoch(CASE WHEN NOT done THEN lease_until END)::BIGINT AS lease_until, CASE WHEN NOT done THEN error_code END AS error_code FROM fin""")
@@ -267,7 +267,7 @@ def completion_rejects(spark, d):
 
 O["completion_rejects"] = S.with_plain(S.JOBS, select="""
 SELECT job_id, CASE WHEN job_id % 15 = 0 OR job_id % 21 = 0 OR worker_id IS NULL THEN 'CONFLICT' WHEN status IN ('cancel_requested','cancelled') THEN 'JOB_CANCELLED' ELSE 'CONFLICT' END AS error_code
-FROM jobs WHERE job_id % 3 = 0 AND (job_id % 15 = 0 OR job_id % 21 = 0 OR worker_id IS NULL OR status NOT IN ('analyzing','verifying','merging','rendering'))""")
+FROM jobs WHERE job_id % 15 = 0 OR job_id % 21 = 0 OR worker_id IS NULL OR status NOT IN ('analyzing','verifying','merging','rendering')""")
 
 
 @registered
@@ -281,20 +281,20 @@ SELECT doc_id, text IS NOT NULL AS has_text, epoch(CASE WHEN doc_id IN (SELECT d
 
 @registered
 def eligible_requests(spark, d):
-    """Orders as requests; documents with a low number have jobs already."""
+    """Orders as requests; documents of re-queued jobs are taken already."""
     k = F.col("o_orderkey")
     reqs = X.table(spark, d, "orders").select(k.alias("request_id"), (k % 1000).alias("document_id"), (k % 1000 % 150).alias("user_id"),
                                               (k % 25).cast("int").alias("model_profile_id"))
-    jobs = X.jobs(spark, d).where("document_id < 20")
+    jobs = X.jobs(spark, d).where("status = 'queued' AND error_code IS NOT NULL")
     n = F.col("n_nationkey")
     profiles = X.table(spark, d, "nation").select(
         n.alias("model_profile_id"), F.when(n % 5 == 0, n.cast("bigint")).alias("owner_id"), (n % 4 != 0).alias("enabled"))
     return L.eligible_submissions(reqs, X.stored_documents(spark, d), jobs, profiles, X.as_of()).select("request_id")
 
 
-O["eligible_requests"] = S.with_plain(S.STORED, select=f"""
+O["eligible_requests"] = S.with_plain(S.STORED, S.JOBS, select=f"""
 SELECT o_orderkey AS request_id FROM orders JOIN stored ON doc_id = o_orderkey % 1000 JOIN nation ON n_nationkey = o_orderkey % 25
-WHERE storage_path IS NOT NULL AND input_expires_at > {_T} AND doc_id >= 20 AND n_nationkey % 4 <> 0 AND (n_nationkey % 5 <> 0 OR n_nationkey = o_orderkey % 1000 % 150)""")
+WHERE storage_path IS NOT NULL AND input_expires_at > {_T} AND doc_id NOT IN (SELECT document_id FROM jobs WHERE status = 'queued' AND error_code IS NOT NULL) AND n_nationkey % 4 <> 0 AND (n_nationkey % 5 <> 0 OR n_nationkey = o_orderkey % 1000 % 150)""")
 
 
 @registered

@@ -188,4 +188,55 @@ O["stored_reports"] = S.with_plain(S.LINE_ISSUES, select="""
 SELECT o_orderkey AS doc_id, count(issue_id) AS total, count(*) FILTER (category = 'grammar') AS grammar, arg_min(issue_id, (char_start, char_end, issue_id)) AS first_id
 FROM orders LEFT JOIN iss ON doc_id = o_orderkey GROUP BY o_orderkey""")
 
+
+def _gold_lines(spark, d):
+    i = X.line_issues(spark, d)
+    k = F.col("doc_id")
+    item = F.struct("category", "grammar_subtype", "char_start", (F.col("char_end") - F.when(F.col("sk") % 20 == 0, 1).otherwise(0)).alias("char_end"),
+                    F.lit("kept").alias("note"))
+    docs = i.groupBy("doc_id").agg(F.collect_list(item).alias("issues"))
+    line = F.to_json(F.struct(F.concat(F.lit("doc-"), k.cast("string")).alias("document_id"), "issues", F.when(k % 41 == 0, "draft").alias("review_status")))
+    return docs.select(line.alias("value"))
+
+
+@registered
+def gold_file_problems(spark, d):
+    """Labels written as JSON lines and loaded strictly."""
+    path = scratch_dir(spark, "gold")
+    _gold_lines(spark, d).write.text(path)
+    return T.read_gold(spark, path)[1]
+
+
+O["gold_file_problems"] = S.with_plain(S.LINE_ISSUES, select="""
+SELECT DISTINCT 'doc-' || doc_id AS document_id, 'malformed_line' AS problem FROM iss WHERE doc_id % 41 = 0
+UNION ALL SELECT DISTINCT 'doc-' || doc_id, 'invalid_range' FROM iss WHERE doc_id % 41 <> 0 AND sk % 20 = 0""")
+
+
+@registered
+def gold_file_rows(spark, d):
+    path = scratch_dir(spark, "gold")
+    _gold_lines(spark, d).write.text(path)
+    return T.read_gold(spark, path)[0].select("document_id", F.explode("issues").alias("i")).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("issues"), F.sum("i.char_start").alias("starts"))
+
+
+O["gold_file_rows"] = S.with_plain(S.LINE_ISSUES, select="""
+SELECT 'doc-' || doc_id AS document_id, count(*) AS issues, sum(char_start)::BIGINT AS starts FROM iss WHERE doc_id % 41 <> 0 GROUP BY ALL""")
+
+
+@registered
+def usage_facts(spark, d):
+    """Calls with and without a repair as append-only facts."""
+    u = X.usage(spark, d)
+    repair = F.struct("prompt_tokens", F.lit(None).cast("int").alias("completion_tokens"), (F.col("duration_ms") % 100).alias("duration_ms"))
+    facts = T.usage_rows(u.withColumnRenamed("attempt", "attempts").withColumn("repair", F.when(F.col("attempts") == 3, repair)))
+    return facts.groupBy("pass", "attempt", "success").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("duration_ms").alias("duration_ms")).withColumn(
+        "attempt", F.col("attempt").cast("bigint"))
+
+
+O["usage_facts"] = S.with_plain(S.USAGE, """
+f AS (SELECT pass, attempt, success, prompt_tokens, duration_ms FROM usage UNION ALL SELECT 'repair', 1, true, prompt_tokens, duration_ms % 100 FROM usage WHERE attempt = 3)""", select="""
+SELECT pass, attempt::BIGINT AS attempt, success, count(*) AS rows, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(duration_ms)::BIGINT AS duration_ms FROM f GROUP BY ALL""")
+
 QUERIES, ORACLES = Q, O

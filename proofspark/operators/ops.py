@@ -10,15 +10,22 @@ from proofspark.operators.lifecycle import seconds_between
 ACTIVE = [*K.RUNNING, "cancel_requested"]
 
 
+def _one_row(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two one-row frames side by side, without a join."""
+    stacked = left.unionByName(right, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+
+
+
+
 def system_status(jobs: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     counted = jobs.agg(
         F.count_if(F.col("status") == "queued").alias("queued_jobs"),
         F.count_if(F.col("status").isin(ACTIVE)).alias("active_jobs"),
         F.count_distinct(F.when(F.col("lease_until") > as_of, F.col("worker_id"))).alias("active_workers"),
         F.count_if((F.col("status") == "failed") & (F.col("completed_at") >= as_of - F.expr("INTERVAL 24 HOURS"))).alias("failed_jobs_24h"),
-    ).withColumn("one", F.lit(1))
-    kept = reports.agg(F.count_if(F.col("expires_at") > as_of).alias("retained_reports")).withColumn("one", F.lit(1))
-    return counted.join(kept, "one").drop("one")
+    )
+    return _one_row(counted, reports.agg(F.count_if(F.col("expires_at") > as_of).alias("retained_reports")))
 
 
 def jobs_by_status(jobs: DataFrame) -> DataFrame:
@@ -81,10 +88,9 @@ def ops_alerts(
         F.coalesce(seconds_between(as_of, F.min(F.when(F.col("status") == "queued", F.col("created_at")))), F.lit(0)).alias("oldest_wait_seconds"),
         F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status").isin(K.TERMINAL)).alias("ended"),
         F.count_if(F.col("error_code") == "WORKER_LEASE_EXPIRED").alias("lease_recoveries"),
-        F.percentile(elapsed, F.lit(0.95)).alias("p95_seconds"), F.lit(1).alias("one"))
-    b = usage.agg(F.count_if(F.col("attempt") > 1).alias("retried"), F.count(F.lit(1)).alias("calls"), F.lit(1).alias("one"))
-    both = a.join(b, "one")
-    return both.select(
+        F.percentile(elapsed, F.lit(0.95)).alias("p95_seconds"))
+    b = usage.agg(F.count_if(F.col("attempt") > 1).alias("retried"), F.count(F.lit(1)).alias("calls"))
+    return _one_row(a, b).select(
         "oldest_wait_seconds", "failed", "ended", "lease_recoveries", "p95_seconds", "retried", "calls",
         (F.col("oldest_wait_seconds") > queue_minutes * 60).alias("queue_alert"),
         (F.col("failed") > F.col("ended") * failure_rate).alias("failure_alert"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofspark import constants as K
-from proofspark.functions.text import is_blank
+from proofspark.functions.text import is_blank, once
 from proofspark.operators.evaluate import gold_violations
 from proofspark.operators.summary import COUNTERS
 from proofspark.schemas import GOLD, REPORT
@@ -21,16 +21,14 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Members beyond document_id and issues are refused at the top level; issues may carry more.
     """
     lines = spark.read.text(path).where(~is_blank(F.col("value")))
-    parsed = lines.select(
-        F.from_json("value", GOLD, {"mode": "PERMISSIVE"}).alias("g"), F.json_object_keys("value").alias("members"),
-        F.try_parse_json("value").alias("v"), "value")
-    shape = F.schema_of_variant("v")
+    opened = once(lines, ["value"], g=F.from_json("value", GOLD, {"mode": "PERMISSIVE"}), shape=F.schema_of_variant(F.try_parse_json("value")))
+    filled = F.forall("g.issues", lambda i: i["category"].isNotNull() & i["char_start"].isNotNull() & i["char_end"].isNotNull())
     known = (
-        F.coalesce(F.size("members") == 2, F.lit(False)) & F.regexp_like(shape, F.lit(r"\AOBJECT<document_id: STRING, issues: ARRAY<"))
-        & F.coalesce(F.forall("g.issues", lambda i: i["category"].isNotNull() & i["char_start"].isNotNull() & i["char_end"].isNotNull()), F.lit(False)))
-    malformed = parsed.where(~F.coalesce(known, F.lit(False))).select(
+        (F.size(F.json_object_keys("value")) == 2) & F.regexp_like("shape", F.lit(r"\AOBJECT<document_id: STRING, issues: ARRAY<")) & filled)
+    parsed = once(opened, ["g"], known=F.coalesce(known, F.lit(False)))
+    malformed = parsed.where(~F.col("known")).select(
         F.coalesce("g.document_id", F.lit("?")).alias("document_id"), F.lit("malformed_line").alias("problem"))
-    gold = parsed.where(known).select("g.*")
+    gold = parsed.where("known").select("g.*")
     empty = lines.agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(
         F.lit("?").alias("document_id"), F.lit("no_documents").alias("problem"))
     return gold, malformed.unionByName(gold_violations(gold)).unionByName(empty)
