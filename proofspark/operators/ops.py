@@ -16,8 +16,6 @@ def _one_row(left: DataFrame, right: DataFrame) -> DataFrame:
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
-
-
 def system_status(jobs: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     counted = jobs.agg(
         F.count_if(F.col("status") == "queued").alias("queued_jobs"),
