@@ -22,11 +22,11 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """``df`` with boolean ``_maybe``: true for every row whose 64-bit ``key`` is in the only column of ``keys``.
 
-    The keys become a bitmap of 16 bits a key, at most ``MOST_BITS``, so the broadcast is bounded whatever the input;
+    The keys become a bitmap of 64 bits a key, at most ``MOST_BITS``, so the broadcast is bounded whatever the input;
     a full bitmap lets more rows through, never fewer. An exact join follows wherever that matters.
     """
     name = keys.columns[0]
-    bits = max(BLOCK_BITS, min(MOST_BITS, 1 << (16 * keys.count()).bit_length()))
+    bits = max(BLOCK_BITS, min(MOST_BITS, 1 << (64 * keys.count()).bit_length()))
     slots = keys.select((F.pmod(F.col(name), F.lit(bits)) + 1).alias("s"))
     blocks = slots.groupBy(F.bitmap_bucket_number("s").alias("_block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
     marked = df.withColumn("_slot", F.pmod(key, F.lit(bits))).withColumn("_block", F.floor(F.col("_slot") / BLOCK_BITS) + 1)

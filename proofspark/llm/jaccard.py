@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark.llm.common import components, decided, maybe_in
 from proofspark.session import written
@@ -261,12 +261,32 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, fragments) to (node, signature)."""
-    signatures = Signatures()
+    """Texts to (short name of the node, signature)."""
+    powers, signatures = Powers(), Signatures()
     for batch in batches:
-        for node, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
-            values = signatures.of(parts.values.flatten().to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([node] * len(values), pa.binary()), pa.array(values)], ["node", "sig"])
+        names, values = [], []
+        for text in batch.column(0):
+            s = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"", powers)
+            if len(s):
+                values.append(signatures.of(s))
+                names.append(np.full(len(values[-1]), int.from_bytes(identity(s)[:8], "big", signed=True)))
+        flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (names, values)]
+        yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1].view(np.int64))], ["short", "sig"])
+
+
+def _short(node: str) -> Column:
+    """The first 8 bytes of a node's name; two nodes may share it, which can only make more candidates."""
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("bigint")
+
+
+def _texts_of(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    """Texts of all rows with these ids, and perhaps a few more."""
+    return maybe_in(docs, F.xxhash64("doc_id"), doc_ids.select(F.xxhash64(doc_ids.columns[0]).alias("h")).distinct()).where("_maybe").select("text")
+
+
+def _sets_of(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+    sets = _texts_of(docs, doc_ids).mapInArrow(_sets, "node binary, fragments array<array<bigint>>")
+    return written(sets.dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _possible(p: str, q: str):
@@ -308,26 +328,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     p, q = nodes.select(*[F.col(c).alias(c) for c in nodes.columns]).alias("p"), nodes.alias("q")
     ends = written(pairs.join(p, F.col("x.a") == F.col("p.node")).join(q, F.col("x.b") == F.col("q.node"))
                    .select("x.a", "x.b", _possible("p", "q").alias("possible"), F.col("p.doc").alias("da"), F.col("q.doc").alias("db")), "jaccard-pairs")
-    wanted = ends.select(F.xxhash64("da").alias("h")).union(ends.select(F.xxhash64("db"))).distinct()
-    used = ends.select(F.col("a").alias("node")).union(ends.select("b")).distinct()
-    sets = maybe_in(docs, F.xxhash64("doc_id"), wanted).where("_maybe").select("text").mapInArrow(_sets, "node binary, fragments array<array<bigint>>")
-    sets = written(sets.join(used, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-    links = written(_counted(ends.where("possible").select("a", "b"), sets), "jaccard-links")
+    tried = ends.where("possible")
+    sets = _sets_of(docs, tried.select("da").union(tried.select("db")))
+    links = written(_counted(tried.select("a", "b"), sets), "jaccard-links")
     roots = written(components(links, "jaccard-components"), "jaccard-roots")
 
     # second round: pairs of the first that are still apart name the components in which a link may be missing
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = ends.select("a", "b").join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
     odd = apart.select("ra").union(apart.select("rb")).distinct().withColumnRenamed("ra", "root")
-    members = used.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")).join(odd, "root", "left_semi")
-    signed = sets.join(members, "node").select("node", "fragments").mapInArrow(_signed, "node binary, sig bigint")
-    marked = signed.join(members, "node").join(nodes, "node").select("sig", "node", "root", "n", "sketch")
-    mixed = marked.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    marked = written(marked.join(mixed, "sig", "left_semi"), "jaccard-marked")
+    used = ends.select(F.col("a").alias("node"), F.col("da").alias("doc")).union(ends.select("b", "db")).distinct().join(roots, "node", "left")
+    members = written(used.select("node", "doc", F.coalesce("root", "node").alias("root")).join(odd, "root", "left_semi"), "jaccard-odd")
+    signed = written(_texts_of(docs, members.select("doc")).mapInArrow(_signed, "short bigint, sig bigint"), "jaccard-signed")
+    shared = signed.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
+    named = members.join(nodes.select("node", "n", "sketch"), "node").withColumn("short", _short("node"))
+    marked = maybe_in(signed, F.col("sig"), written(shared, "jaccard-shared")).where("_maybe").select("short", "sig").join(named, "short")
+    marked = written(marked.select("sig", "node", "doc", "root", "n", "sketch"), "jaccard-marked")
+    mixed = marked.groupBy("sig").agg(F.min(_short("root")).alias("lo"), F.max(_short("root")).alias("hi")).where("lo <> hi").select("sig")
+    marked = marked.join(mixed, "sig", "left_semi")
     p, q = marked.alias("p"), marked.alias("q")
     more = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
-    more = more.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(ends.where("possible").select("a", "b"), ["a", "b"], "left_anti")
-    extra = written(_counted(more, sets), "jaccard-links")
+    more = more.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.doc").alias("da"), F.col("q.doc").alias("db")).distinct()
+    more = written(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
+    extra = written(_counted(more.select("a", "b"), _sets_of(docs, more.select("da").union(more.select("db")))), "jaccard-links")
     if not extra.isEmpty():
         roots = components(links.union(extra), "jaccard-components")
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
