@@ -21,7 +21,7 @@ WORDS = 4
 #: Links: NUM / DEN is the least similarity.
 NUM, DEN = 85, 100
 #: Signatures that one shuffled shard holds on average, documents and signatures that one map-side star joins.
-SHARD, STAR_DOCS, STAR_SIGS = 4_000_000, 50_000, 2_000_000
+SHARD, STAR_DOCS, STAR_SIGS = 2_000_000, 50_000, 1_000_000
 #: Fragments in which overlaps are counted.
 COUNTED = 8
 SLICE = 1 << 20
