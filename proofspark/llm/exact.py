@@ -46,7 +46,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """
     groups = written(copy_groups(docs), "exact-groups").select("full", "keep_id", "group_size")
     rows = docs.select("doc_id", F.unhex(F.sha2(normalized(F.col("text")), 256)).alias("full"))
-    joined = rows.join(groups, "full", "left")
+    # dealt out by both keys before the window, so that the join may split a large group
+    joined = rows.join(groups, "full", "left").repartition("full", "doc_id")
     size = F.coalesce("group_size", F.lit(1).cast("bigint"))
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     # rows that repeat an id and a text: count them apart, the groups themselves may be large
@@ -68,8 +69,7 @@ def without_copies(docs: DataFrame) -> DataFrame:
     marked = maybe_in(rows, F.xxhash64("_length", "_prefix"), groups.select(F.xxhash64("length", "prefix").alias("h")))
     apart = marked.where("not _maybe").select(*[F.col(f"`{c}`") for c in docs.columns])
     hashed = marked.where("_maybe").withColumn("_full", F.unhex(F.sha2(text, 256)))
-    kept = groups.select(F.col("full").alias("_full"), F.col("keep_id").alias("_keep"))
+    kept = groups.select(F.col("full").alias("_full"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_grouped"))
     turn = F.row_number().over(W.partitionBy("doc_id", "_full").orderBy("text"))
-    met = hashed.join(kept, "_full", "left").where("_keep is null or doc_id is null or doc_id = _keep").withColumn("_turn", turn)
-    alone = F.col("_keep").isNull() & F.col("_full").isNull()
-    return apart.unionByName(met.where((F.col("_turn") == 1) | alone).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    met = hashed.join(kept, "_full", "left").where("_grouped is null or doc_id <=> _keep").repartition("doc_id", "_full").withColumn("_turn", turn)
+    return apart.unionByName(met.where("_grouped is null or _turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
