@@ -19,6 +19,11 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def whole(docs: DataFrame, columns: list[str] | None = None) -> Column:
+    """All columns in one named ``_row``, so that helper columns never meet their names."""
+    return F.struct(*[F.col(f"`{c}`").alias(c) for c in (columns or docs.columns)]).alias("_row")
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """``df`` with boolean ``_maybe``: true for every row whose 64-bit ``key`` is in the only column of ``keys``.
 
@@ -64,11 +69,10 @@ def decided(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     A row without a decision stays; of the rows with one, those to keep stay once and the others go. Rows that cannot be
     meant pass by a bitmap during the scan, so only the texts that decisions are about are shuffled.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.withColumn("_mark", F.xxhash64("text"))
-    marked = maybe_in(rows, F.xxhash64("doc_id", "_mark"), decisions.select(F.xxhash64("doc_id", "mark").alias("h")))
-    known = decisions.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_known"), F.col("keep").alias("_keep"))
-    met = marked.where("_maybe").join(known, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_known")), "left")
-    turn = F.row_number().over(W.partitionBy("doc_id", "_mark").orderBy("_known"))
+    rows = docs.select(whole(docs)).withColumn("_id", F.col("_row.doc_id")).withColumn("_mark", F.xxhash64("_row.text"))
+    marked = maybe_in(rows, F.xxhash64("_id", "_mark"), decisions.select(F.xxhash64("doc_id", "mark").alias("h")))
+    known = decisions.select(F.col("doc_id").alias("_other"), F.col("mark").alias("_known"), F.col("keep").alias("_keep"))
+    met = marked.where("_maybe").join(known, F.col("_id").eqNullSafe(F.col("_other")) & (F.col("_mark") == F.col("_known")), "left")
+    turn = F.row_number().over(W.partitionBy("_id", "_mark").orderBy("_known"))
     stay = met.where("_keep is null or _keep").withColumn("_turn", turn).where("_keep is null or _turn = 1")
-    return marked.where("not _maybe").select(*columns).unionByName(stay.select(*columns))
+    return marked.where("not _maybe").select("_row").union(stay.select("_row")).select("_row.*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from proofspark.llm.common import maybe_in
+from proofspark.llm.common import maybe_in, whole
 from proofspark.session import written
 
 PREFIX = 256
@@ -64,12 +64,12 @@ def without_copies(docs: DataFrame) -> DataFrame:
     groups in a join.
     """
     groups = written(copy_groups(docs), "exact-groups")
-    text = normalized(F.col("text"))
-    rows = docs.withColumn("_length", F.length(text)).withColumn("_prefix", F.xxhash64(F.substring(text, 1, PREFIX)))
+    text = normalized(F.col("_row.text"))
+    rows = docs.select(whole(docs)).withColumn("_length", F.length(text)).withColumn("_prefix", F.xxhash64(F.substring(text, 1, PREFIX)))
     marked = maybe_in(rows, F.xxhash64("_length", "_prefix"), groups.select(F.xxhash64("length", "prefix").alias("h")))
-    apart = marked.where("not _maybe").select(*[F.col(f"`{c}`") for c in docs.columns])
-    hashed = marked.where("_maybe").withColumn("_full", F.unhex(F.sha2(text, 256)))
+    hashed = marked.where("_maybe").select("_row", F.col("_row.doc_id").alias("_id"), F.unhex(F.sha2(text, 256)).alias("_full"))
     kept = groups.select(F.col("full").alias("_full"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_grouped"))
-    turn = F.row_number().over(W.partitionBy("doc_id", "_full").orderBy("text"))
-    met = hashed.join(kept, "_full", "left").where("_grouped is null or doc_id <=> _keep").repartition("doc_id", "_full").withColumn("_turn", turn)
-    return apart.unionByName(met.where("_grouped is null or _turn = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    turn = F.row_number().over(W.partitionBy("_id", "_full").orderBy("_row.text"))
+    met = hashed.join(kept, "_full", "left").where("_grouped is null or _id <=> _keep").repartition("_id", "_full").withColumn("_turn", turn)
+    stay = met.where("_grouped is null or _turn = 1").select("_row")
+    return marked.where("not _maybe").select("_row").union(stay).select("_row.*")

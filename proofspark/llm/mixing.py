@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from proofspark.llm.common import whole
 from proofspark.session import written
 
 #: Characters a block; slots a frame, beside one for each source; rows that a rank bucket aims at.
@@ -55,17 +56,19 @@ def frames(sources: DataFrame) -> DataFrame:
     return rows.select("job.key", "kind", "job.nth", "first", "begun", "slots", F.col("slot").cast("bigint").alias("slot"))
 
 
-def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
-    """Every row of ``docs`` with ``_block`` (of its source, from 1), ``_slot`` and ``_start`` (characters of the source before it).
+def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
+    """(_row, _block, _slot, _start) of every row of ``docs``: its columns, or those to ``carry``, and its place in the mixture.
 
-    Order by (_slot, _start). A row lies in the block in which it starts; a long one uses up the blocks it covers. A null
-    or empty text counts one character. A null source is a source of its own. Rows that repeat an id stand side by side.
-    ``weights`` makes (key, weight) from the (key, size) of all sources; shares are whole numbers, 1 at least, that add
-    up to about ``period``. Sources have no largest size: ranks inside a source are counted in buckets of ids' digests.
+    Order by (_slot, _start). _block counts the blocks of the source from 1, _start its characters before the row. A row
+    lies in the block in which it starts; a long one uses up the blocks it covers. A null or empty text counts one
+    character. A null source is a source of its own. Rows that repeat an id stand side by side. ``weights`` makes (key,
+    weight) from the (key, size) of all sources; shares are whole numbers, 1 at least, that add up to about ``period``.
+    Sources have no largest size: ranks inside a source are counted in buckets of the digests of its ids.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    size = F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("bigint")
     digits = max(1, (docs.count() // BUCKET).bit_length() // 4 + 1)
-    rows = docs.withColumn("_key", _key(F.col("source"))).withColumn("_digest", digest).withColumn("_size", F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("bigint"))
+    rows = docs.select(_key(F.col("source")).alias("_key"), digest.alias("_digest"), size.alias("_size"), F.col("doc_id").alias("_id"), whole(docs, carry))
     rows = rows.withColumn("_bucket", F.substring("_digest", 1, digits))
     sizes = written(rows.groupBy(F.col("_key").alias("key"), F.col("_bucket").alias("bucket")).agg(F.sum("_size").alias("size")), "mix-sizes")
     earlier = F.coalesce(F.sum("size").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -75,7 +78,7 @@ def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period
     share = weights(totals).withColumn("total", F.greatest(total, F.lit(1))).select("key", F.greatest(F.lit(1), F.expr(f"weight * {period} div total")).alias("share"))
     sources = written(totals.join(share, "key").select("key", "share", F.expr(f"(size + {block} - 1) div {block}").alias("blocks")), "mix-sources")
     table = written(frames(sources), "mix-frames")
-    inside = F.sum("_size").over(W.partitionBy("_key", "_bucket").orderBy("_digest", "doc_id", "_size").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("_size").over(W.partitionBy("_key", "_bucket").orderBy("_digest", "_id", "_size").rowsBetween(W.unboundedPreceding, -1))
     starts = rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, ["_key", "_bucket"]).withColumn("_start", F.col("_inside") + F.col("_offset"))
     firsts = table.select("kind", "first").distinct().agg(F.sort_array(F.collect_list("first")).alias("_firsts"))
     shared = sources.select(F.col("key").alias("_key"), F.col("share").alias("_share")).join(firsts, F.lit(True))
@@ -83,11 +86,10 @@ def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period
     cut = cut.withColumn("_kind", F.expr("size(filter(_firsts, x -> x <= _frame))")).withColumn("_nth", F.expr("(_block - 1) % _share"))
     named = table.select(F.col("key").alias("_key"), F.col("kind").alias("_kind"), F.col("nth").alias("_nth"), "first", "begun", "slots", "slot")
     out = cut.join(named, ["_key", "_kind", "_nth"]).withColumn("_slot", F.expr("begun + (_frame - first) * slots + slot"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_block", "_slot", "_start")
+    return out.select("_row", "_block", "_slot", "_start")
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """All rows of ``docs``, sorted into the mixture: written as files, their numbers and row numbers give its order."""
-    order = ["_slot", "_start", "doc_id"]
-    rows = mix(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = ["_slot", "_start", "_row.doc_id"]
+    return mix(docs).repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")

@@ -9,7 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from proofspark.llm.common import whole
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest digests of their ids.
 FITTED = 40_000
@@ -133,18 +136,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = FITTED)
 def _scorer(model: Discriminant):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t) for t in b.column("_text").to_pylist()], float).reshape(-1, N_FEATURES)
-            names = [c for c in b.schema.names if c != "_text"]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(model.score(x))], [*names, "_score"])
+            rows = b.column(0)
+            x = np.array([statistics(t) for t in pa.compute.struct_field(rows, "text").to_pylist()], float).reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([rows, pa.array(model.score(x))], ["_row", "_score"])
 
     return run
 
 
-def scored(docs: DataFrame, model: Discriminant, columns: list[str]) -> DataFrame:
-    """``columns`` of every row of ``docs`` with ``_score`` of its whole text, in one scan without a shuffle."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[F.col(f"`{c}`") for c in columns]).schema)
-    return rows.mapInArrow(_scorer(model), schema + ", _score double")
+def scored(docs: DataFrame, model: Discriminant) -> DataFrame:
+    """(_row, _score) of every row of ``docs``: all its columns and the score of its whole text, in one scan without a shuffle."""
+    rows = docs.select(whole(docs))
+    return rows.mapInArrow(_scorer(model), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -158,11 +160,11 @@ def quality(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     a null id is not held out; repeated rows are repeated; other columns are ignored.
     """
     model = train(docs, labels, ~held_out(F.col("doc_id")) if learn is None else learn)
-    out = scored(docs, model, ["doc_id"])
+    out = scored(docs.select("doc_id", "text"), model).select("_row.doc_id", "_score")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs``, all their columns, without those whose score is below the threshold."""
     model = train(docs, labels, ~held_out(F.col("doc_id")))
-    return scored(docs, model, docs.columns).where(F.col("_score") >= THRESHOLD).drop("_score")
+    return scored(docs, model).where(F.col("_score") >= THRESHOLD).select("_row.*")

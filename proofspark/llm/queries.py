@@ -38,8 +38,8 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("start"))
+    out = mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id", "source"])
+    return out.select("_row.doc_id", "_row.source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("start"))
 
 
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,8 +123,8 @@ def test_pipeline(spark, sf_dir, documents):
     order = [r.doc_id for r in pieces if r.opens]
     from proofspark.llm.mixing import mix
 
-    mixed = mix(spark.createDataFrame(inputs[3], "doc_id bigint, text string, lang string, source string, n_chars bigint")).orderBy("_slot", "_start", "doc_id")
-    assert order == [r.doc_id for r in mixed.select("doc_id").collect()]
+    mixed = mix(spark.createDataFrame(inputs[3], "doc_id bigint, text string, lang string, source string, n_chars bigint")).orderBy("_slot", "_start", "_row.doc_id")
+    assert order == [r.doc_id for r in mixed.select("_row.doc_id").collect()]
 
 
 def components(texts):
