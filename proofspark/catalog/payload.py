@@ -225,6 +225,12 @@ O["reference_flags"] = S.with_plain(S.DOCS, select="""
 SELECT doc_id, analysis_profile = 'general' AND length(text) <= 3000 AND doc_id % 2 = 0 AND doc_id // 2 % 2 = 0 AS reference_profile FROM docs""")
 
 
+_ISSUE = '{"category": "typo", "quote": "q", "reason": "r", "suggestion": "s", "confidence": 90}'
+#: Stored outputs, two kinds of lists first.
+_OUTPUTS = ["[]", f"[{_ISSUE}, {_ISSUE}]", "{}", "null", '[{"x": 1}]', f"[{_ISSUE.replace('90', '"90"')}]", f"[{_ISSUE.replace('typo', 'other')}]", "["]
+_ANSWERS = ["[]", '[{"candidate_index": 0, "verdict": "confirmed", "confidence": 80}]', "[]", "7", '[{"candidate_index": 0, "verdict": "confirmed"}]']
+
+
 @registered
 def chunk_reuse(spark, d):
     """Stored chunks: some texts changed, some unfinished, some without output, some beyond the plan."""
@@ -232,16 +238,16 @@ def chunk_reuse(spark, d):
     k = F.col("job_id") + F.col("chunk_index")
     stored = new.select(
         "job_id", "chunk_index", "source_start", "source_end", F.when(k % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"),
-        F.when(k % 7 == 0, "failed").otherwise("completed").alias("status"), F.when(k % 3 != 0, F.lit("{}")).alias("candidate_output"),
-        F.when(k % 11 == 0, F.lit("{")).otherwise(F.lit("[]")).alias("verifier_output")).where((F.col("job_id") % 9) != 0)
+        F.when(k % 7 == 0, "failed").otherwise("completed").alias("status"), X.pick(_OUTPUTS, k).alias("candidate_output"),
+        X.pick(_ANSWERS, k).alias("verifier_output")).where((F.col("job_id") % 9) != 0)
     extra = stored.where("chunk_index = 0").withColumn("chunk_index", F.lit(1000))
     plan, surplus = lifecycle.plan_reuse(new, stored.unionByName(extra))
     return longs(plan.select("job_id", "chunk_index", "plan").unionByName(surplus.withColumn("plan", F.lit("surplus"))))
 
 
 O["chunk_reuse"] = S.with_recursive(S.DOCS, S.CHUNKS, select="""
-SELECT doc_id AS job_id, chunk_index, CASE WHEN doc_id % 9 <> 0 AND (doc_id + chunk_index) % 5 <> 0 AND (doc_id + chunk_index) % 7 <> 0 AND (doc_id + chunk_index) % 3 <> 0
-  AND (doc_id + chunk_index) % 11 <> 0 THEN 'reusable' ELSE 'pending' END AS plan FROM chunks
+SELECT doc_id AS job_id, chunk_index, CASE WHEN doc_id % 9 <> 0 AND (doc_id + chunk_index) % 5 <> 0 AND (doc_id + chunk_index) % 7 <> 0 AND (doc_id + chunk_index) % 8 <= 1
+  AND (doc_id + chunk_index) % 5 <= 2 THEN 'reusable' ELSE 'pending' END AS plan FROM chunks
 UNION ALL SELECT doc_id, 1000, 'surplus' FROM chunks WHERE chunk_index = 0 AND doc_id % 9 <> 0""")
 
 QUERIES, ORACLES = Q, O

@@ -105,23 +105,41 @@ SELECT analysis_profile, category, protected, count(*) AS quotes FROM flagged GR
 
 
 def protected_fragments(spark, d):
-    """Every protected fragment of the raw texts, all three scenes on the same documents."""
-    raw = X.spread(X.table(spark, d, "documents").select("doc_id", "text"), "doc_id")
-    scenes = raw.select("doc_id", "text", F.explode(F.array(*[F.lit(p) for p in K.PROFILES])).alias("analysis_profile"))
+    """Every protected fragment of texts with all kinds of them, all three scenes on the same documents."""
+    scenes = X.woven(spark, d).select("doc_id", "text", F.explode(F.array(*[F.lit(p) for p in K.PROFILES])).alias("analysis_profile"))
     spans = scenes.select("doc_id", "analysis_profile", protected_spans(F.col("text"), F.col("analysis_profile")).alias("spans"))
     return longs(spans.select("doc_id", "analysis_profile", F.explode_outer("spans").alias("s")).where("s is not null").select(
         "doc_id", "analysis_profile", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end")))
 
 
+#: Places of the woven fragments by arithmetic, without any pattern.
+_WOVEN = """
+kinds AS (SELECT unnest(range(0, {count})) AS kind, unnest([{texts}]) AS t, unnest([{scenes}]) AS scene),
+put AS (SELECT doc_id, i, scene, length(regexp_replace(text, '[^A-Za-z \n]', '', 'g')) AS lead, length(replace(t, '{{n}}', 'nn')) AS n
+  FROM documents, range(0, {count}) r(i), kinds WHERE kind = (doc_id + i) % {count}),
+placed AS (SELECT doc_id, i, scene, lead, n, lead + coalesce(sum(n + 6) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 2 AS s FROM put)
+""".format(count=len(X.WOVEN), texts=", ".join(f"'{t}'" for t, _ in X.WOVEN), scenes=", ".join(f"'{s}'" if s else "NULL" for _, s in X.WOVEN))
+
+O["protected_fragments"] = S.with_plain(_WOVEN, select="""
+SELECT doc_id, p AS analysis_profile, s AS char_start, s + n AS char_end FROM placed, unnest(['general', 'academic', 'financial']) x(p) WHERE scene IS NULL OR scene = p""")
+
+
 def protected_probe(spark, d):
-    """Protection of one quote per document and category, half of them grammar."""
-    docs = X.documents(spark, d)
-    start = (F.col("doc_id") * 37 % F.greatest(F.length("text") - 8, F.lit(1))).cast("int")
-    quotes = docs.select("doc_id", "analysis_profile", "text", start.alias("start"), (start + 6).alias("end"),
+    """One quote per document: inside its first fragment, over the fragment's border, or beside it; half of them grammar."""
+    docs = X.woven(spark, d)
+    mode = F.floor(F.col("doc_id") / 2) % 3
+    start = (F.col("lead") + F.when(mode == 0, 3).when(mode == 1, 1).otherwise(0)).cast("int")
+    quotes = docs.select("doc_id", "analysis_profile", "text", start.alias("start"), (start + F.when(mode == 1, 3).otherwise(2)).cast("int").alias("end"),
                          X.pick(["typo", "grammar"], F.col("doc_id")).alias("category"))
     return flag_protected(quotes).select("doc_id", "category", "protected")
 
 
+O["protected_probe"] = S.with_plain(_WOVEN, select="""
+SELECT doc_id, ['typo', 'grammar'][doc_id % 2 + 1] AS category,
+  (scene IS NULL OR scene = ['general', 'academic', 'financial'][doc_id % 3 + 1]) AND (doc_id // 2 % 3 = 0 OR doc_id // 2 % 3 = 1 AND doc_id % 2 = 0) AS protected
+FROM placed WHERE i = 0""")
+
+
 def issue_rows(spark, d):
     out = issues_of(spark, d)
     return longs(out.select("doc_id", "chunk_index", "candidate_index", "category", "grammar_subtype", "level", "char_start",

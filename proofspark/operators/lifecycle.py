@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark import constants as K
+from proofspark.operators.payloads import stored_candidates_ok, stored_verdicts_ok
 
 def minutes(n: int) -> Column:
     return F.expr(f"INTERVAL {int(n)} MINUTES")
@@ -223,14 +224,14 @@ def plan_reuse(new_chunks: DataFrame, stored: DataFrame) -> tuple[DataFrame, Dat
     """(plan, surplus): per planned chunk ``reusable`` or ``pending``; stored indexes beyond the plan are surplus.
 
     ``stored`` has job_id, chunk_index, source_start, source_end, content, status, candidate_output, verifier_output.
-    Contents are compared by digest, so no text crosses the shuffle.
+    Outputs count only as lists of candidates and of verdicts of the exact member types. Contents are compared by digest, so no text crosses the shuffle.
     """
     planned = new_chunks.select("job_id", "chunk_index", "source_start", "source_end", F.sha2("text", 256).alias("digest"))
     old = stored.select(
         "job_id", "chunk_index", F.col("source_start").alias("o_start"), F.col("source_end").alias("o_end"),
         F.sha2("content", 256).alias("o_digest"),
-        ((F.col("status") == "completed") & F.try_parse_json("candidate_output").isNotNull()
-         & F.try_parse_json("verifier_output").isNotNull()).alias("finished"))
+        ((F.col("status") == "completed") & stored_candidates_ok(F.col("candidate_output"))
+         & stored_verdicts_ok(F.col("verifier_output"))).alias("finished"))
     same = (
         (F.col("source_start") == F.col("o_start")) & (F.col("source_end") == F.col("o_end"))
         & (F.col("digest") == F.col("o_digest")) & F.col("finished"))

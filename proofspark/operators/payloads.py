@@ -194,31 +194,49 @@ def _with_ids(x: Column) -> Column:
     return x.withField("evidence_source_ids", F.coalesce(x["evidence_source_ids"], F.array().cast("array<string>")))
 
 
+def _candidate_ok(c: Column) -> Column:
+    return (
+        c["category"].isin(K.CATEGORIES) & (c["grammar_subtype"].isNull() | c["grammar_subtype"].isin(K.GRAMMAR_SUBTYPES))
+        & c["confidence"].between(0, 255) & _ids_present(c)
+    )
+
+
+def _verdict_ok(v: Column) -> Column:
+    return (
+        (v["category"].isNull() | v["category"].isin(K.CATEGORIES))
+        & (v["grammar_subtype"].isNull() | v["grammar_subtype"].isin(K.GRAMMAR_SUBTYPES))
+        & v["verdict"].isin(K.VERDICTS) & v["confidence"].between(0, 255) & (v["candidate_index"] >= 0) & _ids_present(v)
+    )
+
+
+def _stored_list(output: Column, struct: str, object_type: str, element_ok) -> Column:
+    """Whether a stored output is a bare list whose members all have the exact type."""
+    parsed = F.try_parse_json(output)
+    items = F.try_variant_get(parsed, "$", "array<variant>")
+    typed = F.schema_of_variant(parsed).startswith("ARRAY<") & F.forall(items, lambda i: F.regexp_like(F.schema_of_variant(i), F.lit(object_type)))
+    return F.coalesce(typed & F.forall(F.from_json(output, f"array<{struct}>", {"mode": "PERMISSIVE"}), element_ok), F.lit(False))
+
+
+def stored_candidates_ok(output: Column) -> Column:
+    return _stored_list(output, CANDIDATE, CANDIDATE_TYPE, _candidate_ok)
+
+
+def stored_verdicts_ok(output: Column) -> Column:
+    return _stored_list(output, VERDICT, VERDICT_TYPE, _verdict_ok)
+
+
 def parse_candidates(df: DataFrame) -> DataFrame:
     """``issues`` (array of candidates) from ``content``, or error_code; unknown members are refused."""
-    def ok(c: Column) -> Column:
-        return (
-            c["category"].isin(K.CATEGORIES) & (c["grammar_subtype"].isNull() | c["grammar_subtype"].isin(K.GRAMMAR_SUBTYPES))
-            & c["confidence"].between(0, 255) & _ids_present(c)
-        )
-
-    return _parse(df, "issues", CANDIDATE, CANDIDATE_TYPE, ok, _with_ids)
+    return _parse(df, "issues", CANDIDATE, CANDIDATE_TYPE, _candidate_ok, _with_ids)
 
 
 def parse_verdicts(df: DataFrame) -> DataFrame:
     """``verdicts`` (array of verdicts) from ``content``, or error_code."""
-    def ok(v: Column) -> Column:
-        return (
-            (v["category"].isNull() | v["category"].isin(K.CATEGORIES))
-            & (v["grammar_subtype"].isNull() | v["grammar_subtype"].isin(K.GRAMMAR_SUBTYPES))
-            & v["verdict"].isin(K.VERDICTS) & v["confidence"].between(0, 255) & (v["candidate_index"] >= 0) & _ids_present(v)
-        )
-
     def fill(v: Column) -> Column:
         return _with_ids(v).withField("reason", F.coalesce(v["reason"], F.lit(""))).withField(
             "suggestion", F.coalesce(v["suggestion"], F.lit("")))
 
-    return _parse(df, "verdicts", VERDICT, VERDICT_TYPE, ok, fill)
+    return _parse(df, "verdicts", VERDICT, VERDICT_TYPE, _verdict_ok, fill)
 
 
 def _ids_ok(ids: Column) -> Column:

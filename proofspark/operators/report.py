@@ -138,8 +138,9 @@ def issue_pages(issues: DataFrame, key: str = "doc_id", size: int = 50) -> DataF
     return issues.withColumn("page_no", F.floor((rank - 1) / size).cast("int") + 1)
 
 
-def _report_order(key: str) -> W:
-    return W.partitionBy(key).orderBy("char_start", "char_end", "issue_id")
+def _report_order(key: str, reverse: bool = False) -> W:
+    columns = [F.col(c) for c in ("char_start", "char_end", "issue_id")]
+    return W.partitionBy(key).orderBy(*[c.desc() for c in columns] if reverse else columns)
 
 
 def adjacent_issues(issues: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -154,7 +155,8 @@ def next_unreviewed(issues: DataFrame, key: str = "doc_id") -> DataFrame:
     """The next issue without feedback behind each one, wrapping around, never the issue itself."""
     order = _report_order(key)
     open_id = F.when(F.col("feedback").isNull(), F.col("issue_id"))
-    behind = F.first(open_id, True).over(order.rowsBetween(1, W.unboundedFollowing))
+    # both frames grow from the partition's start, so each row adds itself once
+    behind = F.last(open_id, True).over(_report_order(key, reverse=True).rowsBetween(W.unboundedPreceding, -1))
     before = F.first(open_id, True).over(order.rowsBetween(W.unboundedPreceding, -1))
     return issues.withColumn("next_unreviewed_id", F.coalesce(behind, before))
 

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, Row, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from proofspark.functions.locate import occurrence_starts
 from proofspark.functions.text import let, slice_text
 from proofspark.schemas import CANDIDATE, RULES
 
-INLINE_RULES = 64
 _RULE_FIELDS = ",".join(part.strip().replace(" ", ":", 1) for part in RULES.split(","))
 FIELDS = [
     "category", "grammar_subtype", "quote", "context_before", "context_after", "reason", "suggestion",
@@ -18,60 +17,32 @@ FIELDS = [
 ]
 
 
-def small_rule_table(rules: DataFrame) -> list[Row] | None:
-    """The rules in order when there are at most INLINE_RULES of them."""
-    rows = rules.orderBy("rule_no").limit(INLINE_RULES + 1).collect()
-    return rows if len(rows) <= INLINE_RULES else None
-
-
-def _rule_array(rows: list[Row]) -> Column:
-    """The rule table as one constant array."""
-    return F.from_json(F.lit(json.dumps([row.asDict() for row in rows])), f"array<struct<{_RULE_FIELDS}>>")
+def _rule_array(rules: DataFrame) -> Column:
+    """The whole rule table, in order, as one constant array: curated reference data, of any number of rules."""
+    rows = [row.asDict() for row in rules.orderBy("rule_no").collect()]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_RULE_FIELDS}>>")
 
 
 def scan_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``candidates``: the issue template of every rule whose needle occurs in the chunk, in rule order.
 
-    A small rule table becomes a constant array checked inside the chunk row, without any shuffle. A larger one meets
-    the chunks on the first characters of its needles.
+    The rules are checked inside the chunk row, without any shuffle, however many there are.
     """
-    rows = small_rule_table(rules)
-    if rows is None:
-        return attach_candidates(chunks, _scan_by_anchor(chunks, rules))
+    known = _rule_array(rules)
     found = let(F.col("text"), lambda text: F.transform(
-        F.filter(_rule_array(rows), lambda r: F.contains(text, r["needle"])),
+        F.filter(known, lambda r: F.contains(text, r["needle"])),
         lambda r: F.struct(*[r[name].alias(name) for name in FIELDS]),
     ))
     return chunks.withColumn("candidates", found)
 
 
-def _scan_by_anchor(chunks: DataFrame, rules: DataFrame) -> DataFrame:
-    width = rules.agg(F.least(F.min(F.length("needle")), F.lit(8)).alias("k")).first()["k"]
-    grams = chunks.select(
-        "doc_id", "chunk_index",
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))).alias("anchor"),
-    )
-    keyed = rules.withColumn("anchor", F.substring("needle", 1, width))
-    pairs = grams.join(keyed.select("anchor", "rule_no", "needle"), "anchor").select(
-        "doc_id", "chunk_index", "rule_no", "needle"
-    )
-    sure = pairs.join(chunks.select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"]).where(
-        F.contains("text", F.col("needle"))
-    ).select("doc_id", "chunk_index", "rule_no")
-    order = W.partitionBy("doc_id", "chunk_index").orderBy("rule_no")
-    return sure.join(rules, "rule_no").select(
-        "doc_id", "chunk_index", (F.row_number().over(order) - 1).alias("candidate_index"), *FIELDS
-    )
-
-
 def scan_occurrences(chunks: DataFrame, rules: DataFrame, context: int = 12) -> DataFrame:
     """Add ``candidates``: one per occurrence of each needle, with up to ``context`` characters on both sides.
 
-    Takes a small rule table only; one chunk bounds the number of occurrences.
+    Takes any number of rules; one chunk bounds the number of occurrences of each.
     """
-    rows = small_rule_table(rules)
-    if rows is None:
-        raise ValueError(f"at most {INLINE_RULES} rules can be written into the expression")
+    known = _rule_array(rules)
+
     def expand(text: Column, rule: Column) -> Column:
         size = F.length(rule["needle"])
 
@@ -85,7 +56,7 @@ def scan_occurrences(chunks: DataFrame, rules: DataFrame, context: int = 12) ->
         return F.transform(occurrence_starts(text, rule["needle"]), at)
 
     return chunks.withColumn("candidates", let(F.col("text"), lambda text: F.flatten(F.transform(
-        F.filter(_rule_array(rows), lambda r: F.contains(text, r["needle"])), lambda r: expand(text, r)
+        F.filter(known, lambda r: F.contains(text, r["needle"])), lambda r: expand(text, r)
     ))))
 
 

@@ -40,6 +40,24 @@ def shaped(raw: DataFrame, newlines: str = "\n\n") -> DataFrame:
     )
 
 
+#: Fragments of all protected kinds with the scene that shields them; {n} is a number of two digits.
+WOVEN = [
+    ("https://host{n}.test/p?k={n}", None), ("`let v{n} = 0`", None), ("$u_{n}-w$", None), ("$$\nu_{n}-w\n$$", None), ("\\(u_{n}-w\\)", None), ("[{n}]", "academic"),
+    ("[{n}-9{n}]", "academic"), ("10.55{n}/z{n}", "academic"), ("{n}.25%", "financial"), ("20{n}-03-17", "financial"),
+]
+
+
+def woven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, analysis_profile, lead, text): the letters of each document, ``lead`` characters, then all kinds of fragments between words."""
+    letters = F.regexp_replace("text", "[^A-Za-z \n]", "")
+    kinds, n = F.array(*[F.lit(t) for t, _ in WOVEN]), (F.col("doc_id") % 90 + 10).cast("string")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(len(WOVEN) - 1)), lambda i: F.concat(
+        F.lit("晨雾"), F.replace(F.element_at(kinds, ((F.col("doc_id") + i) % len(WOVEN) + 1).cast("int")), F.lit("{n}"), n), F.lit("，渔火。")))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", pick(["general", "academic", "financial"], F.col("doc_id")).alias("analysis_profile"), F.length(letters).alias("lead"),
+        F.concat(letters, F.array_join(parts, "")).alias("text"))
+
+
 # --- fixed values: the rule table of the fixtures ---
 RULE_ROWS = [
     (1, "the the", "grammar", "redundant_component", "the", 92),

@@ -57,7 +57,7 @@ def stream_lease_watch(
         due = min(seen + lease, deadline) if status in running else deadline
         state.update((seen, deadline, status))
         floor = state.getCurrentWatermarkMs() + 1
-        state.setTimeoutTimestamp(max(int(due.timestamp() * 1000), floor))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(due, tz="UTC").timestamp() * 1000), floor))
 
     def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         alerts = []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructType
 
@@ -14,12 +13,12 @@ from proofspark.session import scratch_dir
 
 
 def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows of all finished batches with their batch_id."""
+    """Rows of all finished batches with their batch_id; none before the first batch has made the folder."""
     full = StructType([*schema.fields]).add("batch_id", LongType())
-    try:
-        return spark.read.schema(full).option("basePath", path).parquet(path)
-    except AnalysisException:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], full)
+    return spark.read.schema(full).option("basePath", path).parquet(path)
 
 
 def write_batch(df: DataFrame, batch_id: int, path: str) -> None:
@@ -54,10 +53,10 @@ def _stored_before(spark: SparkSession, path: str, schema: StructType, batch_id:
     return read_batches(spark, path, schema).where(F.col("batch_id") < batch_id)
 
 
-def stream_submissions(requests: DataFrame, root: str, horizon_hours: int = 24) -> tuple[DataFrame, DataFrame]:
+def stream_submissions(requests: DataFrame, root: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, conflicts): the first request of a (user, key) wins, repeats vanish, different ones are flagged.
 
-    A key is remembered for ``horizon_hours`` of event time.
+    A key is remembered for ever. Only the keys of a batch are looked up, by a semi-join, among those accepted before.
     """
     spark = requests.sparkSession
     accepted_path, conflict_path = os.path.join(root, "accepted"), os.path.join(root, "conflicts")
@@ -66,12 +65,12 @@ def stream_submissions(requests: DataFrame, root: str, horizon_hours: int = 24)
     schema = StructType([requests.schema[c] for c in [*keys, *asked, "ts", "request_id"]])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         first = F.struct("ts", "request_id", *asked)
         # one row per distinct request keeps a hammered key from travelling as raw rows
         distinct = batch.groupBy(*keys, *asked).agg(F.min(F.struct("ts", "request_id")).alias("f"))
         winners = distinct.groupBy(*keys).agg(F.min(F.struct("f.ts", "f.request_id", *asked)).alias("w")).select(*keys, "w")
-        since = batch.agg(F.min("ts") - F.expr(f"INTERVAL {int(horizon_hours)} HOURS")).first()[0]
-        known = _stored_before(batch.sparkSession, accepted_path, schema, batch_id).where(F.col("ts") >= F.lit(since)).select(
+        known = _stored_before(batch.sparkSession, accepted_path, schema, batch_id).join(winners.select(*keys), keys, "left_semi").select(
             *keys, first.alias("old"))
         settled = winners.join(known, keys, "left").withColumn("owner", F.coalesce("old", "w"))
         fresh = settled.where(F.col("old").isNull()).select(*keys, *[F.col(f"w.{c}").alias(c) for c in [*asked, "ts", "request_id"]])
@@ -81,6 +80,7 @@ def stream_submissions(requests: DataFrame, root: str, horizon_hours: int = 24)
         conflicts = distinct.join(settled.select(*keys, "owner"), keys).where(differs).select(*keys, *asked)
         write_batch(conflicts, batch_id, conflict_path)
         write_batch(fresh, batch_id, accepted_path)
+        batch.unpersist()
 
     run_available(requests, sink, os.path.join(root, "checkpoint"))
     conflict_schema = StructType([requests.schema[c] for c in [*keys, *asked]])

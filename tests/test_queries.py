@@ -1,11 +1,15 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import re
+
 import pytest
 
 import check
 from __spark_entry__ import entry, oracle_sql, queries
 
-QUERIES, ORACLES = queries(), oracle_sql()
+QUERIES, ORACLES = {k: q for k, q in queries().items() if not (k == "pipeline" or re.match(r"op\d+_", k))}, oracle_sql()
+#: Queries without SQL; their operators are tested against plain Python.
+UNCHECKED = {"contested_evaluation", "issue_evaluation", "streamed_lease_watch"}
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +20,8 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
     rows, problem, _ = check.compare(spark, con, sf_dir, QUERIES[name], ORACLES.get(name))
-    assert problem in (None, "")
-    assert rows >= 0
+    assert problem == "" or (problem is None and name in UNCHECKED)
+    assert rows > 0
 
 
 def test_entry(spark):
@@ -25,7 +29,7 @@ def test_entry(spark):
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(queries()) and set(QUERIES) - set(ORACLES) <= UNCHECKED
 
 
 def test_text_stays_out_of_the_issue_shuffle(spark, sf_dir):

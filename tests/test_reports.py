@@ -84,7 +84,7 @@ def test_markdown_shape(spark, sf_dir):
 
 def test_plan_keeps_text_out_of_the_joins(spark):
     new = spark.createDataFrame([(1, 0, 0, 3, "abc")], "job_id long, chunk_index int, source_start int, source_end int, text string")
-    stored = spark.createDataFrame([(1, 0, 0, 3, "abc", "completed", "{}", "[]"), (1, 5, 0, 1, "x", "pending", None, None)],
+    stored = spark.createDataFrame([(1, 0, 0, 3, "abc", "completed", "[]", "[]"), (1, 5, 0, 1, "x", "pending", None, None)],
                                    "job_id long, chunk_index int, source_start int, source_end int, content string, status string, candidate_output string, verifier_output string")
     plan, surplus = L.plan_reuse(new, stored)
     assert [r.plan for r in plan.collect()] == ["reusable"] and [r.chunk_index for r in surplus.collect()] == [5]

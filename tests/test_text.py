@@ -1,7 +1,7 @@
+import itertools
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from proofspark.functions import labels as L
@@ -108,22 +108,17 @@ def candidates(spark, items):
     return spark.createDataFrame([(f,) for f in full], f"c {CANDIDATE}")
 
 
-def test_boundary_quote_is_owned_once(spark):
-    quote = "仅此一处文字"
-    docs = spark.createDataFrame([(1, "general", "甲" * 3748 + quote + "乙" * 5000)], "doc_id long, analysis_profile string, text string")
-    rules = spark.createDataFrame([(1, quote, "grammar", "collocation", quote, None, None, "r", "s", 90, [])], RULES)
-    got = resolve_candidates(scan_rules(chunk(docs), rules)).collect()
-    assert [(r.char_start, r.char_end) for r in got] == [(3748, 3754)]
-
-
-@pytest.mark.parametrize("text, quote, before, after, start", [
-    ("甲说不错。乙又说不错。", "不错", None, None, None), ("甲说不错。乙又说不错。", "不错", "甲说", None, 2),
-    ("哈哈哈", "哈哈", None, None, None), ("哈哈哈", "哈哈", None, "哈", 0), ("🧪我们再", "再", "错", None, 3),
-    ("aXa", "a", "long context", None, None), ("a b", "  ", None, None, None), ("x", "y", None, None, None),
-])
-def test_locate_unique(spark, text, quote, before, after, start):
-    df = spark.createDataFrame([(text, quote, before, after)], "t string, q string, b string, a string")
-    assert df.select(locate_unique(*[F.col(c) for c in "tqba"])).first()[0] == start
+def test_hits_around_a_chunk_border_are_owned_once(spark):
+    """One paragraph in three chunks: a needle moved over both core borders is found in exactly one of them."""
+    needle, size = "needle", 9000
+    filler = "".join(chr(0x4E00 + k % 977) for k in range(size))
+    cores = plain_chunks(filler)
+    places = [border + shift for _, _, _, border in cores[:-1] for shift in range(-len(needle) - 1, 3)]
+    docs = [(p, "general", filler[:p] + needle + filler[p + len(needle):]) for p in places]
+    rules = spark.createDataFrame([(1, needle, "grammar", "collocation", needle, None, None, "r", "s", 90, [])], RULES)
+    df = spark.createDataFrame(docs, "doc_id long, analysis_profile string, text string")
+    got = resolve_candidates(scan_rules(chunk(df), rules)).collect()
+    assert sorted((r.doc_id, r.char_start, r.char_end) for r in got) == [(p, p, p + len(needle)) for p in sorted(places)]
 
 
 def test_locating_random_texts(spark):
@@ -151,92 +146,85 @@ def protected(spark, cases):
     return [r[0] for r in df.select(is_protected(spans, F.col("s"), F.col("s") + F.length("q"), F.col("c"))).collect()]
 
 
-PROSE = [
-    "票价是$100，会场布置已经完闭，尾款是$200。", "票价是$100会场布置已经完闭尾款是$200。", "票价是$100会场布置已经完闭公式$x+y$。",
-    "票价是$100\n会场布置已经完闭\n尾款是$200。", "说明在https://example.com，会场布置已经完闭。", "说明在www.example.com。会场布置已经完闭。",
-    "说明在ftp://example.com/file；会场布置已经完闭。", "说明在“https://example.com/中文路径”，会场布置已经完闭。",
-]
-SHIELDED = [
-    ("方程$a^3 - b$，随后是文字。", "a^3 - b"), ("数值$512$。", "512"), ("票价$64，还有方程$x+y$。", "x+y"), ("票价$64还有方程$x+y$。", "x+y"),
-    ("票价$64 or $72 with $x+y$。", "x+y"), ("方程$$\nx+y\n$$。", "x+y"), (r"公式$\text{价格}\$100 + x$。", r"\text{价格}\$100 + x"),
-    ("网址https://example.com/中文路径?q=1&b=2#part，正文。", "中文路径"), ("网址www.example.com/a，正文。", "example"),
-    ("地址ftp://example.com/a，正文。", "example"), ("代码`value = 100`，正文。", "value = 100"),
-]
-SCENES = [
-    ("🧪请看［37］，布置完闭。", "［37］", "academic"), ("请看［21–23， 40］。", "［21–23， 40］", "academic"),
-    ("前人论述（李某，2019）给出结论。", "（李某，2019）", "academic"), ("前人论述(Jones et al., 2018b)给出结论。", "(Jones et al., 2018b)", "academic"),
-    ("到2025-03-09，客流上升。", "2025-03-09", "financial"), ("涨幅有7.5％，客流上升。", "7.5％", "financial"),
-]
-
-
-def test_prose_beside_protected_fragments_is_free(spark):
-    cases = [(t, "布置已经完闭", p, c) for t in PROSE for p in ("general", "academic", "financial") for c in ("typo", "grammar")]
-    assert not any(protected(spark, cases))
-
-
-def test_fragments_are_protected(spark):
-    assert all(protected(spark, [(t, q, "general", c) for t, q in SHIELDED for c in ("typo", "punctuation", "grammar")]))
-    dollars = [r"预算\$100，支出\$200。", "价格$100至$200。", "价格$１００至$２００。", "$没有闭合"]
-    df = spark.createDataFrame([(t,) for t in dollars], "t string")
-    assert [r[0] for r in df.select(F.size(dollar_math_spans(F.col("t")))).collect()] == [0, 0, 0, 0]
-
-
-def test_scene_fragments_only_in_their_scene(spark):
-    for t, q, scene in SCENES:
-        got = protected(spark, [(t, q, p, c) for p in ("general", "academic", "financial") for c in ("typo", "punctuation", "grammar")])
-        assert got == [p == scene for p in ("general", "academic", "financial") for _ in range(3)], t
-        assert protected(spark, [(t, t, scene, "grammar")]) == [False]
-    text = r"公式 \(x^2 + y^2\)，引用[12-14]，DOI 10.1234/example.1，增长率 12.5%。"
-    assert protected(spark, [(text, "x^2 + y^2", "general", "typo"), (text, "12-14", "academic", "typo"), (text, "12-14", "general", "typo"),
-                             (text, "10.1234/example.1", "academic", "typo"), (text, "12.5%", "financial", "typo"),
-                             (text, "12.5%", "general", "typo")]) == [True, True, False, True, True, False]
-    assert protected(spark, [("票价是$1，234.50，，项目已启动。", "$1，234.50", "financial", "punctuation"),
-                             ("票价是$1，234.50，，项目已启动。", "，，", "financial", "punctuation"),
-                             ("前人论述（李某，2019)给出结论。", ")", "academic", "punctuation")]) == [True, False, False]
-
-
-def plain_dollars(text):
-    """Delimiter scan over a Python string."""
-    marks, i = [], 0
-    free = [k for k, ch in enumerate(text) if ch == "$" and (len(text[:k]) - len(text[:k].rstrip("\\"))) % 2 == 0]
-    while i < len(free):
-        width = 2 if i + 1 < len(free) and free[i + 1] == free[i] + 1 else 1
-        marks.append((free[i], width))
-        i += width
-    spans, opened = [], None
-    for at, width in marks:
-        if opened and opened[1] == width:
-            body = text[opened[0] + width:at]
-            tidy = body.strip() == body and not re.search(r"[\r\n`，。！？；]", body) and not re.match(r"\d[\d.,]*[ \t]*[一-鿿]", body)
-            amount = width == 1 and re.match(r"[0-9０-９]", text[at + width:at + width + 1])
-            if body.strip() and (width == 2 or tidy) and not amount:
-                spans.append((opened[0], at + width))
-                opened = None
-                continue
-        opened = (at, width)
-    return spans
-
-
-def test_dollar_math_random(spark):
+SCENES = ("general", "academic", "financial")
+CLASSES = ("typo", "punctuation", "grammar")
+#: kind: (what stands before the token, the token, what stands behind it, the scene in which it is shielded)
+KINDS = {
+    "link": ("https://host{n}.test/", "p{n}q", "?k={n}", None), "code": ("`", "let v{n}", " = 0`", None), "dollars": ("$", "u_{n}-w", "$", None),
+    "display": ("$$\n", "u_{n}-w", "\n$$", None), "latex": ("\\(", "u_{n}-w", "\\)", None), "number mark": ("[", "{n}", "]", "academic"),
+    "range mark": ("[", "{n}-9{n}", "]", "academic"), "doi": ("", "10.5{n}17/z{n}", "", "academic"), "percent": ("", "{n}.25%", "", "financial"),
+    "date": ("", "2031-0{n}-17", "", "financial"),
+}
+NEIGHBOURS = [("早间消息", "，随后继续"), ("附注：", "。下文另述"), ("", "；收尾"), ("（见", "）")]
+
+
+def test_fragments_are_shielded_in_their_scene_and_words_beside_them_are_free(spark):
+    """Every kind of fragment between every pair of neighbours: the token by kind and scene, the words next to it never."""
+    cases, want = [], []
+    for (kind, (before, token, behind, scene)), (left, right), profile, category in itertools.product(KINDS.items(), NEIGHBOURS, SCENES, CLASSES):
+        n = len(kind) % 7 + 2
+        fragment = (before + token + behind).replace("{n}", str(n))
+        text, inner = f"{left}晨雾 {fragment} {right}渔火", token.replace("{n}", str(n))
+        for quote, shielded in ((inner, scene in (None, profile)), ("晨雾", False), ("渔火", False)):
+            cases.append((text, quote, profile, category))
+            want.append(shielded)
+    got = protected(spark, cases)
+    assert [c for c, g, w in zip(cases, got, want) if g != w] == []
+    assert {True, False} == set(got)
+
+
+def test_dollar_spans_are_closed_and_tidy(spark):
+    """Properties of what is found in random texts, and formulas whose places are known from how the text was built."""
     random.seed(11)
     texts = ["".join(random.choice(["$", "$", "\\", "x", " ", "1", "中", "，", "\n"]) for _ in range(random.randint(1, 18))) for _ in range(600)]
-    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for r in df.select("i", dollar_math_spans(F.col("t")).alias("s")).collect():
-        assert [(x.start, x.end) for x in r.s] == plain_dollars(texts[r.i]), texts[r.i]
-
-
-@pytest.mark.parametrize("category, quote, suggestion, want", [
-    ("typo", "🧪他们再操场上跑步。", "🧪他们在操场上跑步。", (3, "再", "在")),
-    ("punctuation", "大伙按时出发了。。", "大伙按时出发了。", (8, "。", "删除此处的“。”")),
-    ("typo", "他们再操场上跑步。", "建议将再改成在", None), ("typo", "昨晚大伙睡了。", "昨晚大伙都睡了。", None),
-    ("typo", "他们再操场上跑步。", "他们再操场上跑步。", None), ("typo", "他们再操场上跑步。", "", None), ("typo", "错", "正", None), ("typo", "", "", None),
-    ("typo", "前文前文前文前文前文前文前文前文前文错误片段超过八个字后文后文后文后文后文后文", "前文前文前文前文前文前文前文前文前文正确后文后文后文后文后文后文", None),
-    ("grammar", "我的胃口很沉闷。", "我的胃口很寡淡。", None),
-])
-def test_literal_edits(spark, category, quote, suggestion, want):
-    df = spark.createDataFrame([(category, quote, suggestion)], "c string, q string, s string")
-    got = df.select(localize_edit(F.col("c"), F.col("q"), F.col("s"))).first()[0]
-    assert (tuple(got) if got else None) == want
+    built, known = [], []
+    for k in range(60):
+        text, spans = "", []
+        for part in random.choices(["word", "formula", "display", "escaped"], k=5):
+            if part == "formula" or part == "display":
+                body = f"$a_{k}+b$" if part == "formula" else f"$$a_{k}+b$$"
+                spans.append((len(text) + 1, len(text) + 1 + len(body)))
+                text += f"值{body}。"
+            else:
+                text += "文字。" if part == "word" else "\\$记号。"
+        built.append(text)
+        known.append(spans)
+    df = spark.createDataFrame(list(enumerate(texts + built)), "i int, t string")
+    found = {r.i: [(x.start, x.end) for x in r.s] for r in df.select("i", dollar_math_spans(F.col("t")).alias("s")).collect()}
+    assert [found[len(texts) + k] for k in range(len(built))] == known
+    for i, text in enumerate(texts):
+        end = 0
+        for s, e in found[i]:
+            piece = text[s:e]
+            width = 2 if piece.startswith("$$") and piece.endswith("$$") and len(piece) > 4 else 1
+            body = piece[width:-width]
+            assert s >= end and piece[:width] == piece[-width:] == "$" * width and body.strip()
+            assert (len(text[:s]) - len(text[:s].rstrip("\\"))) % 2 == 0
+            if width == 1:
+                assert body == body.strip() and not set(body) & set("\n，")
+            end = e
+    assert any(found[i] for i in range(len(texts)))
+
+
+def test_literal_edits(spark):
+    """One changed character is pinned to its place; all else is left alone."""
+    random.seed(9)
+    letters = [chr(0x4E00 + k) for k in range(0, 6000, 7)]
+    cases, want = [], []
+    for _ in range(40):
+        quote = "".join(random.sample(letters, random.randint(6, 12)))
+        at, new = random.randrange(len(quote)), random.choice([c for c in letters if c not in quote])
+        cases.append(("typo", quote, quote[:at] + new + quote[at + 1:]))
+        want.append((at, quote[at], new))
+        cases.append(("punctuation", quote + "。。", quote + "。"))
+        want.append((len(quote) + 1, "。", "删除此处的“。”"))
+        cases += [("grammar", quote, quote[:at] + new + quote[at + 1:]), ("typo", quote, quote), ("typo", quote, ""), ("typo", quote, quote[:at] + new + quote[at:])]
+        want += [None] * 4
+    cases += [("typo", "", ""), ("typo", letters[0], letters[1])]
+    want += [None, None]
+    df = spark.createDataFrame([(k, *c) for k, c in enumerate(cases)], "k int, c string, q string, s string")
+    got = {r.k: tuple(r.e) if r.e else None for r in df.select("k", localize_edit(F.col("c"), F.col("q"), F.col("s")).alias("e")).collect()}
+    assert [(c, got[k], w) for k, (c, w) in enumerate(zip(cases, want)) if got[k] != w] == []
 
 
 def finalized(spark, **over):
@@ -323,7 +311,7 @@ def test_location_of_long_line(spark):
     assert (r.line_start, r.sentence_index) == (1, 6000)
 
 
-def test_many_rules_meet_by_anchor(spark):
+def test_any_number_of_rules(spark):
     words = [f"w{i:03d}x" for i in range(150)]
     rules = spark.createDataFrame([(i, w, "typo", None, w, None, None, "r", "s", 90, []) for i, w in enumerate(words)], RULES)
     docs = spark.createDataFrame([(1, "general", "w003x and w149x"), (2, "general", "none"), (3, "general", "w010xw010x")],
