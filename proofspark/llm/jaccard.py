@@ -183,7 +183,7 @@ def _pass(shards: int):
         def flush():
             kinds = []
             distinct, owner_of = _ranked(b"".join(names))
-            owner = np.repeat(owner_of, [len(x) for x in sigs])
+            owner = np.repeat(owner_of.astype(np.int32), [len(x) for x in sigs])
             values = np.concatenate(sigs) if sigs else np.empty(0, np.uint64)
             keep, pairs = _stars(values, owner)
             values, owner = values[keep], owner[keep]
@@ -239,10 +239,12 @@ def _shard_pairs(table):
         wide = np.zeros((len(s.as_py()) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(s.as_py(), np.uint8).reshape(-1, 6)
         sigs.append(wide.view(np.uint64).ravel())
-        owners.append(np.frombuffer(i.as_py(), np.uint16).astype(np.int64) + sum(map(len, names)) // 16)
+        owners.append(np.frombuffer(i.as_py(), np.uint16).astype(np.int32) + sum(map(len, names)) // 16)
         names.append(n.as_py())
     distinct, rank = _ranked(b"".join(names))
-    _, pairs = _stars(np.concatenate(sigs), rank[np.concatenate(owners)])
+    values, owner = np.concatenate(sigs), rank.astype(np.int32)[np.concatenate(owners)]
+    del sigs, owners, names, rank, table
+    _, pairs = _stars(values, owner)
     return pa.table({"a": pa.array([distinct[x].tobytes() for x in pairs[:, 0]], pa.binary()), "b": pa.array([distinct[x].tobytes() for x in pairs[:, 1]], pa.binary())})
 
 
