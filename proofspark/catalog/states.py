@@ -9,6 +9,8 @@ from proofspark.catalog import sql as S
 from proofspark.catalog.text import longs
 from proofspark.operators import lifecycle as L
 from proofspark.plans import fixtures as X
+from proofspark.session import scratch_dir
+from proofspark.sources import tables as T
 
 Q, O = {}, {}
 
@@ -57,12 +59,20 @@ y AS (SELECT job_id, CASE WHEN lost THEN 'queued' WHEN late THEN 'failed' ELSE s
 
 
 def _docs(df):
-    return df.select("doc_id", F.col("text").isNotNull().alias("has_text"), F.unix_seconds("input_expires_at").alias("input_expires_at"))
+    return df.select("doc_id", "has_text", F.unix_seconds("input_expires_at").alias("input_expires_at"))
+
+
+def _purged_chunks(spark, d, job_ids):
+    """All stored chunks after those of the given jobs were emptied in their table; jobs of one range share a partition."""
+    path = scratch_dir(spark, "stored-chunks")
+    X.stored_chunks(spark, d).withColumn("part", F.floor(F.col("job_id") / 4096)).repartition("part").write.partitionBy("part").parquet(path)
+    T.purge_stored(job_ids, path, "part", L.CHUNK_PAYLOAD)
+    return spark.read.parquet(path).drop("part")
 
 
 @registered
 def finalized_cancellations(spark, d):
-    return _state(L.finalize_cancelled(X.jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.as_of())[0])
+    return _state(L.finalize_cancelled(X.jobs(spark, d), X.stored_documents(spark, d), X.as_of())[0])
 
 
 _DUE = f"due AS (SELECT * FROM jobs WHERE status = 'cancel_requested' AND (lease_until IS NULL OR lease_until < {_T}))"
@@ -74,7 +84,7 @@ y AS (SELECT job_id, CASE WHEN hit THEN 'cancelled' ELSE status END AS status, C
 
 @registered
 def cancelled_documents(spark, d):
-    return _docs(L.finalize_cancelled(X.jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.as_of())[1])
+    return _docs(L.finalize_cancelled(X.jobs(spark, d), X.stored_documents(spark, d), X.as_of())[1])
 
 
 O["cancelled_documents"] = S.with_plain(S.STORED, S.JOBS, _DUE, select=f"""
@@ -84,7 +94,7 @@ SELECT doc_id, text IS NOT NULL AND doc_id NOT IN (SELECT document_id FROM due)
 
 @registered
 def cancelled_chunks(spark, d):
-    out = L.finalize_cancelled(X.jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.as_of())[2]
+    out = _purged_chunks(spark, d, L.finalize_cancelled(X.jobs(spark, d), X.stored_documents(spark, d), X.as_of())[2])
     return longs(out.select("job_id", "chunk_index", "content", "candidate_output", "verifier_output"))
 
 
@@ -163,7 +173,7 @@ SELECT doc_id FROM stored WHERE doc_id NOT IN (SELECT document_id FROM busy) AND
 
 @registered
 def expired_inputs(spark, d):
-    return _docs(L.expire_inputs(X.stored_documents(spark, d), _idle_jobs(spark, d), X.stored_chunks(spark, d), X.reports(spark, d), X.as_of())[0])
+    return _docs(L.expire_inputs(X.stored_documents(spark, d), _idle_jobs(spark, d), X.reports(spark, d), X.as_of())[0])
 
 
 O["expired_inputs"] = S.with_plain(S.STORED, _IDLE, S.REPORTS, _BUSY, f"""
@@ -174,7 +184,7 @@ SELECT doc_id, text IS NOT NULL AND NOT (due AND doc_id NOT IN (SELECT document_
 
 @registered
 def expired_chunks(spark, d):
-    out = L.expire_inputs(X.stored_documents(spark, d), _idle_jobs(spark, d), X.stored_chunks(spark, d), X.reports(spark, d), X.as_of())[1]
+    out = _purged_chunks(spark, d, L.expire_inputs(X.stored_documents(spark, d), _idle_jobs(spark, d), X.reports(spark, d), X.as_of())[1])
     return longs(out.select("job_id", "chunk_index", "content"))
 
 
@@ -185,7 +195,7 @@ SELECT c.job_id, chunk_index, CASE WHEN document_id NOT IN (SELECT doc_id FROM d
 
 @registered
 def cleanup_targets(spark, d):
-    return L.cleanup_targets(X.stored_documents(spark, d), _idle_jobs(spark, d), X.stored_chunks(spark, d), X.reports(spark, d), X.as_of())
+    return L.cleanup_targets(X.stored_documents(spark, d), _idle_jobs(spark, d), X.reports(spark, d), X.as_of())
 
 
 O["cleanup_targets"] = S.with_plain(S.STORED, _IDLE, S.REPORTS, _BUSY, select=f"""
@@ -194,7 +204,7 @@ UNION ALL SELECT 'report', report_id FROM reports WHERE expires_at < {_T}""")
 
 
 def _report_sweep(spark, d):
-    return L.expire_reports(X.reports(spark, d), X.jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.as_of())
+    return L.expire_reports(X.reports(spark, d), X.jobs(spark, d), X.stored_documents(spark, d), X.as_of())
 
 
 @registered
@@ -210,7 +220,7 @@ FROM (SELECT *, job_id IN (SELECT job_id FROM gone) AND status = 'completed' AS
 
 @registered
 def expired_report_chunks(spark, d):
-    return longs(_report_sweep(spark, d)[3].select("job_id", "chunk_index", "content"))
+    return longs(_purged_chunks(spark, d, _report_sweep(spark, d)[3]).select("job_id", "chunk_index", "content"))
 
 
 O["expired_report_chunks"] = S.with_plain(S.JOBS, S.REPORTS, _GONE, S.STORED_CHUNKS, select="""
@@ -227,8 +237,8 @@ O["kept_reports"] = S.with_plain(S.REPORTS, select=f"SELECT report_id FROM repor
 
 @registered
 def report_released_documents(spark, d):
-    out = L.expire_reports(X.reports(spark, d), _idle_jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.as_of())[2]
-    return out.select("doc_id", F.col("text").isNotNull().alias("has_text"))
+    out = L.expire_reports(X.reports(spark, d), _idle_jobs(spark, d), X.stored_documents(spark, d), X.as_of())[2]
+    return out.select("doc_id", "has_text")
 
 
 O["report_released_documents"] = S.with_plain(S.STORED, _IDLE, S.REPORTS, _BUSY, _GONE, """
@@ -245,7 +255,7 @@ def _finished(spark, d):
 
 
 def _completion(spark, d):
-    return L.apply_completion(_finished(spark, d), X.jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.as_of())
+    return L.apply_completion(_finished(spark, d), X.jobs(spark, d), X.stored_documents(spark, d), X.as_of())
 
 
 @registered

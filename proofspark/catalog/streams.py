@@ -149,7 +149,7 @@ FROM docs d LEFT JOIN issues i USING (doc_id) GROUP BY d.doc_id""")
 
 @registered
 def swept_jobs(spark, d):
-    out = R.sweep(X.jobs(spark, d), X.stored_documents(spark, d), X.stored_chunks(spark, d), X.reports(spark, d), X.as_of())
+    out = R.sweep(X.jobs(spark, d), X.stored_documents(spark, d), X.reports(spark, d), X.as_of())
     return out["jobs"].groupBy("status", "error_code").agg(F.count(F.lit(1)).alias("jobs"))
 
 

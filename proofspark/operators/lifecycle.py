@@ -51,6 +51,7 @@ def recover_leases(jobs: DataFrame, as_of: Column) -> DataFrame:
         "error_code": F.lit("JOB_TIMEOUT")}, requeued)
 
 
+#: Columns of a stored chunk that retention empties; see ``purge_stored``.
 CHUNK_PAYLOAD = ["content", "candidate_output", "verifier_output"]
 
 
@@ -59,30 +60,27 @@ def _cancelled(as_of: Column) -> dict[str, Column]:
             "completed_at": as_of, "error_code": F.lit("JOB_CANCELLED")}
 
 
-def purge_chunks(chunks: DataFrame, job_ids: DataFrame) -> DataFrame:
-    """Null the text and outputs of the chunks of the given jobs."""
-    marked = chunks.join(job_ids.select("job_id", F.lit(True).alias("purge")).distinct(), "job_id", "left")
-    return marked.select(*[
-        F.when(F.col("purge"), F.lit(None)).otherwise(F.col(c)).cast(chunks.schema[c].dataType).alias(c) if c in CHUNK_PAYLOAD else c
-        for c in chunks.columns])
+def heads(docs: DataFrame) -> DataFrame:
+    """Documents without their text; ``has_text`` tells whether there is one. Retention moves only these rows."""
+    return docs.withColumn("has_text", F.col("text").isNotNull()).drop("text") if "text" in docs.columns else docs
 
 
-def purge_sources(docs: DataFrame, doc_ids: DataFrame, as_of: Column) -> DataFrame:
-    """Null the text of the given documents and let a stored input expire now."""
-    marked = docs.join(doc_ids.select("doc_id", F.lit(True).alias("purge")).distinct(), "doc_id", "left")
-    gone = F.coalesce("purge", F.lit(False))
-    expiry = F.when(gone, F.when(F.col("storage_path").isNotNull(), as_of)).otherwise(F.col("input_expires_at"))
-    return marked.select(*[
-        F.when(~gone, F.col("text")).alias(c) if c == "text" else expiry.alias(c) if c == "input_expires_at" else c
-        for c in docs.columns])
+def _change_heads(docs: DataFrame, marked: DataFrame, changes: dict[str, Column]) -> DataFrame:
+    """Heads with some columns replaced; the marks that were joined to them are dropped."""
+    return marked.select(*[changes[c].cast(docs.schema[c].dataType).alias(c) if c in changes else c for c in docs.columns])
 
 
-def finalize_cancelled(jobs: DataFrame, docs: DataFrame, chunks: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A requested cancellation without a live lease becomes final; its text and chunk outputs go."""
+def finalize_cancelled(jobs: DataFrame, docs: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, document heads, ids of jobs whose chunks go): a requested cancellation without a live lease is final."""
     due = (F.col("status") == "cancel_requested") & (F.col("lease_until").isNull() | (F.col("lease_until") < as_of))
-    doc_ids = jobs.where(due).select(F.col("document_id").alias("doc_id"))
+    docs = heads(docs)
     after = _when(due, _cancelled(as_of), jobs)
-    return after, purge_sources(docs, doc_ids, as_of), purge_chunks(chunks, after.where("status = 'cancelled'"))
+    hit = jobs.where(due).select(F.col("document_id").alias("doc_id"), F.lit(True).alias("purge")).distinct()
+    gone = F.coalesce("purge", F.lit(False))
+    docs_after = _change_heads(docs, docs.join(hit, "doc_id", "left"), {
+        "has_text": F.col("has_text") & ~gone,
+        "input_expires_at": F.when(gone, F.when(F.col("storage_path").isNotNull(), as_of)).otherwise(F.col("input_expires_at"))})
+    return after, docs_after, after.where("status = 'cancelled'").select("job_id")
 
 
 def apply_cancels(jobs: DataFrame, requests: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
@@ -120,29 +118,27 @@ def releasable_sources(docs: DataFrame, jobs: DataFrame, reports: DataFrame, as_
     return idle.join(retryable, "doc_id", "left_anti").join(live, "doc_id", "left_anti")
 
 
-def expire_inputs(
-    docs: DataFrame, jobs: DataFrame, chunks: DataFrame, reports: DataFrame, as_of: Column
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, chunks, cleanup targets) after input expiry: busy documents wait, reported texts stay."""
+def expire_inputs(docs: DataFrame, jobs: DataFrame, reports: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(document heads, ids of jobs whose chunks go, cleanup targets): busy documents wait, reported texts stay."""
+    docs = heads(docs)
     due = docs.where(F.col("input_expires_at") < as_of).select("doc_id", "storage_path")
     due = due.join(docs_with_active_jobs(due.select("doc_id"), jobs), "doc_id", "left_anti")
     live = docs_with_live_reports(docs.select("doc_id"), jobs, reports, as_of).withColumn("live", F.lit(True))
     marked = docs.join(due.select("doc_id", F.lit(True).alias("due")), "doc_id", "left").join(live, "doc_id", "left")
     is_due = F.coalesce("due", F.lit(False))
-    text = F.when(is_due & F.col("live").isNull(), F.lit(None)).otherwise(F.col("text")).cast("string")
-    expiry = F.when(is_due & F.col("storage_path").isNull(), F.lit(None)).otherwise(F.col("input_expires_at"))
-    after = marked.select(*[
-        text.alias(c) if c == "text" else expiry.cast(docs.schema[c].dataType).alias(c) if c == "input_expires_at" else c
-        for c in docs.columns])
-    due_jobs = jobs.join(due.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi")
+    after = _change_heads(docs, marked, {
+        "has_text": F.col("has_text") & ~(is_due & F.col("live").isNull()),
+        "input_expires_at": F.when(~(is_due & F.col("storage_path").isNull()), F.col("input_expires_at"))})
+    due_jobs = jobs.join(due.select(F.col("doc_id").alias("document_id")), "document_id", "left_semi").select("job_id")
     targets = due.where(F.col("storage_path").isNotNull()).select(F.lit("document").alias("kind"), F.col("doc_id").alias("target_id"))
-    return after, purge_chunks(chunks, due_jobs), targets
+    return after, due_jobs, targets
 
 
 def expire_reports(
-    reports: DataFrame, jobs: DataFrame, docs: DataFrame, chunks: DataFrame, as_of: Column
+    reports: DataFrame, jobs: DataFrame, docs: DataFrame, as_of: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(reports, jobs, documents, chunks) after report expiry."""
+    """(reports, jobs, document heads, ids of jobs whose chunks go) after report expiry."""
+    docs = heads(docs)
     expired = reports.where(F.col("expires_at") < as_of).select("job_id", F.lit(True).alias("gone")).distinct()
     kept = reports.where(~F.coalesce(F.col("expires_at") < as_of, F.lit(False)))
     marked = jobs.join(expired, "job_id", "left")
@@ -152,18 +148,19 @@ def expire_reports(
     jobs_after = after.select(*jobs.columns)
     free = releasable_sources(docs, jobs_after, kept, as_of).select("doc_id").join(
         touched.select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn("free", F.lit(True))
-    docs_after = docs.join(free, "doc_id", "left").select(*[
-        F.when(F.col("free").isNull(), F.col("text")).alias(c) if c == "text" else c for c in docs.columns])
-    return kept, jobs_after, docs_after, purge_chunks(chunks, touched.where("status = 'expired'"))
+    docs_after = _change_heads(docs, docs.join(free, "doc_id", "left"), {"has_text": F.col("has_text") & F.col("free").isNull()})
+    return kept, jobs_after, docs_after, touched.where("status = 'expired'").select("job_id")
 
 
 def apply_completion(
-    finished: DataFrame, jobs: DataFrame, docs: DataFrame, chunks: DataFrame, as_of: Column
+    finished: DataFrame, jobs: DataFrame, docs: DataFrame, as_of: Column
 ) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(jobs, documents, chunks, rejects) after finished reports (job_id, user_id, worker_id, report_id).
+    """(jobs, document heads, ids of jobs whose chunks go, rejects) after finished reports.
 
-    Only the owning worker may complete, and only from a reporting state.
+    Reports come as (job_id, user_id, worker_id, report_id). Only the owning worker may complete, and only from a
+    reporting state.
     """
+    docs = heads(docs)
     looked = finished.join(
         jobs.select("job_id", "user_id", F.col("worker_id").alias("owner"), "status"), ["job_id", "user_id"], "left")
     verdict = (
@@ -180,10 +177,9 @@ def apply_completion(
         "status": F.lit("completed"), "stage": F.lit("completed"), "progress": F.lit(100), "report_id": F.col("new_report"),
         "completed_at": as_of, "lease_until": F.lit(None), "error_code": F.lit(None)}, marked)
     doc_ids = after.where(done).select(F.col("document_id").alias("doc_id"), F.lit(True).alias("hit")).distinct()
-    expiry = F.when(F.col("hit"), F.when(F.col("storage_path").isNotNull(), as_of)).otherwise(F.col("input_expires_at"))
-    docs_after = docs.join(doc_ids, "doc_id", "left").select(*[
-        expiry.alias(c) if c == "input_expires_at" else c for c in docs.columns])
-    return after.select(*jobs.columns), docs_after, purge_chunks(chunks, good), rejects
+    docs_after = _change_heads(docs, docs.join(doc_ids, "doc_id", "left"), {
+        "input_expires_at": F.when(F.col("hit"), F.when(F.col("storage_path").isNotNull(), as_of)).otherwise(F.col("input_expires_at"))})
+    return after.select(*jobs.columns), docs_after, good.select("job_id"), rejects
 
 
 def trim_log(df: DataFrame, column: str, ttl_hours: int, as_of: Column) -> DataFrame:
@@ -296,9 +292,9 @@ def ids_unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
         after.exceptAll(before).withColumn("change", F.lit("appeared")))
 
 
-def cleanup_targets(docs: DataFrame, jobs: DataFrame, chunks: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
+def cleanup_targets(docs: DataFrame, jobs: DataFrame, reports: DataFrame, as_of: Column) -> DataFrame:
     """Expired inputs that may go now and expired reports, tagged by kind."""
-    _, _, inputs = expire_inputs(docs, jobs, chunks, reports, as_of)
+    _, _, inputs = expire_inputs(docs, jobs, reports, as_of)
     return inputs.unionByName(reports.where(F.col("expires_at") < as_of).select(
         F.lit("report").alias("kind"), F.col("report_id").alias("target_id")))
 
@@ -334,9 +330,11 @@ def login_pressure(attempts: DataFrame, limit: int = 5, window_minutes: int = 15
         frame = W.partitionBy(*keys, "bucket").orderBy("at").rangeBetween(-span + 1, -1)
         return F.coalesce(F.sum(failed).over(frame), F.lit(0))
 
-    counted = rows.select(
-        "*", recent("user_key").alias("by_user"), recent("ip").alias("by_ip"), recent("user_key", "ip").alias("by_both"))
-    by_ip = F.when(F.col("ip").isNotNull(), F.col("by_ip") - F.col("by_both")).otherwise(0)
+    # attempts without an address count by user only, so they never gather in one group of unknown addresses
+    by_user = rows.withColumn("by_user", recent("user_key"))
+    known = by_user.where("ip is not null").select("*", recent("ip").alias("by_ip"), recent("user_key", "ip").alias("by_both"))
+    counted = known.unionByName(by_user.where("ip is null").select("*", F.lit(0).cast("bigint").alias("by_ip"), F.lit(0).cast("bigint").alias("by_both")))
+    by_ip = F.col("by_ip") - F.col("by_both")
     return counted.where("bucket = own").select(
         *attempts.columns, (F.col("by_user") + by_ip).cast("bigint").alias("failures")
     ).withColumn("blocked", F.col("failures") >= limit)

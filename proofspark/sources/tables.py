@@ -103,7 +103,7 @@ def write_reports(reports: DataFrame, path: str, buckets: int = 64) -> None:
     """
     spark = reports.sparkSession
     bucket = F.pmod(F.hash("job_id"), F.lit(buckets)).alias("bucket")
-    fresh = reports.select("*", bucket)
+    fresh = written(reports.select("*", bucket), "reports-fresh")
     try:
         stored = spark.read.parquet(path)
     except Exception as error:  # noqa: BLE001
@@ -114,8 +114,31 @@ def write_reports(reports: DataFrame, path: str, buckets: int = 64) -> None:
         touched = fresh.select("bucket").distinct()
         others = stored.join(touched, "bucket", "left_semi").join(fresh.select("job_id"), "job_id", "left_anti")
         fresh = fresh.unionByName(others.select(*fresh.columns))
-    staged = written(fresh, "reports-stage")
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        fresh = written(fresh, "reports-stage")
+    _replace_partitions(fresh, path, "bucket")
+
+
+def _replace_partitions(staged: DataFrame, path: str, partition: str) -> None:
+    """Replace the partitions that ``staged`` has rows of; rows are gathered by partition, so each gets few files."""
+    staged.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def purge_stored(ids: DataFrame, path: str, partition: str, columns: list[str]) -> None:
+    """Null ``columns`` in the rows of a stored table whose key is in the only column of ``ids``.
+
+    The keys alone are read to find the partitions that hold such rows; all others are neither read nor written. Tables
+    partitioned by the day of creation expire day by day. The list of partitions is the only thing that reaches the driver.
+    """
+    spark, key = ids.sparkSession, ids.columns[0]
+    ids = written(ids.distinct(), "purge-ids")
+    stored = spark.read.parquet(path)
+    touched = [row[0] for row in stored.select(key, partition).join(ids, key, "left_semi").select(partition).distinct().collect()]
+    if not touched:
+        return
+    marked = stored.where(F.col(partition).isin(touched)).join(ids.withColumn("_purge", F.lit(True)), key, "left")
+    emptied = marked.select(*[
+        F.when(F.col("_purge").isNull(), F.col(c)).alias(c) if c in columns else F.col(c) for c in stored.columns])
+    _replace_partitions(written(emptied, "purge-stage"), path, partition)
 
 
 def evaluation_summary(metrics: DataFrame, documents: int | Column) -> DataFrame:

@@ -119,10 +119,15 @@ def stream_intake(docs: DataFrame, transform: Callable[[DataFrame], DataFrame],
     return read_batches(docs.sparkSession, path, holder["schema"]).drop("batch_id")
 
 
-def sweep(jobs: DataFrame, docs: DataFrame, chunks: DataFrame, reports: DataFrame, as_of) -> dict[str, DataFrame]:
-    """One retention pass: queue and lease deadlines, cancellations, inputs, reports. Run it on a schedule."""
+def sweep(jobs: DataFrame, docs: DataFrame, reports: DataFrame, as_of) -> dict[str, DataFrame]:
+    """One retention pass: queue and lease deadlines, cancellations, inputs, reports. Run it on a schedule.
+
+    Documents come back as heads; the texts of those without ``has_text``, and the chunks of ``purged_jobs``, are emptied
+    in their own tables by ``purge_stored``.
+    """
     jobs = L.recover_leases(L.expire_queued(jobs, as_of), as_of)
-    jobs, docs, chunks = L.finalize_cancelled(jobs, docs, chunks, as_of)
-    docs, chunks, targets = L.expire_inputs(docs, jobs, chunks, reports, as_of)
-    reports, jobs, docs, chunks = L.expire_reports(reports, jobs, docs, chunks, as_of)
-    return {"jobs": jobs, "documents": docs, "chunks": chunks, "reports": reports, "cleanup": targets}
+    jobs, docs, cancelled = L.finalize_cancelled(jobs, docs, as_of)
+    docs, unread, targets = L.expire_inputs(docs, jobs, reports, as_of)
+    reports, jobs, docs, expired = L.expire_reports(reports, jobs, docs, as_of)
+    purged = cancelled.unionByName(unread).unionByName(expired).distinct()
+    return {"jobs": jobs, "documents": docs, "purged_jobs": purged, "reports": reports, "cleanup": targets}
