@@ -56,17 +56,53 @@ def matched_edges(spark, d):
 O["matched_edges"] = S.with_plain(S.LINE_ISSUES, _SETS, select="SELECT doc_id, category, n AS pred_id, n AS gold_id, o AS overlap FROM edges WHERE same OR category <> 'grammar'")
 
 
-def _slice_sql() -> str:
-    rows = []
-    for i, (name, view, category, subtype) in enumerate(E._slices()):
-        cat = f"category = '{category}'" if category else "category <> 'paragraph'"
-        sub = f" AND grammar_subtype = '{subtype}'" if subtype else ""
-        lvl = f" AND level = '{view}'" if view in K.LEVELS else ""
-        same = "" if view == "grammar_any" else " AND (same OR category <> 'grammar')"
-        rows.append(f"""SELECT '{name}' AS slice, (SELECT count(*) FROM edges WHERE {cat}{sub}{lvl}{same}) AS tp,
-  (SELECT count(*) FROM pred WHERE {cat}{sub}{lvl}) AS p, (SELECT count(*) FROM gold WHERE {cat}{sub}) AS g""")
-    return "slices AS (" + "\nUNION ALL ".join(rows) + ")"
-
+# The slices of a report, spelled out apart from the operator: (name, view, category, subtype).
+_SLICES = """
+slice_list(slice, view, category, sub) AS (VALUES
+  ('confirmed', 'confirmed', NULL, NULL), ('suspected_only', 'suspected', NULL, NULL), ('combined', 'all', NULL, NULL),
+  ('category:typo', 'all', 'typo', NULL), ('category:punctuation', 'all', 'punctuation', NULL),
+  ('category:grammar', 'all', 'grammar', NULL), ('category:paragraph', 'all', 'paragraph', NULL),
+  ('grammar_detection', 'grammar_any', 'grammar', NULL),
+  ('subtype:word_order', 'all', 'grammar', 'word_order'), ('subtype:collocation', 'all', 'grammar', 'collocation'),
+  ('subtype:missing_component', 'all', 'grammar', 'missing_component'), ('subtype:redundant_component', 'all', 'grammar', 'redundant_component'),
+  ('subtype:missing_or_redundant_component', 'all', 'grammar', 'missing_or_redundant_component'),
+  ('subtype:mixed_structure', 'all', 'grammar', 'mixed_structure'), ('subtype:ambiguity', 'all', 'grammar', 'ambiguity'),
+  ('subtype:illogical', 'all', 'grammar', 'illogical'), ('subtype:conjunction', 'all', 'grammar', 'conjunction'),
+  ('subtype:word_misuse', 'all', 'grammar', 'word_misuse'))"""
+
+# From pred and gold (doc_id, id, category, grammar_subtype, s, e; level in pred only) to maximum matchings. Within an
+# island the labels are taken in order; each is left out or given a prediction whose bit is still free.
+_MATCHING = _SLICES + """,
+m_sides AS (
+  SELECT doc_id, unnest(['all', level] || CASE WHEN category = 'grammar' THEN ['grammar_any'] ELSE [] END) AS view, category, grammar_subtype, s, e, id, 1 AS side FROM pred
+  UNION ALL SELECT doc_id, unnest(['all', 'confirmed', 'suspected'] || CASE WHEN category = 'grammar' THEN ['grammar_any'] ELSE [] END), category, grammar_subtype, s, e, id, 0 FROM gold),
+m_keyed AS (SELECT *, CASE WHEN view = 'grammar_any' THEN '' ELSE coalesce(grammar_subtype, '') END AS sub FROM m_sides),
+m_apart AS (SELECT *, s >= coalesce(max(e) OVER (PARTITION BY doc_id, view, category, sub ORDER BY s, e, side, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fresh FROM m_keyed),
+m_placed AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id, view, category, sub ORDER BY s, e, side, id) AS island FROM m_apart),
+m_spots AS (SELECT *, dense_rank() OVER (ORDER BY doc_id, view, category, sub, island) AS k,
+  row_number() OVER (PARTITION BY doc_id, view, category, sub, island, side ORDER BY s, e, id) AS at FROM m_placed),
+m_near AS (SELECT p.k, g.at AS j, (1::HUGEINT << (p.at - 1)::INT) AS bit FROM m_spots p JOIN m_spots g ON p.k = g.k AND p.side = 1 AND g.side = 0
+  WHERE least(p.e, g.e) > greatest(p.s, g.s) AND 2 * (least(p.e, g.e) - greatest(p.s, g.s)) >= p.e - p.s AND 2 * (least(p.e, g.e) - greatest(p.s, g.s)) >= g.e - g.s),
+m_turns AS (SELECT k, bit, dense_rank() OVER (PARTITION BY k ORDER BY j) AS j FROM m_near),
+m_choices AS (SELECT k, bit, j FROM m_turns UNION SELECT k, 0::HUGEINT, j FROM m_turns),
+m_states AS (SELECT DISTINCT k, 0::BIGINT AS j, 0::HUGEINT AS mask FROM m_turns
+  UNION SELECT r.k, c.j, r.mask | c.bit FROM m_states r JOIN m_choices c ON c.k = r.k AND c.j = r.j + 1 WHERE r.mask & c.bit = 0),
+m_best AS (SELECT k, max(bit_count(mask)) AS matched FROM m_states GROUP BY k),
+m_islands AS (SELECT k, view, category, sub, count(*) FILTER (side = 1) AS p, count(*) FILTER (side = 0) AS g FROM m_spots GROUP BY ALL),
+slices AS (SELECT l.slice, coalesce(sum(matched), 0)::BIGINT AS tp, coalesce(sum(p), 0)::BIGINT AS p, coalesce(sum(g), 0)::BIGINT AS g
+  FROM slice_list l LEFT JOIN (m_islands LEFT JOIN m_best USING (k)) i ON i.view = l.view AND (i.category = l.category OR l.category IS NULL AND i.category <> 'paragraph')
+    AND (l.sub IS NULL OR i.sub = l.sub) GROUP BY l.slice)"""
+
+
+# Where every prediction meets one label at most, the pairs themselves are the matching.
+_PAIRED = _SLICES + """,
+slices AS (SELECT l.slice,
+  (SELECT count(*) FROM edges x WHERE (x.category = l.category OR l.category IS NULL AND x.category <> 'paragraph') AND (l.sub IS NULL OR x.grammar_subtype = l.sub)
+     AND (l.view IN ('all', 'grammar_any') OR x.level = l.view) AND (l.view = 'grammar_any' OR x.same OR x.category <> 'grammar')) AS tp,
+  (SELECT count(*) FROM pred x WHERE (x.category = l.category OR l.category IS NULL AND x.category <> 'paragraph') AND (l.sub IS NULL OR x.grammar_subtype = l.sub)
+     AND (l.view IN ('all', 'grammar_any') OR x.level = l.view)) AS p,
+  (SELECT count(*) FROM gold x WHERE (x.category = l.category OR l.category IS NULL AND x.category <> 'paragraph') AND (l.sub IS NULL OR x.grammar_subtype = l.sub)) AS g
+  FROM slice_list l)"""
 
 _METRICS = """tp AS true_positive, p - tp AS false_positive, g - tp AS false_negative,
   CASE WHEN p = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / p END AS "precision", CASE WHEN g = 0 THEN 0.0::DOUBLE ELSE tp::DOUBLE / g END AS recall,
@@ -78,7 +114,7 @@ def evaluation(spark, d):
     return E.evaluate(line_predictions(spark, d), line_gold(spark, d))
 
 
-O["evaluation"] = S.with_plain(S.LINE_ISSUES, _SETS, _slice_sql(), select=f"SELECT slice, {_METRICS} FROM slices")
+O["evaluation"] = S.with_plain(S.LINE_ISSUES, _SETS, _PAIRED, select=f"SELECT slice, {_METRICS} FROM slices")
 
 
 @registered
@@ -94,6 +130,12 @@ def contested_evaluation(spark, d):
     return E.evaluate(pred, gold)
 
 
+O["contested_evaluation"] = S.with_recursive(S.LINE_ISSUES, """
+pred AS (SELECT doc_id, n AS id, 'typo' AS category, NULL::VARCHAR AS grammar_subtype, level, n * 2 + sk % 3 AS s, n * 2 + sk % 3 + 4 + pk % 3 AS e FROM iss),
+gold AS (SELECT doc_id, n AS id, 'typo' AS category, NULL::VARCHAR AS grammar_subtype, n * 2 + sk % 3 + 1 AS s, n * 2 + sk % 3 + 5 + sk % 2 AS e FROM iss WHERE n % 3 <> 0)""",
+    _MATCHING, select=f"SELECT slice, {_METRICS} FROM slices")
+
+
 @registered
 def issue_evaluation(spark, d):
     """The collection's issues against labels shifted by a few characters, some of them missing."""
@@ -107,6 +149,13 @@ def issue_evaluation(spark, d):
     return E.evaluate(pred, gold)
 
 
+O["issue_evaluation"] = S.with_recursive(S.DOCS, S.CHUNKS, S.RULES, S.OCCURRENCES, S.ISSUES, """
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id, char_start, char_end, category, chunk_index, candidate_index) AS id FROM issues),
+pred AS (SELECT doc_id, id, category, grammar_subtype, level, char_start AS s, char_end AS e FROM numbered),
+gold AS (SELECT doc_id, id, category, grammar_subtype, char_start + char_start % 3 AS s, char_end + char_start % 3 AS e FROM numbered WHERE (doc_id + char_start) % 4 <> 0)""",
+    _MATCHING, select=f"SELECT slice, {_METRICS} FROM slices")
+
+
 @registered
 def evaluation_strata(spark, d):
     docs = X.documents(spark, d).select("doc_id", "analysis_profile", F.length("text").alias("char_count"))

@@ -293,7 +293,8 @@ SELECT doc_id, text IS NOT NULL AS has_text, epoch(CASE WHEN doc_id IN (SELECT d
 def eligible_requests(spark, d):
     """Orders as requests; documents of re-queued jobs are taken already."""
     k = F.col("o_orderkey")
-    reqs = X.table(spark, d, "orders").select(k.alias("request_id"), (k % 1000).alias("document_id"), (k % 1000 % 150).alias("user_id"),
+    document = X.document_of(spark, d, k)
+    reqs = X.table(spark, d, "orders").select(k.alias("request_id"), document.alias("document_id"), (document % 150).alias("user_id"),
                                               (k % 25).cast("int").alias("model_profile_id"))
     jobs = X.jobs(spark, d).where("status = 'queued' AND error_code IS NOT NULL")
     n = F.col("n_nationkey")
@@ -303,8 +304,8 @@ def eligible_requests(spark, d):
 
 
 O["eligible_requests"] = S.with_plain(S.STORED, S.JOBS, select=f"""
-SELECT o_orderkey AS request_id FROM orders JOIN stored ON doc_id = o_orderkey % 1000 JOIN nation ON n_nationkey = o_orderkey % 25
-WHERE storage_path IS NOT NULL AND input_expires_at > {_T} AND doc_id NOT IN (SELECT document_id FROM jobs WHERE status = 'queued' AND error_code IS NOT NULL) AND n_nationkey % 4 <> 0 AND (n_nationkey % 5 <> 0 OR n_nationkey = o_orderkey % 1000 % 150)""")
+SELECT o_orderkey AS request_id FROM orders JOIN stored ON doc_id = o_orderkey % {S.DOCUMENTS} JOIN nation ON n_nationkey = o_orderkey % 25
+WHERE storage_path IS NOT NULL AND input_expires_at > {_T} AND doc_id NOT IN (SELECT document_id FROM jobs WHERE status = 'queued' AND error_code IS NOT NULL) AND n_nationkey % 4 <> 0 AND (n_nationkey % 5 <> 0 OR n_nationkey = doc_id % 150)""")
 
 
 @registered
@@ -346,7 +347,7 @@ SELECT job_id, count(*) AS total_chunks, count(*) FILTER (status = 'completed')
 @registered
 def deletion_plans(spark, d):
     jobs = X.jobs(spark, d).withColumn("user_id", F.col("document_id") % 50)
-    reports = X.reports(spark, d).withColumn("user_id", F.col("job_id") % 1000 % 50)
+    reports = X.reports(spark, d).withColumn("user_id", X.document_of(spark, d, F.col("job_id")) % 50)
     k = F.col("job_id")
     targets = (
         jobs.select(F.lit("analysis").alias("kind"), k.alias("target_id"), "user_id")

@@ -62,26 +62,29 @@ def _buckets(start, end):
 def locate(spans: DataFrame, segments: DataFrame) -> DataFrame:
     """Add page, page_end, line_start, line_end, paragraph_index, sentence_index and ``located`` to every span.
 
-    Spans and segments meet on (document, position bucket), so a long document spreads over many small groups.
-    The sentence number adds the sentence ends of earlier lines of the paragraph to those inside the first line.
+    Spans and segments meet on (document, position bucket), so a long document spreads over many small groups. Lines are
+    cut at the bucket bounds first, so a bucket carries its own characters only, however long the line. The sentence
+    number adds the sentence ends of the paragraph before a piece to those inside it.
     """
-    in_paragraph = (
-        W.partitionBy("doc_id", "paragraph_index").orderBy("char_start").rowsBetween(W.unboundedPreceding, -1)
-    )
-    seg = segments.withColumn(
-        "ends_before", F.coalesce(F.sum(sentence_ends(F.col("line_text"))).over(in_paragraph), F.lit(0))
-    ).select("*", _buckets(F.col("char_start"), F.col("char_end")).alias("bucket"))
+    in_paragraph = W.partitionBy("doc_id", "paragraph_index").orderBy("piece_start").rowsBetween(W.unboundedPreceding, -1)
+    at = F.greatest(F.col("char_start"), F.col("bucket") * BUCKET_CHARS)
+    size = F.least(F.col("char_end"), (F.col("bucket") + 1) * BUCKET_CHARS) - at
+    pieces = segments.select("*", _buckets(F.col("char_start"), F.col("char_end")).alias("bucket")).select(
+        "doc_id", "bucket", "char_start", "char_end", "page", "line", "paragraph_index", at.alias("piece_start"),
+        F.substring("line_text", at - F.col("char_start") + 1, size).alias("piece"))
+    seg = pieces.withColumn("ends_before", F.coalesce(F.sum(sentence_ends(F.col("piece"))).over(in_paragraph), F.lit(0)))
     wanted = spans.select("doc_id", "char_start", "char_end").where(
         (F.col("char_start") >= 0) & (F.col("char_end") > F.col("char_start"))
     ).distinct().select(
         "doc_id", F.col("char_start").alias("span_start"), F.col("char_end").alias("span_end"),
         _buckets(F.col("char_start"), F.col("char_end")).alias("bucket"),
     )
-    inside = F.substring("line_text", F.lit(1), F.greatest(F.col("span_start") - F.col("char_start"), F.lit(0)))
+    inside = F.substring("piece", F.lit(1), F.greatest(F.col("span_start") - F.col("piece_start"), F.lit(0)))
+    # the first piece that a span meets holds its start, or starts its line behind it
     hits = wanted.join(seg, ["doc_id", "bucket"]).where(
         (F.col("char_start") < F.col("span_end")) & (F.col("char_end") > F.col("span_start"))
     ).select(
-        "doc_id", "span_start", "span_end", "char_start",
+        "doc_id", "span_start", "span_end", F.col("piece_start").alias("char_start"),
         F.struct("page", "line", "paragraph_index",
                  (F.col("ends_before") + sentence_ends(inside)).cast("int").alias("sentence_index")).alias("seg"),
     )

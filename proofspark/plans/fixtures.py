@@ -134,6 +134,11 @@ def line_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_of(spark: SparkSession, sf_dir: str, number: Column) -> Column:
+    """Some document of the whole table for each number."""
+    return number % table(spark, sf_dir, "documents").agg(F.max("doc_id") + 1).scalar()
+
+
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
@@ -141,7 +146,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ended = pick(STATUSES, k).isin(TERMINAL)
     started = pick(STATUSES, k) != "queued"
     return o.select(
-        k.alias("job_id"), (F.col("o_custkey") % 150).alias("user_id"), (k % 1000).alias("document_id"),
+        k.alias("job_id"), (F.col("o_custkey") % 150).alias("user_id"), document_of(spark, sf_dir, k).alias("document_id"),
         pick(PROFILES, k).alias("analysis_profile"), pick(STATUSES, k).alias("status"), pick(STATUSES, k).alias("stage"),
         (k % 101).cast("int").alias("progress"), (k % 9).cast("int").alias("completed_chunks"),
         F.when(started, F.concat(F.lit("w"), (k % 10).cast("string"))).alias("worker_id"),
@@ -164,7 +169,7 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
-    return documents(spark, sf_dir).select(
+    return shaped(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(
         "doc_id", "user_id", "original_name", "document_format", "text",
         F.when(d % 4 != 0, F.concat(F.lit("f/"), d.cast("string"))).alias("storage_path"),
         F.when(d % 6 != 0, as_of() + F.make_dt_interval(hours=(24 - d % 72).cast("int"))).alias("input_expires_at"))

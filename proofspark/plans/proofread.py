@@ -15,18 +15,18 @@ from proofspark.operators.resolve import fail_documents, pair_verdicts, remap_ve
 from proofspark.operators.rules import scan_occurrences, scan_rules
 from proofspark.operators.segment import locate
 from proofspark.session import written
-from proofspark.sources.text import gate_chunkless
+from proofspark.sources.text import gate_chunkless, gate_documents
 
 
 def proofread(
     docs: DataFrame, rules: DataFrame, evidence: DataFrame, verify: Callable[[DataFrame], DataFrame],
     every_occurrence: bool = True,
 ) -> DataFrame:
-    """Folded issues of a collection.
+    """Folded issues of a collection; texts beyond the length gate and blank ones have none.
 
     Everything up to the accepted issue is one narrow stage behind the scan; only issue rows are shuffled.
     """
-    chunks = chunk(docs)
+    chunks = chunk(gate_documents(docs)[0])
     scanned = scan_occurrences(chunks, rules) if every_occurrence else scan_rules(chunks, rules)
     return fold_issues(finalize(verify(resolve_candidates(scanned)), evidence))
 
@@ -41,11 +41,13 @@ def proofread_responses(
 ) -> tuple[DataFrame, DataFrame]:
     """(located and folded issues, rejects) from stored responses of both passes.
 
-    Responses have doc_id, chunk_index, content, as normalize_responses gives them, with its error_code. A bad or
-    missing response, an unknown verdict index or an issue without a place fails the document as a whole. Tables that
-    several steps read are stored once in the shared scratch folder.
+    Responses have doc_id, chunk_index, content, as normalize_responses gives them, with its error_code. A bad, missing
+    or repeated response, an unknown verdict index or an issue without a place fails the document as a whole, and so does
+    the length gate. Tables that several steps read are stored once in the shared scratch folder.
     """
     keys = ["doc_id", "chunk_index"]
+    candidate_responses, verdict_responses = _one_each(candidate_responses), _one_each(verdict_responses)
+    docs, gated = gate_documents(docs)
     chunks = written(chunk(docs), "chunks")
     asked = chunks.select(*keys)
     first = _checked(P.check_candidates(P.parse_candidates(candidate_responses.drop("error_code"))), candidate_responses)
@@ -63,13 +65,21 @@ def proofread_responses(
     found = finalize(pair_verdicts(resolved, verdicts), evidence, confirmed_threshold, suspected_threshold)
     located = written(locate(found, segments), "located")
     homeless = _reject(located.where("not located"), "locate", "MODEL_OUTPUT_INVALID")
-    empty = gate_chunkless(docs, chunks).select("stage", "doc_id", F.lit(None).cast("int").alias("chunk_index"), "error_code")
+    empty = gate_chunkless(docs, chunks).unionByName(gated).select("stage", "doc_id", F.lit(None).cast("int").alias("chunk_index"), "error_code")
     rejects = written(
         bad_first.unionByName(silent).unionByName(bad_second).unionByName(unanswered).unionByName(lost).unionByName(homeless)
         .unionByName(empty).distinct(), "rejects")
     return fail_documents(fold_issues(located.where("located")), rejects), rejects
 
 
+def _one_each(responses: DataFrame) -> DataFrame:
+    """One row per chunk; where several responses claim it, none is taken."""
+    earlier = F.max("error_code") if "error_code" in responses.columns else F.lit(None)
+    return responses.groupBy("doc_id", "chunk_index").agg(
+        F.count(F.lit(1)).alias("n"), F.min("content").alias("content"), earlier.alias("earlier")
+    ).select("doc_id", "chunk_index", "content", F.when(F.col("n") > 1, "MODEL_OUTPUT_INVALID").otherwise(F.col("earlier")).alias("error_code"))
+
+
 def _checked(parsed: DataFrame, responses: DataFrame) -> DataFrame:
     """Keep the error an envelope already had."""
     if "error_code" not in responses.columns:

@@ -13,21 +13,21 @@ def issue(quote, **over):
 
 
 def test_responses_to_issues(spark):
-    texts = {1: "他们再操场上跑步。\n好。", 2: "一切正常。", 3: "坏回答。", 4: "没有复核。", 5: "没有回答。", 6: "下标不对。", 7: "　"}
+    texts = {1: "他们再操场上跑步。\n好。", 2: "一切正常。", 3: "坏回答。", 4: "没有复核。", 5: "没有回答。", 6: "下标不对。", 7: "　", 8: "两个回答。"}
     docs = spark.createDataFrame([(k, "general", v) for k, v in texts.items()], "doc_id long, analysis_profile string, text string")
     first = {1: {"issues": [issue("他们再操场上跑步。"), issue("不存在"), issue("好")]}, 2: {"issues": []}, 3: {"issues": [issue("坏", extra=1)]},
-             4: {"issues": [issue("没有")]}, 6: {"issues": [issue("下标")]}}
+             4: {"issues": [issue("没有")]}, 6: {"issues": [issue("下标")]}, 8: {"issues": []}}
     verdict = {"verdict": "confirmed", "confidence": 92, "reason": "r", "suggestion": "他们在操场上跑步。"}
     second = {1: [{**verdict, "candidate_index": 0}, {**verdict, "candidate_index": 1, "verdict": "suspected", "suggestion": "棒"}],
               6: [{**verdict, "candidate_index": 1}]}
     kind = "doc_id long, chunk_index int, content string"
-    a = spark.createDataFrame([(k, 0, json.dumps(v)) for k, v in first.items()], kind)
+    a = spark.createDataFrame([(k, 0, json.dumps(v)) for k, v in first.items()] + [(8, 0, json.dumps({"issues": []}))], kind)
     b = spark.createDataFrame([(k, 0, json.dumps({"verdicts": v})) for k, v in second.items()], kind)
     issues, rejects = proofread_responses(docs, build_segments(text_lines(docs)), a, b, X.evidence(spark))
     got = sorted((r.doc_id, r.char_start, r.original_text, r.suggestion, r.level, r.line_start) for r in issues.collect())
     assert got == [(1, 2, "再", "在", "confirmed", 1), (1, 10, "好", "棒", "suspected", 2)]
     assert sorted((r.doc_id, r.error_code) for r in rejects.collect()) == [
-        (3, "MODEL_OUTPUT_INVALID"), (4, "PROVIDER_UNAVAILABLE"), (5, "PROVIDER_UNAVAILABLE"), (6, "MODEL_OUTPUT_INVALID"), (7, "EXTRACTION_FAILED")]
+        (3, "MODEL_OUTPUT_INVALID"), (4, "PROVIDER_UNAVAILABLE"), (5, "PROVIDER_UNAVAILABLE"), (6, "MODEL_OUTPUT_INVALID"), (7, "EXTRACTION_FAILED"), (8, "MODEL_OUTPUT_INVALID")]
 
 
 def test_longest_document_and_ten_long_ones(spark):

@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 QUERIES, ORACLES = {k: q for k, q in queries().items() if not (k == "pipeline" or re.match(r"op\d+_", k))}, oracle_sql()
 #: Queries without SQL; their operators are tested against plain Python.
-UNCHECKED = {"contested_evaluation", "issue_evaluation", "streamed_lease_watch"}
+UNCHECKED = {"streamed_lease_watch"}
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +43,17 @@ def test_no_query_pairs_everything(spark, sf_dir):
     for name in heavy:
         plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_retention_never_moves_texts(spark, sf_dir):
+    """Below the retention queries no exchange carries a document's text, whatever Spark can broadcast."""
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("cancelled_documents", "expired_inputs", "report_released_documents", "completed_documents"):
+            plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().explainString(mode)
+            moved = re.findall(r"Exchange\s*\nInput \[\d+\]: \[(.*)\]", plan)
+            assert moved and not any(re.search(r"\btext#", columns) for columns in moved), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
