@@ -11,7 +11,9 @@ from proofspark.operators import lifecycle, payloads as P, requests as R
 from proofspark.operators.chunk import chunk
 from proofspark.operators.resolve import remap_verdicts, resolve_candidates
 from proofspark.operators.rules import scan_rules
+from proofspark.operators.segment import build_segments, text_lines
 from proofspark.plans import fixtures as X
+from proofspark.plans.proofread import proofread_responses
 
 Q, O = {}, {}
 
@@ -250,4 +252,69 @@ SELECT doc_id AS job_id, chunk_index, CASE WHEN doc_id % 9 <> 0 AND (doc_id + ch
   AND (doc_id + chunk_index) % 5 <= 2 THEN 'reusable' ELSE 'pending' END AS plan FROM chunks
 UNION ALL SELECT doc_id, 1000, 'surplus' FROM chunks WHERE chunk_index = 0 AND doc_id % 9 <> 0""")
 
+def _enveloped(rows, broken):
+    """Contents in the envelope of one of the three protocols, broken ones cut off by the length limit."""
+    k = F.col("doc_id")
+    chat = F.to_json(F.struct(F.array(F.struct(F.struct("content").alias("message"), F.when(broken, "length").otherwise("stop").alias("finish_reason"))).alias("choices")))
+    responses = F.to_json(F.struct(
+        F.when(broken, "incomplete").otherwise("completed").alias("status"),
+        F.array(F.struct(F.lit("message").alias("type"), F.lit("completed").alias("status"), F.array(
+            F.struct(F.lit("output_text").alias("type"), F.col("content").alias("text"))).alias("content"))).alias("output")))
+    anthropic = F.to_json(F.struct(
+        F.when(broken, "max_tokens").otherwise("end_turn").alias("stop_reason"),
+        F.array(F.struct(F.lit("text").alias("type"), F.col("content").alias("text"))).alias("content")))
+    kind = X.pick(P.PROTOCOLS, k)
+    body = F.when(kind == "openai_compatible", chat).when(kind == "openai_responses", responses).otherwise(anthropic)
+    return P.normalize_responses(rows.select("doc_id", "chunk_index", kind.alias("protocol"), body.alias("body"))).select(
+        "doc_id", "chunk_index", "content", "error_code")
+
+
+def _from_responses(spark, d):
+    """Every order a document of one sentence a line, with stored responses of both passes, good and bad by arithmetic."""
+    k = F.col("doc_id")
+    number = F.col("n").cast("string")
+    quote = F.concat(F.lit("甲"), number, F.lit("乙"), number, F.lit("丙"))
+    better = F.concat(F.lit("丁"), number, F.lit("戊"))
+    item = F.struct("n", quote.alias("quote"), better.alias("suggestion"), X.pick(["confirmed", "suspected", "rejected"], F.col("pk")).alias("verdict"))
+    rows = X.line_issues(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("x")).withColumn("chunk_index", F.lit(0))
+    docs = rows.select("doc_id", F.lit("general").alias("analysis_profile"), F.concat(F.array_join("x.quote", "。"), F.lit("。")).alias("text"))
+    issues = F.transform("x", lambda e: F.struct(
+        F.lit("typo").alias("category"), e["quote"].alias("quote"), F.lit("r").alias("reason"), e["suggestion"].alias("suggestion"), F.lit(90).alias("confidence")))
+    content = F.to_json(F.struct(issues.alias("issues")))
+    damaged = F.when(k % 7 == 0, F.substring(content, F.lit(1), F.length(content) - 2)).otherwise(content)
+    copies = F.when(k % 7 == 4, 2).when(k % 7 == 1, 0).otherwise(1)
+    first = rows.select("doc_id", "chunk_index", damaged.alias("content"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
+    verdicts = F.transform("x", lambda e, at: F.struct(
+        (at + F.when(k % 7 == 3, 1).otherwise(0)).alias("candidate_index"), e["verdict"].alias("verdict"), F.lit(95).alias("confidence"),
+        F.lit("r").alias("reason"), e["suggestion"].alias("suggestion")))
+    second = rows.where(k % 7 != 2).select("doc_id", "chunk_index", F.to_json(F.struct(verdicts.alias("verdicts"))).alias("content"))
+    return proofread_responses(docs, build_segments(text_lines(docs)), _enveloped(first, k % 11 == 0), _enveloped(second, k % 13 == 0), X.evidence(spark))
+
+
+@registered
+def response_issues(spark, d):
+    """Issues of the documents whose stored responses are all good."""
+    issues, _ = _from_responses(spark, d)
+    return longs(issues.select("doc_id", "category", "level", "char_start", "char_end", "original_text", "suggestion", "line_start"))
+
+
+_ANSWERED = """
+placed AS (SELECT doc_id, n, pk, 6 * (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1) AS s FROM iss)"""
+O["response_issues"] = S.with_plain(S.LINE_ISSUES, _ANSWERED, select="""
+SELECT doc_id, 'typo' AS category, CASE pk % 3 WHEN 0 THEN 'confirmed' ELSE 'suspected' END AS level, s::BIGINT AS char_start, (s + 5)::BIGINT AS char_end,
+ '甲' || n || '乙' || n || '丙' AS original_text, '丁' || n || '戊' AS suggestion, 1::BIGINT AS line_start
+FROM placed WHERE doc_id % 7 IN (5, 6) AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND pk % 3 <> 2""")
+
+
+@registered
+def response_rejects(spark, d):
+    """Documents that fail as a whole, with the reason."""
+    _, rejects = _from_responses(spark, d)
+    return rejects.select("doc_id", "error_code").distinct()
+
+
+O["response_rejects"] = """
+SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 7 = 1 OR (l_orderkey % 7 = 2 AND l_orderkey % 11 <> 0) THEN 'PROVIDER_UNAVAILABLE' ELSE 'MODEL_OUTPUT_INVALID' END AS error_code
+FROM lineitem WHERE l_orderkey % 7 < 5 OR l_orderkey % 11 = 0 OR l_orderkey % 13 = 0"""
+
 QUERIES, ORACLES = Q, O
