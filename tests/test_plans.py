@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from proofspark.operators.segment import build_segments, text_lines
+from proofspark.operators.segment import build_segments, locate, text_lines
 from proofspark.plans import fixtures as X
 from proofspark.plans.proofread import proofread, proofread_responses
 from proofspark.schemas import RULES
@@ -46,3 +46,24 @@ def test_longest_document_and_ten_long_ones(spark):
 
     got = {r.doc_id: (r.char_start, r.original_text) for r in proofread(frame, rules, X.evidence(spark), sure, False).collect()}
     assert got == {i: ((200_000 if i == 0 else 50_000) - len(mark) + 2, "再") for i in range(11)}
+
+
+def test_locate_in_lines_beyond_a_bucket(spark):
+    """Sentence numbers in lines of several buckets, for spans at, before and across their bounds."""
+    lines = ["一二三四五六。" * 1_500, "短！句？", "甲乙丙。丁" * 1_000]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = [(a, a + w) for edge in (0, 4_096, 8_192, 10_500, 12_288) for a in range(max(edge - 3, 0), edge + 3) for w in (1, 5, 4_100)]
+    frame = spark.createDataFrame([(1, a, b) for a, b in spans], "doc_id long, char_start int, char_end int")
+    got = {(r.char_start, r.char_end): (r.line_start, r.line_end, r.sentence_index)
+           for r in locate(frame, build_segments(text_lines(docs))).where("located").collect()}
+    bounds, at = [], 0
+    for number, line in enumerate(lines, 1):
+        bounds.append((number, at, at + len(line)))
+        at += len(line) + 1
+    want = {}
+    for a, b in spans:
+        met = [x for x in bounds if x[1] < b and x[2] > a]
+        if met:
+            want[(a, b)] = (met[0][0], met[-1][0], sum(text[:max(a, met[0][1])].count(c) for c in "。！？"))
+    assert got == want
