@@ -5,8 +5,12 @@ with share s and N blocks is due min(N, s v) blocks, so t(v) = sum of min(N_j, s
 sources keep the proportion of their shares, and a source that ends leaves its place to the others. Block k of source i
 may not start before slot floor(t((k - 1) / s_i)) and must be over by slot ceil(t(k / s_i)). Earliest deadline first meets
 all of these windows, since no span of slots holds more blocks than it is long; hence each source is always less than one
-block from what is due to it. At whole v every source is due whole blocks, so the frames [v, v + 1) are independent and,
-between two endings of sources, alike: one schedule of at most period + n slots a kind of frame is enough for any input.
+block from what is due to it. Shares are the whole weights themselves, nothing is rounded, so this holds however long the
+mixture is.
+
+Frames of slots are independent of each other: what earliest deadline first has placed before slot t follows from the
+windows alone. Blocks whose deadline is at most t are placed, and of the blocks whose window t cuts, one a source at most,
+those with the earliest deadlines that fit: for every r, the placed blocks released at r or later fill at most t - r slots.
 """
 
 from __future__ import annotations
@@ -16,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from proofspark.llm.common import whole
 from proofspark.session import written
 
-#: Characters a block; slots a frame, beside one for each source; rows that a rank bucket aims at.
-BLOCK, PERIOD, BUCKET = 16384, 1000, 50_000
+#: Characters a block; what shares add up to about if they are rounded; rows that a rank bucket aims at; slots a frame, or the sources if they are more.
+BLOCK, PERIOD, BUCKET, FRAME = 16384, 1000, 50_000, 256
 
 
 def _key(source: Column) -> Column:
@@ -29,40 +33,55 @@ def square_root_weights(sizes: DataFrame) -> DataFrame:
     return sizes.select("key", F.floor(F.sqrt("size")).cast("bigint").alias("weight"))
 
 
-def frames(sources: DataFrame) -> DataFrame:
-    """(key, kind, nth, first, begun, slots, slot) from (key, share, blocks) of n sources.
+def frames(sources: DataFrame, frame: int = FRAME) -> DataFrame:
+    """(key, block, slot) of every block, counted from 1, from (key, share, blocks) of n sources.
 
-    Frames from number ``first`` on are of this kind, until that of the next kind; the first of them begins ``begun`` slots
-    in and each has ``slots``. Its ``nth`` block of the source, from 0, stands at ``slot``. At most 2 n kinds of at most
-    period + n rows: the size depends on the sources only.
+    Frames of max(``frame``, n) slots, each on its own. Whole numbers throughout, decimal where products may leave 64 bits.
     """
-    ends = sources.select(F.explode(F.array(F.expr("blocks div share"), F.expr("(blocks + share - 1) div share"))).alias("first"))
-    kinds = ends.union(sources.limit(1).select(F.lit(0).cast("bigint"))).distinct()
+    n, total, shares = sources.agg(F.count(F.lit(1)), F.sum("blocks"), F.sum("share")).first()
+    length, total = max(frame, n), total or 0
+    kind = "bigint" if 4 * total * (shares or 0) < 1 << 63 else "decimal(19,0)"
+    times = lambda a, b: f"(cast({a} as {kind}) * cast({b} as {kind}))"
+    ended = f"""aggregate(array_sort(all, (a, b) -> int(sign({times("a.blocks", "b.share")} - {times("b.blocks", "a.share")}))),
+        array(named_struct('ended', 0L, 'alive', cast(aggregate(all, 0L, (z, y) -> z + y.share) as bigint), 'blocks', 0L, 'share', 1L)),
+        (z, y) -> concat(z, array(named_struct('ended', z[size(z) - 1].ended + y.blocks, 'alive', z[size(z) - 1].alive - y.share, 'blocks', y.blocks, 'share', y.share))))"""
     every = sources.agg(F.sort_array(F.collect_list(F.struct("key", "share", "blocks"))).alias("all"))
-    due = "aggregate(all, 0L, (z, y) -> z + {})"
-    jobs = kinds.join(every, F.lit(True)).withColumn("begun", F.expr(due.format("least(y.blocks, y.share * first)")))
-    jobs = jobs.withColumn("slots", F.expr(due.format("least(y.blocks, y.share * (first + 1))")) - F.col("begun")).where("slots > 0")
-    jobs = jobs.selectExpr("*", "inline(all)").where("blocks > share * first")
-    jobs = jobs.withColumn("nth", F.explode(F.expr("sequence(0L, least(share, blocks - share * first) - 1)"))).withColumn("k", F.expr("share * first + nth"))
-    # t(k / share) in whole slots: all terms times the share, then one division
-    before, after = due.format("least(y.blocks * share, y.share * k)"), due.format("least(y.blocks * share, y.share * (k + 1))")
-    jobs = jobs.withColumn("release", F.expr(f"({before}) div share") - F.col("begun")).withColumn("deadline", F.expr(f"({after} + share - 1) div share") - F.col("begun"))
-    lists = jobs.groupBy("first", "begun", "slots").agg(F.sort_array(F.collect_list(F.struct("deadline", "key", "nth", "release"))).alias("jobs"))
-    placed = lists.withColumn("order", F.expr("""
-        aggregate(sequence(0L, slots - 1), struct(jobs as left, slice(jobs, 1, 0) as done),
-            (s, t) -> transform(slice(filter(s.left, j -> j.release <= t), 1, 1), j -> struct(array_except(s.left, array(j)) as left, concat(s.done, array(j)) as done))[0],
+    # between two endings of sources: blocks of those that are over, shares of the others, and the source that ended last
+    every = written(every.select("all", F.expr(f"filter({ended}, m -> m.alive > 0)").alias("spans")), "mix-spans")
+    slots = -(-total // length)
+    spans = sources.sparkSession.range(0, slots, 1, slots // 8 + 1).select((F.col("id") * length).alias("t"), F.least((F.col("id") + 1) * length, F.lit(total)).alias("end"))
+    span = lambda t: f"element_at(filter(spans, m -> {times(f'({t} - m.ended)', 'm.share')} >= {times('m.blocks', 'm.alive')}), -1)"
+    low = lambda y, t, m: f"least({y}.blocks, {times(f'{y}.share', f'({t} - {m}.ended)')} div {m}.alive)"
+    high = lambda y, t, m: f"least({y}.blocks, ({times(f'{y}.share', f'({t} - {m}.ended)')} + {m}.alive - 1) div {m}.alive)"
+    # t(k / share) times the share: the least of the lines that t(v) consists of
+    due = lambda y, k: f"array_min(transform(spans, m -> {times('m.ended', f'{y}.share')} + {times(k, 'm.alive')}))"
+    job = lambda y, k: f"named_struct('deadline', ({due(y, k)} + {y}.share - 1) div {y}.share, 'key', {y}.key, 'k', {k}, 'release', {due(y, f'({k} - 1)')} div {y}.share)"
+    runs = spans.join(F.broadcast(every), F.lit(True)).withColumn("now", F.expr(span("t"))).withColumn("then", F.expr(span("end")))
+    runs = runs.withColumn("at", F.expr(f"transform(all, y -> named_struct('key', y.key, 'share', y.share, 'blocks', y.blocks, 'low', {low('y', 't', 'now')}, 'high', {high('y', 't', 'now')}, 'last', {high('y', 'end', 'then')}))"))
+    runs = runs.withColumn("cut", F.expr(f"transform(filter(at, y -> y.low < y.high), y -> {job('y', 'y.high')})"))
+    room = f"t - r - aggregate(at, 0L, (z, y) -> z + greatest(0L, y.low - {high('y', 'r', 'w')}))"
+    runs = runs.withColumn("placed", F.expr(f"""
+        slice(aggregate(array_sort(array_distinct(transform(cut, j -> j.release)), (a, b) -> int(sign(b - a))), slice(cut, 1, 0),
+            (s, r) -> slice(array_sort(concat(s, filter(cut, j -> j.release = r))), 1, int(element_at(transform(array({span("r")}), w -> {room}), 1)))),
+            1, int(t - aggregate(at, 0L, (z, y) -> z + y.low)))"""))
+    fresh = f"flatten(transform(filter(at, y -> y.last > y.high), y -> transform(sequence(y.high + 1, y.last), k -> {job('y', 'k')})))"
+    runs = runs.withColumn("jobs", F.expr(f"array_sort(concat(filter(cut, j -> not array_contains(placed, j)), {fresh}))"))
+    runs = runs.withColumn("order", F.expr("""
+        aggregate(sequence(t, end - 1), struct(jobs as left, slice(jobs, 1, 0) as done),
+            (s, x) -> element_at(transform(array(int(array_position(transform(s.left, j -> j.release <= x), true))), p ->
+                struct(concat(slice(s.left, 1, p - 1), slice(s.left, p + 1, size(s.left))) as left, concat(s.done, slice(s.left, p, 1)) as done)), 1),
             s -> s.done)"""))
-    rows = placed.withColumn("kind", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("first"))).select("kind", "first", "begun", "slots", F.posexplode("order").alias("slot", "job"))
-    return rows.select("job.key", "kind", "job.nth", "first", "begun", "slots", F.col("slot").cast("bigint").alias("slot"))
+    return runs.select("t", F.posexplode("order").alias("nth", "job")).select("job.key", F.col("job.k").alias("block"), (F.col("t") + F.col("nth")).alias("slot"))
 
 
-def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period: int = PERIOD, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """(_row, _block, _slot, _start) of every row of ``docs``: its columns, or those to ``carry``, and its place in the mixture.
 
     Order by (_slot, _start). _block counts the blocks of the source from 1, _start its characters before the row. A row
     lies in the block in which it starts; a long one uses up the blocks it covers. A null or empty text counts one
     character. A null source is a source of its own. Rows that repeat an id stand side by side. ``weights`` makes (key,
-    weight) from the (key, size) of all sources; shares are whole numbers, 1 at least, that add up to about ``period``.
+    weight) from the (key, size) of all sources: whole numbers, which are the shares, 1 at least. Only if a ``period`` is
+    given are they rounded, to shares that add up to about it.
     Sources have no largest size: ranks inside a source are counted in buckets of the digests of its ids.
     """
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -75,18 +94,14 @@ def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period
     offsets = sizes.select(F.col("key").alias("_key"), F.col("bucket").alias("_bucket"), earlier.alias("_offset"))
     totals = sizes.groupBy("key").agg(F.sum("size").alias("size"))
     total = F.sum("weight").over(W.partitionBy(F.lit(0)))
-    share = weights(totals).withColumn("total", F.greatest(total, F.lit(1))).select("key", F.greatest(F.lit(1), F.expr(f"weight * {period} div total")).alias("share"))
+    share = weights(totals).withColumn("total", F.greatest(total, F.lit(1))).select("key", F.greatest(F.lit(1), F.expr("weight" if period is None else f"weight * {period} div total")).cast("bigint").alias("share"))
     sources = written(totals.join(share, "key").select("key", "share", F.expr(f"(size + {block} - 1) div {block}").alias("blocks")), "mix-sources")
     table = written(frames(sources), "mix-frames")
     inside = F.sum("_size").over(W.partitionBy("_key", "_bucket").orderBy("_digest", "_id", "_size").rowsBetween(W.unboundedPreceding, -1))
     starts = rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, ["_key", "_bucket"]).withColumn("_start", F.col("_inside") + F.col("_offset"))
-    firsts = table.select("kind", "first").distinct().agg(F.sort_array(F.collect_list("first")).alias("_firsts"))
-    shared = sources.select(F.col("key").alias("_key"), F.col("share").alias("_share")).join(firsts, F.lit(True))
-    cut = starts.join(shared, "_key").withColumn("_block", F.expr(f"_start div {block} + 1")).withColumn("_frame", F.expr("(_block - 1) div _share"))
-    cut = cut.withColumn("_kind", F.expr("size(filter(_firsts, x -> x <= _frame))")).withColumn("_nth", F.expr("(_block - 1) % _share"))
-    named = table.select(F.col("key").alias("_key"), F.col("kind").alias("_kind"), F.col("nth").alias("_nth"), "first", "begun", "slots", "slot")
-    out = cut.join(named, ["_key", "_kind", "_nth"]).withColumn("_slot", F.expr("begun + (_frame - first) * slots + slot"))
-    return out.select("_row", "_block", "_slot", "_start")
+    cut = starts.withColumn("_block", F.expr(f"_start div {block} + 1"))
+    named = table.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("slot").alias("_slot"))
+    return cut.join(named, ["_key", "_block"]).select("_row", "_block", "_slot", "_start")
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -37,9 +37,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(read(spark, sf_dir, "documents"))
 
 
+def _places(mixture: DataFrame) -> DataFrame:
+    return mixture.select("_row.doc_id", "_row.source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("start"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id", "source"])
-    return out.select("_row.doc_id", "_row.source", F.col("_block").alias("block"), F.col("_slot").alias("slot"), F.col("_start").alias("start"))
+    """With shares rounded to thousandths, as its SQL has them."""
+    return _places(mixing.mix(read(spark, sf_dir, "documents"), period=mixing.PERIOD, carry=["doc_id", "source"]))
+
+
+def op7_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the weights as they are."""
+    return _places(mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id", "source"]))
 
 
 def op8_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_packing, op4_tiff, op5_language, op6_secrets, op7_mixing, op8_exact, op9_jaccard, op10_orc, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_packing, op4_tiff, op5_language, op6_secrets, op7_mixing, op7_mixing_exact, op8_exact, op9_jaccard, op10_orc, pipeline)}
 
 ORACLES = {
     "op7_mixing": f"""
@@ -99,3 +108,6 @@ m AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce(m.m, documents.doc_id)) AS component_id
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = documents.doc_id""",
 }
+
+#: The same schedule from the weights themselves.
+ORACLES["op7_mixing_exact"] = ORACLES["op7_mixing"].replace(f"greatest(1, weight * {mixing.PERIOD} // greatest(sum(weight) OVER (), 1))::BIGINT AS share", "weight AS share")

@@ -134,6 +134,38 @@ def test_mixing_stays_within_a_block(spark):
         assert due(r._block - 1) // share[r.source] <= r._slot < -(-due(r._block) // share[r.source])
 
 
+def test_mixing_keeps_the_unrounded_weights(spark):
+    """One large source beside many small ones: less than one block from what the weights themselves make due, at every slot."""
+    rows = [(k, "x" * 50, "hot") for k in range(600)] + [(1000 + k, "x" * 50, f"s{k % 30}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mix(docs, weights=lambda sizes: sizes.select("key", F.when(F.col("key") == "=hot", 1009).otherwise(37).alias("weight")), block=50)
+    got = sorted((r._slot, r.source) for r in out.select("_slot", "_row.source").collect())
+    assert [s for s, _ in got] == list(range(900))
+    weights, placed = {s: 1009 if s == "hot" else 37 for _, s in got}, Counter()
+    live = sum(weights.values())
+    for slot, source in got:
+        placed[source] += 1
+        if (slot + 1) * 37 <= 10 * live:  # no source has ended
+            assert all(abs(placed[s] * live - weights[s] * (slot + 1)) < live for s in weights)
+
+
+def test_mixing_frames_meet(spark):
+    """Short frames, each on its own, make the schedule of one run over all slots; also where products leave 64 bits."""
+    draw = random.Random(8)
+    for n, most, frame in ((1, 5, 7), (6, 1000, 6), (15, 4000, 16), (4, 10**17, 8)):
+        share = {f"s{k}": draw.randint(1, most) for k in range(n)}
+        blocks = {s: draw.randint(1, 40) for s in share}
+        due = lambda s, k: sum(min(blocks[j] * share[s], share[j] * k) for j in share)
+        jobs = {(-(-due(s, k) // share[s]), s, k): due(s, k - 1) // share[s] for s in share for k in range(1, blocks[s] + 1)}
+        want = {}
+        for slot in range(sum(blocks.values())):
+            first = min(j for j, release in jobs.items() if release <= slot)
+            del jobs[first]
+            want[first[1:]] = slot
+        sources = spark.createDataFrame([(s, share[s], blocks[s]) for s in share], "key string, share bigint, blocks bigint")
+        assert {(r.key, r.block): r.slot for r in mixing.frames(sources, frame).collect()} == want
+
+
 def cheapest(roles):
     """Least cost of a legal conversation by trying all ways."""
     best = {"start": 0}
