@@ -285,6 +285,13 @@ def test_network_tells_keys_from_numbers():
     assert secret_scan.train_network([], np.array([])).threshold > 1
 
 
+def test_threshold_keeps_the_recall_where_classes_overlap():
+    draw = random.Random(3)
+    texts = ["x = " + "".join(draw.choices("0123456789abcdef", k=20)) for _ in range(2200)]
+    net = secret_scan.train_network([secret_scan.window(t, 4, len(t)) for t in texts], np.array([1] * 200 + [0] * 2000))
+    assert net.threshold < 0.5 and net.recall >= 0.98 and 0 < net.precision < 0.5
+
+
 def test_language_rejects_narrow_leads(spark):
     rows = [(k, t, lang, None) for k in range(60) for lang, t in (("aa", f"alpha beta gamma delta word{k}"), ("bb", f"omega sigma theta kappa noun{k}"))]
     docs = spark.createDataFrame([(k, *r[1:]) for k, r in enumerate(rows)] + [(900, "xyzzy", None, None), (901, "42 !", "aa", None), (902, None, "aa", None)], SCHEMA)
