@@ -285,6 +285,22 @@ def test_network_tells_keys_from_numbers():
     assert secret_scan.train_network([], np.array([])).threshold > 1
 
 
+def test_long_candidates_are_seen_to_their_ends(spark):
+    class Marker(secret_scan.Network):
+        def score(self, windows):
+            return np.array([float("Qq9" in w) for w in windows])
+
+    texts = ["see " + "a1/" * k + "Qq9" + "b2/" * m + tail for k in (0, 20, 45, 200) for m in (0, 30) for tail in ("", " end")]
+    texts += ["see " + "a1/" * 60 + "a1 Qq9 is behind"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = secret_scan.secrets(docs, Marker({}, threshold=0.5)).orderBy("doc_id").collect()
+    found = {r.doc_id: r.spans for r in out}
+    for k, t in enumerate(texts[:-1]):
+        end = len(t.removesuffix(" end"))
+        assert end - 4 < 12 or f"model:4:{end}" in found[k].split(",")
+    assert out[-1].best == 1
+
+
 def test_threshold_keeps_the_recall_where_classes_overlap():
     draw = random.Random(3)
     texts = ["x = " + "".join(draw.choices("0123456789abcdef", k=20)) for _ in range(2200)]
