@@ -301,6 +301,13 @@ def test_long_candidates_are_seen_to_their_ends(spark):
     assert out[-1].best == 1
 
 
+def test_candidates_are_all_runs_outside_of_base_findings():
+    text = "Qx7" + "ab12" * 6 + "Zz/tail-of-it and correcthorsebatterystaple, id-4711x; token = \"abc123def456ghi\" " + "0f" * 12
+    base = secret_scan.base_spans(text)
+    assert [k for _, _, k in base] == ["hex", "assign", "hex"]
+    assert [text[a:b] for a, b in secret_scan.candidates(text, base)] == ["Qx7" + "ab12" * 6 + "Zz/tail-of-it", "correcthorsebatterystaple", "id-4711x"]
+
+
 def test_threshold_keeps_the_recall_where_classes_overlap():
     draw = random.Random(3)
     texts = ["x = " + "".join(draw.choices("0123456789abcdef", k=20)) for _ in range(2200)]
