@@ -1,7 +1,8 @@
 """Media columns: TIFF files as binary values, read page by page.
 
-Reads both byte orders, chained image directories, strips and tiles, no compression, PackBits, LZW and deflate, and the
-horizontal predictor of 8- and 16-bit samples (chunky). Writes 8-bit grey pages.
+Reads both byte orders, chained image directories, strips and tiles, chunky and planar, no compression, PackBits, LZW and
+deflate, samples of 1, 2, 4, 8, 16 and 32 bits, the horizontal predictor from 8 bits on and the floating-point predictor of 16
+and 32 bits. Samples under 8 bits come as a byte each. Writes 8-bit grey pages.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 # Fixed values of the format: tags, compressions and sizes of field types.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 262, 273, 277
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, FILL_ORDER, STRIP_OFFSETS, SAMPLES = 256, 257, 258, 259, 262, 266, 273, 277
 ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 278, 279, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
@@ -194,21 +195,30 @@ def _fields(data: bytes, order: str, at: int) -> tuple[dict[int, list[int]], int
 def _page(data: bytes, order: str, f: dict[int, list[int]]) -> dict:
     one = lambda tag, usual: f.get(tag, [usual])[0]
     width, height, samples, bits, method, predictor = f[WIDTH][0], f[HEIGHT][0], one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if bits not in (8, 16) or predictor not in (1, 2) or one(PLANAR, 1) != 1:
-        raise ValueError(f"{bits} bits, predictor {predictor}, planar {one(PLANAR, 1)}")
-    kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+    planar = one(PLANAR, 1)
+    if predictor not in {1: (1,), 2: (1,), 4: (1,), 8: (1, 2), 16: (1, 2, 3), 32: (1, 2, 3)}.get(bits, ()) or planar not in (1, 2) or bits < 8 and one(FILL_ORDER, 1) != 1 or len(set(f.get(BITS, [1]))) > 1:
+        raise ValueError(f"{f.get(BITS, [1])} bits, predictor {predictor}, planar {planar}, fill order {one(FILL_ORDER, 1)}")
+    kind = np.dtype(np.uint8 if bits <= 8 else f"{order}u{bits // 8}")
     tiled = TILE_OFFSETS in f
     across, down = (f[TILE_WIDTH][0], f[TILE_HEIGHT][0]) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
     image = np.zeros((height, width, samples), kind)
-    columns = -(-width // across)
+    columns, per = -(-width // across), 1 if planar == 2 else samples
+    row, parts = -(-across * per * bits // 8), columns * -(-height // down)
     for k, (place, size) in enumerate(zip(f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_BYTES if tiled else STRIP_BYTES])):
+        plane, k = divmod(k, parts) if planar == 2 else (0, k)
         top, left = k // columns * down, k % columns * across
         lines = down if tiled else min(down, height - top)
-        raw = _expand(data[place : place + size], method, lines * across * samples * kind.itemsize)
-        block = np.frombuffer(raw, kind, lines * across * samples).reshape(lines, across, samples)
+        raw = np.frombuffer(_expand(data[place : place + size], method, lines * row), np.uint8, lines * row).reshape(lines, row)
+        if bits < 8:
+            block = np.unpackbits(raw, axis=1)[:, : across * per * bits].reshape(lines, across, per, bits) @ (1 << np.arange(bits - 1, -1, -1)).astype(np.uint8)
+        elif predictor == 3:  # bytes of a line by their place in the sample, highest first, as differences
+            held = np.cumsum(raw.reshape(lines, -1, per), axis=1, dtype=np.uint8).reshape(lines, bits // 8, across * per)
+            block = np.ascontiguousarray(held.transpose(0, 2, 1)).view(f">u{bits // 8}").reshape(lines, across, per)
+        else:
+            block = raw.view(kind).reshape(lines, across, per)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
-        image[top : top + lines, left : left + across] = block[: height - top, : width - left]
+        image[top : top + lines, left : left + across, plane : plane + per] = block[: height - top, : width - left]
     return {"width": width, "height": height, "bits": bits, "samples": samples, "compression": method, "predictor": predictor, "pixels": image.tobytes(), "problem": None}
 
 

@@ -4,6 +4,7 @@ import itertools
 import math
 import os
 import random
+import struct
 from collections import Counter
 
 import numpy as np
@@ -231,6 +232,42 @@ def test_tiff_round_trip(data, method, predictor, tiled, order):
     assert b"".join(p["pixels"] for p in pages) == payload
 
 
+def tiff_file(order, parts, fields):
+    """One page from the bytes of its strips; ``fields`` by tag, whole numbers."""
+    out, places = bytearray(struct.pack(order + "2sHI", b"II" if order == "<" else b"MM", 42, 0)), []
+    for p in parts:
+        places.append(len(out))
+        out += p + b"\0" * (len(p) % 2)
+    lists = {}
+    for tag, values in ((tiff.STRIP_OFFSETS, places), (tiff.STRIP_BYTES, [len(p) for p in parts])):
+        lists[tag] = (len(values), values[0] if len(values) == 1 else len(out))
+        out += struct.pack(f"{order}{len(values)}I", *values) if len(values) > 1 else b""
+    struct.pack_into(order + "I", out, 4, len(out))
+    rows = sorted((lists | {t: (1, v) for t, v in fields.items()}).items())
+    return bytes(out) + struct.pack(order + "H", len(rows)) + b"".join(struct.pack(order + "HHII", t, 4, n, v) for t, (n, v) in rows) + b"\0" * 4
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tiff_samples_of_other_sizes(order):
+    rng, T = np.random.default_rng(3), tiff
+    for bits in (1, 2, 4):  # PackBits scans, lines filled up to whole bytes
+        image = rng.integers(0, 1 << bits, (5, 13)).astype(np.uint8)
+        lines = np.packbits(np.unpackbits(image[:, :, None], axis=2)[:, :, 8 - bits :].reshape(5, -1), axis=1)
+        parts = [T.packbits_encode(lines[:3].tobytes()), T.packbits_encode(lines[3:].tobytes())]
+        (page,) = T.read_pages(tiff_file(order, parts, {T.WIDTH: 13, T.HEIGHT: 5, T.BITS: bits, T.COMPRESSION: T.PACKBITS, T.ROWS_PER_STRIP: 3}))
+        assert page["problem"] is None and page["pixels"] == image.tobytes()
+    image = rng.integers(0, 256, (4, 6, 3)).astype(np.uint8)
+    parts = [image[top : top + 2, :, k].tobytes() for k in range(3) for top in (0, 2)]
+    (page,) = T.read_pages(tiff_file(order, parts, {T.WIDTH: 6, T.HEIGHT: 4, T.BITS: 8, T.SAMPLES: 3, T.PLANAR: 2, T.ROWS_PER_STRIP: 2}))
+    assert page["problem"] is None and page["pixels"] == image.tobytes()
+    image = rng.normal(size=(4, 7, 2)).astype(order + "f4")
+    lines = image.astype(">f4").reshape(4, 14).view(np.uint8).reshape(4, 14, 4).transpose(0, 2, 1).reshape(4, 56).copy()
+    lines[:, 2:] -= lines[:, :-2].copy()
+    for predictor, raw in ((1, image.tobytes()), (3, lines.tobytes())):
+        (page,) = T.read_pages(tiff_file(order, [raw], {T.WIDTH: 7, T.HEIGHT: 4, T.BITS: 32, T.SAMPLES: 2, T.PREDICTOR: predictor}))
+        assert page["problem"] is None and page["pixels"] == image.tobytes()
+
+
 def test_tiff_pages_and_damage(spark):
     payload = os.urandom(64 * (2 * tiff.PAGE_LINES + 5))
     good = tiff.write_tiff(payload)
