@@ -3,7 +3,8 @@
 The distinct 4-word shingles of a text are 64-bit values in one global order. The order is cut into fragments by pivots
 that depend on the size class only. Two sets of sizes adding up to S that link differ in at most 3 S / 37 members
 (J >= 85/100), so with more fragments than that some fragment is untouched in both: equal fragments give the candidates.
-Partial overlaps of a candidate pair are then counted fragment by fragment and summed per pair; the sum decides.
+Partial overlaps of a candidate pair are then counted fragment by fragment, by a join on node and fragment, and summed per
+pair; a pair whose first fragments leave it no chance goes early, for the others the sum decides.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ WORDS = 4
 NUM, DEN = 85, 100
 #: Signatures that one shuffled shard holds on average, documents and signatures that one map-side star joins.
 SHARD, STAR_DOCS, STAR_SIGS = 2_000_000, 50_000, 1_000_000
-#: Fragments in which overlaps are counted.
-COUNTED = 8
+#: Fragments in which overlaps are counted, and those of them that are counted first.
+COUNTED, FIRST = 8, 2
+#: Holders of a signature that all others of other components meet before the rest meet each other.
+CENTRES = 16
 SLICE = 1 << 20
 
 NODES = "kind int, doc_id bigint, mark bigint, n bigint, node binary, sketch array<bigint>, shard int, sigs binary, ids binary, nodes binary, a binary, b binary"
@@ -249,17 +252,21 @@ def _shard_pairs(table):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (node, fragments of the set)."""
+    """Texts to the fragments of their sets: (node, part, members), empty ones too."""
     powers = Powers()
     pivots = (np.arange(1, COUNTED, dtype=np.uint64) * np.uint64((1 << 64) // COUNTED))
     for batch in batches:
-        nodes, parts = [], []
+        nodes, parts, sizes, members = [], [], [], []
         for text in batch.column(0):
             s = shingle_set(text.as_buffer().to_pybytes() if text.is_valid else b"", powers)
             if len(s):
-                nodes.append(identity(s))
-                parts.append([x.view(np.int64) for x in np.split(s, np.searchsorted(s, pivots))])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(parts, pa.list_(pa.list_(pa.int64())))], ["node", "fragments"])
+                nodes += [identity(s)] * COUNTED
+                sizes.append(np.diff(np.searchsorted(s, pivots), prepend=0, append=len(s)))
+                members.append(s.view(np.int64))
+        ends = np.cumsum(np.concatenate([[0], *sizes]) if sizes else [0])
+        values = pa.array(np.concatenate(members) if members else np.empty(0, np.int64))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.tile(np.arange(COUNTED), len(sizes)), pa.int32()), lists], ["node", "part", "members"])
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +294,8 @@ def _texts_of(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    sets = _texts_of(docs, doc_ids).mapInArrow(_sets, "node binary, fragments array<array<bigint>>")
-    return written(sets.dropDuplicates(["node"]), "jaccard-sets")
+    sets = _texts_of(docs, doc_ids).mapInArrow(_sets, "node binary, part int, members array<bigint>")
+    return written(sets.dropDuplicates(["node", "part"]), "jaccard-sets")
 
 
 def _possible(p: str, q: str):
@@ -298,15 +305,51 @@ def _possible(p: str, q: str):
     return (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) * (DEN + NUM) <= allowed) & (bits * (DEN + NUM) <= allowed)
 
 
+def _partial(pairs: DataFrame, sets: DataFrame, wanted: Column) -> DataFrame:
+    """``pairs`` with the overlap and the sizes of both sides, counted fragment by fragment and summed per pair."""
+    left = sets.where(wanted).select(F.col("node").alias("a"), "part", F.col("members").alias("ma"))
+    right = sets.where(wanted).select(F.col("node").alias("b"), "part", F.col("members").alias("mb"))
+    met = pairs.join(left, "a").join(right, ["b", "part"])
+    counts = met.select(*pairs.columns, F.size(F.array_intersect("ma", "mb")).alias("o"), F.size("ma").alias("sa"), F.size("mb").alias("sb"))
+    return counts.groupBy(*pairs.columns).agg(*[F.sum(c).alias(c) for c in ("o", "sa", "sb")])
+
+
 def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose overlap, counted a fragment at a time and summed, reaches the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("fragments").alias("fa"))
-    right = sets.select(F.col("node").alias("b"), F.col("fragments").alias("fb"))
-    partial = F.zip_with("fa", "fb", lambda x, y: F.size(F.array_intersect(x, y)))
-    overlap = F.aggregate(partial, F.lit(0), lambda total, x: total + x)
-    size = lambda c: F.aggregate(F.transform(c, lambda x: F.size(x)), F.lit(0), lambda total, x: total + x)
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", overlap.alias("o"), (size("fa") + size("fb")).alias("s"))
-    return both.where(F.col("o").cast("long") * DEN >= (F.col("s") - F.col("o")) * NUM).select("a", "b")
+    """(a, b) of the ``pairs`` (a, b, na, nb) whose overlaps, counted in each fragment apart and summed, reach the threshold.
+
+    After the first fragments a pair goes that cannot reach it, even if the smaller rest were shared in full.
+    """
+    needed = (F.col("na") + F.col("nb")) * NUM
+    first = _partial(pairs, sets, F.col("part") < FIRST)
+    most = F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
+    going = first.where(most * (DEN + NUM) >= needed).select("a", "b", "na", "nb", F.col("o").alias("so_far"))
+    rest = _partial(written(going, "jaccard-going"), sets, F.col("part") >= FIRST)
+    return rest.where((F.col("so_far") + F.col("o")) * (DEN + NUM) >= needed).select("a", "b")
+
+
+def _holders(df: DataFrame, name: str) -> DataFrame:
+    return df.select("sig", F.struct("node", "doc", "root", "n", "sketch").alias(name)).alias(name)
+
+
+def _met(p: DataFrame, q: DataFrame, order: Column) -> DataFrame:
+    """Pairs of holders of one signature, in different components, that may link."""
+    both = p.join(q, "sig").where(order & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
+    swap = F.col("p.node") < F.col("q.node")
+    side = lambda f, x, y: F.when(swap, F.col(f"{y}.{f}")).otherwise(F.col(f"{x}.{f}"))
+    return both.select(side("node", "p", "q").alias("a"), side("node", "q", "p").alias("b"), side("n", "p", "q").alias("na"), side("n", "q", "p").alias("nb"),
+                       side("doc", "p", "q").alias("da"), side("doc", "q", "p").alias("db"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    sets = _sets_of(docs, pairs.select("da").union(pairs.select("db")))
+    return written(_counted(pairs.select("a", "b", "na", "nb"), sets), "jaccard-links")
+
+
+def _with_roots(marked: DataFrame, roots: DataFrame) -> DataFrame:
+    """``marked`` with today's components, without signatures that only one component holds."""
+    named = marked.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
+    return written(named.join(mixed, "sig", "left_semi").select(*marked.columns), "jaccard-marked")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -315,8 +358,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     mark is the 64-bit hash of the text, which tells rows of one doc_id apart. component_id is the smallest doc_id reachable by links, itself included. Equal sets are one node from the start, so
     copies are never paired. Null texts and texts without words have 0 shingles and link with nothing; a row with a null
     doc_id takes part and gets the smallest id of its component, null if there is none. Repeated rows are repeated.
-    Two rounds: each signature links its holders in a star; members of components that failed pairs leave apart are then
-    compared across components wherever they share a signature. Together every pair that may link is counted or connected.
+    Three rounds: each signature links its holders in a star; members of components that failed pairs leave apart then meet
+    a few holders of each signature they share across components, and last, where components still differ, each other.
+    Together every pair that may link is counted or connected.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -329,13 +373,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     pairs = local.union(shared).distinct().alias("x")
     p, q = nodes.select(*[F.col(c).alias(c) for c in nodes.columns]).alias("p"), nodes.alias("q")
     ends = written(pairs.join(p, F.col("x.a") == F.col("p.node")).join(q, F.col("x.b") == F.col("q.node"))
-                   .select("x.a", "x.b", _possible("p", "q").alias("possible"), F.col("p.doc").alias("da"), F.col("q.doc").alias("db")), "jaccard-pairs")
+                   .select("x.a", "x.b", F.col("p.n").alias("na"), F.col("q.n").alias("nb"), _possible("p", "q").alias("possible"), F.col("p.doc").alias("da"), F.col("q.doc").alias("db")), "jaccard-pairs")
     tried = ends.where("possible")
-    sets = _sets_of(docs, tried.select("da").union(tried.select("db")))
-    links = written(_counted(tried.select("a", "b"), sets), "jaccard-links")
+    links = _verified(docs, tried)
     roots = written(components(links, "jaccard-components"), "jaccard-roots")
 
-    # second round: pairs of the first that are still apart name the components in which a link may be missing
+    # pairs of the first round that are still apart name the components in which a link may be missing
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = ends.select("a", "b").join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
     odd = apart.select("ra").union(apart.select("rb")).distinct().withColumnRenamed("ra", "root")
@@ -345,14 +388,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = signed.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
     named = members.join(nodes.select("node", "n", "sketch"), "node").withColumn("short", _short("node"))
     marked = maybe_in(signed, F.col("sig"), written(shared, "jaccard-shared")).where("_maybe").select("short", "sig").join(named, "short")
-    marked = written(marked.select("sig", "node", "doc", "root", "n", "sketch"), "jaccard-marked")
-    mixed = marked.groupBy("sig").agg(F.min(_short("root")).alias("lo"), F.max(_short("root")).alias("hi")).where("lo <> hi").select("sig")
-    marked = marked.join(mixed, "sig", "left_semi")
-    p, q = marked.alias("p"), marked.alias("q")
-    more = p.join(q, (F.col("p.sig") == F.col("q.sig")) & (F.col("p.node") > F.col("q.node")) & (F.col("p.root") != F.col("q.root")) & _possible("p", "q"))
-    more = more.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.doc").alias("da"), F.col("q.doc").alias("db")).distinct()
-    more = written(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-more")
-    extra = written(_counted(more.select("a", "b"), _sets_of(docs, more.select("da").union(more.select("db")))), "jaccard-links")
+    marked = _with_roots(marked.select("sig", "node", "doc", "root", "n", "sketch"), roots)
+    seen = tried.select("a", "b")
+    # a few holders of each signature meet all others first: a number of pairs in proportion, and what belongs together is joined
+    keyed = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(CENTRES)]
+    centres = marked.groupBy("sig").agg(F.array_distinct(F.array(*keyed)).alias("c")).select("sig", F.explode("c").alias("node"))
+    centres = centres.join(marked, ["sig", "node"]).select(*marked.columns)
+    found = _met(_holders(marked, "p"), _holders(centres, "q"), F.col("p.node") != F.col("q.node")).distinct()
+    more = written(found.join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+    links, seen = links.union(_verified(docs, more)), seen.union(more.select("a", "b"))
+    roots = written(components(links, "jaccard-components"), "jaccard-roots")
+    # the rest: all pairs of holders that are still in different components
+    marked = _with_roots(marked, roots)
+    found = _met(_holders(marked, "p"), _holders(marked, "q"), F.col("p.node") > F.col("q.node")).distinct()
+    more = written(found.join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+    extra = _verified(docs, more)
     if not extra.isEmpty():
         roots = components(links.union(extra), "jaccard-components")
     least = nodes.join(roots, "node").groupBy("root").agg(F.min("doc").alias("component"))
