@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from proofspark.functions.locate import occurrence_starts
 from proofspark.functions.text import let, slice_text
@@ -15,22 +17,21 @@ FIELDS = [
     "category", "grammar_subtype", "quote", "context_before", "context_after", "reason", "suggestion",
     "confidence", "evidence_source_ids",
 ]
-
-
-def _rule_array(rules: DataFrame) -> Column:
-    """The whole rule table, in order, as one constant array: curated reference data, of any number of rules."""
-    rows = [row.asDict() for row in rules.orderBy("rule_no").collect()]
-    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_RULE_FIELDS}>>")
+#: Rules that a plan may hold as constants; more of them are searched by automata, of so many characters of rules each.
+FEW, AUTOMATON_CHARS = 32, 1 << 24
 
 
 def scan_rules(chunks: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``candidates``: the issue template of every rule whose needle occurs in the chunk, in rule order.
 
-    The rules are checked inside the chunk row, without any shuffle, however many there are.
+    The rules are checked inside the chunk row, without any shuffle: a few by an expression, any number of them by one
+    pass over the text.
     """
-    known = _rule_array(rules)
+    few = _few(rules)
+    if few is None:
+        return scan_many(chunks, rules, every_occurrence=False)
     found = let(F.col("text"), lambda text: F.transform(
-        F.filter(known, lambda r: F.contains(text, r["needle"])),
+        F.filter(_constant(few), lambda r: F.contains(text, r["needle"])),
         lambda r: F.struct(*[r[name].alias(name) for name in FIELDS]),
     ))
     return chunks.withColumn("candidates", found)
@@ -41,7 +42,9 @@ def scan_occurrences(chunks: DataFrame, rules: DataFrame, context: int = 12) ->
 
     Takes any number of rules; one chunk bounds the number of occurrences of each.
     """
-    known = _rule_array(rules)
+    few = _few(rules)
+    if few is None:
+        return scan_many(chunks, rules, every_occurrence=True, context=context)
 
     def expand(text: Column, rule: Column) -> Column:
         size = F.length(rule["needle"])
@@ -56,10 +59,92 @@ def scan_occurrences(chunks: DataFrame, rules: DataFrame, context: int = 12) ->
         return F.transform(occurrence_starts(text, rule["needle"]), at)
 
     return chunks.withColumn("candidates", let(F.col("text"), lambda text: F.flatten(F.transform(
-        F.filter(known, lambda r: F.contains(text, r["needle"])), lambda r: expand(text, r)
+        F.filter(_constant(few), lambda r: F.contains(text, r["needle"])), lambda r: expand(text, r)
     ))))
 
 
+def _few(rules: DataFrame) -> list[Row] | None:
+    """All rules in order if there are few, else nothing; no more than ``FEW`` + 1 rows come here."""
+    rows = rules.orderBy("rule_no").limit(FEW + 1).collect()
+    return rows if len(rows) <= FEW else None
+
+
+def _constant(rows: list[Row]) -> Column:
+    return F.from_json(F.lit(json.dumps([row.asDict() for row in rows])), f"array<struct<{_RULE_FIELDS}>>")
+
+
+def scan_many(chunks: DataFrame, rules: DataFrame, every_occurrence: bool, context: int = 12, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """``candidates`` by a multi-pattern automaton: one pass over each chunk finds all needles, whatever their number.
+
+    Rules are taken in their order, in lots of at most ``most`` characters (or one rule), so that neither the driver nor a
+    task ever holds more; each lot is broadcast, compiled once a task, and adds its candidates behind those of the earlier
+    ones. Only the texts go to Python, the other columns stay where they are. A null needle never occurs, an empty one
+    everywhere; a null text has no candidates.
+    """
+    out = chunks.withColumn("candidates", F.array().cast(f"array<{CANDIDATE}>"))
+    for lot in _lots(rules, most):
+        scan = _automaton(chunks.sparkSession.sparkContext.broadcast(lot), every_occurrence, context)
+        out = out.withColumn("candidates", F.concat("candidates", scan("text")))
+    return out
+
+
+def _lots(rules: DataFrame, most: int) -> Iterator[list[tuple]]:
+    lot, held = [], 0
+    for row in rules.orderBy("rule_no").toLocalIterator():
+        size = sum(len(x) for x in row if isinstance(x, str))
+        if lot and held + size > most:
+            yield lot
+            lot, held = [], 0
+        lot.append((row["needle"], *[row[name] for name in FIELDS]))
+        held += size
+    if lot:
+        yield lot
+
+
+def _automaton(rules, every: bool, context: int):
+    made: list = []
+
+    def compiled():
+        import ahocorasick
+
+        words: dict[str, list[int]] = {}
+        for number, rule in enumerate(rules.value):
+            if rule[0] is not None:
+                words.setdefault(rule[0], []).append(number)
+        search = ahocorasick.Automaton()
+        for word, numbers in words.items():
+            if word:
+                search.add_word(word, (len(word), numbers))
+        search.make_automaton()
+        strings, texts = pa.string(), [f for f in FIELDS if f not in ("confidence", "evidence_source_ids")]
+        types = {**{f: strings for f in texts}, "confidence": pa.int32(), "evidence_source_ids": pa.list_(strings)}
+        templates = [pa.array([r[k + 1] for r in rules.value], types[f]) for k, f in enumerate(FIELDS)]
+        return search if len(search) else None, words.get("", []), [len(r[0] or "") for r in rules.value], templates
+
+    @F.arrow_udf(f"array<{CANDIDATE}>")
+    def scan(texts: pa.Array) -> pa.Array:
+        if not made:
+            made.append(compiled())
+        search, anywhere, sizes, templates = made[0]
+        ends, chosen, before, after = [0], [], [], []
+        for text in texts.to_pylist():
+            text = text or ""
+            hits = [(n, 0 if not every else end + 1 - size) for end, (size, numbers) in (search.iter(text) if search else ()) for n in numbers]
+            hits += [(n, at) for n in anywhere for at in (range(max(1, len(text))) if every else (0,))] if text else []
+            hits = sorted(hits if every else set(hits))
+            chosen += [n for n, _ in hits]
+            if every:
+                before += [text[max(0, at - context) : at] for _, at in hits]
+                after += [text[at + sizes[n] : at + sizes[n] + context] for n, at in hits]
+            ends.append(len(chosen))
+        rows = pa.array(chosen, pa.int32())
+        sides = {"context_before": before, "context_after": after} if every else {}
+        columns = [pa.array(sides[f], pa.string()) if f in sides else t.take(rows) for f, t in zip(FIELDS, templates)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, FIELDS))
+
+    return scan
+
+
 def attach_candidates(chunks: DataFrame, candidates: DataFrame) -> DataFrame:
     """Nest flat candidate rows below their chunk, ordered by candidate_index."""
     nested = candidates.groupBy("doc_id", "chunk_index").agg(

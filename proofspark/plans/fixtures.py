@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from proofspark.constants import CATEGORIES, FEEDBACK_VERDICTS, GRAMMAR_SUBTYPES, PROFILES, STATUSES, TERMINAL
 from proofspark.schemas import RULES
@@ -48,14 +48,26 @@ WOVEN = [
 
 
 def woven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, analysis_profile, lead, text): the letters of each document, ``lead`` characters, then all kinds of fragments between words."""
-    letters = F.regexp_replace("text", "[^A-Za-z \n]", "")
+    """(doc_id, analysis_profile, text): each document as it is, and behind it all kinds of fragments between words."""
     kinds, n = F.array(*[F.lit(t) for t, _ in WOVEN]), (F.col("doc_id") % 90 + 10).cast("string")
     parts = F.transform(F.sequence(F.lit(0), F.lit(len(WOVEN) - 1)), lambda i: F.concat(
         F.lit("晨雾"), F.replace(F.element_at(kinds, ((F.col("doc_id") + i) % len(WOVEN) + 1).cast("int")), F.lit("{n}"), n), F.lit("，渔火。")))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", pick(["general", "academic", "financial"], F.col("doc_id")).alias("analysis_profile"), F.length(letters).alias("lead"),
-        F.concat(letters, F.array_join(parts, "")).alias("text"))
+    raw = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return raw.select("doc_id", pick(["general", "academic", "financial"], F.col("doc_id")).alias("analysis_profile"), F.concat("text", F.array_join(parts, "")).alias("text"))
+
+
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules: every pair of neighbouring words of the benchmark passages, and every part name."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i.cast("int")), F.element_at("w", (i + 1).cast("int"))))
+    words = table(spark, sf_dir, "benchmark").select(F.split(F.translate("text", ".,", "。，"), " ", -1).alias("w")).where("size(w) > 1")
+    needles = words.select(F.explode(pairs).alias("needle")).union(table(spark, sf_dir, "part").select("p_name")).distinct()
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("needle"))
+    category = pick(CATEGORIES, F.col("rule_no"))
+    none = F.lit(None).cast("string")
+    return needles.select(number.alias("rule_no"), "needle").select(
+        "rule_no", "needle", category.alias("category"), F.when(category == "grammar", pick(GRAMMAR_SUBTYPES, F.col("rule_no"))).alias("grammar_subtype"),
+        F.col("needle").alias("quote"), none.alias("context_before"), none.alias("context_after"), F.concat(F.lit("rule "), F.col("rule_no").cast("string")).alias("reason"),
+        F.lit("other words").alias("suggestion"), (F.col("rule_no") % 101).cast("int").alias("confidence"), F.array().cast("array<string>").alias("evidence_source_ids"))
 
 
 # --- fixed values: the rule table of the fixtures ---
@@ -199,7 +211,12 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+    return as_attempts(table(spark, sf_dir, "events"))
+
+
+def as_attempts(events: DataFrame) -> DataFrame:
+    """Login attempts from batch or streaming event rows."""
+    return events.select(
         F.col("event_id").alias("attempt_id"), F.concat(F.lit("User"), F.col("user_id").cast("string")).alias("username"),
         (F.col("user_id") % 40).cast("string").alias("ip"), (F.col("event_type") != "error").alias("success"),
         F.col("ts").cast("timestamp").alias("attempted_at"))
