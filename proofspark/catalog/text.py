@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from proofspark import constants as K
 from proofspark.catalog import sql as S
 from proofspark.functions.edits import localize_edit
-from proofspark.functions.spans import protected_spans
+from proofspark.functions.spans import common_spans, protected_spans, scene_spans
 from proofspark.functions.text import normalize_suggestion, safe_filename
 from proofspark.operators import report as R
 from proofspark.operators.chunk import chunk, paragraphs
@@ -73,6 +73,40 @@ O["rule_candidates"] = S.with_recursive(S.DOCS, S.CHUNKS, S.RULES, select="""
 SELECT doc_id, chunk_index, needle AS quote, category, confidence::BIGINT AS confidence FROM chunks, rules WHERE contains(text, needle)""")
 
 
+def many_rule_candidates(spark, d):
+    """Thousands of rules at once: the template of each one that occurs in a chunk."""
+    scanned = scan_rules(chunk(_docs(spark, d)), X.many_rules(spark, d))
+    return longs(scanned.select("doc_id", "chunk_index", F.posexplode("candidates").alias("candidate_index", "c")).select(
+        "doc_id", "chunk_index", "candidate_index", F.col("c.quote").alias("quote"), F.col("c.category").alias("category"),
+        F.col("c.grammar_subtype").alias("grammar_subtype"), F.col("c.confidence").alias("confidence"), F.col("c.reason").alias("reason")))
+
+
+MANY_RULES = f"""
+bw AS (SELECT string_split(translate(text, '.,', '。，'), ' ') AS w FROM benchmark),
+needles AS (SELECT DISTINCT needle FROM (SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS needle FROM bw UNION ALL SELECT p_name FROM part)),
+many AS MATERIALIZED (SELECT row_number() OVER (ORDER BY needle) AS rule_no, needle FROM needles),
+told AS (SELECT *, {S._list(K.CATEGORIES)}[rule_no % 4 + 1] AS category, CASE WHEN rule_no % 4 = 2 THEN {S._list(K.GRAMMAR_SUBTYPES)}[rule_no % 10 + 1] END AS grammar_subtype,
+  rule_no % 101 AS confidence, 'rule ' || rule_no AS reason FROM many)"""
+
+O["many_rule_candidates"] = S.with_recursive(S.DOCS, S.CHUNKS, MANY_RULES, select="""
+SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY rule_no) - 1 AS candidate_index, needle AS quote, category, grammar_subtype, confidence, reason
+FROM chunks, told WHERE contains(text, needle)""")
+
+
+def many_rule_occurrences(spark, d):
+    """Thousands of rules at once: each place of each of them, overlapping ones too, with what stands around it."""
+    scanned = scan_occurrences(chunk(_docs(spark, d)), X.many_rules(spark, d))
+    return longs(scanned.select("doc_id", "chunk_index", F.posexplode("candidates").alias("candidate_index", "c")).select(
+        "doc_id", "chunk_index", "candidate_index", F.col("c.reason").alias("reason"), F.col("c.context_before").alias("before"), F.col("c.context_after").alias("after")))
+
+
+O["many_rule_occurrences"] = S.with_recursive(S.DOCS, S.CHUNKS, MANY_RULES, """
+met AS MATERIALIZED (SELECT doc_id, chunk_index, text, rule_no, needle, reason FROM chunks, told WHERE contains(text, needle)),
+put AS (SELECT *, unnest(list_filter(range(1, length(text) + 1), lambda i: substring(text, i, length(needle)) = needle)) AS pos FROM met)""", select="""
+SELECT doc_id, chunk_index, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY rule_no, pos) - 1 AS candidate_index, reason,
+  substring(text, greatest(pos - 12, 1), pos - greatest(pos - 12, 1)) AS before, substring(text, pos + length(needle), 12) AS after FROM put""")
+
+
 def resolved_rules(spark, d):
     """Rule templates carry no context, so an ambiguous quote vanishes."""
     out = resolve_candidates(scan_rules(chunk(_docs(spark, d)), X.rules(spark)))
@@ -105,39 +139,43 @@ SELECT analysis_profile, category, protected, count(*) AS quotes FROM flagged GR
 
 
 def protected_fragments(spark, d):
-    """Every protected fragment of texts with all kinds of them, all three scenes on the same documents."""
-    scenes = X.woven(spark, d).select("doc_id", "text", F.explode(F.array(*[F.lit(p) for p in K.PROFILES])).alias("analysis_profile"))
-    spans = scenes.select("doc_id", "analysis_profile", protected_spans(F.col("text"), F.col("analysis_profile")).alias("spans"))
-    return longs(spans.select("doc_id", "analysis_profile", F.explode_outer("spans").alias("s")).where("s is not null").select(
-        "doc_id", "analysis_profile", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end")))
+    """Every protected fragment of whole texts with all kinds of them behind, all three scenes on the same documents."""
+    docs = X.woven(spark, d)
+    scenes = F.array(*[F.struct(F.lit(p).alias("profile"), scene_spans(F.col("text"), p).alias("spans")) for p in K.PROFILES])
+    found = docs.select("doc_id", F.explode_outer(F.array(F.struct(common_spans(F.col("text")).alias("common"), scenes.alias("scenes")))).alias("f"))
+    rows = found.select("doc_id", "f.common", F.explode_outer("f.scenes").alias("s")).select("doc_id", F.col("s.profile").alias("analysis_profile"), F.explode_outer(F.concat("common", "s.spans")).alias("s"))
+    return longs(rows.where("s is not null").select("doc_id", "analysis_profile", F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end")))
 
 
-#: Places of the woven fragments by arithmetic, without any pattern.
 _WOVEN = """
-kinds AS (SELECT unnest(range(0, {count})) AS kind, unnest([{texts}]) AS t, unnest([{scenes}]) AS scene),
-put AS (SELECT doc_id, i, scene, length(regexp_replace(text, '[^A-Za-z \n]', '', 'g')) AS lead, length(replace(t, '{{n}}', 'nn')) AS n
-  FROM documents, range(0, {count}) r(i), kinds WHERE kind = (doc_id + i) % {count}),
-placed AS (SELECT doc_id, i, scene, lead, n, lead + coalesce(sum(n + 6) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT + 2 AS s FROM put)
-""".format(count=len(X.WOVEN), texts=", ".join(f"'{t}'" for t, _ in X.WOVEN), scenes=", ".join(f"'{s}'" if s else "NULL" for _, s in X.WOVEN))
+kinds AS (SELECT unnest(range(0, {count})) AS kind, unnest([{texts}]) AS t),
+tails AS (SELECT doc_id, string_agg('晨雾' || replace(t, '{{n}}', (doc_id % 90 + 10)::VARCHAR) || '，渔火。', '' ORDER BY i) AS tail
+  FROM documents, range(0, {count}) r(i), kinds WHERE kind = (doc_id + i) % {count} GROUP BY doc_id),
+chunks AS (SELECT doc_id, 0 AS chunk_index, text || tail AS text FROM documents JOIN tails USING (doc_id))""".format(
+    count=len(X.WOVEN), texts=", ".join(f"'{t}'" for t, _ in X.WOVEN))
+
+O["protected_fragments"] = S.with_plain(_WOVEN, S.SCENE_SPANS, select="""
+SELECT doc_id, p AS analysis_profile, s::BIGINT AS char_start, e::BIGINT AS char_end FROM scene_spans, unnest(['general', 'academic', 'financial']) x(p) WHERE scene IS NULL OR scene = p""")
 
-O["protected_fragments"] = S.with_plain(_WOVEN, select="""
-SELECT doc_id, p AS analysis_profile, s AS char_start, s + n AS char_end FROM placed, unnest(['general', 'academic', 'financial']) x(p) WHERE scene IS NULL OR scene = p""")
+PROBES = 6
 
 
 def protected_probe(spark, d):
-    """One quote per document: inside its first fragment, over the fragment's border, or beside it; half of them grammar."""
-    docs = X.woven(spark, d)
-    mode = F.floor(F.col("doc_id") / 2) % 3
-    start = (F.col("lead") + F.when(mode == 0, 3).when(mode == 1, 1).otherwise(0)).cast("int")
-    quotes = docs.select("doc_id", "analysis_profile", "text", start.alias("start"), (start + F.when(mode == 1, 3).otherwise(2)).cast("int").alias("end"),
-                         X.pick(["typo", "grammar"], F.col("doc_id")).alias("category"))
-    return flag_protected(quotes).select("doc_id", "category", "protected")
+    """Quotes all over the texts, and two in the fragments behind; half of them grammar."""
+    docs = X.woven(spark, d).select("doc_id", "analysis_profile", "text", F.length("text").alias("n"))
+    spans = docs.select("doc_id", "analysis_profile", "n", F.explode_outer(F.array(protected_spans(F.col("text"), F.col("analysis_profile")))).alias("spans"))
+    quotes = spans.select("*", F.explode_outer(F.sequence(F.lit(0), F.lit(PROBES - 1))).alias("k"))
+    place = F.when(F.col("k") < PROBES - 2, (F.col("doc_id") * 37 + F.col("k") * 211) % F.col("n")).otherwise(F.col("n") - 8 - F.col("doc_id") % 90 - F.col("k") * 3)
+    start = F.greatest(place, F.lit(0)).cast("int")
+    quotes = quotes.select("doc_id", "spans", "k", start.alias("start"), (start + 1 + F.col("k") % 3).cast("int").alias("end"), X.pick(["typo", "grammar"], F.col("doc_id")).alias("category"))
+    return longs(flag_protected(quotes).select("doc_id", "k", "category", "protected"))
 
 
-O["protected_probe"] = S.with_plain(_WOVEN, select="""
-SELECT doc_id, ['typo', 'grammar'][doc_id % 2 + 1] AS category,
-  (scene IS NULL OR scene = ['general', 'academic', 'financial'][doc_id % 3 + 1]) AND (doc_id // 2 % 3 = 0 OR doc_id // 2 % 3 = 1 AND doc_id % 2 = 0) AS protected
-FROM placed WHERE i = 0""")
+O["protected_probe"] = S.with_plain(_WOVEN, S.SCENE_SPANS, f"""
+probes AS (SELECT doc_id, k, greatest(CASE WHEN k < {PROBES - 2} THEN (doc_id * 37 + k * 211) % length(text) ELSE length(text) - 8 - doc_id % 90 - k * 3 END, 0) AS st,
+  ['typo', 'grammar'][doc_id % 2 + 1] AS category, ['general', 'academic', 'financial'][doc_id % 3 + 1] AS p FROM chunks, range(0, {PROBES}) r(k))""", select="""
+SELECT doc_id, k, category, EXISTS (SELECT 1 FROM scene_spans s WHERE s.doc_id = probes.doc_id AND (s.scene IS NULL OR s.scene = p) AND CASE WHEN category = 'grammar'
+  THEN s.s <= st AND s.e >= st + 1 + k % 3 ELSE s.s < st + 1 + k % 3 AND s.e > st END) AS protected FROM probes""")
 
 
 def issue_rows(spark, d):
@@ -358,7 +396,7 @@ def normalized_suggestions(spark, d):
 
 O["normalized_suggestions"] = "SELECT p_partkey, lower(regexp_replace(p_name, '\\s+', '', 'g')) || 'ä' AS norm FROM part"
 
-for _f in (paragraph_ranges, chunk_documents, chunk_long_paragraphs, rule_candidates, resolved_rules, resolved_occurrences,
+for _f in (paragraph_ranges, chunk_documents, chunk_long_paragraphs, rule_candidates, many_rule_candidates, many_rule_occurrences, resolved_rules, resolved_occurrences,
            protected_quotes, protected_fragments, protected_probe, issue_rows, report_summary, issues_by_class, line_segments,
            locate_spans, literal_edits, issue_levels, attached_evidence, gated_documents, pasted_texts, source_windows,
            missed_issues, safe_names, normalized_suggestions):

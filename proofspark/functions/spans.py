@@ -100,20 +100,31 @@ def dollar_math_spans(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("$")), let(text, spans)).otherwise(_none())
 
 
-def protected_spans(text: Column, profile: Column) -> Column:
-    """All spans protected for a profile; computed once per chunk.
+#: What a pattern cannot do without; a cheap look for it spares most texts the full pattern.
+_HINTS = {"base": r"://|www\.|[`\\]", "academic": r"10\.|[\[［(（]", "financial": r"(?U)\d"}
+
+
+def _guarded(text: Column, name: str, pattern: str) -> Column:
+    return F.when(F.regexp_like(text, F.lit(_HINTS[name])), pattern_spans(text, pattern)).otherwise(_none())
 
-    A cheap look for a character the pattern cannot do without spares most chunks the full pattern.
-    """
-    hint = {"base": r"://|www\.|[`\\]", "academic": r"10\.|[\[［(（]", "financial": r"(?U)\d"}
 
-    def guarded(name: str, pattern: str) -> Column:
-        return F.when(F.regexp_like(text, F.lit(hint[name])), pattern_spans(text, pattern)).otherwise(_none())
+def common_spans(text: Column) -> Column:
+    """Spans protected whatever the profile."""
+    return F.concat(_guarded(text, "base", K.BASE_PATTERN), dollar_math_spans(text))
 
-    scene = F.when(profile == "academic", guarded("academic", K.ACADEMIC_PATTERN)).when(
-        profile == "financial", guarded("financial", K.FINANCIAL_PATTERN)
-    ).otherwise(_none())
-    return F.concat(guarded("base", K.BASE_PATTERN), dollar_math_spans(text), scene)
+
+def scene_spans(text: Column, profile: Column | str) -> Column:
+    """Spans that only this profile protects."""
+    if isinstance(profile, str):
+        pattern = {"academic": K.ACADEMIC_PATTERN, "financial": K.FINANCIAL_PATTERN}.get(profile)
+        return _guarded(text, profile, pattern) if pattern else _none()
+    return F.when(profile == "academic", scene_spans(text, "academic")).when(
+        profile == "financial", scene_spans(text, "financial")).otherwise(_none())
+
+
+def protected_spans(text: Column, profile: Column) -> Column:
+    """All spans protected for a profile; computed once per chunk."""
+    return F.concat(common_spans(text), scene_spans(text, profile))
 
 
 def is_protected(spans: Column, start: Column, end: Column, category: Column) -> Column:

@@ -10,8 +10,10 @@ from proofspark.functions.text import explode_rows, let
 
 
 def flag_protected(quotes: DataFrame) -> DataFrame:
-    """``protected`` for rows of (text, analysis_profile, category, start, end) local to a chunk."""
-    return quotes.withColumn("spans", protected_spans(F.col("text"), F.col("analysis_profile"))).withColumn(
+    """``protected`` for rows of (text, analysis_profile, category, start, end) local to a chunk, or of (spans, category, start, end)."""
+    if "spans" not in quotes.columns:
+        quotes = quotes.withColumn("spans", protected_spans(F.col("text"), F.col("analysis_profile")))
+    return quotes.withColumn(
         "protected", is_protected(F.col("spans"), F.col("start"), F.col("end"), F.col("category"))
     )
 

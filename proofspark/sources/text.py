@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from proofspark import constants as K
-from proofspark.functions.text import is_blank
+from proofspark.functions.text import is_blank, once
 
 
 def _split(df: DataFrame, code, stage: str) -> tuple[DataFrame, DataFrame]:
-    checked = df.withColumn("error_code", code)
+    """Text and code are bound once: a filter on the code would be pushed below a derived text and derive it again."""
+    kept = [c for c in df.columns if c != "text"]
+    checked = once(df, kept, text=F.col("text"), error_code=code).select(*df.columns, "error_code")
     rejects = checked.where(F.col("error_code").isNotNull()).select(F.lit(stage).alias("stage"), "doc_id", "error_code")
     return checked.where(F.col("error_code").isNull()).drop("error_code"), rejects
 
