@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from xml.parsers import expat
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -103,8 +103,8 @@ def txt_lines(texts: DataFrame) -> DataFrame:
                        F.lit(None).cast("int").alias("page"), F.lit(False).alias("paragraph_break_after"))
 
 
-def docx_paragraphs(content: bytes) -> list[str]:
-    """Visible paragraphs of a DOCX body; raises ValueError for anything malformed or beyond the limits."""
+def docx_body(content: bytes) -> bytes:
+    """The main part of a DOCX archive; raises ValueError for anything malformed or beyond the limits."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
         entries = archive.infolist()
@@ -119,51 +119,46 @@ def docx_paragraphs(content: bytes) -> list[str]:
         raise ValueError("not a readable archive") from error
     if len(body) > MAX_BODY:
         raise ValueError("body too large")
-    found: list[str] = []
-    state: dict = {"paragraph": None, "text": False, "deleted": 0, "opened": None}
-    marks = {"tab": "\t", "br": "\n"}
-
-    def start(name, _):
-        tag = name.removeprefix("w:")
-        state["opened"] = name
-        if tag == "del":
-            state["deleted"] += 1
-        elif tag == "p":
-            state["outer"], state["paragraph"] = state["paragraph"], []
-        elif tag == "t":
-            state["text"] = True
-
-    def end(name):
-        tag = name.removeprefix("w:")
-        # of empty-element tags (<x/>) only tabs and breaks count; a paragraph written that way does not exist
-        here = parser.CurrentByteIndex
-        bare = state["opened"] == name and body[here - 2:here] == b"/>"
-        state["opened"] = None
-        if tag == "del":
-            state["deleted"] = max(state["deleted"] - 1, 0)
-        elif tag == "t":
-            state["text"] = False
-        elif tag in marks and bare and state["paragraph"] is not None and not state["deleted"]:
-            state["paragraph"].append(marks[tag])
-        elif tag == "p" and bare:
-            state["paragraph"] = state["outer"]
-        elif tag == "p" and state["paragraph"] is not None:
-            found.append("".join(state["paragraph"]))
-            state["paragraph"] = None
-
-    def data(value):
-        state["opened"] = None
-        if state["paragraph"] is not None and state["text"] and not state["deleted"]:
-            state["paragraph"].append(value)
-
-    parser = expat.ParserCreate()
-    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
+    return body
+
+
+def _kind(element: ElementTree.Element) -> str:
+    return element.tag.rpartition("}")[2]
+
+
+def _below(element: ElementTree.Element, shut: set[str]) -> Iterator[ElementTree.Element]:
+    """Elements below one, in document order, without what lies inside the kinds in ``shut``."""
+    waiting = list(reversed(element))
+    while waiting:
+        e = waiting.pop()
+        yield e
+        if _kind(e) not in shut:
+            waiting.extend(reversed(e))
+
+
+#: What a text element, a tab and a break stand for.
+_SHOWS = {"t": lambda e: e.text or "", "tab": lambda e: "\t", "br": lambda e: "\n"}
+
+
+def docx_paragraphs(content: bytes) -> list[str]:
+    """Visible paragraphs of a DOCX file in document order, up to the last one that isn't blank.
+
+    A paragraph is a ``p`` element with anything in it; it shows the texts, tabs and breaks of its runs, without deleted
+    ones, properties, and paragraphs nested in it, which stand for themselves. Character references and CDATA are text; a
+    document type, and with it entities of its own, makes a file malformed. Raises ValueError for malformed files.
+    """
+    body = docx_body(content)
+    if b"<!DOCTYPE" in body:
+        raise ValueError("document type in the body")
     try:
-        parser.Parse(body, True)
-    except expat.ExpatError as error:
+        root = ElementTree.fromstring(body)
+    except ElementTree.ParseError as error:
         raise ValueError("body is not XML") from error
-    last = max((i for i, p in enumerate(found) if p.strip()), default=0)
-    return found[: last + 1]
+    paragraphs = [p for p in _below(root, {"del"}) if _kind(p) == "p" and len(p)]
+    texts = ["".join(_SHOWS[_kind(e)](e) for e in _below(p, {"del", "p", "pPr", "rPr"}) if _kind(e) in _SHOWS) for p in paragraphs]
+    while len(texts) > 1 and not texts[-1].strip():
+        texts.pop()
+    return texts
 
 
 PARAGRAPHS = "path string, line_no int, text string, paragraph_break_after boolean, error_code string"
