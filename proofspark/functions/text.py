@@ -59,6 +59,12 @@ def slice_text(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, start + 1, end - start)
 
 
+def whole_json(text: Column) -> Column:
+    """The one JSON value that a text consists of, as a variant; NULL if it is none, or if anything follows it."""
+    values = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    return let(values, lambda v: F.when(F.size(v) == 1, F.get(v, 0)))
+
+
 def sentence_ends(text: Column) -> Column:
     return F.regexp_count(text, F.lit("[。！？!?]"))
 

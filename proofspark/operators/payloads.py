@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from proofspark import constants as K
-from proofspark.functions.text import explode_rows, is_blank, let, once, trim_unicode
+from proofspark.functions.text import explode_rows, is_blank, let, once, trim_unicode, whole_json
 from proofspark.schemas import CANDIDATE, VERDICT
 
 BAD = "MODEL_OUTPUT_INVALID"
@@ -179,7 +179,7 @@ def _parse(df: DataFrame, member: str, struct: str, object_type: str, element_ok
     items = F.try_variant_get("_v", f"$.{member}", "array<variant>")
     only = F.regexp_like(F.schema_of_variant("_v"), F.lit(rf"\AOBJECT<{member}: ARRAY<")) & (F.size(F.json_object_keys("_j")) == 1)
     opened = once(
-        bare.withColumn("_v", F.try_parse_json("_j")), kept,
+        bare.withColumn("_v", whole_json(F.col("_j"))), kept,
         _x=F.from_json("_j", f"struct<{member}:array<{struct}>>", {"mode": "PERMISSIVE"})[member],
         _typed=only & F.forall(items, lambda i: F.regexp_like(F.schema_of_variant(i), F.lit(object_type))))
     shaped = F.coalesce(F.col("_typed") & F.forall("_x", element_ok), F.lit(False))
@@ -211,7 +211,7 @@ def _verdict_ok(v: Column) -> Column:
 
 def _stored_list(output: Column, struct: str, object_type: str, element_ok) -> Column:
     """Whether a stored output is a bare list whose members all have the exact type."""
-    parsed = F.try_parse_json(output)
+    parsed = whole_json(output)
     items = F.try_variant_get(parsed, "$", "array<variant>")
     typed = F.schema_of_variant(parsed).startswith("ARRAY<") & F.forall(items, lambda i: F.regexp_like(F.schema_of_variant(i), F.lit(object_type)))
     return F.coalesce(typed & F.forall(F.from_json(output, f"array<{struct}>", {"mode": "PERMISSIVE"}), element_ok), F.lit(False))

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofspark import constants as K
-from proofspark.functions.text import is_blank, once
+from proofspark.functions.text import is_blank, once, whole_json
 from proofspark.operators.evaluate import gold_violations
 from proofspark.operators.summary import COUNTERS
 from proofspark.schemas import GOLD, REPORT
 from proofspark.session import written
+from proofspark.sources.store import KeyedStore
 
 REPORT_SCHEMA = "report.v1"
 EVALUATION_SCHEMA = "evaluation.v3"
@@ -21,7 +22,7 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     Members beyond document_id and issues are refused at the top level; issues may carry more.
     """
     lines = spark.read.text(path).where(~is_blank(F.col("value")))
-    opened = once(lines, ["value"], g=F.from_json("value", GOLD, {"mode": "PERMISSIVE"}), shape=F.schema_of_variant(F.try_parse_json("value")))
+    opened = once(lines, ["value"], g=F.from_json("value", GOLD, {"mode": "PERMISSIVE"}), shape=F.schema_of_variant(whole_json(F.col("value"))))
     filled = F.forall("g.issues", lambda i: i["category"].isNotNull() & i["char_start"].isNotNull() & i["char_end"].isNotNull())
     known = (
         (F.size(F.json_object_keys("value")) == 2) & F.regexp_like("shape", F.lit(r"\AOBJECT<document_id: STRING, issues: ARRAY<")) & filled)
@@ -96,26 +97,14 @@ def report_json(reports: DataFrame) -> DataFrame:
     return reports.select("doc_id", "job_id", F.to_json(F.struct(*[c for c in reports.columns if c != "doc_id"])).alias("content"))
 
 
-def write_reports(reports: DataFrame, path: str, buckets: int = 64) -> None:
-    """Store one row per job, whole or not at all; writing the same jobs again replaces them.
+def write_reports(reports: DataFrame, path: str) -> None:
+    """Store one row per job, whole or not at all; writing the same jobs again replaces them."""
+    KeyedStore(reports.sparkSession, path, "job_id").replace(reports)
 
-    Rows are staged first, together with the other jobs of the buckets they fall into, and then replace those buckets.
-    """
-    spark = reports.sparkSession
-    bucket = F.pmod(F.hash("job_id"), F.lit(buckets)).alias("bucket")
-    fresh = written(reports.select("*", bucket), "reports-fresh")
-    try:
-        stored = spark.read.parquet(path)
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-            raise
-        stored = None
-    if stored is not None:
-        touched = fresh.select("bucket").distinct()
-        others = stored.join(touched, "bucket", "left_semi").join(fresh.select("job_id"), "job_id", "left_anti")
-        fresh = fresh.unionByName(others.select(*fresh.columns))
-        fresh = written(fresh, "reports-stage")
-    _replace_partitions(fresh, path, "bucket")
+
+def stored_reports(spark: SparkSession, path: str) -> DataFrame:
+    """The reports that count, one per job."""
+    return KeyedStore(spark, path, "job_id").read()
 
 
 def _replace_partitions(staged: DataFrame, path: str, partition: str) -> None:

@@ -107,11 +107,11 @@ def test_reports_from_files(spark, tmp_path):
 def test_reports_replace_their_jobs(spark, tmp_path):
     path = str(tmp_path / "reports")
     rows = spark.range(50).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("job_id"), F.lit("old").alias("content"))
-    T.write_reports(rows, path, buckets=4)
-    T.write_reports(rows.where("doc_id < 10").withColumn("content", F.lit("new")), path, buckets=4)
-    T.write_reports(rows.where("doc_id < 10").withColumn("content", F.lit("new")), path, buckets=4)
-    got = {r.doc_id: r.content for r in spark.read.parquet(path).collect()}
-    assert len(got) == 50 and spark.read.parquet(path).count() == 50
+    T.write_reports(rows, path)
+    T.write_reports(rows.where("doc_id < 10").withColumn("content", F.lit("new")), path)
+    T.write_reports(rows.where("doc_id < 10").withColumn("content", F.lit("new")), path)
+    got = {r.doc_id: r.content for r in T.stored_reports(spark, path).collect()}
+    assert len(got) == 50 and T.stored_reports(spark, path).count() == 50
     assert all(got[i] == ("new" if i < 10 else "old") for i in range(50))
 
 
