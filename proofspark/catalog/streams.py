@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from proofspark.catalog import sql as S
-from proofspark.catalog.text import longs
+from proofspark.catalog.text import SEGMENTS, longs
 from proofspark.plans import fixtures as X
-from proofspark.plans.proofread import proofread
+from proofspark.plans.proofread import full_reports, proofread
 from proofspark.operators.summary import summarize
 from proofspark.session import scratch_dir
 from proofspark.sources import tables as T
@@ -42,7 +42,45 @@ SELECT job_id, event_id, status, progress FROM x WHERE coalesce(ended, 0) = 0 AN
 @registered
 def streamed_lease_watch(spark, d):
     out = R.collect_stream(J.stream_lease_watch(X.status_events(source(spark, d, "events"))), "leases")
-    return out.groupBy("alert").agg(F.count(F.lit(1)).alias("alerts"))
+    return out.select("job_id", F.unix_seconds("ts").alias("at"), "alert")
+
+
+#: Job by job, event by event, and what is still open by the last watermark.
+O["streamed_lease_watch"] = S.with_recursive(S.STATUS_EVENTS, f"""
+e AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY job_id) AS n FROM status_events),
+r AS (SELECT job_id, i, n, ts AS seen, status, ts + INTERVAL 2 HOUR AS deadline, NULL::TIMESTAMP AS lost, NULL::TIMESTAMP AS late FROM e WHERE i = 1
+  UNION ALL SELECT e.job_id, e.i, e.n, e.ts, e.status, CASE WHEN r.status IN {S.TERMINAL} OR r.deadline <= e.ts THEN e.ts + INTERVAL 2 HOUR ELSE r.deadline END,
+    CASE WHEN r.status IN {S.RUNNING} AND r.seen + INTERVAL 2 MINUTE < least(r.deadline, e.ts) THEN r.seen + INTERVAL 2 MINUTE END,
+    CASE WHEN r.status NOT IN {S.TERMINAL} AND r.deadline <= e.ts THEN r.deadline END
+  FROM r JOIN e ON e.job_id = r.job_id AND e.i = r.i + 1),
+open AS (SELECT *, (SELECT max(ts) - INTERVAL 10 MINUTE FROM status_events) AS mark FROM r WHERE i = n AND status NOT IN {S.TERMINAL})""", select=f"""
+SELECT job_id, epoch_us(lost) // 1000000 AS at, 'lease_expired' AS alert FROM r WHERE lost IS NOT NULL
+UNION ALL SELECT job_id, epoch_us(late) // 1000000, 'job_timeout' FROM r WHERE late IS NOT NULL
+UNION ALL SELECT job_id, epoch_us(seen + INTERVAL 2 MINUTE) // 1000000, 'lease_expired' FROM open WHERE status IN {S.RUNNING} AND seen + INTERVAL 2 MINUTE < deadline AND seen + INTERVAL 2 MINUTE <= mark
+UNION ALL SELECT job_id, epoch_us(deadline) // 1000000, 'job_timeout' FROM open WHERE deadline <= mark""")
+
+
+def in_batches(spark, d, name, order, batches=6):
+    """A table as a stream of so many batches, in the order of a column."""
+    rows = X.table(spark, d, name)
+    low, high = rows.agg(F.min(order.cast("double")), F.max(order.cast("double"))).first()
+    path = scratch_dir(spark, f"{name}-batches")
+    nth = F.least(F.floor((order.cast("double") - (low or 0.0)) * batches / max(1e-9, (high or 0.0) - (low or 0.0))), F.lit(batches - 1))
+    for k in range(batches):
+        rows.where(nth == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@registered
+def streamed_login_blocks(spark, d):
+    """Failures of the same user or address before each attempt, and whether they block it, batch after batch."""
+    out = R.stream_login_blocks(X.as_attempts(in_batches(spark, d, "events", F.col("event_id"))), scratch_dir(spark, "login-blocks"), delay="400 days", slice_minutes=2880, buckets=4)
+    return out.select("attempt_id", "failures", "blocked")
+
+
+O["streamed_login_blocks"] = S.with_plain(S.ATTEMPTS, select="""
+SELECT a.attempt_id, count(b.attempt_id) AS failures, count(b.attempt_id) >= 5 AS blocked FROM attempts a LEFT JOIN attempts b ON NOT b.success AND b.attempted_at < a.attempted_at
+ AND b.attempted_at > a.attempted_at - INTERVAL 15 MINUTES AND (lower(b.username) = lower(a.username) OR b.ip = a.ip) GROUP BY a.attempt_id""")
 
 
 @registered
@@ -85,9 +123,9 @@ SELECT epoch(date_trunc('hour', ts))::BIGINT AS window_start, ['candidate','veri
  sum(floor("value"))::BIGINT AS duration_ms FROM events GROUP BY ALL"""
 
 
-def _requests(spark, d):
+def _requests(events):
     k = F.col("event_id")
-    return source(spark, d, "events").select(
+    return events.select(
         k.alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", F.concat(F.lit("key-"), (k % 7).cast("string")).alias("idempotency_key"),
         (k % 7 + F.when(k % 10 == 0, 1).otherwise(0)).alias("document_id"), F.lit(1).alias("model_profile_id"), F.lit("general").alias("analysis_profile"))
 
@@ -99,7 +137,7 @@ won AS (SELECT user_id, idempotency_key, arg_min(struct_pack(r := request_id, d
 
 @registered
 def accepted_submissions(spark, d):
-    accepted, _ = R.stream_submissions(_requests(spark, d), scratch_dir(spark, "submissions"))
+    accepted, _ = R.stream_submissions(_requests(source(spark, d, "events")), scratch_dir(spark, "submissions"))
     return accepted.select("user_id", "idempotency_key", "document_id", "request_id")
 
 
@@ -108,7 +146,7 @@ O["accepted_submissions"] = S.with_plain(_REQ, select="SELECT user_id, idempoten
 
 @registered
 def conflicting_submissions(spark, d):
-    _, conflicts = R.stream_submissions(_requests(spark, d), scratch_dir(spark, "submissions"))
+    _, conflicts = R.stream_submissions(_requests(source(spark, d, "events")), scratch_dir(spark, "submissions"))
     return conflicts.select("user_id", "idempotency_key", "document_id")
 
 
@@ -116,6 +154,19 @@ O["conflicting_submissions"] = S.with_plain(_REQ, select="""
 SELECT DISTINCT user_id, idempotency_key, document_id FROM req JOIN won USING (user_id, idempotency_key) WHERE document_id <> w.d""")
 
 
+@registered
+def submissions_in_batches(spark, d):
+    """The same keys over many batches: each looks up its own keys among all that came before."""
+    accepted, conflicts = R.stream_submissions(_requests(in_batches(spark, d, "events", F.unix_micros(F.col("ts").cast("timestamp")))), scratch_dir(spark, "submissions"))
+    some = ["user_id", "idempotency_key", "document_id"]
+    return accepted.select(*some, F.lit(True).alias("accepted")).unionByName(conflicts.select(*some, F.lit(False).alias("accepted")))
+
+
+O["submissions_in_batches"] = S.with_plain(_REQ, select="""
+SELECT user_id, idempotency_key, w.d AS document_id, true AS accepted FROM won UNION ALL
+SELECT DISTINCT user_id, idempotency_key, document_id, false FROM req JOIN won USING (user_id, idempotency_key) WHERE document_id <> w.d""")
+
+
 @registered
 def latest_feedback(spark, d):
     e = source(spark, d, "events").select(
@@ -147,6 +198,33 @@ SELECT d.doc_id, count(i.doc_id) AS total, count(*) FILTER (level = 'confirmed')
 FROM docs d LEFT JOIN issues i USING (doc_id) GROUP BY d.doc_id""")
 
 
+@registered
+def streamed_reports(spark, d):
+    """Documents, each of them in two files, to complete stored reports with the lines of their issues."""
+    path = scratch_dir(spark, "intake-files")
+    docs = X.table(spark, d, "documents").select("doc_id", "source", "text")
+    for some in (docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 < 2")):
+        some.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    rules, evidence = X.rules(spark), X.evidence(spark)
+    reports, intake = R.stream_reports(
+        stream, lambda batch: full_reports(X.shaped(batch), rules, evidence, X.arithmetic_verdicts, F.lit("2001-08-02T00:00:00Z")), scratch_dir(spark, "intake"))
+    issue = "array<struct<location:struct<line_start:bigint,line_end:bigint>>>"
+    lines = F.from_json(F.get_json_object("content", "$.issues"), issue)
+    of = lambda f: F.aggregate(lines, F.lit(0).cast("bigint"), lambda z, x: z + x["location"][f])
+    repeats = intake.agg(F.sum("repeats")).first()[0]
+    return reports.select(
+        "doc_id", F.get_json_object("content", "$.summary.total").cast("bigint").alias("total"), F.get_json_object("content", "$.summary.confirmed").cast("bigint").alias("confirmed"),
+        of("line_start").alias("line_starts"), of("line_end").alias("line_ends"), F.lit(repeats).cast("bigint").alias("repeats"))
+
+
+O["streamed_reports"] = S.with_recursive(S.DOCS, S.CHUNKS, S.RULES, S.OCCURRENCES, S.ISSUES, SEGMENTS.replace("FROM documents", "FROM docs"), """
+put AS (SELECT i.doc_id, i.level, i.char_start, i.char_end, min(g.line) AS a, max(g.line) AS z FROM issues i JOIN seg g ON g.doc_id = i.doc_id AND g.char_start < i.char_end AND g.char_end > i.char_start
+  GROUP BY i.doc_id, i.level, i.char_start, i.char_end, i.category, i.grammar_subtype, i.suggestion, i.chunk_index, i.candidate_index)""", select="""
+SELECT d.doc_id, count(put.doc_id) AS total, count(*) FILTER (level = 'confirmed') AS confirmed, coalesce(sum(a), 0)::BIGINT AS line_starts, coalesce(sum(z), 0)::BIGINT AS line_ends,
+  (SELECT count(*) FILTER (doc_id % 3 = 1) FROM documents) AS repeats FROM docs d LEFT JOIN put USING (doc_id) WHERE regexp_matches(d.text, '\\S') GROUP BY d.doc_id""")
+
+
 @registered
 def swept_jobs(spark, d):
     out = R.sweep(X.jobs(spark, d), X.stored_documents(spark, d), X.reports(spark, d), X.as_of())
@@ -162,7 +240,7 @@ SELECT CASE WHEN lost THEN 'queued' WHEN late THEN 'failed' WHEN cut THEN 'cance
 
 @registered
 def stored_reports(spark, d):
-    """Complete reports written by bucket, half of them written twice, and read back."""
+    """Complete reports stored, half of them twice, and read back."""
     issues = X.line_issues(spark, d)
     issues = issues.select(
         "*", F.lit("txt").alias("document_format"), *[F.lit(None).cast("int").alias(c) for c in
@@ -178,8 +256,7 @@ def stored_reports(spark, d):
     path = scratch_dir(spark, "stored-reports")
     T.write_reports(reports, path)
     T.write_reports(reports.where(F.col("doc_id") % 2 == 0), path)
-    stored = spark.read.parquet(path)
-    return stored.select("doc_id", F.get_json_object("content", "$.summary.total").cast("bigint").alias("total"),
+    return T.stored_reports(spark, path).select("doc_id", F.get_json_object("content", "$.summary.total").cast("bigint").alias("total"),
                          F.get_json_object("content", "$.summary.grammar").cast("bigint").alias("grammar"),
                          F.get_json_object("content", "$.issues[0].id").alias("first_id"))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from proofspark import constants as K
 from proofspark.operators import payloads as P
@@ -13,8 +13,9 @@ from proofspark.operators.dedup import fold_issues
 from proofspark.operators.finalize import finalize
 from proofspark.operators.resolve import fail_documents, pair_verdicts, remap_verdicts, resolve_candidates
 from proofspark.operators.rules import scan_occurrences, scan_rules
-from proofspark.operators.segment import locate
+from proofspark.operators.segment import build_segments, locate, text_lines
 from proofspark.session import written
+from proofspark.sources.tables import assemble_reports, report_json
 from proofspark.sources.text import gate_chunkless, gate_documents
 
 
@@ -31,6 +32,25 @@ def proofread(
     return fold_issues(finalize(verify(resolve_candidates(scanned)), evidence))
 
 
+def full_reports(
+    docs: DataFrame, rules: DataFrame, evidence: DataFrame, verify: Callable[[DataFrame], DataFrame], generated_at: Column,
+) -> DataFrame:
+    """(doc_id, job_id, content): the complete report of every document that passes the gate, as JSON, places in the source included.
+
+    ``docs``: doc_id, original_name, document_format, analysis_profile, text. Job and report are named by the document.
+    """
+    good = written(gate_documents(docs)[0], "report-documents")
+    issues = proofread(good.select("doc_id", "analysis_profile", "text"), rules, evidence, verify)
+    found = locate(written(issues, "report-issues"), build_segments(text_lines(good.select("doc_id", "text"))))
+    name = F.col("doc_id").cast("string")
+    heads = good.select(
+        "doc_id", name.alias("report_id"), name.alias("job_id"),
+        F.struct("original_name", F.col("document_format").alias("format"), F.length("text").alias("char_count")).alias("document"),
+        F.struct("analysis_profile").alias("analysis"))
+    formats = good.select("doc_id", "document_format")
+    return report_json(assemble_reports(heads, found.where("located").join(formats, "doc_id"), generated_at))
+
+
 def _reject(rows: DataFrame, stage: str, code: str) -> DataFrame:
     return rows.select(F.lit(stage).alias("stage"), "doc_id", "chunk_index", F.lit(code).alias("error_code"))
 
