@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text", "payload", "reports", "scoring", "states", "figures", "streams"]
+MODULES = ["text", "payload", "reports", "scoring", "states", "figures", "streams", "files"]
 
 
 def collect(attribute: str) -> dict:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from proofspark import constants as K
 from proofspark.catalog import sql as S
@@ -10,10 +10,12 @@ from proofspark.catalog.text import longs
 from proofspark.operators import lifecycle, payloads as P, requests as R
 from proofspark.operators.chunk import chunk
 from proofspark.operators.resolve import remap_verdicts, resolve_candidates
-from proofspark.operators.rules import scan_rules
+from proofspark.operators.rules import scan_occurrences, scan_rules
 from proofspark.operators.segment import build_segments, text_lines
 from proofspark.plans import fixtures as X
 from proofspark.plans.proofread import proofread_responses
+from proofspark.plans.resume import resumed_issues
+from proofspark.session import written
 
 Q, O = {}, {}
 
@@ -317,4 +319,90 @@ O["response_rejects"] = """
 SELECT DISTINCT l_orderkey AS doc_id, CASE WHEN l_orderkey % 7 = 1 OR (l_orderkey % 7 = 2 AND l_orderkey % 11 <> 0) THEN 'PROVIDER_UNAVAILABLE' ELSE 'MODEL_OUTPUT_INVALID' END AS error_code
 FROM lineitem WHERE l_orderkey % 7 < 5 OR l_orderkey % 11 = 0 OR l_orderkey % 13 = 0"""
 
+
+def _earlier_run(spark, docs, rules):
+    """(chunks with candidates, resolved candidates with verdicts) of a whole run by the rules."""
+    scanned = written(scan_occurrences(chunk(docs), rules), "earlier-chunks")
+    return scanned, written(X.arithmetic_verdicts(resolve_candidates(scanned)), "earlier-verdicts")
+
+
+def _verdict(confidence, index):
+    return F.struct(
+        index.alias("candidate_index"), F.col("v_category").alias("category"), F.col("v_grammar_subtype").alias("grammar_subtype"),
+        F.when(confidence < 45, "rejected").when(confidence < 80, "suspected").otherwise("confirmed").alias("verdict"), confidence.alias("confidence"),
+        F.col("v_reason").alias("reason"), F.col("v_suggestion").alias("suggestion"), F.col("v_evidence_source_ids").alias("evidence_source_ids"))
+
+
+@registered
+def resumed_reports(spark, d):
+    """Figures of reports whose chunks were partly finished by an earlier run, with other confidences, and partly spoilt since."""
+    docs, rules = X.documents(spark, d).select("doc_id", "analysis_profile", "text"), X.rules(spark)
+    scanned, verdicts = _earlier_run(spark, docs, rules)
+    keys = ["doc_id", "chunk_index"]
+    before = F.lit(40) + (F.col("v_confidence") + 20) % 61
+    second = verdicts.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_list(_verdict(before.cast("int"), F.col("candidate_index"))))).alias("verifier_output"))
+    k = F.col("doc_id") + F.col("chunk_index")
+    first = F.to_json("candidates")
+    stored = scanned.join(second, keys, "left").where(k % 3 > 0).select(
+        F.col("doc_id").alias("job_id"), "chunk_index", "source_start", "source_end",
+        F.when(k % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"), F.when(k % 7 == 0, "failed").otherwise("completed").alias("status"),
+        F.when(k % 11 == 0, F.substring(first, F.lit(1), F.length(first) - 1)).otherwise(first).alias("candidate_output"), F.coalesce("verifier_output", F.lit("[]")).alias("verifier_output"))
+    issues, plan = resumed_issues(docs, stored, lambda chunks: scan_occurrences(chunks, rules), X.arithmetic_verdicts, X.evidence(spark))
+    sums = issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("issues"), F.sum("confidence").alias("confidence"), F.sum("char_start").alias("starts"))
+    chunks = plan.groupBy(F.col("job_id").alias("doc_id")).agg(F.count_if(F.col("plan") == "reusable").alias("reused"), F.count(F.lit(1)).alias("chunks"))
+    return longs(chunks.join(sums, "doc_id", "left").fillna(0))
+
+
+_CONF = "40 + (r.doc_id * 31 + r.char_start * 17 + r.rule_no * 7) % 61"
+_REUSED = "({0}doc_id + {0}chunk_index) % 3 > 0 AND ({0}doc_id + {0}chunk_index) % 5 > 0 AND ({0}doc_id + {0}chunk_index) % 7 > 0 AND ({0}doc_id + {0}chunk_index) % 11 > 0"
+O["resumed_reports"] = S.with_recursive(S.DOCS, S.CHUNKS, S.RULES, S.OCCURRENCES, S.ISSUES.replace(
+    f"{_CONF} AS conf", f"CASE WHEN {_REUSED.format('r.')} THEN 40 + ({_CONF} + 20) % 61 ELSE {_CONF} END AS conf"), f"""
+sums AS (SELECT doc_id, count(*) AS issues, sum(confidence)::BIGINT AS confidence, sum(char_start)::BIGINT AS starts FROM issues GROUP BY doc_id),
+parts AS (SELECT doc_id, count(*) FILTER ({_REUSED.format('')}) AS reused, count(*) AS chunks FROM chunks GROUP BY doc_id)""", select="""
+SELECT doc_id, reused, chunks, coalesce(issues, 0) AS issues, coalesce(confidence, 0) AS confidence, coalesce(starts, 0) AS starts FROM parts LEFT JOIN sums USING (doc_id)""")
+
+
+def _chunked_responses(spark, d):
+    """Documents of several chunks with stored responses of both passes for each chunk, a few of them damaged or missing."""
+    docs, rules = X.documents(spark, d).select("doc_id", "analysis_profile", "text"), X.rules(spark)
+    scanned, verdicts = _earlier_run(spark, docs, rules)
+    keys = ["doc_id", "chunk_index"]
+    k = F.col("doc_id") * 7 + F.col("chunk_index") * 13
+    body = F.to_json(F.struct(F.col("candidates").alias("issues")))
+    first = scanned.where(k % 29 > 0).select(*keys, F.when(k % 31 == 0, F.concat(body, F.lit("}"))).otherwise(body).alias("content"))
+    index = (F.row_number().over(Window.partitionBy(*keys).orderBy("candidate_index")) - 1).cast("int")
+    numbered = verdicts.withColumn("nth", index)
+    second = numbered.groupBy(*keys).agg(F.to_json(F.struct(F.array_sort(F.collect_list(_verdict(F.col("v_confidence"), F.col("nth")))).alias("verdicts"))).alias("content"))
+    second = second.where(k % 37 > 0)
+    return proofread_responses(docs, build_segments(text_lines(docs)), _enveloped(first, F.lit(False)), _enveloped(second, k % 41 == 0), X.evidence(spark))
+
+
+@registered
+def chunked_response_issues(spark, d):
+    """Issues of the documents all of whose chunks were answered well by both passes."""
+    issues, _ = _chunked_responses(spark, d)
+    return longs(issues.select("doc_id", "chunk_index", "candidate_index", "category", "grammar_subtype", "level", "char_start", "char_end", "confidence"))
+
+
+#: A chunk fails on its first pass, or, if it has resolved candidates, on its second.
+_FAILED = """
+asked AS (SELECT DISTINCT doc_id, chunk_index FROM resolved),
+many AS (SELECT doc_id, chunk_index FROM occ GROUP BY ALL HAVING count(*) > 200),
+bad AS (SELECT c.doc_id, c.chunk_index, CASE WHEN k % 29 = 0 THEN 'PROVIDER_UNAVAILABLE' WHEN k % 31 = 0 OR m.doc_id IS NOT NULL THEN 'MODEL_OUTPUT_INVALID' WHEN a.doc_id IS NULL THEN NULL
+    WHEN k % 37 = 0 THEN 'PROVIDER_UNAVAILABLE' WHEN k % 41 = 0 THEN 'MODEL_OUTPUT_INVALID' END AS code
+  FROM (SELECT *, doc_id * 7 + chunk_index * 13 AS k FROM chunks) c LEFT JOIN asked a USING (doc_id, chunk_index) LEFT JOIN many m USING (doc_id, chunk_index))"""
+O["chunked_response_issues"] = S.with_recursive(S.DOCS, S.CHUNKS, S.RULES, S.OCCURRENCES, S.ISSUES, _FAILED, select="""
+SELECT doc_id, chunk_index, candidate_index, category, grammar_subtype, level, char_start, char_end, confidence FROM issues WHERE doc_id NOT IN (SELECT doc_id FROM bad WHERE code IS NOT NULL)""")
+
+
+@registered
+def chunked_response_rejects(spark, d):
+    """The chunks that fail their documents."""
+    _, rejects = _chunked_responses(spark, d)
+    return longs(rejects.where("chunk_index is not null").select("doc_id", "chunk_index", "error_code").distinct())
+
+
+O["chunked_response_rejects"] = S.with_recursive(S.DOCS, S.CHUNKS, S.RULES, S.OCCURRENCES, _FAILED, select="""
+SELECT doc_id, chunk_index, code AS error_code FROM bad WHERE code IS NOT NULL""")
+
 QUERIES, ORACLES = Q, O

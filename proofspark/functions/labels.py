@@ -39,20 +39,20 @@ def location_label(loc: Column) -> Column:
     page, page_end = loc["page"], loc["page_end"]
     first = F.coalesce(loc["line_start"], F.when(page.isNotNull(), F.lit(1)))
     last = F.coalesce(loc["line_end"], first)
-    lines = F.when(first == last, F.format_string("第 %d 行", first)).otherwise(
-        F.format_string("第 %d–%d 行", first, last)
+    lines = F.when(first == last, F.format_string(K.PLACE_LINE, first)).otherwise(
+        F.format_string(K.PLACE_LINES, first, last)
     )
     return (
         F.when(page.isNotNull() & (page_end != page),
-               F.format_string("第 %d 页第 %d 行至第 %d 页第 %d 行", page, first, page_end, last))
+               F.format_string(K.PLACE_PAGES, page, first, page_end, last))
         .when(page.isNotNull() & page_end.isNull() & (last < first),
-              F.format_string("第 %d 页第 %d 行起（结束页未记录）", page, first))
-        .when(page.isNotNull(), F.concat(F.format_string("第 %d 页，", page), lines))
+              F.format_string(K.PLACE_OPEN_PAGE, page, first))
+        .when(page.isNotNull(), F.concat(F.format_string(K.PLACE_PAGE, page), lines))
         .when(first.isNotNull(), lines)
         .when(loc["paragraph_index"].isNotNull() & loc["sentence_index"].isNotNull(),
-              F.format_string("第 %d 段，第 %d 句", loc["paragraph_index"] + 1, loc["sentence_index"] + 1))
-        .when(loc["paragraph_index"].isNotNull(), F.format_string("第 %d 段", loc["paragraph_index"] + 1))
-        .otherwise(F.format_string("字符 %d–%d", loc["char_start"], loc["char_end"]))
+              F.format_string(K.PLACE_SENTENCE, loc["paragraph_index"] + 1, loc["sentence_index"] + 1))
+        .when(loc["paragraph_index"].isNotNull(), F.format_string(K.PLACE_PARAGRAPH, loc["paragraph_index"] + 1))
+        .otherwise(F.format_string(K.PLACE_CHARACTERS, loc["char_start"], loc["char_end"]))
     )
 
 

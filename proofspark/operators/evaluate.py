@@ -279,7 +279,7 @@ def coverage_gaps(gold: DataFrame, reports: DataFrame) -> DataFrame:
     labelled = reports.join(gold.select("document_id"), "document_id", "left_semi")
     out = missing
     for column, problem in (("report_id", "reused_report"), ("job_id", "reused_job")):
-        reused = labelled.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        reused = labelled.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
             F.lit(problem).alias("problem"), F.col(column).cast("string").alias("subject"))
         out = out.unionByName(reused)
     return out

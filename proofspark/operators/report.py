@@ -212,19 +212,19 @@ def _issue_markdown(i: Column) -> Column:
         F.lit("  - ["), L.markdown_text(e["title"]), F.lit(" "), L.markdown_text(e["revision"]), F.lit("](<"),
         L.markdown_url(e["source_url"]), F.lit(">)\n"))), "")
     return F.concat(
-        L.category_label(i["category"]), F.lit(" · "), L.level_label(i["level"]), F.lit("\n\n- 位置："),
-        L.location_label(i["location"]), F.lit("\n- 原文："), L.markdown_text(i["original_text"]),
-        F.lit("\n- 原因："), L.markdown_text(i["reason"]), F.lit("\n- 建议："), L.markdown_text(i["suggestion"]),
-        F.lit("\n- 置信度："), i["confidence"].cast("string"), F.lit("%\n"),
-        F.when(i["feedback"].isNotNull(), F.concat(F.lit("- 作者审核："), L.feedback_label(i["feedback"]), F.lit("\n"))).otherwise(F.lit("")),
-        F.when(F.size(i["evidence_refs"]) > 0, F.concat(F.lit("- 参考资料（具体条款未核对）：\n"), refs)).otherwise(F.lit("")),
+        L.category_label(i["category"]), F.lit(" · "), L.level_label(i["level"]), F.lit(K.REPORT_ISSUE["place"]),
+        L.location_label(i["location"]), F.lit(K.REPORT_ISSUE["original"]), L.markdown_text(i["original_text"]),
+        F.lit(K.REPORT_ISSUE["reason"]), L.markdown_text(i["reason"]), F.lit(K.REPORT_ISSUE["suggestion"]), L.markdown_text(i["suggestion"]),
+        F.lit(K.REPORT_ISSUE["confidence"]), i["confidence"].cast("string"), F.lit("%\n"),
+        F.when(i["feedback"].isNotNull(), F.concat(F.lit(K.REPORT_ISSUE["feedback"]), L.feedback_label(i["feedback"]), F.lit("\n"))).otherwise(F.lit("")),
+        F.when(F.size(i["evidence_refs"]) > 0, F.concat(F.lit(K.REPORT_ISSUE["references"]), refs)).otherwise(F.lit("")),
         F.lit("\n"),
     )
 
 
 def render_markdown(
-    reports: DataFrame, issues: DataFrame, misses: DataFrame, title: str = "问题报告",
-    footer: str = "以上为辅助建议，最终判断由作者完成。",
+    reports: DataFrame, issues: DataFrame, misses: DataFrame, title: str = K.REPORT_TITLE,
+    footer: str = K.REPORT_FOOTER,
 ) -> DataFrame:
     """(report_id, markdown): the whole report as escaped Markdown.
 
@@ -237,32 +237,32 @@ def render_markdown(
         F.array_sort(F.collect_list("p")).alias("parts"), F.count_if(F.col("level") == "confirmed").alias("confirmed"),
         F.count_if(F.col("level") == "suspected").alias("suspected"))
     miss_line = F.concat(
-        F.lit("- "), F.col("category"), F.format_string("（字符 %d–%d）：", "char_start", "char_end"),
-        L.markdown_text(F.col("quote")), F.lit("；说明："), L.markdown_text(F.col("note")), F.lit("\n"))
+        F.lit("- "), F.col("category"), F.format_string(K.REPORT_MISS_PLACE, "char_start", "char_end"),
+        L.markdown_text(F.col("quote")), F.lit(K.REPORT_MISS_NOTE), L.markdown_text(F.col("note")), F.lit("\n"))
     missed = misses.where(F.col("category").isin(K.CATEGORIES)).select(
         "report_id", F.struct("created_at", "id", miss_line.alias("t")).alias("m")).groupBy("report_id").agg(
         F.array_sort(F.collect_list("m")).alias("misses"))
     joined = reports.join(parts, "report_id", "left").join(missed, "report_id", "left").na.fill(0, ["confirmed", "suspected"])
 
     def line(label: str, value: Column) -> Column:
-        return F.concat(F.lit(f"- {label}："), value, F.lit("\n"))
+        return F.concat(F.lit(f"- {K.REPORT_HEAD[label]}{K.REPORT_COLON}"), value, F.lit("\n"))
 
     md = L.markdown_text
     head = F.concat(
-        F.lit(f"# {title}\n\n"), line("文件", md(F.col("original_name"))), line("正文字数", F.col("char_count").cast("string")),
-        line("分析场景", L.profile_label(F.col("analysis_profile"))),
-        line("正式问题", F.col("confirmed").cast("string")), line("疑似问题", F.col("suspected").cast("string")),
-        line("模型接口", md(F.col("provider_kind"))),
-        line("模型", F.concat(md(F.col("candidate_model")), F.lit(" / "), md(F.col("verifier_model")))),
-        line("提示词版本", md(F.col("prompt_version"))),
-        line("依据库版本", md(F.when(F.col("reference_version") == "", F.lit("旧报告未记录")).otherwise(F.col("reference_version")))),
-        line("分析器版本", md(F.col("analyzer_version"))),
-        line("模型配置", F.when(F.col("reference_profile"), F.lit("参考配置")).otherwise(F.lit("未经验证"))), F.lit("\n"),
+        F.lit(f"# {title}\n\n"), line("name", md(F.col("original_name"))), line("chars", F.col("char_count").cast("string")),
+        line("profile", L.profile_label(F.col("analysis_profile"))),
+        line("confirmed", F.col("confirmed").cast("string")), line("suspected", F.col("suspected").cast("string")),
+        line("provider", md(F.col("provider_kind"))),
+        line("models", F.concat(md(F.col("candidate_model")), F.lit(" / "), md(F.col("verifier_model")))),
+        line("prompts", md(F.col("prompt_version"))),
+        line("reference", md(F.when(F.col("reference_version") == "", F.lit(K.REPORT_NO_REFERENCE)).otherwise(F.col("reference_version")))),
+        line("analyzer", md(F.col("analyzer_version"))),
+        line("setup", F.when(F.col("reference_profile"), F.lit(K.REPORT_REFERENCE_SETUP)).otherwise(F.lit(K.REPORT_OTHER_SETUP))), F.lit("\n"),
     )
-    body = F.when(F.col("parts").isNull(), F.lit("未发现需要报告的问题。最终结果仍请作者自行审核。\n\n")).otherwise(F.array_join(
+    body = F.when(F.col("parts").isNull(), F.lit(K.REPORT_NO_ISSUES)).otherwise(F.array_join(
         F.transform("parts", lambda p, n: F.concat(F.lit("## "), (n + 1).cast("string"), F.lit(". "), p["t"])), ""))
     tail = F.when(F.col("misses").isNotNull(), F.concat(
-        F.lit("## 作者标记的漏检\n\n"), F.array_join(F.transform("misses", lambda m: m["t"]), ""), F.lit("\n"))).otherwise(F.lit(""))
+        F.lit(K.REPORT_MISSES), F.array_join(F.transform("misses", lambda m: m["t"]), ""), F.lit("\n"))).otherwise(F.lit(""))
     return joined.select("report_id", F.concat(head, body, tail, F.lit(f"> {footer}\n")).alias("markdown"))
 
 
