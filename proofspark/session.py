@@ -48,9 +48,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_kept: list[str] | None = None
+
+
+def forget_written(spark: SparkSession) -> None:
+    """Delete the tables that ``written`` made since the last call, and note the coming ones.
+
+    For drivers of several steps: once a step's result is stored, what it wrote on the way only fills the shared folder.
+    Never called, nothing is noted or deleted.
+    """
+    global _kept
+    for path in _kept or ():
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    _kept = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a table into the shared folder and reading it back."""
     spark = df.sparkSession
     path = scratch_dir(spark, name)
     df.write.parquet(path)
+    if _kept is not None:
+        _kept.append(path)
     return spark.read.schema(df.schema).parquet(path)
