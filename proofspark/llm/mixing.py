@@ -17,11 +17,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from proofspark.llm.common import whole
+from proofspark.llm.common import maybe_in, whole
 from proofspark.session import written
 
-#: Characters a block; what shares add up to about if they are rounded; rows that a rank bucket aims at; slots a frame, or the sources if they are more.
-BLOCK, PERIOD, BUCKET, FRAME = 16384, 1000, 50_000, 256
+#: Characters a block; rows that a rank bucket aims at; slots a frame, or the sources if they are more.
+BLOCK, BUCKET, FRAME = 16384, 50_000, 256
 
 
 def _key(source: Column) -> Column:
@@ -74,37 +74,65 @@ def frames(sources: DataFrame, frame: int = FRAME) -> DataFrame:
     return runs.select("t", F.posexplode("order").alias("nth", "job")).select("job.key", F.col("job.k").alias("block"), (F.col("t") + F.col("nth")).alias("slot"))
 
 
-def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, period: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights=square_root_weights, block: int = BLOCK, carry: list[str] | None = None) -> DataFrame:
     """(_row, _block, _slot, _start) of every row of ``docs``: its columns, or those to ``carry``, and its place in the mixture.
 
     Order by (_slot, _start). _block counts the blocks of the source from 1, _start its characters before the row. A row
     lies in the block in which it starts; a long one uses up the blocks it covers. A null or empty text counts one
     character. A null source is a source of its own. Rows that repeat an id stand side by side. ``weights`` makes (key,
-    weight) from the (key, size) of all sources: whole numbers, which are the shares, 1 at least. Only if a ``period`` is
-    given are they rounded, to shares that add up to about it.
+    weight) from the (key, size) of all sources: whole numbers, which are the shares, 1 at least.
     Sources have no largest size: ranks inside a source are counted in buckets of the digests of its ids.
     """
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    size = F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("bigint")
-    digits = max(1, (docs.count() // BUCKET).bit_length() // 4 + 1)
-    rows = docs.select(_key(F.col("source")).alias("_key"), digest.alias("_digest"), size.alias("_size"), F.col("doc_id").alias("_id"), whole(docs, carry))
-    rows = rows.withColumn("_bucket", F.substring("_digest", 1, digits))
+    rows = docs.select(*_handle(F.col("doc_id"), F.col("source"), F.col("text")), whole(docs, carry))
+    return _placed(rows, docs.count(), weights, block).select("_row", "_block", "_slot", "_start")
+
+
+def _handle(doc_id: Column, source: Column, text: Column) -> list[Column]:
+    """Rows alike in these are interchangeable in the mixture."""
+    size = F.greatest(F.lit(1), F.coalesce(F.length(text), F.lit(0))).cast("bigint")
+    return [doc_id.alias("_id"), _key(source).alias("_key"), F.xxhash64(text).alias("_mark"), size.alias("_size")]
+
+
+def _placed(rows: DataFrame, count: int, weights, block: int) -> DataFrame:
+    """``rows`` (_id, _key, _mark, _size and others) with _block, _slot and _start."""
+    digest = F.md5(F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    digits = max(1, (count // BUCKET).bit_length() // 4 + 1)
+    rows = rows.withColumn("_digest", digest).withColumn("_bucket", F.substring("_digest", 1, digits))
     sizes = written(rows.groupBy(F.col("_key").alias("key"), F.col("_bucket").alias("bucket")).agg(F.sum("_size").alias("size")), "mix-sizes")
     earlier = F.coalesce(F.sum("size").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select(F.col("key").alias("_key"), F.col("bucket").alias("_bucket"), earlier.alias("_offset"))
     totals = sizes.groupBy("key").agg(F.sum("size").alias("size"))
-    total = F.sum("weight").over(W.partitionBy(F.lit(0)))
-    share = weights(totals).withColumn("total", F.greatest(total, F.lit(1))).select("key", F.greatest(F.lit(1), F.expr("weight" if period is None else f"weight * {period} div total")).cast("bigint").alias("share"))
+    share = weights(totals).select("key", F.greatest(F.lit(1), F.col("weight")).cast("bigint").alias("share"))
     sources = written(totals.join(share, "key").select("key", "share", F.expr(f"(size + {block} - 1) div {block}").alias("blocks")), "mix-sources")
     table = written(frames(sources), "mix-frames")
-    inside = F.sum("_size").over(W.partitionBy("_key", "_bucket").orderBy("_digest", "_id", "_size").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("_size").over(W.partitionBy("_key", "_bucket").orderBy("_digest", "_id", "_size", "_mark").rowsBetween(W.unboundedPreceding, -1))
     starts = rows.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(offsets, ["_key", "_bucket"]).withColumn("_start", F.col("_inside") + F.col("_offset"))
     cut = starts.withColumn("_block", F.expr(f"_start div {block} + 1"))
     named = table.select(F.col("key").alias("_key"), F.col("block").alias("_block"), F.col("slot").alias("_slot"))
-    return cut.join(named, ["_key", "_block"]).select("_row", "_block", "_slot", "_start")
+    return cut.join(named, ["_key", "_block"])
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """All rows of ``docs``, sorted into the mixture: written as files, their numbers and row numbers give its order."""
-    order = ["_slot", "_start", "_row.doc_id"]
-    return mix(docs).repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")
+    """All rows of ``docs``, sorted into the mixture: written as files, their numbers and row numbers give its order.
+
+    Places are worked out without the rows; a row then moves twice, to its place and to its file. Files get equal numbers
+    of slots, and so about equal numbers of characters.
+    """
+    handle = ["_id", "_key", "_mark", "_size"]
+    of = lambda row: _handle(F.col(f"{row}doc_id"), F.col(f"{row}source"), F.col(f"{row}text"))
+    places = written(_placed(docs.select(*of("")), docs.count(), square_root_weights, BLOCK).select(*handle, F.struct("_slot", "_start").alias("_at")), "mix-places")
+    hashed = F.xxhash64(*handle)
+    repeated = written(places.groupBy(hashed.alias("h")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "mix-repeated")
+    rows = maybe_in(docs.select(whole(docs)).select(*of("_row."), "_row"), hashed, repeated)
+    found = maybe_in(places, hashed, repeated)
+    met = lambda c: [F.col(f"x.{h}").eqNullSafe(F.col(f"y.{h}")) for h in c]
+    # rows that are alike take their places in turn; they are few, or copies with one id
+    turn = F.row_number().over(W.partitionBy(*handle).orderBy("_size")).alias("_turn")
+    alike, theirs = rows.where("_maybe").select("*", turn), found.where("_maybe").select("*", F.row_number().over(W.partitionBy(*handle).orderBy("_at")).alias("_turn"))
+    several = alike.alias("x").join(theirs.alias("y"), met([*handle, "_turn"]))
+    alone = rows.where("not _maybe").alias("x").join(found.where("not _maybe").alias("y"), met(handle))
+    out = alone.select("_row", "_at.*").union(several.select("_row", "_at.*"))
+    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = (places.agg(F.max("_at._slot")).first()[0] or 0) + 1
+    part = F.expr(f"cast(_slot * {files} div {slots} as int)")
+    return out.repartitionById(files, part).sortWithinPartitions("_slot", "_start", "_row.doc_id").select("_row.*")

@@ -42,12 +42,6 @@ def _places(mixture: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With shares rounded to thousandths, as its SQL has them."""
-    return _places(mixing.mix(read(spark, sf_dir, "documents"), period=mixing.PERIOD, carry=["doc_id", "source"]))
-
-
-def op7_mixing_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the weights as they are."""
     return _places(mixing.mix(read(spark, sf_dir, "documents"), carry=["doc_id", "source"]))
 
 
@@ -84,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_packing, op4_tiff, op5_language, op6_secrets, op7_mixing, op7_mixing_exact, op8_exact, op9_jaccard, op10_orc,
+QUERIES = {f.__name__: f for f in (op1_chat, op2_quality, op3_packing, op4_tiff, op5_language, op6_secrets, op7_mixing, op8_exact, op9_jaccard, op10_orc,
                                       op11_orchard, op12_trie, op13_toxicity, pipeline)}
 
 ORACLES = {
@@ -94,7 +88,7 @@ d AS (SELECT doc_id, source, coalesce('=' || source, 'none') AS key, md5(coalesc
              greatest(1, coalesce(length(text), 0)) AS size FROM documents),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY key ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d),
 t AS (SELECT key, sum(size)::BIGINT AS size, floor(sqrt(sum(size)))::BIGINT AS weight FROM d GROUP BY key),
-s AS (SELECT key, greatest(1, weight * {mixing.PERIOD} // greatest(sum(weight) OVER (), 1))::BIGINT AS share, (size + {mixing.BLOCK} - 1) // {mixing.BLOCK} AS blocks,
+s AS (SELECT key, greatest(1, weight) AS share, (size + {mixing.BLOCK} - 1) // {mixing.BLOCK} AS blocks,
              row_number() OVER (ORDER BY key) AS i FROM t),
 jobs AS MATERIALIZED (SELECT s.i, s.key, k, (sum(least(o.blocks * s.share, o.share * (k - 1))) // s.share)::BIGINT AS release,
                 ((sum(least(o.blocks * s.share, o.share * k)) + s.share - 1) // s.share)::BIGINT AS deadline
@@ -122,9 +116,6 @@ SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id,
 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.a = documents.doc_id""",
 }
 
-#: The same schedule from the weights themselves.
-ORACLES["op7_mixing_exact"] = ORACLES["op7_mixing"].replace(f"greatest(1, weight * {mixing.PERIOD} // greatest(sum(weight) OVER (), 1))::BIGINT AS share", "weight AS share")
-
 
 def _assign(k: int) -> str:
     """Every vector with its nearest centroid of round k."""

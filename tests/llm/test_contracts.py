@@ -150,4 +150,4 @@ def components(texts):
 
 
 def test_every_query_is_checked():
-    assert set(Q.QUERIES) - set(SQL) == {"op1_chat", "op2_quality", "op3_packing", "op4_tiff", "op5_language", "op6_secrets", "op10_orc", "pipeline"}
+    assert set(Q.QUERIES) - set(SQL) == {"op1_chat", "op2_quality", "op3_packing", "op4_tiff", "op5_language", "op6_secrets", "op10_orc", "op13_toxicity", "pipeline"}
