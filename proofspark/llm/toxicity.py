@@ -282,10 +282,3 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn: Column | None = None) ->
     voter, vectors = train(docs, labels, ~held_out(F.col("doc_id")) if learn is None else learn)
     out = vectors.mapInArrow(_scorer(voter), SCORED)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "nearest")
-
-
-def evidence_terms(voter: Voter, space: list[str], text: str | None, example: str | None) -> list[str]:
-    """The terms of the space that two texts share, heaviest first."""
-    place = {t: k for k, t in enumerate(space)}
-    a, b = terms_of(text), terms_of(example)
-    return sorted((t for t in a if t in b and t in place), key=lambda t: (-math.log1p(a[t]) * voter.index.idf[place[t]], t))
