@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark.session import written
@@ -24,6 +27,15 @@ def whole(docs: DataFrame, columns: list[str] | None = None) -> Column:
     return F.struct(*[F.col(f"`{c}`").alias(c) for c in (columns or docs.columns)]).alias("_row")
 
 
+def release_memory() -> None:
+    """Give what this Python worker has freed back to the system: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def maybe_in(df: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     """``df`` with boolean ``_maybe``: true for every row whose 64-bit ``key`` is in the only column of ``keys``.
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from proofspark.llm.common import components, decided, maybe_in
+from proofspark.llm.common import components, decided, maybe_in, release_memory
 from proofspark.session import written
 
 WORDS = 4
@@ -223,6 +223,7 @@ def _pass(shards: int):
                     rows = []
             rows += flush() if names else []
             yield _rows(rows)
+        release_memory()
 
     return run
 
@@ -248,6 +249,8 @@ def _shard_pairs(table):
     values, owner = np.concatenate(sigs), rank.astype(np.int32)[np.concatenate(owners)]
     del sigs, owners, names, rank, table
     _, pairs = _stars(values, owner)
+    del values, owner
+    release_memory()
     return pa.table({"a": pa.array([distinct[x].tobytes() for x in pairs[:, 0]], pa.binary()), "b": pa.array([distinct[x].tobytes() for x in pairs[:, 1]], pa.binary())})
 
 
@@ -267,6 +270,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = pa.array(np.concatenate(members) if members else np.empty(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
         yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(np.tile(np.arange(COUNTED), len(sizes)), pa.int32()), lists], ["node", "part", "members"])
+    release_memory()
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,6 +285,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(np.full(len(values[-1]), int.from_bytes(identity(s)[:8], "big", signed=True)))
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (names, values)]
         yield pa.RecordBatch.from_arrays([pa.array(flat[0], pa.int64()), pa.array(flat[1].view(np.int64))], ["short", "sig"])
+    release_memory()
 
 
 def _short(node: str) -> Column:

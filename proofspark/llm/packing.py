@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from proofspark.llm.common import release_memory
 from proofspark.llm.tokens import Encoder
 from proofspark.session import written
 
 WINDOW, END = 1024, 0
-TOKENS = "part int, row bigint, doc_id bigint, before bigint, tokens bigint, ids binary"
+TOKENS = "part bigint, first bigint, row bigint, doc_id bigint, before bigint, tokens bigint, ids binary"
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, opens boolean, closes boolean, ids binary"
 #: Texts encoded at a time.
 STEP = 500
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool, end: int):
-    """(doc_id, ids with ``end``) of each row of (doc_id, text)."""
-    encoder = Encoder(path, space)
+def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool, end: int, known: dict | None = None):
+    """(doc_id, ids with ``end``) of each row of (doc_id, text); ``known`` keeps the encoder for later calls."""
+    known = {} if known is None else known
+    encoder = known.setdefault("encoder", None) or Encoder(path, space)
+    known["encoder"] = encoder
     mark = np.array([end], encoder.type)
     for b in batches:
         for at in range(0, b.num_rows, STEP):
@@ -31,44 +36,71 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool, end: int)
                 yield doc_id, np.concatenate([ids, mark])
 
 
-def _tokens(path: str, space: bool, end: int):
+def _tokens(path: str, space: bool, end: int, placed: bool):
+    """Runs of rows: those of a partition, or, if rows come with file and row number, of consecutive rows of a file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, before, rows, held = TaskContext.get().partitionId(), 0, 0, [], 0
-        for doc_id, ids in encoded(batches, path, space, end):
-            rows.append((part, row, doc_id, before, len(ids), ids.astype("<u4" if ids.itemsize == 4 else "<u2").tobytes()))
-            row, before, held = row + 1, before + len(ids), held + len(ids)
-            if held > 1 << 20:
-                yield _batch(rows)
-                rows, held = [], 0
+        release_memory()
+        task, first, row, before, rows, held, last = TaskContext.get().partitionId(), 0, 0, 0, [], 0, None
+        for b in batches:
+            numbers = zip(b.column(2).to_pylist(), b.column(3).to_pylist()) if placed else itertools.repeat((task, None), b.num_rows)
+            for (part, at), (doc_id, ids) in zip(numbers, encoded([b], path, space, end, known)):
+                if placed and last != (part, at - 1):
+                    first, before = at, 0
+                row = at if placed else row
+                rows.append((part, first, row, doc_id, before, len(ids), ids.astype("<u4" if ids.itemsize == 4 else "<u2").tobytes()))
+                last, row, before, held = (part, at), row + 1, before + len(ids), held + len(ids)
+                if held > 1 << 20:
+                    yield _batch(rows)
+                    rows, held = [], 0
         yield _batch(rows)
+        known.clear()
+        release_memory()
 
+    known: dict = {}
     return run
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["part", "row", "doc_id", "before", "tokens", "ids"])
+    types = [pa.int64()] * 6 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["part", "first", "row", "doc_id", "before", "tokens", "ids"])
 
 
 def token_table(docs: DataFrame, path: str, space: bool = True, end: int = END, order: list[Column] | None = None) -> DataFrame:
-    """Encode whole texts once into a written table: a row a document with its place in its partition (first pass).
+    """Encode whole texts once into a written table: a row a document with its place in its run of rows (first pass).
 
     ``order`` sets the order of the stream, else it is that of the scan. A null text is empty and has ``end`` alone.
     """
     if order:
         docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(docs.select("doc_id", "text").mapInArrow(_tokens(path, space, end), TOKENS), "tokens")
+    return written(docs.select("doc_id", "text").mapInArrow(_tokens(path, space, end, False), TOKENS), "tokens")
+
+
+def stored_token_table(docs: DataFrame, path: str, space: bool = True, end: int = END) -> DataFrame:
+    """The same in the order in which ``docs`` is stored: by the numbers of its files, then by row. No row is moved.
+
+    However the files are split among tasks, a run is a stretch of one file. ``docs`` that don't come from files are
+    written first, in the order of their partitions.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        rows = docs.select("doc_id", "text", meta["file_name"].alias("file"), meta["row_index"].alias("at"))
+    except AnalysisException:
+        return stored_token_table(written(docs.select("doc_id", "text"), "tokens-input"), path, space, end)
+    number = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("bigint"), F.lit(0)) * 100_000
+    place = number + F.coalesce(F.regexp_extract("file", r"-c(\d+)[^-]*$", 1).try_cast("bigint"), F.lit(0))
+    return written(rows.select("doc_id", "text", place.alias("part"), "at").mapInArrow(_tokens(path, space, end, True), TOKENS), "tokens")
 
 
 def placed(tokens: DataFrame) -> DataFrame:
     """The token table with ``place``, the ids before each document in the whole stream (second pass).
 
-    Totals of the partitions are summed up first; they are one row a partition, whatever the documents, and so broadcast.
+    Totals of the runs are summed up first; they are a row a run, a few a task, whatever the documents, and so broadcast.
     """
-    totals = tokens.groupBy("part").agg(F.sum("tokens").alias("total"))
-    earlier = F.sum("total").over(W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = written(totals.select("part", F.coalesce(earlier, F.lit(0)).alias("base")), "token-offsets")
-    return tokens.join(F.broadcast(offsets), "part").withColumn("place", F.col("base") + F.col("before"))
+    totals = tokens.groupBy("part", "first").agg(F.sum("tokens").alias("total"))
+    earlier = F.sum("total").over(W.partitionBy(F.lit(0)).orderBy("part", "first").rowsBetween(W.unboundedPreceding, -1))
+    offsets = written(totals.select("part", "first", F.coalesce(earlier, F.lit(0)).alias("base")), "token-offsets")
+    return tokens.join(F.broadcast(offsets), ["part", "first"]).withColumn("place", F.col("base") + F.col("before"))
 
 
 def _cut(window: int, keep: bool):
