@@ -151,12 +151,12 @@ def test_mixing_keeps_the_unrounded_weights(spark):
 
 
 def test_mixing_many_sources(spark):
-    """Hundreds of sources, each with blocks of its own, beside one that holds a third of all rows."""
-    docs = spark.range(1800).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"),
-                                    F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 400).cast("string"))).alias("source"))
+    """Dozens of sources, each with blocks of its own, beside one that holds a third of all rows."""
+    docs = spark.range(360).select(F.col("id").alias("doc_id"), F.lit("x" * 10).alias("text"),
+                                    F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 40).cast("string"))).alias("source"))
     out = mixing.mix(docs, block=20).select("_row.doc_id", "_row.source", "_block", "_slot").collect()
     slots = {(r.source, r._block): r._slot for r in out}
-    assert len(out) == 1800 and sorted(slots.values()) == list(range(len(slots)))
+    assert len(out) == 360 and sorted(slots.values()) == list(range(len(slots)))
     last = max(s for (source, _), s in slots.items() if source != "hot")
     assert sum(s <= last for (source, _), s in slots.items() if source == "hot") < 100  # its share as long as others last
 
