@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from proofspark.catalog import sql as S
@@ -22,9 +24,9 @@ def registered(fn):
 
 
 def source(spark, d, name):
-    """A table of the folder as a stream."""
+    """A table of the folder as a stream; the table is one file or a folder of files, which a pattern takes alike."""
     schema = X.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(os.path.join(d, f"{{{name}.parquet}}"))
 
 
 @registered

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from proofspark.catalog.streams import Q as CATALOG
 from proofspark.operators.lifecycle import progress_changes
 from proofspark.plans import fixtures as X
 from proofspark.streaming import jobs as J, run as R
@@ -218,3 +219,20 @@ def test_reports_once_per_document(spark, tmp_path):
     docs.coalesce(1).write.mode("append").parquet(path)
     reports, intake = run()
     assert reports.count() == 20 and intake.agg(F.sum("repeats")).first()[0] == 25
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_streams_read_tables_that_are_folders(spark, tmp_path, files):
+    """A table may be a folder of files: all of them come through the stream."""
+    docs = [(i, "the the end. 晨雾", "web") for i in range(9)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").repartition(files).write.parquet(str(tmp_path / "documents.parquet"))
+    out = CATALOG["streamed_intake"](spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(9))
+
+
+def test_intake_of_an_empty_stream_has_no_rows(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(str(tmp_path / "in"))
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path / "none"))
+    out = R.stream_intake(stream, lambda batch: batch.select("doc_id"), str(tmp_path / "out"))
+    assert out.columns == ["doc_id"] and out.count() == 0
