@@ -253,7 +253,7 @@ def strata(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sizes = banded.groupBy("analysis_profile", "band").agg(F.count(F.lit(1)).alias("documents"))
     combined = classes.where((F.col("view") == "all") & (F.col("category") != "paragraph")).groupBy("doc_id").agg(
         *[F.sum(c).alias(c) for c in ("predicted", "labelled", "matched")])
-    scored = banded.join(combined, "doc_id").groupBy("analysis_profile", "band").agg(
+    scored = banded.join(combined.hint("merge"), "doc_id").groupBy("analysis_profile", "band").agg(
         F.sum("matched").alias("true_positive"), F.sum(F.col("predicted") - F.col("matched")).alias("false_positive"),
         F.sum(F.col("labelled") - F.col("matched")).alias("false_negative"))
     keys = ["analysis_profile", "band"]

@@ -81,7 +81,7 @@ def locate(spans: DataFrame, segments: DataFrame) -> DataFrame:
     )
     inside = F.substring("piece", F.lit(1), F.greatest(F.col("span_start") - F.col("piece_start"), F.lit(0)))
     # the first piece that a span meets holds its start, or starts its line behind it
-    hits = wanted.join(seg, ["doc_id", "bucket"]).where(
+    hits = wanted.join(seg.hint("merge"), ["doc_id", "bucket"]).where(
         (F.col("char_start") < F.col("span_end")) & (F.col("char_end") > F.col("span_start"))
     ).select(
         "doc_id", "span_start", "span_end", F.col("piece_start").alias("char_start"),
@@ -99,6 +99,6 @@ def locate(spans: DataFrame, segments: DataFrame) -> DataFrame:
         F.col("first.sentence_index").alias("sentence_index"),
         F.lit(True).alias("located"),
     )
-    return spans.join(found, ["doc_id", "char_start", "char_end"], "left").withColumn(
+    return spans.join(found.hint("merge"), ["doc_id", "char_start", "char_end"], "left").withColumn(
         "located", F.coalesce("located", F.lit(False))
     )

@@ -48,7 +48,7 @@ def full_reports(
         F.struct("original_name", F.col("document_format").alias("format"), F.length("text").alias("char_count")).alias("document"),
         F.struct("analysis_profile").alias("analysis"))
     formats = good.select("doc_id", "document_format")
-    return report_json(assemble_reports(heads, found.where("located").join(formats, "doc_id"), generated_at))
+    return report_json(assemble_reports(heads, found.where("located").join(formats.hint("merge"), "doc_id"), generated_at))
 
 
 def _reject(rows: DataFrame, stage: str, code: str) -> DataFrame:
@@ -63,7 +63,8 @@ def proofread_responses(
 
     Responses have doc_id, chunk_index, content, as normalize_responses gives them, with its error_code. A bad, missing
     or repeated response, an unknown verdict index or an issue without a place fails the document as a whole, and so does
-    the length gate. Tables that several steps read are stored once in the shared scratch folder.
+    the length gate. Tables that several steps read are stored once in the shared scratch folder; all of them grow with the
+    documents, so they are joined by sorting: a broadcast would pass a side through the driver.
     """
     keys = ["doc_id", "chunk_index"]
     candidate_responses, verdict_responses = _one_each(candidate_responses), _one_each(verdict_responses)
@@ -73,14 +74,14 @@ def proofread_responses(
     first = _checked(P.check_candidates(P.parse_candidates(candidate_responses.drop("error_code"))), candidate_responses)
     first = written(first, "candidates")
     good, bad_first = P.split_checked(first, "candidates")
-    silent = _reject(asked.join(first.select(*keys), keys, "left_anti"), "candidates", "PROVIDER_UNAVAILABLE")
-    resolved = written(resolve_candidates(chunks.join(good.select(*keys, F.col("issues").alias("candidates")), keys)), "resolved")
+    silent = _reject(asked.join(first.select(*keys).hint("merge"), keys, "left_anti"), "candidates", "PROVIDER_UNAVAILABLE")
+    resolved = written(resolve_candidates(chunks.join(good.select(*keys, F.col("issues").alias("candidates")).hint("merge"), keys)), "resolved")
     counts = resolved.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("candidate_count"))
-    second = verdict_responses.join(counts, keys)
+    second = verdict_responses.join(counts.hint("merge"), keys)
     second = _checked(P.check_verdicts(P.parse_verdicts(second.drop("error_code"))), verdict_responses)
     second = written(second, "verdicts")
     good_second, bad_second = P.split_checked(second, "verdicts")
-    unanswered = _reject(counts.join(second.select(*keys), keys, "left_anti"), "verdicts", "PROVIDER_UNAVAILABLE")
+    unanswered = _reject(counts.join(second.select(*keys).hint("merge"), keys, "left_anti"), "verdicts", "PROVIDER_UNAVAILABLE")
     verdicts, lost = remap_verdicts(P.flatten_payload(good_second.select(*keys, "verdicts"), "verdicts"), resolved)
     found = finalize(pair_verdicts(resolved, verdicts), evidence, confirmed_threshold, suspected_threshold)
     located = written(locate(found, segments), "located")
@@ -105,5 +106,5 @@ def _checked(parsed: DataFrame, responses: DataFrame) -> DataFrame:
     if "error_code" not in responses.columns:
         return parsed
     earlier = responses.select("doc_id", "chunk_index", F.col("error_code").alias("earlier"))
-    return parsed.join(earlier, ["doc_id", "chunk_index"], "left").withColumn(
+    return parsed.join(earlier.hint("merge"), ["doc_id", "chunk_index"], "left").withColumn(
         "error_code", F.coalesce("earlier", "error_code")).drop("earlier")

@@ -77,7 +77,7 @@ def assemble_reports(heads: DataFrame, issues: DataFrame, generated_at: Column)
         F.col("issue_id").alias("id"), "category", "grammar_subtype", "level", location.alias("location"), "original_text",
         "reason", "suggestion", "confidence", "evidence_refs", F.lit(None).cast("string").alias("feedback"))
     nested = issues.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), issue.alias("i")))).alias("n"))
-    joined = heads.join(nested, "doc_id", "left").withColumn(
+    joined = heads.join(nested.hint("merge"), "doc_id", "left").withColumn(
         "issues", F.coalesce(F.transform("n", lambda x: x["i"]), F.array()))
     items = F.col("issues")
 

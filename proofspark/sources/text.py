@@ -25,7 +25,7 @@ def gate_documents(docs: DataFrame, max_chars: int = K.MAX_TEXT_CHARS) -> tuple[
 
 def gate_chunkless(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rejects for documents that yielded no chunk."""
-    return docs.join(chunks.select("doc_id"), "doc_id", "left_anti").select(
+    return docs.join(chunks.select("doc_id").hint("merge"), "doc_id", "left_anti").select(
         F.lit("chunk").alias("stage"), "doc_id", F.lit("EXTRACTION_FAILED").alias("error_code"))
 
 

@@ -2,10 +2,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from proofspark.catalog import scoring
+from proofspark.operators import resolve
 from proofspark.operators.segment import build_segments, locate, text_lines
 from proofspark.plans import fixtures as X
 from proofspark.plans.proofread import proofread, proofread_responses
 from proofspark.schemas import RULES
+from proofspark.sources.text import gate_chunkless
 
 
 def issue(quote, **over):
@@ -67,3 +70,30 @@ def test_locate_in_lines_beyond_a_bucket(spark):
         if met:
             want[(a, b)] = (met[0][0], met[-1][0], sum(text[:max(a, met[0][1])].count(c) for c in "。！？"))
     assert got == want
+
+
+def test_steps_of_responses_broadcast_nothing_that_grows(spark):
+    """Sides that grow with the documents never pass through the driver, however small they look."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = "SELECT * FROM VALUES {} AS t(doc_id, chunk_index, candidate_index)"
+    resolved, verdicts = spark.sql(rows.format("(1L, 0, 2), (2L, 0, 0)")), spark.sql(rows.format("(1L, 0, 0), (2L, 0, 5)"))
+    good, bad = resolve.remap_verdicts(verdicts, resolved)
+    failed = resolve.fail_documents(resolved, bad)
+    chunkless = gate_chunkless(resolved, resolved.where("doc_id = 1"))
+    for df in (good, bad, failed, chunkless):
+        assert "BroadcastHashJoin" not in plan(df)
+    assert [tuple(r) for r in good.select("doc_id", "candidate_index").collect()] == [(1, 2)]
+    assert [r["doc_id"] for r in failed.collect()] == [1] and [r["doc_id"] for r in chunkless.collect()] == [2]
+
+
+def test_line_issues_are_dealt_out_once(spark, sf_dir, monkeypatch):
+    """One exchange of rows carries all steps by document, in more parts as the table grows."""
+    plan = scoring.evaluation(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "hashpartitioning(doc_id" not in plan.split("ArrowEvalPython")[-1]
+    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = X.table(spark, sf_dir, "lineitem")
+    assert X.dealt(rows, "l_orderkey").rdd.getNumPartitions() == slots
+    monkeypatch.setattr(X, "PART_ROWS", 100)
+    assert X.dealt(rows, "l_orderkey").rdd.getNumPartitions() == -(-rows.count() // 100)
