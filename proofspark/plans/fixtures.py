@@ -20,6 +20,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots, key)
 
 
+#: Rows of a part, when a table is dealt out by a key.
+PART_ROWS = 500_000
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table dealt out by a key, once for all steps by that key; there are more parts as the table grows."""
+    parts = -(-df.count() // PART_ROWS)  # told by the file footers
+    return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def pick(values: list[str], number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
 
@@ -131,7 +141,8 @@ def as_of() -> Column:
 
 def line_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One issue per order and line number, with classes and spans by arithmetic."""
-    li = table(spark, sf_dir, "lineitem").groupBy(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    li = dealt(lines, "l_orderkey").groupBy(
         F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("n")
     ).agg(F.min("l_partkey").alias("pk"), F.min("l_suppkey").alias("sk"), F.min("l_quantity").cast("int").alias("qty"))
     start = ((F.col("n") * 37 + F.col("pk")) % 500).cast("int")
