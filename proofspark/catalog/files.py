@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, functions as F
 
 from proofspark import constants as K
@@ -52,17 +50,12 @@ def write_corpus(docs: DataFrame, folder: str) -> int:
     """One file a document below the shared folder, written by the tasks; how many."""
     kinds = list(KINDS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        store.create_dir(root, recursive=True)
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                kind = kinds[doc_id % len(kinds)]
-                with store.open_output_stream(f"{root}/{doc_id}-{kind}") as out:
-                    out.write(_encoded(kind, text or ""))
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["files"])
+    @F.arrow_udf("binary")
+    def encoded(doc_id: pa.Array, text: pa.Array) -> pa.Array:
+        return pa.array([_encoded(kinds[k % len(kinds)], t or "") for k, t in zip(doc_id.to_pylist(), text.to_pylist())], pa.binary())
 
-    return docs.select("doc_id", "text").mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.pmod("doc_id", F.lit(len(kinds))) + 1).cast("int"))
+    return R.write_files(docs.select("doc_id", F.concat_ws("-", F.col("doc_id").cast("string"), kind).alias("name"), encoded("doc_id", "text").alias("content")), folder)
 
 
 def _corpus(spark, d):
@@ -125,16 +118,7 @@ def _report_files(spark, d):
 
 def write_json_files(rows: DataFrame, folder: str) -> int:
     """<doc_id>.json for each (doc_id, content), written by the tasks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        store.create_dir(root, recursive=True)
-        for b in batches:
-            for doc_id, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                with store.open_output_stream(f"{root}/{doc_id}.json") as out:
-                    out.write(content.encode())
-            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["files"])
-
-    return rows.select("doc_id", "content").mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
+    return R.write_files(rows.select("doc_id", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("None")), F.lit(".json")).alias("name"), F.encode("content", "utf-8").alias("content")), folder)
 
 
 def _stored_evaluation(labels, reports, spark):

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofspark import constants as K
 from proofspark.functions.text import explode_rows
+from proofspark.session import written
 
 # --- fixed values: media types and archive limits ---
 MEDIA_TYPES = {
@@ -23,6 +27,10 @@ ANY_MEDIA_TYPES = ["", "application/octet-stream"]
 MAX_ENTRIES = 1_000
 MAX_UNZIPPED = 50 * 1024 * 1024
 MAX_BODY = 10 * 1024 * 1024
+#: Files and bytes that one task reads, about; bytes of contents in one batch of rows.
+TASK_FILES, TASK_BYTES, BATCH_BYTES = 10_000, 128 << 20, 8 << 20
+#: Files in one folder of many that tasks write, about.
+FOLDER_FILES = 1_000
 
 
 def media_type_allowed(media_type: Column, document_format: Column) -> Column:
@@ -33,16 +41,128 @@ def media_type_allowed(media_type: Column, document_format: Column) -> Column:
     return allowed
 
 
+def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a folder, and the folder's name there; raises ValueError where Arrow knows none."""
+    if folder.startswith("/"):
+        return pyarrow.fs.LocalFileSystem(), posixpath.normpath(folder)
+    store, root = pyarrow.fs.FileSystem.from_uri(folder)
+    return store, root.rstrip("/") or "/"
+
+
+def write_files(rows: DataFrame, folder: str) -> int:
+    """One file for each (doc_id, name, content), written by the tasks into folders of about ``FOLDER_FILES``; how many.
+
+    The subfolder follows from doc_id, so a task that is run again replaces its files.
+    """
+    most = rows.count() // FOLDER_FILES + 1
+    placed = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(most)).alias("part"), "name", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        made = set()
+        for b in batches:
+            for part, name, content in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if part not in made:
+                    store.create_dir(f"{root}/{part}", recursive=True)
+                    made.add(part)
+                with store.open_output_stream(f"{root}/{part}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["files"])
+
+    return placed.mapInArrow(run, "files bigint").agg(F.sum("files")).first()[0] or 0
+
+
+def _listing(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        for b in batches:
+            for inside in b.column(0).to_pylist():
+                base = root.rstrip("/") + inside
+                names, sizes, folders = [], [], []
+                for info in store.get_file_info(pyarrow.fs.FileSelector(base or "/")):
+                    name = info.base_name
+                    if name.startswith(("_", ".")) and not (name.startswith("_") and "=" in name) or name.endswith("._COPYING_"):
+                        continue  # hidden from Spark's readers as well
+                    names.append(f"{inside}/{name}")
+                    sizes.append(info.size)
+                    folders.append(info.type == pyarrow.fs.FileType.Directory)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(folders, pa.bool_())], ["name", "length", "folder"])
+
+    return run
+
+
+def _contents(folder: str):
+    names = ["name", "length", "content"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = opened(folder)
+        rows, held = [], 0
+
+        def batch() -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary()))], names)
+
+        for b in batches:
+            for name, length in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                with store.open_input_stream(root.rstrip("/") + name) as source:
+                    content = source.read()
+                rows.append((name, length, content))
+                held += len(content)
+                if held >= BATCH_BYTES or len(rows) >= 4096:
+                    yield batch()
+                    rows, held = [], 0
+        yield batch()
+
+    return run
+
+
+def read_files(spark: SparkSession, path: str, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(path, length) of all files below a folder, and (path, length, content) of those of at most ``most`` bytes.
+
+    The tasks list the folder, a level of subfolders at a time, and read the files: neither their names nor their number
+    reach the driver. Names that Spark's readers hide are left out. Patterns, single files and stores that Arrow has no
+    file system for are left to Spark's reader.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = store.makeQualified(root).toString().rstrip("/")
+    try:
+        opened(path)
+        own = store.exists(root) and store.getFileStatus(root).isDirectory()
+    except (ValueError, OSError):
+        own = False
+    if not own:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+        few = raw if most is None else raw.where(F.col("length") <= most)
+        return raw.select("path", "length"), few.select("path", "length", "content")
+    slots = spark.sparkContext.defaultParallelism
+    level, names = spark.range(1).select(F.lit("").alias("name")), None
+    while True:
+        found = written(level.mapInArrow(_listing(path), "name string, length bigint, folder boolean"), "files-listed")
+        files = found.where("not folder").select("name", "length")
+        names = files if names is None else names.unionByName(files)
+        level = found.where("folder").select("name")
+        if level.isEmpty():
+            break
+        level = level.repartition(slots, "name")
+    few = names if most is None else names.where(F.col("length") <= most)
+    n, size = few.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(1, min(slots, n), -(-n // TASK_FILES), -(-size // TASK_BYTES))
+    read = few.repartition(tasks, "name").mapInArrow(_contents(path), "name string, length bigint, content binary")
+    full = F.concat(F.lit(whole), F.col("name")).alias("path")
+    return names.select(full, "length"), read.select(full, "length", "content")
+
+
 def scan_files(spark: SparkSession, path: str, media_types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, rejects) of a folder.
 
-    Too large files are told by their length alone, their content is never read. ``media_types`` (path, media_type)
-    holds declared types.
+    Too large files are told by their length alone, their content is never read. All others are read once, and the
+    accepted ones stored in the shared scratch folder as rows. ``media_types`` (path, media_type) holds declared types.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    too_large = raw.where(F.col("length") > K.MAX_UPLOAD_BYTES).select("path", F.lit("FILE_TOO_LARGE").alias("error_code"))
+    listed, read = read_files(spark, path, K.MAX_UPLOAD_BYTES)
+    too_large = listed.where(F.col("length") > K.MAX_UPLOAD_BYTES).select("path", F.lit("FILE_TOO_LARGE").alias("error_code"))
     name = F.regexp_extract("path", r"[^/]*\z", 0)
-    small = raw.where(F.col("length") <= K.MAX_UPLOAD_BYTES).select(
+    small = read.select(
         "path", name.alias("original_name"), F.col("length").alias("size_bytes"), "content",
         F.lower(F.regexp_extract(name, r"\A.+\.([^.]*)\z", 1)).alias("document_format"))
     if media_types is None:
@@ -60,6 +180,7 @@ def scan_files(spark: SparkSession, path: str, media_types: DataFrame | None = N
         .when(fmt == "pdf", "PDF_NOT_SUPPORTED")
     )
     judged = typed.withColumn("error_code", code)
+    judged = written(judged.withColumn("content", F.when(F.col("error_code").isNull(), body)), "files-judged")
     rejects = too_large.unionByName(judged.where(F.col("error_code").isNotNull()).select("path", "error_code"))
     return judged.where(F.col("error_code").isNull()).drop("error_code", "media_type"), rejects
 
@@ -164,21 +285,23 @@ def docx_paragraphs(content: bytes) -> list[str]:
 PARAGRAPHS = "path string, line_no int, text string, paragraph_break_after boolean, error_code string"
 
 
-def _docx_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "line_no", "text", "paragraph_break_after", "error_code"]
+def _docx_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fields = [("path", pa.string()), ("line_no", pa.int32()), ("text", pa.string()), ("paragraph_break_after", pa.bool_()), ("error_code", pa.string())]
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        rows = []
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
             try:
-                found = docx_paragraphs(bytes(content))
-                rows = [(path, i + 1, p, i + 1 < len(found), None) for i, p in enumerate(found)]
+                found = docx_paragraphs(content)
+                rows += [(path, i + 1, p, i + 1 < len(found), None) for i, p in enumerate(found)]
             except ValueError:
-                rows = [(path, 0, None, False, "EXTRACTION_FAILED")]
-            yield pd.DataFrame(rows, columns=columns)
+                rows.append((path, 0, None, False, "EXTRACTION_FAILED"))
+        columns = list(zip(*rows)) or [()] * len(fields)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
 
 
 def extract_docx(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(paragraph rows, rejects) of DOCX files; a paragraph is followed by a blank line, it has no line number."""
-    rows = files.where("document_format = 'docx'").select("path", "content").mapInPandas(_docx_rows, PARAGRAPHS)
+    rows = files.where("document_format = 'docx'").select("path", "content").mapInArrow(_docx_rows, PARAGRAPHS)
     rejects = rows.where(F.col("error_code").isNotNull()).select("path", "error_code")
     good = rows.where(F.col("error_code").isNull()).select(
         "path", "line_no", "text", F.lit(None).cast("int").alias("page"), F.lit(None).cast("int").alias("line"), "paragraph_break_after")

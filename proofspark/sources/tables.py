@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from proofspark import constants as K
-from proofspark.functions.text import is_blank, once, whole_json
+from proofspark.functions.text import explode_rows, is_blank, once, whole_json
 from proofspark.operators.evaluate import gold_violations
 from proofspark.operators.summary import COUNTERS
 from proofspark.schemas import GOLD, REPORT
 from proofspark.session import written
+from proofspark.sources.files import read_files
 from proofspark.sources.store import KeyedStore
 
 REPORT_SCHEMA = "report.v1"
@@ -35,12 +40,30 @@ def read_gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return gold, malformed.unionByName(gold_violations(gold)).unionByName(empty)
 
 
+def _json_text(content: pa.Array) -> pa.Array:
+    """JSON in any of its encodings, told by the first bytes; null where they don't hold text."""
+    def text(value: bytes) -> str | None:
+        try:
+            return value.decode(json.detect_encoding(value))
+        except UnicodeDecodeError:
+            return None
+
+    return pa.array([text(v) for v in content.to_pylist()], pa.string())
+
+
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """Reports stored as <document_id>.json, with document_id from the file name; absent members get their defaults."""
-    raw = spark.read.schema(REPORT).option("multiLine", True).json(folder)
-    name = F.regexp_replace(F.col("_metadata.file_name"), r"\.json\z", "")
+    """Reports stored as <document_id>.json, in subfolders too, with document_id from the file name; absent members get their defaults.
+
+    A file that is no JSON object has null members, an empty one no row, and a list a row for each of its items.
+    """
+    name = F.regexp_replace(F.regexp_extract("path", r"[^/]*\z", 0), r"\.json\z", "")
+    files = read_files(spark, folder)[1].select(name.alias("document_id"), "content")
+    texts = once(files, ["document_id"], text=F.arrow_udf(_json_text, "string")("content"))
+    one, several = F.array(F.from_json("text", REPORT)), F.coalesce(F.from_json("text", ArrayType(StructType.fromDDL(REPORT))), F.array(F.lit(None)))
+    items = F.when(F.regexp_like("text", F.lit(r"\A\s*+\[")), several).when(F.regexp_like("text", F.lit(r"\A\s*+\z")), F.slice(one, 1, 0)).otherwise(one)
+    raw = explode_rows(texts, items, "at", "r", ["document_id"]).select("document_id", "r.*")
     return raw.select(
-        F.url_decode(name).alias("document_id"), "schema", "report_id", "job_id", "document",
+        "document_id", "schema", "report_id", "job_id", "document",
         F.col("analysis").withField("analysis_profile", F.coalesce("analysis.analysis_profile", F.lit("general")))
         .withField("reference_version", F.coalesce("analysis.reference_version", F.lit(""))).alias("analysis"),
         "summary", "issues", F.coalesce("missed_issues", F.array()).alias("missed_issues"), "complete", "generated_at")

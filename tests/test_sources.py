@@ -135,3 +135,27 @@ def test_evaluation_summary(spark, tmp_path):
 
 def test_written_keeps_rows(spark):
     assert written(spark.range(5), "t").count() == 5
+
+
+def test_folders_are_listed_by_tasks(spark, tmp_path):
+    rows = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit("-a b%20+.txt")).alias("name"), F.encode(F.col("id").cast("string"), "utf-8").alias("content"))
+    assert S.write_files(rows, str(tmp_path)) == 2500 and len(os.listdir(tmp_path)) == 3
+    for name in ("_hidden.txt", ".hidden.txt", "x._COPYING_"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "0" / "_logs").mkdir()
+    (tmp_path / "0" / "_logs" / "y.txt").write_text("x")
+    files, rejects = S.scan_files(spark, str(tmp_path))
+    usual = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    assert files.select("path", "size_bytes", "content").exceptAll(usual.select("path", "length", "content")).isEmpty()
+    assert files.count() == usual.count() == 2500 and rejects.isEmpty()
+    assert len(files.inputFiles()) < 100  # the driver plans a few files of rows, not one entry a file
+    assert S.read_files(spark, str(tmp_path / "1" / "*.txt"))[0].count() == len(os.listdir(tmp_path / "1"))
+
+
+def test_reports_that_are_no_objects(spark, tmp_path):
+    (tmp_path / "below").mkdir()
+    for name, content in {"empty": b" ", "list": b'[{"report_id":"a"},{"report_id":"b"}]', "none": b"[]", "bad": b"{ not", "worse": b"\xff\xfe\x00", "a+b": b'{"report_id":"c"} x',
+                          "wide": '{"report_id":"d"}'.encode("utf-16"), "mark": b'\xef\xbb\xbf{"report_id":"e"}'}.items():
+        (tmp_path / ("below" if name == "mark" else ".") / f"{name}.json").write_bytes(content)
+    got = sorted((r.document_id, r.report_id) for r in T.read_reports(spark, str(tmp_path)).collect())
+    assert got == [("a+b", "c"), ("bad", None), ("list", "a"), ("list", "b"), ("mark", "e"), ("wide", "d"), ("worse", None)]
