@@ -238,7 +238,7 @@ _ANSWERS = ["[]", '[{"candidate_index": 0, "verdict": "confirmed", "confidence":
 @registered
 def chunk_reuse(spark, d):
     """Stored chunks: some texts changed, some unfinished, some without output, some beyond the plan."""
-    new = chunk(X.documents(spark, d).select("doc_id", "text")).withColumnRenamed("doc_id", "job_id")
+    new = written(chunk(X.documents(spark, d).select("doc_id", "text")).withColumnRenamed("doc_id", "job_id"), "chunks")
     k = F.col("job_id") + F.col("chunk_index")
     stored = new.select(
         "job_id", "chunk_index", "source_start", "source_end", F.when(k % 5 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("content"),
