@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from proofspark.functions.locate import occurrence_starts
 from proofspark.functions.text import let, slice_text
 from proofspark.schemas import CANDIDATE, RULES
+from proofspark.session import opened, scratch_dir
 
 _RULE_FIELDS = ",".join(part.strip().replace(" ", ":", 1) for part in RULES.split(","))
 FIELDS = [
@@ -74,18 +77,21 @@ def _constant(rows: list[Row]) -> Column:
 
 
 def scan_many(chunks: DataFrame, rules: DataFrame, every_occurrence: bool, context: int = 12, most: int = AUTOMATON_CHARS) -> DataFrame:
-    """``candidates`` by a multi-pattern automaton: one pass over each chunk finds all needles, whatever their number.
+    """``candidates`` by multi-pattern automata: a pass over each chunk finds all needles of a lot, whatever their number.
 
-    Rules are taken in their order, in lots of at most ``most`` characters (or one rule), so that neither the driver nor a
-    task ever holds more; each lot is broadcast, compiled once a task, and adds its candidates behind those of the earlier
-    ones. Only the texts go to Python, the other columns stay where they are. A null needle never occurs, an empty one
-    everywhere; a null text has no candidates.
+    Rules are taken in their order, in lots of at most ``most`` characters (or one rule), each a file below the shared
+    folder. A task holds one compiled lot: with several, it takes a batch of texts through one after the other, and the
+    candidates of later lots stand behind those of earlier ones. Only the texts go to Python, the other columns stay where
+    they are. A null needle never occurs, an empty one everywhere; a null text has no candidates.
     """
-    out = chunks.withColumn("candidates", F.array().cast(f"array<{CANDIDATE}>"))
+    folder = scratch_dir(chunks.sparkSession, "rule-lots")
+    lots = 0
     for lot in _lots(rules, most):
-        scan = _automaton(chunks.sparkSession.sparkContext.broadcast(lot), every_occurrence, context)
-        out = out.withColumn("candidates", F.concat("candidates", scan("text")))
-    return out
+        _store_lot(lot, folder, lots)
+        lots += 1
+    if not lots:
+        return chunks.withColumn("candidates", F.array().cast(f"array<{CANDIDATE}>"))
+    return chunks.withColumn("candidates", _automata(folder, lots, every_occurrence, context)("text"))
 
 
 def _lots(rules: DataFrame, most: int) -> Iterator[list[tuple]]:
@@ -101,46 +107,79 @@ def _lots(rules: DataFrame, most: int) -> Iterator[list[tuple]]:
         yield lot
 
 
-def _automaton(rules, every: bool, context: int):
-    made: list = []
-
-    def compiled():
-        import ahocorasick
-
-        words: dict[str, list[int]] = {}
-        for number, rule in enumerate(rules.value):
-            if rule[0] is not None:
-                words.setdefault(rule[0], []).append(number)
-        search = ahocorasick.Automaton()
-        for word, numbers in words.items():
-            if word:
-                search.add_word(word, (len(word), numbers))
-        search.make_automaton()
-        strings, texts = pa.string(), [f for f in FIELDS if f not in ("confidence", "evidence_source_ids")]
-        types = {**{f: strings for f in texts}, "confidence": pa.int32(), "evidence_source_ids": pa.list_(strings)}
-        templates = [pa.array([r[k + 1] for r in rules.value], types[f]) for k, f in enumerate(FIELDS)]
-        return search if len(search) else None, words.get("", []), [len(r[0] or "") for r in rules.value], templates
-
-    @F.arrow_udf(f"array<{CANDIDATE}>")
-    def scan(texts: pa.Array) -> pa.Array:
-        if not made:
-            made.append(compiled())
-        search, anywhere, sizes, templates = made[0]
-        ends, chosen, before, after = [0], [], [], []
-        for text in texts.to_pylist():
+def _store_lot(lot: list[tuple], folder: str, number: int) -> None:
+    types = {"confidence": pa.int32(), "evidence_source_ids": pa.list_(pa.string())}
+    names = ["needle", *FIELDS]
+    table = pa.table([pa.array([rule[k] for rule in lot], types.get(name, pa.string())) for k, name in enumerate(names)], names)
+    store, root = opened(folder)
+    store.create_dir(root, recursive=True)
+    with store.open_output_stream(f"{root}/{number}.arrow") as out, pa.ipc.new_file(out, table.schema) as file:
+        file.write_table(table)
+
+
+#: Texts that are searched before their candidates become Arrow rows.
+TEXTS_AT_ONCE = 256
+
+
+def _automata(folder: str, lots: int, every: bool, context: int):
+    held: dict = {}
+
+    def compiled(number: int):
+        if number not in held:
+            import ahocorasick
+
+            held.clear()
+            store, root = opened(folder)
+            with store.open_input_file(f"{root}/{number}.arrow") as file:
+                table = pa.ipc.open_file(file).read_all().combine_chunks()
+            search, first, others = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}, {}
+            for n, word in enumerate(table.column("needle").to_pylist()):
+                if word is not None and first.setdefault(word, n) != n:
+                    others.setdefault(first[word], [first[word]]).append(n)
+            anywhere = first.pop("", None)
+            for word, n in first.items():
+                search.add_word(word, n)
+            search.make_automaton()
+            sizes = pc.fill_null(pc.utf8_length(table.column("needle")), 0).to_pylist()
+            templates = [table.column(f).combine_chunks() for f in FIELDS]
+            held[number] = search if len(search) else None, [] if anywhere is None else others.get(anywhere, [anywhere]), others, sizes, templates
+        return held[number]
+
+    def look(texts: list[str | None], number: int) -> tuple[list[int], list[pa.Array]]:
+        """How many candidates each text has, their rules, and what stands before and after them."""
+        search, anywhere, others, sizes, _ = compiled(number)
+        counts, chosen, before, after = [], [], [], []
+        for text in texts:
             text = text or ""
-            hits = [(n, 0 if not every else end + 1 - size) for end, (size, numbers) in (search.iter(text) if search else ()) for n in numbers]
+            hits = [(n, 0 if not every else end + 1 - sizes[n]) for end, found in (search.iter(text) if search else ()) for n in others.get(found, (found,))]
             hits += [(n, at) for n in anywhere for at in (range(max(1, len(text))) if every else (0,))] if text else []
             hits = sorted(hits if every else set(hits))
             chosen += [n for n, _ in hits]
             if every:
                 before += [text[max(0, at - context) : at] for _, at in hits]
                 after += [text[at + sizes[n] : at + sizes[n] + context] for n, at in hits]
-            ends.append(len(chosen))
-        rows = pa.array(chosen, pa.int32())
+            counts.append(len(hits))
+        return counts, [pa.array(chosen, pa.int32()), pa.array(before, pa.string()), pa.array(after, pa.string())]
+
+    def candidates(parts: list[list[pa.Array]], number: int) -> pa.StructArray:
+        chosen, before, after = (pa.concat_arrays(kind) for kind in zip(*parts))
         sides = {"context_before": before, "context_after": after} if every else {}
-        columns = [pa.array(sides[f], pa.string()) if f in sides else t.take(rows) for f, t in zip(FIELDS, templates)]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, FIELDS))
+        return pa.StructArray.from_arrays([sides[f] if f in sides else t.take(chosen) for f, t in zip(FIELDS, compiled(number)[4])], FIELDS)
+
+    @F.arrow_udf(f"array<{CANDIDATE}>")
+    def scan(texts: pa.Array) -> pa.Array:
+        pa.default_memory_pool().release_unused()  # what the batch before has freed
+        parts = [texts.slice(at, TEXTS_AT_ONCE) for at in range(0, max(1, len(texts)), TEXTS_AT_ONCE)]
+        counts, rows = np.zeros((lots, len(texts)), np.int64), [None] * lots
+        for number in range(lots) if 0 in held or not held else range(lots - 1, -1, -1):  # begin with the lot that is compiled
+            found = [look(part.to_pylist(), number) for part in parts]
+            counts[number] = [n for some, _ in found for n in some]
+            rows[number] = candidates([arrays for _, arrays in found], number)
+        if lots > 1:
+            owner = np.concatenate([np.repeat(np.arange(len(texts)), c) for c in counts])
+            rows = [pa.concat_arrays(rows).take(pa.array(np.argsort(owner, kind="stable")))]
+        ends = np.concatenate([[0], np.cumsum(counts.sum(0))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows[0])
 
     return scan
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import posixpath
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from proofspark import constants as K
 from proofspark.functions.text import explode_rows
-from proofspark.session import written
+from proofspark.session import opened, written
 
 # --- fixed values: media types and archive limits ---
 MEDIA_TYPES = {
@@ -41,14 +40,6 @@ def media_type_allowed(media_type: Column, document_format: Column) -> Column:
     return allowed
 
 
-def opened(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The file system of a folder, and the folder's name there; raises ValueError where Arrow knows none."""
-    if folder.startswith("/"):
-        return pyarrow.fs.LocalFileSystem(), posixpath.normpath(folder)
-    store, root = pyarrow.fs.FileSystem.from_uri(folder)
-    return store, root.rstrip("/") or "/"
-
-
 def write_files(rows: DataFrame, folder: str) -> int:
     """One file for each (doc_id, name, content), written by the tasks into folders of about ``FOLDER_FILES``; how many.
 

@@ -60,3 +60,15 @@ def test_many_rules_of_the_tables(spark, sf_dir):
     rules = X.many_rules(spark, sf_dir)
     assert rules.count() > 1000 and rules.select("rule_no").distinct().count() == rules.count() == rules.select("needle").distinct().count()
     assert rules.agg(F.max("rule_no")).first()[0] == rules.count()
+
+
+def test_a_task_holds_one_lot(spark, monkeypatch):
+    """Several lots are one call of Python, which reads them from the shared folder one by one."""
+    needles = [f"needle {k:05d}" for k in range(600)]
+    chunks = texts(spark, [f"a needle {k:05d} and needle {(k * 7) % 600:05d}." for k in range(600)]).coalesce(1)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda _: pytest.fail("rules are broadcast"))
+    out = R.scan_many(chunks, table(spark, needles), every_occurrence=True, most=2000)
+    udfs = out._jdf.queryExecution().executedPlan().toString().split("ArrowEvalPython")[1].split("\n")[0]
+    assert udfs.count("scan(") == 1
+    got = found(out)
+    assert all([c[2] for c in got[k]] == sorted([needles[k], needles[k * 7 % 600]]) for k in range(600))
