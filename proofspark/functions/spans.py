@@ -14,8 +14,30 @@ def _none() -> Column:
     return F.array().cast(SPANS)
 
 
+#: Set around matches; texts that hold it themselves are searched twice instead.
+_MARK = "\x01"
+
+
 def pattern_spans(text: Column, pattern: str) -> Column:
-    """Spans of all matches: the pieces between matches and the matches alternate, so lengths add up."""
+    """Spans of all matches, none of which may be empty: cut at marks around the matches, gaps and matches alternate, so lengths add up."""
+
+    def add(acc: Column, piece: Column) -> Column:
+        end = acc["at"] + F.length(piece)
+        span = F.struct(acc["at"].alias("start"), end.alias("end"))
+        return F.struct(
+            end.alias("at"), (~acc["hit"]).alias("hit"),
+            F.when(acc["hit"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    def place(pieces: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), _none().alias("spans"))
+        return F.when(F.size(pieces) == 1, _none()).otherwise(F.aggregate(pieces, zero, add, lambda acc: acc["spans"]))
+
+    marked = F.split(F.regexp_replace(text, F.lit(pattern), F.lit(f"{_MARK}$0{_MARK}")), _MARK, -1)
+    return F.when(F.contains(text, F.lit(_MARK)), _searched_twice(text, pattern)).otherwise(let(marked, place))
+
+
+def _searched_twice(text: Column, pattern: str) -> Column:
+    """Spans of all matches in any text: the pieces between matches and the matches alternate, so lengths add up."""
 
     def place(found: Column) -> Column:
         pieces = F.zip_with(

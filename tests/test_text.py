@@ -334,3 +334,23 @@ def test_text_helpers(spark):
     assert [r[0] for r in names.select(safe_filename(F.col("n"))).collect()] == ["yz.txt", "a", "document.txt", "n" * 180]
     md = spark.createDataFrame([("a*b\r\nc_d", 'h y<>\\"')], "m string, u string")
     assert rows(md.select(L.markdown_text(F.col("m")), L.markdown_url(F.col("u")))) == [("a\\*b  \n  c\\_d", "h%20y%3C%3E%5C%22")]
+
+
+def test_marked_and_unmarked_texts_have_the_same_spans(spark):
+    """Matches are found in one search; texts that hold the mark themselves are searched the other way."""
+    from proofspark.functions import spans as P
+
+    rows = ["", "$0 10% \\$5", "1%2%3%", "x 10% y", "10%", "\x0110%\x01\x01 20%", "\x01", None, "😀10%😀 20%\n30%"]
+    df = spark.createDataFrame(list(enumerate(rows)), "k int, text string")
+    got = df.select("k", P.pattern_spans(F.col("text"), r"\d+%").alias("a"), P._searched_twice(F.col("text"), r"\d+%").alias("b")).orderBy("k").collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert [[tuple(s) for s in r.a] for r in got if r.a is not None] == [
+        [], [(3, 6)], [(0, 2), (2, 4), (4, 6)], [(2, 5)], [(0, 3)], [(1, 4), (7, 10)], [], [(1, 4), (6, 9), (10, 13)]]
+    plan = df.select(P.pattern_spans(F.col("text"), "[0-9]+%").alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[0-9]+%") == 3  # one search, and two for the rare other way
+
+
+def test_reused_chunks_are_cut_once(spark, sf_dir):
+    from proofspark.catalog import payload
+
+    assert "documents.parquet" not in "".join(payload.chunk_reuse(spark, sf_dir).inputFiles())
