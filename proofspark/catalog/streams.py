@@ -205,8 +205,9 @@ def streamed_reports(spark, d):
     """Documents, each of them in two files, to complete stored reports with the lines of their issues."""
     path = scratch_dir(spark, "intake-files")
     docs = X.table(spark, d, "documents").select("doc_id", "source", "text")
+    files = max(1, -(-docs.count() // X.PART_ROWS))  # a batch is a file, so there are no more batches as the input has more files
     for some in (docs.where("doc_id % 3 > 0"), docs.where("doc_id % 3 < 2")):
-        some.write.mode("append").parquet(path)
+        some.repartition(files, "doc_id").write.mode("append").parquet(path)
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(path)
     rules, evidence = X.rules(spark), X.evidence(spark)
     reports, intake = R.stream_reports(

@@ -236,3 +236,22 @@ def test_intake_of_an_empty_stream_has_no_rows(spark, tmp_path):
     stream = spark.readStream.schema("doc_id bigint, text string").parquet(str(tmp_path / "none"))
     out = R.stream_intake(stream, lambda batch: batch.select("doc_id"), str(tmp_path / "out"))
     assert out.columns == ["doc_id"] and out.count() == 0
+
+
+def test_batches_of_reports_follow_the_rows(spark, tmp_path, monkeypatch):
+    """Documents in many files are still two files of the stream, as long as these are small."""
+    from proofspark.catalog import streams as C
+
+    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.lit("A word. Another one.").alias("text"))
+    docs.repartition(6).write.parquet(str(tmp_path / "documents.parquet"))
+    taken, stream_reports = [], C.R.stream_reports
+
+    def noted(*args):
+        reports, intake = stream_reports(*args)
+        taken.extend(intake.collect())
+        return reports, intake
+
+    monkeypatch.setattr(C.R, "stream_reports", noted)
+    got = C.streamed_reports(spark, str(tmp_path)).collect()
+    assert len(got) == 30 and {r.repeats for r in got} == {10}
+    assert [r.documents for r in sorted(taken, key=lambda r: r.batch_id)] == [20, 20] and len(taken) == 2
