@@ -111,7 +111,7 @@ def read_files(spark: SparkSession, path: str, most: int | None = None) -> tuple
     """(path, length) of all files below a folder, and (path, length, content) of those of at most ``most`` bytes.
 
     The tasks list the folder, a level of subfolders at a time, and read the files: neither their names nor their number
-    reach the driver. Names that Spark's readers hide are left out. Patterns, single files and stores that Arrow has no
+    reach the driver. Names that Spark's readers hide are left out, and empty files, as there. Patterns, single files and stores that Arrow has no
     file system for are left to Spark's reader.
     """
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -130,7 +130,7 @@ def read_files(spark: SparkSession, path: str, most: int | None = None) -> tuple
     level, names = spark.range(1).select(F.lit("").alias("name")), None
     while True:
         found = written(level.mapInArrow(_listing(path), "name string, length bigint, folder boolean"), "files-listed")
-        files = found.where("not folder").select("name", "length")
+        files = found.where("not folder and length > 0").select("name", "length")
         names = files if names is None else names.unionByName(files)
         level = found.where("folder").select("name")
         if level.isEmpty():

@@ -142,6 +142,7 @@ def test_folders_are_listed_by_tasks(spark, tmp_path):
     assert S.write_files(rows, str(tmp_path)) == 2500 and len(os.listdir(tmp_path)) == 3
     for name in ("_hidden.txt", ".hidden.txt", "x._COPYING_"):
         (tmp_path / name).write_text("x")
+    (tmp_path / "empty.md").write_text("")
     (tmp_path / "0" / "_logs").mkdir()
     (tmp_path / "0" / "_logs" / "y.txt").write_text("x")
     files, rejects = S.scan_files(spark, str(tmp_path))
