@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark.llm.common import components, decided, maybe_in, release_memory
-from proofspark.session import written
+from proofspark.session import discard, written
 
 WORDS = 4
 #: Links: NUM / DEN is the least similarity.
@@ -25,7 +25,7 @@ NUM, DEN = 85, 100
 SHARD, STAR_DOCS, STAR_SIGS = 2_000_000, 50_000, 1_000_000
 #: Fragments in which overlaps are counted, and those of them that are counted first.
 COUNTED, FIRST = 8, 2
-#: Holders of a signature that all others of other components meet before the rest meet each other.
+#: Holders of a signature, on average, that all others of other components meet before the rest meet each other.
 CENTRES = 16
 SLICE = 1 << 20
 
@@ -298,9 +298,9 @@ def _texts_of(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return maybe_in(docs, F.xxhash64("doc_id"), doc_ids.select(F.xxhash64(doc_ids.columns[0]).alias("h")).distinct()).where("_maybe").select("text")
 
 
-def _sets_of(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, doc_ids: DataFrame, passing: list[str]) -> DataFrame:
     sets = _texts_of(docs, doc_ids).mapInArrow(_sets, "node binary, part int, members array<bigint>")
-    return written(sets.dropDuplicates(["node", "part"]), "jaccard-sets")
+    return written(sets.dropDuplicates(["node", "part"]), "jaccard-sets", passing=passing)
 
 
 def _possible(p: str, q: str):
@@ -310,25 +310,30 @@ def _possible(p: str, q: str):
     return (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) * (DEN + NUM) <= allowed) & (bits * (DEN + NUM) <= allowed)
 
 
-def _partial(pairs: DataFrame, sets: DataFrame, wanted: Column) -> DataFrame:
-    """``pairs`` with the overlap and the sizes of both sides, counted fragment by fragment and summed per pair."""
-    left = sets.where(wanted).select(F.col("node").alias("a"), "part", F.col("members").alias("ma"))
-    right = sets.where(wanted).select(F.col("node").alias("b"), "part", F.col("members").alias("mb"))
-    met = pairs.join(left, "a").join(right, ["b", "part"])
+def _partial(pairs: DataFrame, sets: DataFrame, parts: range) -> DataFrame:
+    """``pairs`` with the overlap and the sizes of both sides, counted fragment by fragment and summed per pair.
+
+    Both sides meet on node and fragment, so one exchange of the sets serves both.
+    """
+    some = sets.where(F.col("part").between(parts[0], parts[-1]))
+    left = some.select(F.col("node").alias("a"), "part", F.col("members").alias("ma"))
+    right = some.select(F.col("node").alias("b"), "part", F.col("members").alias("mb"))
+    by_part = pairs.withColumn("part", F.explode(F.array(*[F.lit(k) for k in parts])))
+    met = by_part.join(left, ["a", "part"]).join(right, ["b", "part"])
     counts = met.select(*pairs.columns, F.size(F.array_intersect("ma", "mb")).alias("o"), F.size("ma").alias("sa"), F.size("mb").alias("sb"))
     return counts.groupBy(*pairs.columns).agg(*[F.sum(c).alias(c) for c in ("o", "sa", "sb")])
 
 
-def _counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _counted(pairs: DataFrame, sets: DataFrame, passing: list[str]) -> DataFrame:
     """(a, b) of the ``pairs`` (a, b, na, nb) whose overlaps, counted in each fragment apart and summed, reach the threshold.
 
     After the first fragments a pair goes that cannot reach it, even if the smaller rest were shared in full.
     """
     needed = (F.col("na") + F.col("nb")) * NUM
-    first = _partial(pairs, sets, F.col("part") < FIRST)
+    first = _partial(pairs, sets, range(FIRST))
     most = F.col("o") + F.least(F.col("na") - F.col("sa"), F.col("nb") - F.col("sb"))
     going = first.where(most * (DEN + NUM) >= needed).select("a", "b", "na", "nb", F.col("o").alias("so_far"))
-    rest = _partial(written(going, "jaccard-going"), sets, F.col("part") >= FIRST)
+    rest = _partial(written(going, "jaccard-going", passing=passing), sets, range(FIRST, COUNTED))
     return rest.where((F.col("so_far") + F.col("o")) * (DEN + NUM) >= needed).select("a", "b")
 
 
@@ -346,15 +351,17 @@ def _met(p: DataFrame, q: DataFrame, order: Column) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    sets = _sets_of(docs, pairs.select("da").union(pairs.select("db")))
-    return written(_counted(pairs.select("a", "b", "na", "nb"), sets), "jaccard-links")
+    passing: list[str] = []
+    sets = _sets_of(docs, pairs.select("da").union(pairs.select("db")), passing)
+    links = written(_counted(pairs.select("a", "b", "na", "nb"), sets, passing), "jaccard-links")
+    discard(docs.sparkSession, passing)
+    return links
 
 
-def _with_roots(marked: DataFrame, roots: DataFrame) -> DataFrame:
-    """``marked`` with today's components, without signatures that only one component holds."""
-    named = marked.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = named.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    return written(named.join(mixed, "sig", "left_semi").select(*marked.columns), "jaccard-marked")
+def _mixed(marked: DataFrame, passing: list[str]) -> DataFrame:
+    """``marked`` without signatures that only one component holds, with the number of holders of each."""
+    mixed = marked.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("holders")).where("lo <> hi")
+    return written(marked.join(mixed.select("sig", "holders"), "sig"), "jaccard-marked", passing=passing)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -370,15 +377,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    found = written(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_pass(max(1, chars // 15 // SHARD)), NODES), "jaccard")
-    rows = found.where("kind = 0")
+    first: list[str] = []
+    found = written(docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(_pass(max(1, chars // 15 // SHARD)), NODES), "jaccard", passing=first)
+    few = written(found.where("kind <> 1").drop("shard", "sigs", "ids", "nodes"), "jaccard-rows")
+    rows = few.where("kind = 0")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    local = found.where("kind = 2").select("a", "b")
+    local = few.where("kind = 2").select("a", "b")
     shared = found.where("kind = 1").select("shard", "sigs", "ids", "nodes").groupBy("shard").applyInArrow(_shard_pairs, "a binary, b binary")
     pairs = local.union(shared).distinct().alias("x")
     p, q = nodes.select(*[F.col(c).alias(c) for c in nodes.columns]).alias("p"), nodes.alias("q")
     ends = written(pairs.join(p, F.col("x.a") == F.col("p.node")).join(q, F.col("x.b") == F.col("q.node"))
                    .select("x.a", "x.b", F.col("p.n").alias("na"), F.col("q.n").alias("nb"), _possible("p", "q").alias("possible"), F.col("p.doc").alias("da"), F.col("q.doc").alias("db")), "jaccard-pairs")
+    discard(spark, first)
     tried = ends.where("possible")
     links = _verified(docs, tried)
     roots = written(components(links, "jaccard-components"), "jaccard-roots")
@@ -389,24 +399,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     odd = apart.select("ra").union(apart.select("rb")).distinct().withColumnRenamed("ra", "root")
     used = ends.select(F.col("a").alias("node"), F.col("da").alias("doc")).union(ends.select("b", "db")).distinct().join(roots, "node", "left")
     members = written(used.select("node", "doc", F.coalesce("root", "node").alias("root")).join(odd, "root", "left_semi"), "jaccard-odd")
-    signed = written(_texts_of(docs, members.select("doc")).mapInArrow(_signed, "short bigint, sig bigint"), "jaccard-signed")
+    signed = written(_texts_of(docs, members.select("doc")).mapInArrow(_signed, "short bigint, sig bigint"), "jaccard-signed", passing=first)
     shared = signed.groupBy("sig").agg(F.min("short").alias("lo"), F.max("short").alias("hi")).where("lo <> hi").select("sig")
     named = members.join(nodes.select("node", "n", "sketch"), "node").withColumn("short", _short("node"))
-    marked = maybe_in(signed, F.col("sig"), written(shared, "jaccard-shared")).where("_maybe").select("short", "sig").join(named, "short")
-    marked = _with_roots(marked.select("sig", "node", "doc", "root", "n", "sketch"), roots)
+    marked = maybe_in(signed, F.col("sig"), written(shared, "jaccard-shared", passing=first)).where("_maybe").select("short", "sig").join(named, "short")
+    later: list[str] = []
+    marked = _mixed(marked.select("sig", "node", "doc", "root", "n", "sketch"), later)
+    discard(spark, first)
     seen = tried.select("a", "b")
-    # a few holders of each signature meet all others first: a number of pairs in proportion, and what belongs together is joined
-    keyed = [F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(CENTRES)]
-    centres = marked.groupBy("sig").agg(F.array_distinct(F.array(*keyed)).alias("c")).select("sig", F.explode("c").alias("node"))
-    centres = centres.join(marked, ["sig", "node"]).select(*marked.columns)
-    found = _met(_holders(marked, "p"), _holders(centres, "q"), F.col("p.node") != F.col("q.node")).distinct()
+    # holders of a signature that few have all meet each other; of others a few meet all others first: a number of pairs in proportion
+    small, large = marked.where(F.col("holders") <= CENTRES), marked.where(F.col("holders") > CENTRES)
+    part = F.pmod(F.xxhash64("sig", "node"), F.lit(1 << 30)) * F.col("holders") < CENTRES << 30
+    found = _met(_holders(small, "p"), _holders(small, "q"), F.col("p.node") > F.col("q.node"))
+    found = found.union(_met(_holders(large, "p"), _holders(large.where(part), "q"), F.col("p.node") != F.col("q.node"))).distinct()
     more = written(found.join(seen, ["a", "b"], "left_anti"), "jaccard-more")
     links, seen = links.union(_verified(docs, more)), seen.union(more.select("a", "b"))
     roots = written(components(links, "jaccard-components"), "jaccard-roots")
-    # the rest: all pairs of holders that are still in different components
-    marked = _with_roots(marked, roots)
+    # the rest: all pairs of holders of those that are still in different components
+    named = large.drop("root", "holders").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    marked = _mixed(named, first)
+    discard(spark, later)
     found = _met(_holders(marked, "p"), _holders(marked, "q"), F.col("p.node") > F.col("q.node")).distinct()
     more = written(found.join(seen, ["a", "b"], "left_anti"), "jaccard-more")
+    discard(spark, first)
     extra = _verified(docs, more)
     if not extra.isEmpty():
         roots = components(links.union(extra), "jaccard-components")

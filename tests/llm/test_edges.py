@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from proofspark.llm import chat, exact, jaccard, langid, mixing, orc, packing, quality, secret_scan, tiff
 from proofspark.llm.queries import BYTE_LEVEL, WORD_LEVEL
 from proofspark.llm.tokens import Encoder
-from proofspark.session import scratch_dir
+from proofspark.session import scratch_dir, written
 
 PATH = public_tokenizers.path(BYTE_LEVEL)
 LONG = " ".join(f"word{k % 977} and" for k in range(60_000))
@@ -471,3 +471,40 @@ def test_language_rejects_narrow_leads(spark):
     out = {r.doc_id: r for r in langid.languages(docs).collect()}
     assert [out[k].lang_pred for k in range(20)] == ["aa", "bb"] * 10 and not out[0].narrow
     assert out[900].narrow and out[901].lang_pred == out[902].lang_pred == "und" and out[901].score == 0
+
+
+def test_jaccard_frees_its_tables_and_meets_large_groups(spark, tmp_path, monkeypatch):
+    """Groups of all sizes round CENTRES on one template, some of them linked: brute force, and no passing table is left."""
+    draw = random.Random(5)
+    texts = []
+    for g in range(1, 41):
+        shared = [f"t{g % 5}w{k}" for k in range(30)]
+        for v in range(g % 23 + 1):
+            own = [f"g{g}v{v // 3}x{draw.randrange(9)}" for _ in range(draw.choice([0, 1, 2, 12]))]
+            texts.append(" ".join(shared + own))
+    monkeypatch.setattr(jaccard, "CENTRES", 4)
+    root = str(tmp_path / "shared")
+    monkeypatch.setattr("proofspark.session.scratch_root", lambda _: root)
+    out = jaccard.jaccard_components(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3))
+    got = {r.doc_id: r.component_id for r in out.collect()}
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for w in (t.split() for t in texts)]
+    least = list(range(len(texts)))
+    for _ in range(4):
+        for a, b in itertools.combinations(range(len(texts)), 2):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                least[a] = least[b] = min(least[a], least[b])
+    assert got == dict(enumerate(least))
+    left = {name.rsplit("-", 1)[0] for name in os.listdir(root)}
+    assert not left & {"jaccard", "jaccard-sets", "jaccard-going", "jaccard-signed", "jaccard-shared", "jaccard-marked"}
+
+
+def test_stored_token_table_sends_few_rows_at_a_time(spark, tmp_path):
+    """However many rows a file has, a task's Python gets a part of them; the session's number is as before."""
+    seen = spark.range(0, 5000, 1, 1).select(F.col("id").alias("n")).mapInArrow(lambda bs: (b.from_arrays([[b.num_rows]], ["n"]) for b in bs), "n bigint")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert max(r.n for r in written(seen, "sizes", packing.ROWS).collect()) == packing.ROWS < 5000
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == usual
+    spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('word', id, ' and ', id * 7) AS text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: bytes(r.ids) for r in packing.stored_token_table(docs, PATH).collect()}
+    assert got == {r.doc_id: bytes(r.ids) for r in packing.token_table(docs, PATH).collect()} and len(got) == 3000
