@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from proofspark.llm.common import release_memory
-from proofspark.llm.tokens import Encoder
+from proofspark.llm.tokens import REMEMBERED, Encoder
 from proofspark.session import written
 
 WINDOW, END = 1024, 0
@@ -21,12 +21,14 @@ TOKENS = "part bigint, first bigint, row bigint, doc_id bigint, before bigint, t
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, opens boolean, closes boolean, ids binary"
 #: Texts encoded at a time.
 STEP = 500
+#: Pieces remembered a task and rows that go to Python at a time, where other steps have filled the executor before.
+SPARING, ROWS = 200_000, 1000
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool, end: int, known: dict | None = None):
+def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool, end: int, known: dict | None = None, remembered: int = REMEMBERED):
     """(doc_id, ids with ``end``) of each row of (doc_id, text); ``known`` keeps the encoder for later calls."""
     known = {} if known is None else known
-    encoder = known.setdefault("encoder", None) or Encoder(path, space)
+    encoder = known.setdefault("encoder", None) or Encoder(path, space, remembered)
     known["encoder"] = encoder
     mark = np.array([end], encoder.type)
     for b in batches:
@@ -44,7 +46,7 @@ def _tokens(path: str, space: bool, end: int, placed: bool):
         task, first, row, before, rows, held, last = TaskContext.get().partitionId(), 0, 0, 0, [], 0, None
         for b in batches:
             numbers = zip(b.column(2).to_pylist(), b.column(3).to_pylist()) if placed else itertools.repeat((task, None), b.num_rows)
-            for (part, at), (doc_id, ids) in zip(numbers, encoded([b], path, space, end, known)):
+            for (part, at), (doc_id, ids) in zip(numbers, encoded([b], path, space, end, known, SPARING if placed else REMEMBERED)):
                 if placed and last != (part, at - 1):
                     first, before = at, 0
                 row = at if placed else row
@@ -89,7 +91,7 @@ def stored_token_table(docs: DataFrame, path: str, space: bool = True, end: int
         return stored_token_table(written(docs.select("doc_id", "text"), "tokens-input"), path, space, end)
     number = F.coalesce(F.regexp_extract("file", r"part-(\d+)", 1).try_cast("bigint"), F.lit(0)) * 100_000
     place = number + F.coalesce(F.regexp_extract("file", r"-c(\d+)[^-]*$", 1).try_cast("bigint"), F.lit(0))
-    return written(rows.select("doc_id", "text", place.alias("part"), "at").mapInArrow(_tokens(path, space, end, True), TOKENS), "tokens")
+    return written(rows.select("doc_id", "text", place.alias("part"), "at").mapInArrow(_tokens(path, space, end, True), TOKENS), "tokens", ROWS)
 
 
 def placed(tokens: DataFrame) -> DataFrame:

@@ -50,12 +50,12 @@ class Pieces(dict):
 class Encoder:
     """Ids of texts by the tokenizers library. ``space``: the pre-tokenizer is byte-level and joins spaces to words."""
 
-    def __init__(self, path: str, space: bool) -> None:
+    def __init__(self, path: str, space: bool, remembered: int = REMEMBERED) -> None:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.space, self.cut = Tokenizer.from_file(path), space, spaced if space else blank
-        self.model = self.tokenizer.model
+        self.model, self.remembered = self.tokenizer.model, remembered
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         usual = [chr(c) for c in range(32, 256) if chr(c) == " " or re.match(f"[{_LETTERS}.,]", chr(c))]
@@ -98,7 +98,7 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each whole text; a null text has none."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self._forget()
         look = self.known.__getitem__
         rows = [np.fromiter(map(look, parts), np.int64, len(parts)) for parts in (self.cut(x) if x else [] for x in texts)]
