@@ -508,3 +508,20 @@ def test_stored_token_table_sends_few_rows_at_a_time(spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d"))
     got = {r.doc_id: bytes(r.ids) for r in packing.stored_token_table(docs, PATH).collect()}
     assert got == {r.doc_id: bytes(r.ids) for r in packing.token_table(docs, PATH).collect()} and len(got) == 3000
+
+
+def test_network_learns_from_every_finding(spark, monkeypatch):
+    """More findings than any bound: each teaches the network or calibrates it, in lots, and the same network comes of it however rows lie."""
+    draw = random.Random(9)
+    some = lambda alphabet, n: "".join(draw.choices(alphabet, k=n))
+    keys = ["AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16) for _ in range(6000)]
+    texts = [f"lot {k} has the key {key} for now, and {some('bdgklmnprst', 1)}aration{k % 7}al {20_000_000 + k} is its number here" for k, key in enumerate(keys)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = docs.select("text").mapInArrow(secret_scan._labelled, "views array<string>, kind string, held boolean").select("views", "held").distinct()
+    want = {r.held: r["count"] for r in found.groupBy("held").count().collect()}
+    monkeypatch.setattr(secret_scan, "PASSES", 2)
+    monkeypatch.setattr(secret_scan, "LOT", 1024)
+    net = secret_scan.train(docs)
+    assert (net.learned, net.held) == (want[False], want[True]) and net.learned + net.held >= 6000 and net.recall >= 0.98
+    again = secret_scan.train(docs.repartition(5))
+    assert all((net.weights[k] == again.weights[k]).all() for k in net.weights) and net.threshold == again.threshold
