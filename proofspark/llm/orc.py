@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from proofspark.llm.packing import encoded
@@ -17,9 +17,11 @@ FILES = "part int, doc_id bigint, before bigint, tokens bigint, ids array<int>"
 END = 2
 #: Bytes a stripe (the unit of a split), rows an index entry, share of false hits of the Bloom filters.
 STRIPE, STRIDE, FALSE_HITS = 16 << 20, 1000, 0.01
+#: Pieces that a Python worker remembers from task to task.
+REMEMBERED = 1_000_000
 
 
-def _rows(path: str, space: bool, end: int):
+def _rows(path: str, space: bool, end: int, kept: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         names, ids, held = [], [], 0
@@ -32,7 +34,7 @@ def _rows(path: str, space: bool, end: int):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), pa.array(names, pa.int64()), pa.array(start + offsets[:-1]), pa.array(sizes), lists],
                                               ["part", "doc_id", "before", "tokens", "ids"])
 
-        for doc_id, x in encoded(batches, path, space, end):
+        for doc_id, x in encoded(batches, path, space, end, kept.value, REMEMBERED):
             names.append(doc_id)
             ids.append(x)
             held += len(x)
@@ -48,11 +50,14 @@ def write_token_files(docs: DataFrame, folder: str, path: str, space: bool = Fal
     """Encode whole texts and write them in ascending doc_id order, one file a range of ids (null ids first).
 
     Equal ids stand side by side. A range may be read alone: ``before`` counts the ids before a document in its own file.
+    A worker's copy of the broadcast value holds its encoder, so one is made a worker, not a task, and knows pieces already.
     """
+    kept = docs.sparkSession.sparkContext.broadcast({})
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     rows = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    (rows.mapInArrow(_rows(path, space, end), FILES).write.option("orc.stripe.size", STRIPE).option("orc.row.index.stride", STRIDE)
+    (rows.mapInArrow(_rows(path, space, end, kept), FILES).write.option("orc.stripe.size", STRIPE).option("orc.row.index.stride", STRIDE)
      .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", FALSE_HITS).option("orc.compress", "ZSTD").orc(folder))
+    kept.unpersist()
 
 
 def read_token_files(spark: SparkSession, folder: str, doc_ids: list[int] | None = None) -> DataFrame:

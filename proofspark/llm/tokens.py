@@ -1,7 +1,7 @@
 """Token ids of whole texts, inside tasks.
 
 Texts are cut where their tokenizer cuts anyway, so that each piece is encoded once a task and looked up afterwards. The
-ids are those of the whole text (tests compare them): pieces of Latin letters, with a mark behind them or not, go straight
+ids are those of the whole text (tests compare them): pieces of Latin letters, with marks behind them or not, go straight
 to the tokenizer's model, all others through the whole tokenizer, and texts with unusual white space are cut with care.
 """
 
@@ -17,7 +17,7 @@ REMEMBERED = 800_000
 FIRST = "\x00"
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_PLAIN = re.compile(f"([{_LETTERS}]+)([.,]?)")
+_PLAIN = re.compile(f"([{_LETTERS}]+)([!-/:-@\\[-`{{-~]*)")
 _INNER = re.compile(r"(?<=[^\s\x00-\x20\x7f-\xa0]) (?=[^\s\x00-\x20\x7f-\xa0])")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f-\xa0]")
 
@@ -58,13 +58,12 @@ class Encoder:
         self.model, self.remembered = self.tokenizer.model, remembered
         self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 65536 else np.uint32
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        usual = [chr(c) for c in range(32, 256) if chr(c) == " " or re.match(f"[{_LETTERS}.,]", chr(c))]
+        usual = [chr(c) for c in range(32, 256) if chr(c) == " " or re.match(f"[{_LETTERS}]", chr(c))]
         self.bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in usual}
-        self.marks = {c: [x.id for x in self.model.tokenize(c)] for c in ".,"}
         self._forget()
 
     def _forget(self) -> None:
-        self.known = Pieces()
+        self.known, self.marks = Pieces(), {}
         self.pool, self.used = np.empty(1 << 16, self.type), 0
         self.starts, self.sizes = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
@@ -74,7 +73,11 @@ class Encoder:
             return self.tokenizer.encode((" " if self.space and piece[:1] != FIRST else "") + piece.removeprefix(FIRST), add_special_tokens=False).ids
         letters = " " + word[1] if self.space else word[1].lower()
         ids = [x.id for x in self.model.tokenize(letters.translate(self.bytes))]
-        return ids + self.marks[word[2]] if word[2] else ids
+        if marks := word[2]:
+            if marks not in self.marks:
+                self.marks[marks] = self.tokenizer.encode(marks, add_special_tokens=False).ids
+            ids += self.marks[marks]
+        return ids
 
     def _learn(self) -> None:
         rows = len(self.known) - len(self.known.new)

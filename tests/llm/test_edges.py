@@ -6,9 +6,11 @@ import os
 import random
 import struct
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -525,3 +527,22 @@ def test_network_learns_from_every_finding(spark, monkeypatch):
     assert (net.learned, net.held) == (want[False], want[True]) and net.learned + net.held >= 6000 and net.recall >= 0.98
     again = secret_scan.train(docs.repartition(5))
     assert all((net.weights[k] == again.weights[k]).all() for k in net.weights) and net.threshold == again.threshold
+
+
+def test_a_worker_keeps_its_encoder_between_tasks(monkeypatch):
+    learned, learn = [], Encoder._ids
+    monkeypatch.setattr(Encoder, "_ids", lambda self, piece: learned.append(piece) or learn(self, piece))
+    monkeypatch.setattr(orc, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    kept = SimpleNamespace(value={})
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["Some words, some &&& more", None])})
+    first, second = ([b.to_pylist() for b in orc._rows(public_tokenizers.path("word_bpe_49k.json"), False, 2, kept)(iter([batch]))] for _ in range(2))
+    assert first == second and len(learned) == 5
+
+
+@pytest.mark.parametrize("name,space", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_words_with_runs_of_marks_take_no_whole_tokenizer(name, space):
+    encoder = Encoder(public_tokenizers.path(name), space)
+    whole, calls, text = encoder.tokenizer, [], "a Été&&& naïve... word~!, Word'' it's x*** y--- &&& z"
+    encoder.tokenizer = SimpleNamespace(encode=lambda x, **more: calls.append(x) or whole.encode(x, **more))
+    assert encoder([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert sorted(x.strip() for x in calls) == sorted(["&&&", "...", "~!,", "''", "it's", "***", "---", "&&&"] + ["a"] * space)
