@@ -22,7 +22,7 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 #: Texts encoded at a time.
 STEP = 500
 #: Pieces remembered a task and rows that go to Python at a time, where other steps have filled the executor before.
-SPARING, ROWS = 200_000, 1000
+SPARING, ROWS = 50_000, 250
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, space: bool, end: int, known: dict | None = None, remembered: int = REMEMBERED):

@@ -546,3 +546,16 @@ def test_words_with_runs_of_marks_take_no_whole_tokenizer(name, space):
     encoder.tokenizer = SimpleNamespace(encode=lambda x, **more: calls.append(x) or whole.encode(x, **more))
     assert encoder([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
     assert sorted(x.strip() for x in calls) == sorted(["&&&", "...", "~!,", "''", "it's", "***", "---", "&&&"] + ["a"] * space)
+
+
+def test_stored_tokens_remember_few_pieces(monkeypatch):
+    """However many distinct words a task of the pipeline meets, it holds a bounded number of them."""
+    held, call = [], Encoder.__call__
+    monkeypatch.setattr(Encoder, "__call__", lambda self, texts: [call(self, texts), held.append(len(self.known))][0])
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    texts = [" ".join(f"{chr(97 + k % 26)}w{k:04}x{n}" for n in range(1000)) for k in range(120)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t]), pa.array([0]), pa.array([k])], ["doc_id", "text", "part", "at"]) for k, t in enumerate(texts)]
+    got = [r for b in packing._tokens(PATH, True, 0, True)(iter(batches)) for r in b.to_pylist()]
+    whole = Encoder(PATH, True)
+    assert [r["row"] for r in got] == list(range(120)) and max(held[:120]) <= packing.SPARING + 1000 <= 60_000
+    assert all(np.frombuffer(r["ids"], "<u2")[:-1].tolist() == whole.tokenizer.encode(t, add_special_tokens=False).ids for r, t in zip(got, texts))
