@@ -279,17 +279,19 @@ def _from_responses(spark, d):
     better = F.concat(F.lit("丁"), number, F.lit("戊"))
     item = F.struct("n", quote.alias("quote"), better.alias("suggestion"), X.pick(["confirmed", "suspected", "rejected"], F.col("pk")).alias("verdict"))
     rows = X.line_issues(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("x")).withColumn("chunk_index", F.lit(0))
+    rows = written(rows, "answered")  # read for the documents, their segments and the responses of both passes
     docs = rows.select("doc_id", F.lit("general").alias("analysis_profile"), F.concat(F.array_join("x.quote", "。"), F.lit("。")).alias("text"))
     issues = F.transform("x", lambda e: F.struct(
         F.lit("typo").alias("category"), e["quote"].alias("quote"), F.lit("r").alias("reason"), e["suggestion"].alias("suggestion"), F.lit(90).alias("confidence")))
     content = F.to_json(F.struct(issues.alias("issues")))
     damaged = F.when(k % 7 == 0, F.substring(content, F.lit(1), F.length(content) - 2)).otherwise(content)
     copies = F.when(k % 7 == 4, 2).when(k % 7 == 1, 0).otherwise(1)
-    first = rows.select("doc_id", "chunk_index", damaged.alias("content"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
+    parts = X.dealt(rows, "doc_id", 4)
+    first = parts.select("doc_id", "chunk_index", damaged.alias("content"), F.explode(F.array_repeat(F.lit(1), copies)).alias("copy"))
     verdicts = F.transform("x", lambda e, at: F.struct(
         (at + F.when(k % 7 == 3, 1).otherwise(0)).alias("candidate_index"), e["verdict"].alias("verdict"), F.lit(95).alias("confidence"),
         F.lit("r").alias("reason"), e["suggestion"].alias("suggestion")))
-    second = rows.where(k % 7 != 2).select("doc_id", "chunk_index", F.to_json(F.struct(verdicts.alias("verdicts"))).alias("content"))
+    second = parts.where(k % 7 != 2).select("doc_id", "chunk_index", F.to_json(F.struct(verdicts.alias("verdicts"))).alias("content"))
     return proofread_responses(docs, build_segments(text_lines(docs)), _enveloped(first, k % 11 == 0), _enveloped(second, k % 13 == 0), X.evidence(spark))
 
 

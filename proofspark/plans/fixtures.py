@@ -24,9 +24,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 PART_ROWS = 500_000
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a table dealt out by a key, once for all steps by that key; there are more parts as the table grows."""
-    parts = -(-df.count() // PART_ROWS)  # told by the file footers
+def dealt(df: DataFrame, key: str, lines: int = 1) -> DataFrame:
+    """Rows of a table dealt out by a key, once for all steps by that key; there are more parts as the table grows.
+
+    ``lines``: how many rows of the given tables a row stands for, where it was made of several.
+    """
+    parts = -(-df.count() * lines // PART_ROWS)  # told by the file footers
     return df.repartition(max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
 
 

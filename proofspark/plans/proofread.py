@@ -71,19 +71,17 @@ def proofread_responses(
     docs, gated = gate_documents(docs)
     chunks = written(chunk(docs), "chunks")
     asked = chunks.select(*keys)
-    first = _checked(P.check_candidates(P.parse_candidates(candidate_responses.drop("error_code"))), candidate_responses)
-    first = written(first, "candidates")
+    first = written(_checked(P.check_candidates(P.parse_candidates(candidate_responses))), "candidates")
     good, bad_first = P.split_checked(first, "candidates")
     silent = _reject(asked.join(first.select(*keys).hint("merge"), keys, "left_anti"), "candidates", "PROVIDER_UNAVAILABLE")
     resolved = written(resolve_candidates(chunks.join(good.select(*keys, F.col("issues").alias("candidates")).hint("merge"), keys)), "resolved")
     counts = resolved.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("candidate_count"))
-    second = verdict_responses.join(counts.hint("merge"), keys)
-    second = _checked(P.check_verdicts(P.parse_verdicts(second.drop("error_code"))), verdict_responses)
-    second = written(second, "verdicts")
+    second = P.check_verdicts(P.parse_verdicts(verdict_responses.join(counts.hint("merge"), keys)))
+    second = written(_checked(second), "verdicts")
     good_second, bad_second = P.split_checked(second, "verdicts")
     unanswered = _reject(counts.join(second.select(*keys).hint("merge"), keys, "left_anti"), "verdicts", "PROVIDER_UNAVAILABLE")
     verdicts, lost = remap_verdicts(P.flatten_payload(good_second.select(*keys, "verdicts"), "verdicts"), resolved)
-    found = finalize(pair_verdicts(resolved, verdicts), evidence, confirmed_threshold, suspected_threshold)
+    found = written(finalize(pair_verdicts(resolved, verdicts), evidence, confirmed_threshold, suspected_threshold), "found")
     located = written(locate(found, segments), "located")
     homeless = _reject(located.where("not located"), "locate", "MODEL_OUTPUT_INVALID")
     empty = gate_chunkless(docs, chunks).unionByName(gated).select("stage", "doc_id", F.lit(None).cast("int").alias("chunk_index"), "error_code")
@@ -94,17 +92,18 @@ def proofread_responses(
 
 
 def _one_each(responses: DataFrame) -> DataFrame:
-    """One row per chunk; where several responses claim it, none is taken."""
-    earlier = F.max("error_code") if "error_code" in responses.columns else F.lit(None)
+    """One row per chunk with the error it already has as ``earlier``; where several responses claim a chunk, none is taken.
+
+    What has an error is not parsed any more, so its content is left behind. Rows without a key stay as they are.
+    """
+    earlier = F.max("error_code") if "error_code" in responses.columns else F.lit(None).cast("string")
+    known = F.col("doc_id").isNotNull() & F.col("chunk_index").isNotNull()
     return responses.groupBy("doc_id", "chunk_index").agg(
-        F.count(F.lit(1)).alias("n"), F.min("content").alias("content"), earlier.alias("earlier")
-    ).select("doc_id", "chunk_index", "content", F.when(F.col("n") > 1, "MODEL_OUTPUT_INVALID").otherwise(F.col("earlier")).alias("error_code"))
+        F.count(F.lit(1)).alias("n"), F.min("content").alias("content"), earlier.alias("found")
+    ).withColumn("earlier", F.when(known, F.when(F.col("n") > 1, P.BAD).otherwise(F.col("found")))).select(
+        "doc_id", "chunk_index", F.when(F.col("earlier").isNull(), F.col("content")).alias("content"), "earlier")
 
 
-def _checked(parsed: DataFrame, responses: DataFrame) -> DataFrame:
+def _checked(parsed: DataFrame) -> DataFrame:
     """Keep the error an envelope already had."""
-    if "error_code" not in responses.columns:
-        return parsed
-    earlier = responses.select("doc_id", "chunk_index", F.col("error_code").alias("earlier"))
-    return parsed.join(earlier.hint("merge"), ["doc_id", "chunk_index"], "left").withColumn(
-        "error_code", F.coalesce("earlier", "error_code")).drop("earlier")
+    return parsed.withColumn("error_code", F.coalesce("earlier", "error_code")).drop("earlier")

@@ -76,6 +76,33 @@ def test_candidate_payloads(spark):
     assert candidate_errors(spark, *bad) == [False] * len(bad)
 
 
+def test_elements_are_judged_one_by_one_where_their_merged_type_hides_something(spark):
+    with_ids, without = {**ISSUE, "evidence_source_ids": ["a"]}, ISSUE
+    lists = [([with_ids, without], True), ([with_ids, {**ISSUE, "evidence_source_ids": None}], False), ([with_ids, {**ISSUE, "evidence_source_ids": []}], True),
+             ([{**ISSUE, "quote": None}, ISSUE], False), ([ISSUE, {k: v for k, v in ISSUE.items() if k != "reason"}], False), ([ISSUE, {**ISSUE, "confidence": 90.0}], False),
+             ([ISSUE, {**ISSUE, "confidence": 10 ** 10}], False), ([ISSUE, None], False), ([None], False), ([ISSUE, {**ISSUE, "context_before": None}], True), ([ISSUE, 5], False)]
+    assert candidate_errors(spark, *[{"issues": x} for x, _ in lists]) == [ok for _, ok in lists]
+    one = json.dumps({"issues": [ISSUE]})
+    behind = [(" ", True), (", null", False), (", " + one, False), (" x", False)]
+    assert candidate_errors(spark, *[one + tail for tail, _ in behind]) == [ok for _, ok in behind]
+
+
+def test_lists_of_mixed_values_hide_nothing(spark):
+    """The inferred type of a mixed list names no member, but they are looked up all the same."""
+    def mixed(**message):
+        return {"choices": [*chat(**message)["choices"], 5]}
+
+    got = normalized(spark, "openai_compatible", mixed(), mixed(function_call={"name": "f"}), mixed(refusal="no"), mixed(content="usage: 7, function_call: STRING"))
+    assert got == [("ok", None, None), BAD, BAD, ("usage: 7, function_call: STRING", None, None)]
+
+
+def test_a_merged_type_spares_the_types_of_elements(spark):
+    """A row's variant is typed once, not once for each element and each step that reads it."""
+    df = spark.createDataFrame([(1, 0, json.dumps({"issues": [ISSUE] * 3}))], "doc_id long, chunk_index int, content string")
+    plan = P.parse_candidates(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1 and P.parse_candidates(df).first().issues[2].quote == "q"
+
+
 def test_verdict_payloads(spark):
     v = {"candidate_index": 0, "verdict": "confirmed", "confidence": 90, "reason": "r", "suggestion": "s"}
     cases = [([v], 1, True), ([v], 2, False), ([v, v], 2, False), ([{**v, "candidate_index": 1}], 1, False), ([{**v, "reason": " "}], 1, False),

@@ -1,4 +1,6 @@
 import json
+import re
+import sys
 
 from pyspark.sql import functions as F
 
@@ -33,6 +35,35 @@ def test_responses_to_issues(spark):
         (3, "MODEL_OUTPUT_INVALID"), (4, "PROVIDER_UNAVAILABLE"), (5, "PROVIDER_UNAVAILABLE"), (6, "MODEL_OUTPUT_INVALID"), (7, "EXTRACTION_FAILED"), (8, "MODEL_OUTPUT_INVALID")]
 
 
+def test_stored_responses_are_read_once(spark, monkeypatch):
+    """Each pass reads its responses once, with the errors they already have, and found issues are stored before they are located."""
+    steps, plans = sys.modules[proofread_responses.__module__], {}
+    store = steps.written
+
+    def noted(df, name, *more):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return store(df, name, *more)
+
+    monkeypatch.setattr(steps, "written", noted)
+    kind = "doc_id long, chunk_index int, content string, error_code string"
+    docs = spark.createDataFrame([(k, "general", "他们再操场上跑步。") for k in range(1, 7)], "doc_id long, analysis_profile string, text string")
+    said, seen = json.dumps({"issues": [issue("他们再操场上跑步。")]}), {"candidate_index": 0, "verdict": "confirmed", "confidence": 92, "reason": "r", "suggestion": "他们在操场上跑步。"}
+    heard = json.dumps({"verdicts": [seen]})
+    a = spark.createDataFrame([(1, 0, said, None), (2, 0, said, None), (2, 0, "[", None), (3, 0, None, "MODEL_OUTPUT_INVALID"), (4, 0, "[", None), (5, 0, said, None),
+                               (6, 0, said, None), (None, 0, said, "MODEL_OUTPUT_INVALID"), (None, 0, said, None)], kind)
+    b = spark.createDataFrame([(1, 0, heard, None), (5, 0, heard, "PROVIDER_UNAVAILABLE")], kind)
+    issues, rejects = proofread_responses(docs, build_segments(text_lines(docs)), a, b, X.evidence(spark))
+    assert [(r.doc_id, r.char_start, r.suggestion, r.line_start) for r in issues.collect()] == [(1, 2, "在", 1)]
+    assert sorted((r.stage, r.doc_id, r.error_code) for r in rejects.collect()) == [
+        ("candidates", 2, "MODEL_OUTPUT_INVALID"), ("candidates", 3, "MODEL_OUTPUT_INVALID"), ("candidates", 4, "MODEL_OUTPUT_INVALID"),
+        ("verdicts", 5, "PROVIDER_UNAVAILABLE"), ("verdicts", 6, "PROVIDER_UNAVAILABLE")]
+
+    def sources(name):
+        return len(re.findall("LogicalRDD|LocalRelation|Relation ", plans[name]))
+
+    assert (sources("candidates"), sources("verdicts")) == (1, 2) and "Relation " in plans["located"] and "verdict" not in plans["located"]
+
+
 def test_longest_document_and_ten_long_ones(spark):
     """200 000 characters, and ten documents of 50 000, with one issue near each end."""
     mark = "他们再操场上跑步"
