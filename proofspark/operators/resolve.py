@@ -60,18 +60,15 @@ def remap_verdicts(verdicts: DataFrame, resolved: DataFrame) -> tuple[DataFrame,
 
     Verdict indexes count the resolved candidates of a chunk only; an index without a candidate spoils the chunk.
     """
-    order = W.partitionBy("doc_id", "chunk_index").orderBy("candidate_index")
-    numbered = resolved.select(
-        "doc_id", "chunk_index", (F.row_number().over(order) - 1).alias("verdict_index"),
-        F.col("candidate_index").alias("original_index"),
-    )
-    joined = verdicts.withColumnRenamed("candidate_index", "verdict_index").join(
-        numbered.hint("merge"), ["doc_id", "chunk_index", "verdict_index"], "left"
-    )
-    bad = joined.where(F.col("original_index").isNull()).select("doc_id", "chunk_index").distinct()
-    good = joined.join(bad.hint("merge"), ["doc_id", "chunk_index"], "left_anti").drop("verdict_index").withColumnRenamed(
-        "original_index", "candidate_index"
-    )
+    keys = ["doc_id", "chunk_index"]
+    numbered = resolved.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("candidate_index"))).alias("numbered"))
+    others = [c for c in verdicts.columns if c not in (*keys, "candidate_index")]
+    # joined by chunk, so the window needs no exchange of its own
+    joined = verdicts.join(numbered.hint("merge"), keys, "left").select(
+        *keys, *others, F.get("numbered", F.col("candidate_index"))["candidate_index"].alias("candidate_index"))
+    bad = joined.where(F.col("candidate_index").isNull()).select(*keys).distinct()
+    spoilt = F.max(F.col("candidate_index").isNull()).over(W.partitionBy(*keys)) & F.col("doc_id").isNotNull() & F.col("chunk_index").isNotNull()
+    good = joined.withColumn("spoilt", spoilt).where(~F.col("spoilt")).drop("spoilt")
     rejects = bad.select(
         F.lit("remap_verdicts").alias("stage"), "doc_id", "chunk_index", F.lit("MODEL_OUTPUT_INVALID").alias("error_code")
     )

@@ -124,6 +124,19 @@ def test_failed_chunk_fails_its_document(spark):
     assert {r.doc_id for r in fail_documents(resolved, bad).collect()} == {1}
 
 
+def test_verdicts_meet_their_chunk_in_one_exchange(spark):
+    """Both results come from one join by chunk; rows without a key are kept, as nothing tells that their chunk is spoilt."""
+    kind = "doc_id long, chunk_index int, candidate_index int"
+    resolved = spark.createDataFrame([(1, 0, 4), (1, 0, 2), (2, 0, 0), (3, 1, 9), (None, 0, 1)], kind)
+    verdicts = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, 0, 1), (2, 0, 0), (3, 0, 0), (3, 1, 0), (None, 0, 0), (1, None, 0), (4, 0, None)], kind)
+    good, bad = remap_verdicts(verdicts, resolved)
+    assert sorted(map(repr, (tuple(r) for r in good.collect()))) == sorted(map(repr, [(1, 0, 2), (1, 0, 4), (3, 1, 9), (None, 0, None), (1, None, None)]))
+    assert sorted(repr((r.doc_id, r.chunk_index)) for r in bad.collect()) == sorted(map(repr, [(2, 0), (3, 0), (None, 0), (1, None), (4, 0)]))
+    for side in (good, bad):
+        plan = side._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_registered_pass(spark):
     def echo(batches):
         for b in batches:
